@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, quality_rules, sharding, warc
+from . import exact_dedup, grammar, packing, quality_rules, sharding, warc
 from .common import table
 
 
+def _tokenizer(name: str) -> str:
+    """The place of a public tokenizer file, which every machine has at the same path."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_along_curve(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -18,6 +30,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(warc.write_archive(table(spark, sf_dir, "pages")))
 
 
+def op4_token_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = grammar.write_shards(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return grammar.read_documents(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.adaptive_filter(table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -27,5 +44,5 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_warc, op5_quality_rules, op6_sharding)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_warc, op4_token_grammar, op5_quality_rules, op6_sharding)}
 ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op3_warc": warc.ORACLE, "op5_quality_rules": quality_rules.ORACLE}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, grammar, packing, quality_rules, sharding, warc
+from . import exact_dedup, grammar, packing, pieces, quality_rules, sharding, warc
 from .common import table
 
 
@@ -44,5 +44,9 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_warc, op4_token_grammar, op5_quality_rules, op6_sharding)}
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip_digests(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_warc, op4_token_grammar, op5_quality_rules, op6_sharding, op7_sentencepiece)}
 ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op3_warc": warc.ORACLE, "op5_quality_rules": quality_rules.ORACLE}

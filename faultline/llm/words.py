@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,12 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
 
 
 class Memory:
-    """Slots of pieces with their ids, in arrays that grow."""
+    """Slots of pieces with their ids, in arrays that grow.
 
-    def __init__(self, encode: Callable[[list[str]], list], dtype=np.int32, limit: int = REMEMBERED):
+    encode gives the ids of all pieces, one piece after the other, and how many each has.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype=np.int32, limit: int = REMEMBERED):
         self.encode, self.limit, self.dtype = encode, limit, dtype
         self.clear()
 
@@ -41,9 +45,7 @@ class Memory:
         self.starts, self.sizes = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
     def _add(self, pieces: list[str]) -> None:
-        ids = self.encode(pieces)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), self.dtype, int(sizes.sum()))
+        flat, sizes = self.encode(pieces)
         at, n = len(self.slot), len(pieces)
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -124,5 +126,11 @@ def library_memory(path: str) -> Memory:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        _loaded["library", path] = Memory(lambda pieces: [e.ids for e in t.encode_batch_fast(pieces, add_special_tokens=False)])
+
+        def encode(pieces):
+            ids = [e.ids for e in t.encode_batch_fast(pieces, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            return np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum())), sizes
+
+        _loaded["library", path] = Memory(encode)
     return _loaded["library", path]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, grammar, packing, pieces, quality_rules, sharding, warc
+from . import exact_dedup, grammar, language, packing, pieces, quality_qda, quality_rules, sharding, warc
 from .common import table
 
 
@@ -48,5 +48,20 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip_digests(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_warc, op4_token_grammar, op5_quality_rules, op6_sharding, op7_sentencepiece)}
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_qda.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
+    return rows.select("doc_id", "held_out", "score", (F.col("score") >= quality_qda.ACCEPT).cast("int").alias("predicted"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = language.identify(language.document_rows(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "lang", "posterior", "text_lang", "declared", "kept")
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = language.identify(language.page_rows(table(spark, sf_dir, "pages")))
+    return rows.select("page_id", "lang", "posterior", "text_lang", "declared", "host", "suffix", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_warc, op4_token_grammar, op5_quality_rules, op6_sharding, op7_sentencepiece, op8_quality_classifier, op9_language_id, language_id_pages)}
 ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op3_warc": warc.ORACLE, "op5_quality_rules": quality_rules.ORACLE}

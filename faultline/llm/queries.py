@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, grammar, language, packing, pieces, quality_qda, quality_rules, sharding, warc
+from . import exact_dedup, grammar, language, near_dup, packing, pieces, quality_qda, quality_rules, sharding, warc
 from .common import table
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     """The place of a public tokenizer file, which every machine has at the same path."""
     import public_tokenizers
 
@@ -17,7 +17,7 @@ def _tokenizer(name: str) -> str:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack_along_curve(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    pieces = packing.pack_along_curve(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -31,7 +31,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shards = grammar.write_shards(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    shards = grammar.write_shards(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
     return grammar.read_documents(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
@@ -45,7 +45,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.round_trip_digests(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return pieces.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,5 +63,10 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "lang", "posterior", "text_lang", "declared", "host", "suffix", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_warc, op4_token_grammar, op5_quality_rules, op6_sharding, op7_sentencepiece, op8_quality_classifier, op9_language_id, language_id_pages)}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = near_dup.simhash_components(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_warc, op4_token_grammar, op5_quality_rules, op6_sharding, op7_sentencepiece, op8_quality_classifier, op9_language_id, op10_simhash, language_id_pages)}
 ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op3_warc": warc.ORACLE, "op5_quality_rules": quality_rules.ORACLE}

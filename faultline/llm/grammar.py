@@ -42,17 +42,25 @@ _DOCS = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("doc_id", pa.int6
 
 
 def _cell(keys: np.ndarray) -> np.ndarray:
-    return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _TABLE_BITS)
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
 
 
 def compress(tokens: np.ndarray, rounds: int = ROUNDS, round_rules: int = ROUND_RULES, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, rule_tokens, symbols) of a token sequence."""
     seq, rules, sizes = tokens.astype(np.uint64), [], []
+    low, high = np.uint64(0xFFFFFFFF), np.uint64(32)
+    newest = None  # where set, all frequent pairs without a symbol from here on have been replaced
     for _ in range(rounds):
-        if len(seq) < 2:
+        if newest is None:
+            keys, where = (seq[:-1] << high) | seq[1:], None
+        else:
+            fresh = seq >= newest
+            where = np.flatnonzero(fresh[:-1] | fresh[1:])
+            keys = (seq[where] << high) | seq[where + 1]
+        at = _cell(keys)
+        ordered = np.sort(keys[np.bincount(at, minlength=1 << _TABLE_BITS)[at] >= min_count])  # a cell holds all places of its pairs
+        if not len(ordered):
             break
-        keys = (seq[:-1] << np.uint64(32)) | seq[1:]
-        ordered = np.sort(keys)
         edge = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
         counts = np.diff(np.r_[edge, len(ordered)])
         often = np.flatnonzero(counts >= min_count)
@@ -64,19 +72,22 @@ def compress(tokens: np.ndarray, rounds: int = ROUNDS, round_rules: int = ROUND_
         _, first = np.unique(cells, return_index=True)  # of pairs in one cell the more frequent; others wait a round
         first.sort()
         pairs, cells = pairs[first], cells[first]
+        base = sum(map(len, rules))
+        newest = np.uint64(FIRST_RULE + base) if len(pairs) == len(often) else None
         held, number = np.zeros(1 << _TABLE_BITS, np.uint64), np.zeros(1 << _TABLE_BITS, np.uint32)
         held[cells], number[cells] = pairs, np.arange(len(pairs)) + 1
-        at = _cell(keys)
-        hits = np.flatnonzero((held[at] == keys) & (number[at] > 0))
+        found = np.flatnonzero((held[at] == keys) & (number[at] > 0))
+        made = number[at[found]]
+        hits = found if where is None else where[found]
         run = np.r_[True, np.diff(hits) > 1]
         since = hits - hits[np.flatnonzero(run)][np.cumsum(run) - 1]
-        hits = hits[since % 2 == 0]
-        base = sum(map(len, rules))
-        seq[hits] = number[at[hits]].astype(np.uint64) + np.uint64(FIRST_RULE + base - 1)
+        apart = since % 2 == 0
+        hits, made = hits[apart], made[apart]
+        seq[hits] = made.astype(np.uint64) + np.uint64(FIRST_RULE + base - 1)
         keep = np.ones(len(seq), bool)
         keep[hits + 1] = False
         seq = seq[keep]
-        new = np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
+        new = np.stack([pairs >> high, pairs & low], 1).astype(np.uint32)
         known = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
         rules.append(new)
         sizes.append(_widths(new, known).sum(1))
@@ -143,7 +154,7 @@ def _encoded(path: str, end_id: int, shard_tokens: int):
         part, seq, held = TaskContext.get().partitionId(), 0, 0
         ids, sizes, tokens = [], [], []
         for batch in batches:
-            for step in steps(batch, "text", 2 << 20):
+            for step in steps(batch, "text", 4 << 20):
                 flat, counts = encode_spaced(step.column("text"), library_memory(path))
                 ends = np.cumsum(counts + 1)
                 out = np.full(int(ends[-1]), end_id, np.uint32)

@@ -20,12 +20,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_steps, staged
-from .words import encode_blank_free, library_memory
+from .words import Words, encode_blank_free, library_memory
 
 HASH_DIMS, DIMS, BITS = 256, 3, 10
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, curve long, ids binary"
@@ -62,30 +61,25 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def projected(texts: pa.StringArray) -> np.ndarray:
+def projected(words: Words) -> np.ndarray:
     """DIMS coordinates of each text's hashed word counts, scaled to unit variance for unrelated words."""
     import pandas as pd
 
-    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-    owners = pc.list_parent_indices(lists).to_numpy()
-    d = pc.list_flatten(lists).dictionary_encode()
-    bins = (pd.util.hash_array(np.array(d.dictionary.to_pylist(), object), categorize=False) % HASH_DIMS).astype(np.int64) if len(d.dictionary) else np.zeros(0, np.int64)
-    matrix = np.random.default_rng(20).standard_normal((HASH_DIMS, DIMS))
-    rows = matrix[bins[d.indices.to_numpy(zero_copy_only=False)]]
-    n = np.maximum(np.bincount(owners, minlength=len(texts)), 1)
-    return np.stack([np.bincount(owners, rows[:, k], len(texts)) for k in range(DIMS)], 1) / np.sqrt(n)[:, None]
+    bins = (pd.util.hash_array(np.array(words.distinct, object), categorize=False) % HASH_DIMS).astype(np.int64) if words.distinct else np.zeros(0, np.int64)
+    rows = np.random.default_rng(20).standard_normal((HASH_DIMS, DIMS))[bins]
+    n = np.maximum(np.bincount(words.owners, minlength=words.n), 1)
+    return np.stack([np.bincount(words.owners, rows[:, k][words.codes], words.n) for k in range(DIMS)], 1) / np.sqrt(n)[:, None]
 
 
-def curve_places(texts: pa.StringArray) -> np.ndarray:
-    at = projected(texts)
-    cells = ((0.5 + np.arctan(at) / np.pi) * (1 << BITS)).astype(np.int64)
+def curve_places(words: Words) -> np.ndarray:
+    cells = ((0.5 + np.arctan(projected(words)) / np.pi) * (1 << BITS)).astype(np.int64)
     return hilbert(np.clip(cells, 0, (1 << BITS) - 1), BITS)
 
 
-def _tokenised(path: str, end_id: int):
+def _tokenised(path: str, end_id: int, lower: bool):
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column("text")
-        flat, counts = encode_blank_free(texts, library_memory(path))
+        words = Words(batch.column("text"))
+        flat, counts = encode_blank_free(words, library_memory(path, lower))
         small = np.uint16 if not len(flat) or flat.max() < 1 << 16 else np.uint32
         ends = np.cumsum(counts + 1)
         out = np.full(int(ends[-1]), end_id, small)
@@ -93,7 +87,7 @@ def _tokenised(path: str, end_id: int):
         data, width = out.tobytes(), out.itemsize
         bounds = np.r_[0, ends] * width
         ids = [data[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(curve_places(texts)), pa.array(counts + 1), pa.array(ids, pa.binary())], schema=_TOKENS)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(curve_places(words)), pa.array(counts + 1), pa.array(ids, pa.binary())], schema=_TOKENS)
 
     return in_steps("text", work)
 
@@ -125,9 +119,12 @@ def _packed(size: int):
     return run
 
 
-def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, curve, n, ids): ids with the end id, 16 bits each where they fit."""
-    return docs.select("doc_id", "text").mapInArrow(_tokenised(tokenizer, end_id), "doc_id long, curve long, n long, ids binary")
+def tokenised(docs: DataFrame, tokenizer: str, end_id: int, lower: bool = True) -> DataFrame:
+    """(doc_id, curve, n, ids): ids with the end id, 16 bits each where they fit.
+
+    The tokenizer must drop white space; lower says that it lower-cases.
+    """
+    return docs.select("doc_id", "text").mapInArrow(_tokenised(tokenizer, end_id, lower), "doc_id long, curve long, n long, ids binary")
 
 
 def pack_along_curve(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import in_steps
-from .words import Memory, gather
+from .words import Memory, gather, strings
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}+[^{MARK}]*")
@@ -160,7 +160,7 @@ class PieceModel:
         lists = pc.split_pattern(texts, " ")
         owners = pc.list_parent_indices(lists).to_numpy()
         d = pc.list_flatten(lists).dictionary_encode()
-        codes, distinct = d.indices.to_numpy(zero_copy_only=False), d.dictionary.to_pylist()
+        codes, distinct = d.indices.to_numpy(zero_copy_only=False), strings(d.dictionary)
         odd_piece = np.array([not x or MARK in x for x in distinct], bool)
         odd = np.zeros(len(texts), bool)
         odd[owners[odd_piece[codes]]] = True

@@ -8,6 +8,7 @@ with numpy.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable
 from itertools import chain
@@ -18,10 +19,19 @@ import pyarrow.compute as pc
 
 #: Pieces that a worker remembers; beyond it forgets them all. About 150 bytes each.
 REMEMBERED = 1_000_000
-_EDGES = r"^$|^[\s\p{Z}\x{1c}-\x{1f}\x{85}]|[\s\p{Z}\x{1c}-\x{1f}\x{85}]$"
+#: Pieces in one call of the library.
+_JOINED = 1000
+_BLANK = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]"
+#: Texts with a blank at an end or beside a space, and empty ones.
+_ODD = rf"\A(?:\z|{_BLANK})|{_BLANK}\z| {_BLANK}|{_BLANK} "
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+def strings(column: pa.StringArray) -> list[str]:
+    """The column as a list, made in one step rather than by scalars."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """flat[s : s + n] for each start and size, one after the other."""
     ends = np.cumsum(sizes)
@@ -41,12 +51,14 @@ class Memory:
 
     def clear(self) -> None:
         self.slot: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, self.dtype), 0
+        self.flat, self.used, self.n = np.zeros(1 << 16, self.dtype), 0, 0
         self.starts, self.sizes = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
     def _add(self, pieces: list[str]) -> None:
-        flat, sizes = self.encode(pieces)
-        at, n = len(self.slot), len(pieces)
+        self._store(pieces, *self.encode(pieces))
+
+    def _store(self, pieces: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        at, n = self.n, len(pieces)
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while at + n > len(self.starts):
@@ -54,11 +66,11 @@ class Memory:
         self.flat[self.used : self.used + len(flat)] = flat
         self.sizes[at : at + n] = sizes
         self.starts[at : at + n] = self.used + np.cumsum(sizes) - sizes
-        self.used += len(flat)
+        self.used, self.n = self.used + len(flat), at + n
         self.slot.update(zip(pieces, range(at, at + n), strict=True))
 
     def slots(self, pieces: list[str]) -> np.ndarray:
-        """Slots of distinct pieces; new ones are encoded."""
+        """Slots of pieces; new ones are encoded."""
         new = [x for x in pieces if x not in self.slot]
         if len(self.slot) + len(new) > self.limit and self.slot:
             self.clear()
@@ -68,20 +80,61 @@ class Memory:
         return np.fromiter(map(self.slot.__getitem__, pieces), np.int64, len(pieces))
 
 
-def _collect(memory: Memory, codes: np.ndarray, distinct: list[str], owners: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts and how many each has; codes index distinct, owners are ascending."""
-    slots = memory.slots(distinct)[codes]
+_STOPS, _LETTERS = frozenset(".,"), frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+class StemMemory(Memory):
+    """Memory of a tokenizer that always cuts between an ASCII letter and a full stop or comma: both sides are encoded apart, once each.
+
+    lower: the tokenizer lower-cases, so that ASCII pieces are encoded in lower case.
+    """
+
+    def __init__(self, encode, lower: bool = False, **more):
+        self.lower = lower
+        super().__init__(encode, **more)
+
+    def _add(self, pieces: list[str]) -> None:
+        parts, whole = {}, []
+        for x in pieces:
+            y = x.lower() if self.lower and x.isascii() else x
+            if y[-1:] in _STOPS and y[-2:-1] in _LETTERS:
+                parts[x] = y[:-1], y[-1]
+            elif y is x or y == x:
+                whole.append(x)
+            else:
+                parts[x] = y, ""
+        new = {y for xs in parts.values() for y in xs if y not in self.slot}
+        new.update(whole)
+        super()._add(list(new))
+        rest = [x for x in parts if x not in self.slot]
+        if rest:
+            slots = np.fromiter((self.slot[y] for x in rest for y in parts[x]), np.int64, 2 * len(rest)).reshape(-1, 2)
+            sizes = self.sizes[slots]
+            self._store(rest, gather(self.flat, self.starts[slots.ravel()], sizes.ravel()), sizes.sum(1))
+
+
+def _collect(memory: Memory, codes: np.ndarray, pieces: list[str], owners: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts and how many each has; codes index pieces, owners are ascending."""
+    slots = memory.slots(pieces)[codes]
     sizes = memory.sizes[slots]
     counts = np.bincount(owners, sizes, n_docs).astype(np.int64)
     return gather(memory.flat, memory.starts[slots], sizes), counts
 
 
-def encode_blank_free(texts: pa.StringArray, memory: Memory) -> tuple[np.ndarray, np.ndarray]:
-    """For a tokenizer whose tokens hold no white space and that drops it: pieces are what ASCII white space separates."""
-    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-    owners = pc.list_parent_indices(lists).to_numpy()
-    d = pc.list_flatten(lists).dictionary_encode()
-    return _collect(memory, d.indices.to_numpy(zero_copy_only=False), d.dictionary.to_pylist(), owners, len(texts))
+class Words:
+    """Texts cut at ASCII white space: the words of all, which text each is of, and their number among the distinct ones."""
+
+    def __init__(self, texts: pa.StringArray):
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        self.n = len(texts)
+        self.owners = pc.list_parent_indices(lists).to_numpy()
+        d = pc.list_flatten(lists).dictionary_encode()
+        self.codes, self.distinct = d.indices.to_numpy(zero_copy_only=False), strings(d.dictionary)
+
+
+def encode_blank_free(words: Words, memory: Memory) -> tuple[np.ndarray, np.ndarray]:
+    """For a tokenizer whose tokens hold no white space and that drops it."""
+    return _collect(memory, words.codes, words.distinct, words.owners, words.n)
 
 
 def encode_spaced(texts: pa.StringArray, memory: Memory) -> tuple[np.ndarray, np.ndarray]:
@@ -90,47 +143,54 @@ def encode_spaced(texts: pa.StringArray, memory: Memory) -> tuple[np.ndarray, np
     lists = pc.split_pattern(texts, " ")
     owners = pc.list_parent_indices(lists).to_numpy()
     d = pc.list_flatten(lists).dictionary_encode()
-    codes, distinct = d.indices.to_numpy(zero_copy_only=False), d.dictionary.to_pylist()
-    odd_piece = pc.match_substring_regex(d.dictionary, _EDGES).to_numpy(zero_copy_only=False)
-    odd = np.zeros(len(texts), bool)
-    odd[owners[odd_piece[codes]]] = True
+    codes, distinct = d.indices.to_numpy(zero_copy_only=False), strings(d.dictionary)
+    odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
     first = np.r_[True, owners[1:] != owners[:-1]] if len(owners) else np.zeros(0, bool)
     plain = ~odd[owners]
-    pieces: dict[str, int] = {}
-    number = lambda s: pieces.setdefault(s, len(pieces))
-    as_later = np.fromiter((number(" " + x) for x in distinct), np.int64, len(distinct))
-    word = as_later[codes]
+    pieces = [" " + x for x in distinct]  # of all but a text's first word
+    word = codes.astype(np.int64)
     heads = np.flatnonzero(first & plain)
-    word[heads] = [number(distinct[c]) for c in codes[heads]]
-    word, owner = word[plain], owners[plain]
+    word[heads] = len(pieces) + np.arange(len(heads))
+    pieces += [distinct[c] for c in codes[heads]]
     if odd.any():
-        more, theirs = [], []
+        word, owners = word[plain], owners[plain]
+        theirs = []
         for i in np.flatnonzero(odd):
             cut = _CUT.split(texts[i].as_py())
-            more += [number(x if not k else " " + x) for k, x in enumerate(cut)]
+            pieces += [x if not k else " " + x for k, x in enumerate(cut)]
             theirs += [i] * len(cut)
-        owner, word = np.r_[owner, theirs], np.r_[word, more]
-        order = np.argsort(owner, kind="stable")
-        owner, word = owner[order], word[order].astype(np.int64)
-    names = list(pieces)
-    used, word = np.unique(word, return_inverse=True)
-    return _collect(memory, word, [names[k] for k in used], owner, len(texts))
+        owners, word = np.r_[owners, theirs], np.r_[word, np.arange(len(pieces) - len(theirs), len(pieces))]
+        order = np.argsort(owners, kind="stable")
+        owners, word = owners[order], word[order]
+    return _collect(memory, word, pieces, owners, len(texts))
 
 
 _loaded: dict[tuple, Memory] = {}
 
 
-def library_memory(path: str) -> Memory:
-    """The remembered pieces of a tokenizers file, one per worker process."""
-    if ("library", path) not in _loaded:
+def library_memory(path: str, lower: bool = False) -> Memory:
+    """The remembered pieces of a tokenizers file, one per worker process. A task has one core: the library gets no threads."""
+    if ("library", path, lower) not in _loaded:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
+        marks = [(i, x.content) for i, x in t.get_added_tokens_decoder().items() if not (x.lstrip or x.rstrip or x.single_word)]
+        mark_id, mark = marks[0] if marks else (None, None)
 
-        def encode(pieces):
+        def each(pieces):
             ids = [e.ids for e in t.encode_batch_fast(pieces, add_special_tokens=False)]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             return np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum())), sizes
 
-        _loaded["library", path] = Memory(encode)
-    return _loaded["library", path]
+        def encode(pieces):
+            """Pieces are joined by an added token, which the library cuts out first, and the ids are cut at its id."""
+            if mark is None or any(mark in x for x in pieces):
+                return each(pieces)
+            joined = [mark.join(pieces[a : a + _JOINED]) + mark for a in range(0, len(pieces), _JOINED)]
+            ids = np.concatenate([np.array(e.ids, np.int64) for e in t.encode_batch_fast(joined, add_special_tokens=False)])
+            ends = np.flatnonzero(ids == mark_id)
+            return ids[ids != mark_id], np.diff(ends, prepend=-1) - 1
+
+        _loaded["library", path, lower] = StemMemory(encode, lower)
+    return _loaded["library", path, lower]

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import let, staged
 from .text_stats import text_stats
 
 POOL, DIAG, FLOOR = 0.2, 0.1, 1e-3
@@ -36,7 +36,6 @@ FEATURES = ("words", "word_length", "symbols", "bangs", "repeats", "dup_lines",
 def features(text: Column) -> Column:
     """The transformed statistics of a text as an array<double>, in the order of FEATURES."""
     s = text_stats(text, more=True)
-    from .common import let
 
     def build(s: Column) -> Column:
         words = s["n_words"] + F.lit(1.0)
@@ -46,9 +45,9 @@ def features(text: Column) -> Column:
             F.log((s["word_chars"] + 5) / words),
             F.log(s["n_symbols"] / words + 0.02),
             F.log(s["n_bangs"] / words + 0.02),
-            F.sqrt(s["n_repeat_words"] / words),
-            F.sqrt(s["n_dup_lines"] / (s["n_lines"] + F.lit(1.0))),
-            s["n_distinct"] / words,
+            F.sqrt(s["n_repeat_words"] / (words + 39)),  # the shares of a short text tell little
+            F.sqrt(s["n_dup_lines"] / (s["n_lines"] + F.lit(4.0))),
+            (s["n_distinct"] + 20) / (words + 20),
             F.log((s["n_upper"] + 0.4) / chars),
             F.sqrt(s["n_digits"] / chars),
         )

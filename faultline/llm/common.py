@@ -16,7 +16,7 @@ BLANKS = " \t\n\x0b\f\r"
 #: A join side is broadcast only if it has at most so many rows, and so many bytes.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 16 << 20
 #: Text bytes that one step of a Python task works on at a time.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

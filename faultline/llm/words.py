@@ -17,8 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces that a worker remembers; beyond it forgets them all. About 150 bytes each.
-REMEMBERED = 1_000_000
+#: Pieces that a worker remembers, at about 200 bytes each; beyond, it keeps those of the present step that it knew already.
+REMEMBERED = 300_000
 #: Pieces in one call of the library.
 _JOINED = 1000
 _BLANK = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]"
@@ -69,12 +69,21 @@ class Memory:
         self.used, self.n = self.used + len(flat), at + n
         self.slot.update(zip(pieces, range(at, at + n), strict=True))
 
+    def _forget(self, pieces: list[str]) -> None:
+        """Keep the pieces that recur, those known and needed again, up to half the limit."""
+        again = list(dict.fromkeys(x for x in pieces if x in self.slot))[: self.limit // 2]
+        at = np.fromiter(map(self.slot.__getitem__, again), np.int64, len(again))
+        sizes = self.sizes[at]
+        flat = gather(self.flat, self.starts[at], sizes)
+        self.clear()
+        self._store(again, flat, sizes)
+
     def slots(self, pieces: list[str]) -> np.ndarray:
         """Slots of pieces; new ones are encoded."""
         new = [x for x in pieces if x not in self.slot]
         if len(self.slot) + len(new) > self.limit and self.slot:
-            self.clear()
-            new = pieces
+            self._forget(pieces)
+            new = [x for x in pieces if x not in self.slot]
         if new:
             self._add(new)
         return np.fromiter(map(self.slot.__getitem__, pieces), np.int64, len(pieces))

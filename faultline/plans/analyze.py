@@ -55,8 +55,7 @@ def analyze(panes: DataFrame, slo: float = 0.999, window_days: float = 30.0) ->
     of = lambda name: panes.filter(F.col("source") == name).select("incident_id", "text")
     span_rows = cut(traces.read_spans(of("traces")))
     alert_rows = cut(alerts.read_alerts(of("alerts")))
-    history = releases.history(of("helm"))
-    deploys = cut(releases.suspects(history))
+    deploys = cut(releases.deploys(of("helm")))
     newest = deploys.groupBy("incident_id").agg(F.max("deployed_ms").alias("deployed_ms"))
     changes = cut(releases.changes(of("helm")).join(newest, "incident_id", "left"))
     signals = cut(signals_of(panes, span_rows, alert_rows))

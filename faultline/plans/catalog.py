@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import names, text, times
 from ..functions import vocabulary as V
 from ..operators import budget, changes, entities, graph, lookup, scoring, spans, stackfit, timeline
-from ..sources import lines
+from ..sources import lines, logs
 from ..sources.adapters import view, with_views
+from ..streaming import live
+from .analyze import analyze
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -268,22 +270,22 @@ def signal_cap_topk(spark, sf_dir):
     return timeline.capped(view(spark, sf_dir, "signals"), ["component"], 100).select("seq", "component")
 
 
-@query("signals", sql="""x AS (SELECT component, cluster || user_id % 6 AS s, CASE WHEN value > 40 THEN 'up' ELSE 'down' END AS dir, ts_ms FROM signals WHERE seq % 400 < 3),
+@query("signals", sql="""x AS (SELECT component, cluster || '-' || user_id || '-' || ts_ms // 86400000 AS s, CASE WHEN value > 40 THEN 'up' ELSE 'down' END AS dir, ts_ms FROM signals),
 sets AS (SELECT component, s, bool_or(dir = 'up') AS up, bool_or(dir = 'down') AS dn, min(ts_ms) AS ts_ms FROM x GROUP BY ALL),
 n AS (SELECT component, arg_min(s, (ts_ms, s)) AS new, min(ts_ms) AS ts_ms FROM sets WHERE up AND NOT dn GROUP BY ALL), o AS (SELECT component, arg_min(s, (ts_ms, s)) AS old FROM sets WHERE dn GROUP BY ALL)
 SELECT component, old, new, ts_ms FROM n JOIN o USING (component)""")
 def replicaset_handoff(spark, sf_dir):
-    s = view(spark, sf_dir, "signals").filter("seq % 400 < 3")
-    rows = s.select("component", F.concat("cluster", (F.col("user_id") % 6).cast("string")).alias("set"), F.when(F.col("value") > 40, "up").otherwise("down").alias("direction"), "ts_ms")
+    s = view(spark, sf_dir, "signals")
+    rows = s.select("component", F.concat_ws("-", "cluster", F.col("user_id").cast("string"), F.expr("cast(ts_ms div 86400000 as string)")).alias("set"), F.when(F.col("value") > 40, "up").otherwise("down").alias("direction"), "ts_ms")
     return timeline.handoffs(rows)
 
 
-@query("signals", sql=f"""{ERRORS}, f AS (SELECT component, min(ts_ms) AS reveal_ms FROM errors GROUP BY ALL), t AS (SELECT DISTINCT ts_ms AS t_ms FROM signals WHERE seq % 500 = 0)
+@query("signals", sql=f"""{ERRORS}, f AS (SELECT component, min(ts_ms) AS reveal_ms FROM errors GROUP BY ALL), t AS (SELECT DISTINCT ts_ms // 86400000 * 86400000 AS t_ms FROM signals)
 SELECT t_ms, count(*) FILTER (reveal_ms <= t_ms) AS visible FROM t CROSS JOIN f GROUP BY ALL""")
 def status_at_time(spark, sf_dir):
     s = view(spark, sf_dir, "signals")
     reveals = timeline.first_last_error(s).select("component", F.col("first_error_ms").alias("reveal_ms"))
-    return timeline.visible_at(reveals, s.filter("seq % 500 = 0").select(F.col("ts_ms").alias("t_ms")).distinct())
+    return timeline.visible_at(reveals, s.select(F.expr("ts_ms div 86400000 * 86400000").alias("t_ms")).distinct())
 
 
 @query("signals", sql="""SELECT component, cluster, count(*) AS calls, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms,
@@ -632,3 +634,47 @@ def byte_budget_prefix(spark, sf_dir):
 def union_panes(spark, sf_dir):
     part = lambda name, i: view(spark, sf_dir, name).select("seq", "ts_ms", "component", F.lit(i).alias("src_ord"))
     return part("signals", 0).unionByName(part("log_lines", 1)).groupBy("component", "src_ord").agg(F.count("*").alias("n"), F.min("ts_ms").alias("first_ms"))
+
+
+# --- live windows (extensions), whole analyses -------------------------------------------------------
+
+
+@query("signals", sql=f"SELECT component, ts_ms // 300000 * 300000 AS start_ms, count(*) FILTER ({RANK} >= 2) AS errors, count(*) AS total FROM signals GROUP BY ALL")
+def live_counts(spark, sf_dir):
+    return live.counts(live.with_instant(view(spark, sf_dir, "signals")))
+
+
+@query("signals", sql=f"""w AS (SELECT component, severity, unnest([ts_ms // 1800000 * 1800000, ts_ms // 1800000 * 1800000 - 1800000]) AS start_ms FROM signals)
+SELECT component, start_ms, round(count(*) FILTER ({RANK} >= 2) / count(*) / (1 - 0.999), 6) AS burn FROM w GROUP BY ALL""")
+def live_burn_rates(spark, sf_dir):
+    return live.burn_rates(live.with_instant(view(spark, sf_dir, "signals")))
+
+
+@query("signals", sql=f"""a AS (SELECT component, ts_ms, seq FROM signals WHERE {ANOMALY} AND {RANK} >= 1), g AS (SELECT *, ts_ms - lag(ts_ms) OVER k >= 1800000 AS cut FROM a WINDOW k AS (PARTITION BY component ORDER BY ts_ms, seq)),
+s AS (SELECT component, ts_ms, sum(coalesce(cut, true)::INT) OVER (PARTITION BY component ORDER BY ts_ms, seq) AS no FROM g) SELECT component, min(ts_ms) AS start_ms, max(ts_ms) + 1800000 AS end_ms, count(*) AS n FROM s GROUP BY component, no""")
+def live_sessions(spark, sf_dir):
+    return live.sessions(live.with_instant(view(spark, sf_dir, "signals")))
+
+
+def _panes(spark, sf_dir):
+    """One incident per 20 users: log lines, spans as text, a release history and alerts, all from the tables."""
+    lines_ = view(spark, sf_dir, "log_lines").withColumn("incident_id", F.concat(F.lit("inc-"), (F.col("seq") % 20).cast("string")))
+    stamp = F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    ordered = lambda df, line, key: df.groupBy("incident_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
+    log = ordered(lines_, F.concat(F.lit("[pod/"), "component", F.lit("-7d9f8b6c5-x2k4j/app] "), stamp, F.lit(" "), "body"), "seq").withColumn("source", F.lit("logs"))
+    s = view(spark, sf_dir, "spans").withColumns({"incident_id": F.concat(F.lit("inc-"), (F.col("trace_id") % 20).cast("string")), "ts_ms": F.col("start_ms")})
+    span = F.concat(stamp, F.lit(" trace="), F.col("trace_id").cast("string"), F.lit(" span="), F.col("span_id").cast("string"), F.lit(" parent="), F.coalesce(F.col("parent_id").cast("string"), F.lit("-")), F.lit(" service="), "service", F.lit(" kind="), "kind", F.lit(" op="), "op", F.lit(" dur="), F.col("dur_ms").cast("long").cast("string"), F.lit("ms status="), F.when(F.col("error"), "error").otherwise("ok"))
+    trace = ordered(s.withColumn("line_key", F.struct("trace_id", "span_id")), span, "line_key").withColumn("source", F.lit("traces"))
+    return log.unionByName(trace).select("incident_id", "source", "text")
+
+
+@query()
+def analysis_hypotheses(spark, sf_dir):
+    """Ranked causes of incidents built from the tables, through all readers and rules."""
+    return analyze(_panes(spark, sf_dir))["hypotheses"]
+
+
+@query()
+def analysis_log_signals(spark, sf_dir):
+    panes = _panes(spark, sf_dir).filter("source = 'logs'")
+    return logs.read_logs(panes.select("incident_id", "text")).groupBy("incident_id", "kind", "severity").agg(F.count("*").alias("n"), F.min("ts_ms").alias("first_ms"))

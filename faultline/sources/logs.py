@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as V
 from ..functions.names import component_id, component_type, norm, pod_owner, replica_set_owner, target_in
 from ..functions.text import classify, first_of, level_in, level_of, logfmt, redact, with_floor
-from ..functions.times import age_ms, duration_ms, leading_stamp
+from ..functions.times import MONTHS, age_ms, duration_ms, leading_stamp
+from ..session import cut
 from .lines import split_lines
 
 MARKERS = [r"^\s*#\s*cluster:\s*(\S+)", r"^\s*-{3}\s*cluster=(\S+?)\s*-{3}", r"^\s*\[context:\s*([^\]\s]+)\s*\]"]
@@ -78,13 +79,15 @@ def contexts(panes: DataFrame) -> DataFrame:
 
 
 def _of(rows: DataFrame, kind: Column, level: Column, name: Column, ns: Column, text: Column, ts: Column, age: Column, ctype: Column | None = None, **more: Column) -> DataFrame:
-    service = component_type(name)["type"] if ctype is None else F.coalesce(ctype, component_type(name)["type"])
-    extra = {k: more.get(k, F.lit(None).cast("string")) for k in ("trace_id", "target", "pod")}
-    namespace = F.coalesce(ns, F.col("namespace"))
-    return rows.select(
-        "incident_id", F.lit("logs").alias("source"), F.col("line_no").alias("source_line"), ts.cast("long").alias("ts_ms"), age.cast("long").alias("age_ms"), kind.alias("kind"), with_floor(kind, level).alias("severity"),
-        component_id(service, F.col("cluster"), namespace, name).alias("component"), name.alias("name"), namespace.alias("namespace"), F.coalesce("cluster", F.lit("cluster-1")).alias("cluster"), F.substring(redact(text), 1, 400).alias("text"),
-        *[c.alias(k) for k, c in extra.items()],
+    """Signals of rows. What is used more than once becomes a column first, which keeps the expressions small."""
+    none = F.lit(None).cast("string")
+    extra = {k: more.get(k, none) for k in ("trace_id", "target", "pod")}
+    r = rows.withColumns({"_kind": kind, "_level": level, "_name": name, "_ns": F.coalesce(ns, F.col("namespace")), "_type": none if ctype is None else ctype, "_ts": ts.cast("long"), "_age": age.cast("long"), "_text": text} | {f"_{k}": c for k, c in extra.items()})
+    r = r.withColumn("_type", F.coalesce("_type", component_type(F.col("_name"))["type"]))
+    return r.select(
+        "incident_id", F.lit("logs").alias("source"), F.col("line_no").alias("source_line"), F.col("_ts").alias("ts_ms"), F.col("_age").alias("age_ms"), F.col("_kind").alias("kind"), with_floor(F.col("_kind"), F.col("_level")).alias("severity"),
+        component_id(F.col("_type"), F.col("cluster"), F.col("_ns"), F.col("_name")).alias("component"), F.col("_name").alias("name"), F.col("_ns").alias("namespace"), F.coalesce("cluster", F.lit("cluster-1")).alias("cluster"), F.substring(redact(F.col("_text")), 1, 400).alias("text"),
+        *[F.col(f"_{k}").alias(k) for k in extra],
     )
 
 
@@ -132,13 +135,48 @@ def hpa_rows(rows: DataFrame) -> DataFrame:
     return _of(h, F.lit("hpa_maxed"), F.lit("warn"), F.split(part(3), "/")[1], F.when(part(1) != "", part(1)), line, F.lit(None).cast("long"), F.lit(None).cast("long"))
 
 
+DESCRIBE_KEY = r"^(\s*)(Name|Namespace|State|Last State|Reason|Exit Code|Finished|Started|Restart Count):\s+(\S.*?)\s*\z"
+CONTAINER = r"^  ([a-z0-9][a-z0-9-]*):\s*\z"
+RFC_1123 = r"^\w{3}, (\d{1,2}) (\w{3}) (\d{4}) (\d{2}:\d{2}:\d{2}) ([+-]\d{4})"
+
+
+def describe_rows(rows: DataFrame) -> DataFrame:
+    """Pod descriptions: one row per container and state that tells of a failure.
+
+    A block begins at "Name:" without indentation; its container and state are
+    carried along the lines, and the keys of a state meet in one aggregate. A
+    kill signal with reason Error counts as out of memory; the finishing time
+    places the signal.
+    """
+    line = F.col("line")
+    key, value = F.regexp_extract(line, DESCRIBE_KEY, 2), F.regexp_extract(line, DESCRIBE_KEY, 3)
+    top = line.rlike(r"^Name:\s+\S")
+    order = Window.partitionBy("incident_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    r = rows.withColumn("block", F.sum(top.cast("int")).over(order)).filter("block > 0")
+    inside = Window.partitionBy("incident_id", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda c: F.last(c, ignorenulls=True).over(inside)
+    r = r.withColumns({"pod0": last(F.when(top, value)), "ns0": last(F.when(line.rlike(r"^Namespace:"), value)), "box": last(F.when(line.rlike(CONTAINER), F.regexp_extract(line, CONTAINER, 1))), "state": last(F.when(key.isin("State", "Last State"), key))})
+    keyed = lambda k: F.max(F.when(key == k, value))
+    g = r.filter("box is not null and state is not null").groupBy("incident_id", "block", "pod0", "box", "state").agg(
+        keyed("Reason").alias("reason"), keyed("Exit Code").alias("code"), F.coalesce(keyed("Finished"), keyed("Started")).alias("at"), F.min("line_no").alias("line_no"), F.max("ns0").alias("ns0"), F.max("cluster").alias("cluster"), F.max("namespace").alias("namespace")
+    )
+    killed = (F.col("code") == "137") & F.coalesce(F.col("reason") == "Error", F.lit(True))
+    kind = F.when(killed, "oom_killed").otherwise(first_of([(F.col("reason") == k, F.lit(v)) for k, v in POD_KINDS.items()]))
+    months = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m, f"{i:02}")])
+    part = lambda i: F.regexp_extract("at", RFC_1123, i)
+    iso = F.concat(part(3), F.lit("-"), F.try_element_at(months, part(2)), F.lit("-"), F.lpad(part(1), 2, "0"), F.lit("T"), part(4), part(5), F.lit(" "))
+    g = g.withColumns({"k": kind, "ts": leading_stamp(iso)["ts_ms"]}).filter("k is not null")
+    text = F.concat_ws(" ", "state", "reason", F.lit("exit code"), "code")
+    return _of(g, F.col("k"), F.lit("error"), pod_owner(F.col("pod0"))["workload"], F.col("ns0"), text, F.col("ts"), F.lit(None).cast("long"), pod=F.col("pod0"))
+
+
 POD_PREFIX = r"^\[pod/([^/\]]+)/([^\]]+)\]\s*"
 STERN = r"^(?:([a-z0-9-]+)\s+)?([a-z0-9][a-z0-9-]*-[a-z0-9]{5}|[a-z0-9][a-z0-9-]*-\d{1,3})\s+([a-z0-9-]+)\s+(?=\[?\d{4}-|\{|[A-Z]{4,5}\b)"
 
 
 def application_rows(rows: DataFrame) -> DataFrame:
     """Application lines: prefixes name the pod, structured bodies the rest; unstamped lines take the time of the one before."""
-    lines = rows.filter(~F.col("control") & (F.coalesce("table_kind", F.lit("none")) == "none") & (F.trim("line") != ""))
+    lines = rows.filter(~F.col("control") & (F.coalesce("table_kind", F.lit("none")) == "none") & (F.trim("line") != "") & ~F.col("line").rlike(DESCRIBE_KEY))
     line = F.col("line")
     prefixed, stern = line.rlike(POD_PREFIX), line.rlike(STERN)
     some = lambda c: F.when(c != "", c)
@@ -176,9 +214,9 @@ def request_counts(rows: DataFrame) -> DataFrame:
 
 def read_logs(panes: DataFrame) -> DataFrame:
     """All signals of log panes; ages are left as ages until the clock is known."""
-    rows = contexts(panes)
+    rows = cut(contexts(panes))  # six readers share it
     out = application_rows(rows)
-    for part in (event_rows(rows), pod_rows(rows), node_rows(rows), hpa_rows(rows)):
+    for part in (event_rows(rows), pod_rows(rows), node_rows(rows), hpa_rows(rows), describe_rows(rows)):
         out = out.unionByName(part)
     return out
 

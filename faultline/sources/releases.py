@@ -15,6 +15,8 @@ from .traces import json_segments, repaired_json
 
 HISTORY_ROW = r"^\s*(\d+)\s+(\d{4}-\S+(?: [\d:.]+(?: \S+)*?)?|\S.*?\d{4})\s+(superseded|deployed|failed|pending-\w+|uninstalled|uninstalling|unknown)\s+(\S+)\s+(\S+)\s+(.*)\z"
 HISTORY = "array<struct<revision:bigint,updated:string,status:string,chart:string,app_version:string,description:string>>"
+LIST_ROW = r"^\s*(\S+)\s+(\S+)\s+(\d+)\s+(\d{4}-\d{2}-\d{2}\s.*?)\s+(superseded|deployed|failed|pending-\w+|uninstalled|unknown)\s+(\S+)\s+(\S+)\s*\z"
+UNIFIED = r"^\+\+\+ (?:b/)?(?:\S*/)?([^/\s]+)/([^/\s]+\.ya?ml)"
 BLOCK = r"^(\S+), (\S+), (\w+) \(([^)]*)\) has (changed|been added|been removed)"
 _UPDATED = r"(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?\s*(?:Z|[+-]\d{2}:?\d{2})?)"
 
@@ -34,6 +36,22 @@ def history(panes: DataFrame) -> DataFrame:
     )
 
 
+def listed(panes: DataFrame) -> DataFrame:
+    """(incident_id, release_id, namespace, revision, status, ts_ms, chart, app_version) of release lists."""
+    rows = split_lines(panes, "incident_id", "text").filter(F.col("line").rlike(LIST_ROW))
+    part = lambda i: F.regexp_extract("line", LIST_ROW, i)
+    stamp = F.regexp_replace(F.regexp_extract(part(4), _UPDATED, 1), r"\s+([+-]\d{2}:?\d{2})\z", "$1")
+    return rows.select("incident_id", part(1).alias("release_id"), part(2).alias("namespace"), part(3).cast("long").alias("revision"), part(5).alias("status"), leading_stamp(F.concat(stamp, F.lit(" ")))["ts_ms"].alias("ts_ms"), part(6).alias("chart"), part(7).alias("app_version"))
+
+
+def deploys(panes: DataFrame) -> DataFrame:
+    """suspects of histories, and of lists where a release has no history: the revision before is then assumed."""
+    known = suspects(history(panes)).withColumn("assumed", F.lit(False))
+    extra = listed(panes).join(known.select("incident_id", "release_id").distinct(), ["incident_id", "release_id"], "left_anti")
+    extra = extra.select("incident_id", "release_id", "revision", F.when(F.col("revision") > 1, F.col("revision") - 1).alias("previous"), F.col("ts_ms").alias("deployed_ms"), F.lit(None).cast("long").alias("rolled_back_ms"), "chart", "app_version", F.lit(True).alias("assumed"))
+    return known.unionByName(extra)
+
+
 def suspects(rows: DataFrame) -> DataFrame:
     """Of history: per release the revision under suspicion, the one before it, and whether it is rolled back already.
 
@@ -88,13 +106,16 @@ def _walk(block: pd.DataFrame) -> pd.DataFrame:
 
 
 def diff_marks(panes: DataFrame) -> DataFrame:
-    """Removed and added values of "ns, name, Kind (group) has changed:" blocks, one row per marked line with its path."""
+    """Removed and added values of "ns, name, Kind (group) has changed:" blocks and of unified diffs of values files, one row per marked line with its path."""
     from pyspark.sql import Window
 
     rows = split_lines(panes, "incident_id", "text")
-    head = F.col("line").rlike(BLOCK)
+    rows = rows.filter(~F.col("line").rlike(r"^(?:diff --git |index [0-9a-f]+|--- |@@ )"))
+    head = F.col("line").rlike(BLOCK) | F.col("line").rlike(UNIFIED)
     rows = rows.withColumn("block_no", F.sum(head.cast("int")).over(Window.partitionBy("incident_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)).cast("int")).filter("block_no > 0")
-    names = rows.filter(head).select("incident_id", "block_no", *[F.regexp_extract("line", BLOCK, i).alias(k) for i, k in ((1, "namespace"), (2, "resource"), (3, "kind"))])
+    file = F.col("line").rlike(UNIFIED)
+    part = lambda i: F.regexp_extract("line", BLOCK, i)
+    names = rows.filter(head).select("incident_id", "block_no", F.when(file, "").otherwise(part(1)).alias("namespace"), F.when(file, F.regexp_extract("line", UNIFIED, 1)).otherwise(part(2)).alias("resource"), F.when(file, "values").otherwise(part(3)).alias("kind"))
     lines = rows.filter(~head).join(names, ["incident_id", "block_no"])
     # A block is one resource of one release; Kubernetes bounds a resource's size.
     return lines.groupBy("incident_id", "block_no").applyInPandas(_walk, MARKS)

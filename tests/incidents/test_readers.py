@@ -101,6 +101,37 @@ def test_log_panes(spark):
     assert (count.requests, count.failed) == (1, 0) or (count.requests, count.failed) == (2, 1)
 
 
+DESCRIBE = """Name:         ledger-0
+Namespace:    pay
+Containers:
+  app:
+    State:          Waiting
+      Reason:       CrashLoopBackOff
+    Last State:     Terminated
+      Reason:       Error
+      Exit Code:    137
+      Finished:     Thu, 09 Oct 2025 10:53:20 +0200
+    Restart Count:  7
+  proxy:
+    State:          Running
+      Started:      Thu, 09 Oct 2025 08:00:00 +0000
+"""
+
+
+def test_described_pods(spark):
+    got = {r.kind: r for r in logs.read_logs(panes(spark, ("i", DESCRIBE))).collect()}
+    assert set(got) == {"crash_loop", "oom_killed"}
+    assert (got["oom_killed"].name, got["oom_killed"].ts_ms, got["oom_killed"].namespace) == ("ledger", 1760000000000, "pay")
+
+
+def test_release_lists_and_unified_diffs(spark):
+    text = "NAME  NAMESPACE  REVISION  UPDATED  STATUS  CHART  APP VERSION\nweb   shop       4         2025-10-09 08:53:20.5 +0000 UTC   deployed   web-1.4.0   1.4\n\ndiff --git a/charts/web/values.yaml b/charts/web/values.yaml\n--- a/charts/web/values.yaml\n+++ b/charts/web/values.yaml\n@@ -1,4 +1,4 @@\n image:\n-  tag: v1.3\n+  tag: v1.4\n replicaCount: 2\n"
+    d = releases.deploys(panes(spark, ("i", text))).first()
+    assert (d.release_id, d.revision, d.previous, d.assumed, d.deployed_ms) == ("web", 4, 3, True, 1760000000500)
+    c = releases.changes(panes(spark, ("i", text))).collect()
+    assert [(x.resource, x.field, x.before, x.after, x.category) for x in c] == [("web", "image.tag", "v1.3", "v1.4", "image")]
+
+
 HELM = """REVISION  UPDATED                    STATUS      CHART        APP VERSION  DESCRIPTION
 1         2025-10-01T08:00:00Z       superseded  cart-1.0.0   1.0          Install complete
 2         2025-10-09T08:40:00Z       deployed    cart-1.1.0   1.1          Upgrade complete

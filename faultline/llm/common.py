@@ -19,6 +19,9 @@ BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 16 << 20
 STEP_BYTES = 4 << 20
 
 
+_staged: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
@@ -36,10 +39,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _staged.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard_staged(spark: SparkSession) -> None:
+    """Delete the tables that this process has staged; frames that read them end with it."""
+    while _staged:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind value to a lambda variable, so that it is computed once per row however often body uses it."""
     return F.transform(F.array(value), body)[0]

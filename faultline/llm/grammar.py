@@ -33,7 +33,7 @@ from .words import encode_spaced, gather, library_memory
 SHARD_TOKENS = 1 << 20
 FIRST_RULE = 1 << 20
 ROUNDS, ROUND_RULES, MIN_COUNT = 12, 4096, 8
-_TABLE_BITS = 20
+_TABLE_BITS = 17  # small enough for a core's cache
 SHARDS = "part int, seq int, n_tokens long, doc_ids array<long>, doc_tokens array<long>, rules binary, rule_tokens binary, symbols binary"
 _SHARDS = pa.schema(
     [("part", pa.int32()), ("seq", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("rules", pa.binary()), ("rule_tokens", pa.binary()), ("symbols", pa.binary())]

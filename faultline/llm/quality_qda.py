@@ -108,7 +108,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns in keep (all by default) with held_out and score; statistics are computed once and written."""
+    """The columns in keep (all by default) with held_out and score, which replace columns of these names; statistics are computed once and written."""
     keep = docs.columns if keep is None else keep
     name = next(n for n in ("_x" * k for k in range(1, 99)) if n not in docs.columns)
     rows = staged(docs.select(*keep, features(F.col(text_col)).alias(name)), "features")

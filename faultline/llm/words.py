@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker remembers, at about 200 bytes each; beyond, it keeps those of the present step that it knew already.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: Pieces in one call of the library.
 _JOINED = 1000
 _BLANK = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]"

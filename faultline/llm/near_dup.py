@@ -46,23 +46,28 @@ _BLOCK = 1 << 17
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.int64())])
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of a text's word shingles, as a signed number."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The XXH64 of each of a text's word shingles, one for a shorter text, none for a text without words."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     line, n = memoryview(b" ".join(words)), len(words)
     digest = xxhash.xxh64_intdigest
     if n <= shingle:
-        hashes = [digest(line, SEED)]
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, n) + 1
-        starts = np.cumsum(sizes) - sizes
-        ends = starts[shingle - 1 :] + sizes[shingle - 1 :] - 1
-        hashes = [digest(line[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=False)]
-    values = np.array(hashes, "<u8")
+        return np.array([digest(line, SEED)], "<u8")
+    sizes = np.fromiter(map(len, words), np.int64, n) + 1
+    starts = np.cumsum(sizes) - sizes
+    ends = starts[shingle - 1 :] + sizes[shingle - 1 :] - 1
+    return np.array([digest(line[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=False)], "<u8")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit SimHash of a text's word shingles, as a signed number."""
+    values = shingle_hashes(text, shingle)
+    if not len(values):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(values), 1 << 15):
         ones += np.unpackbits(values[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)

@@ -132,35 +132,33 @@ def shared_levels(leaves: DataFrame, n: int, distance: int, per_pair: int = LEAV
 
 
 def split_crowded(pairs: DataFrame, distance: int, crowded: int = CROWDED) -> DataFrame:
-    """Sends the leaves of overfull node pairs down to the next levels; leaves of others stay where they are.
+    """Sends the leaves of overfull node pairs down to the next levels of the front block; leaves of others stay where they are.
 
     A pair that has used its front budget goes on with equal paths only; a node
-    with itself branches into the children pairs within the budget.
+    with itself branches into the children pairs within the budget. Bits behind
+    the front block are left to the walk, which holds them against the whole distance.
     """
     place = ["trie", "depth", "node", "mask"]
-    full = staged(pairs.groupBy(*place).agg(F.count("*").alias("n")).filter(F.col("n") > crowded).drop("n"), "crowded")
+    sizes = [bits for _, bits in front_blocks()]
+    within = F.col("depth") < F.get(F.array(*[F.lit(x) for x in sizes]), F.col("trie"))
+    full = staged(pairs.filter(within).groupBy(*place).agg(F.count("*").alias("n")).filter(F.col("n") > crowded).drop("n"), "crowded")
     budget = distance // TRIES
-    if full.isEmpty():
+    levels = sorted((r.trie, r.depth) for r in full.select("trie", "depth").distinct().collect())
+    if not levels:
         return pairs
     hot = pairs.join(full, place, "left_semi")
-    cold = pairs.join(full, place, "left_anti")
-    down = 6
-    parts = [cold]
-    stop = min(bits for _, bits in front_blocks())
-    for used in range(budget + 1):
-        here = hot.filter(F.bit_count("mask") == used)
-        low = F.expr(f"shiftrightunsigned(shiftleft(key, depth), {64 - down})")
-        visited = here.select("trie", "depth", F.col("node").alias("n0"), F.col("mask").alias("m0"), F.col("side").alias("s0"), "key", _visits(low, down, budget - used, F.col("side") if used else None).alias("v"))
-        node = F.shiftleft(F.col("n0"), down).bitwiseOR(F.col("v.node"))
-        mask = F.shiftleft(F.col("m0"), down).bitwiseOR(F.col("v.mask"))
-        side = F.when(F.col("m0") == 0, F.col("v.side")).otherwise(F.col("s0"))
-        parts.append(visited.select("trie", (F.col("depth") + down).alias("depth"), node.alias("node"), mask.alias("mask"), side.alias("side"), "key"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out = staged(out, "pairs")
-    deepest = full.agg(F.max("depth")).first()[0] + down
-    return out if deepest + down > stop else split_crowded(out, distance, crowded)
+    out = pairs.join(full, place, "left_anti")
+    for trie, depth in levels:
+        down = min(6, sizes[trie] - depth)
+        low = F.expr(f"shiftrightunsigned(shiftleft(key, {depth}), {64 - down})")
+        for used in range(budget + 1):
+            here = hot.filter((F.col("trie") == trie) & (F.col("depth") == depth) & (F.bit_count("mask") == used))
+            visited = here.select("trie", "depth", F.col("node").alias("n0"), F.col("mask").alias("m0"), F.col("side").alias("s0"), "key", _visits(low, down, budget - used, F.col("side") if used else None).alias("v"))
+            node = F.shiftleft(F.col("n0"), down).bitwiseOR(F.col("v.node"))
+            mask = F.shiftleft(F.col("m0"), down).bitwiseOR(F.col("v.mask"))
+            side = F.when(F.col("m0") == 0, F.col("v.side")).otherwise(F.col("s0"))
+            out = out.unionByName(visited.select("trie", (F.col("depth") + down).alias("depth"), node.alias("node"), mask.alias("mask"), side.alias("side"), "key"))
+    return split_crowded(staged(out, "pairs"), distance, crowded)
 
 
 def _roots(parent: np.ndarray) -> np.ndarray:

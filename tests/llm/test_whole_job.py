@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from faultline.llm import similar
+from faultline.llm import near_dup, similar
 
 
 def five_words(t):
@@ -55,3 +55,20 @@ def test_pipeline_leaves_no_similar_documents(spark):
         docs = corpus_pipeline.staged(stage(spark, docs, sf), name)
     left = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
     assert len(left) > 700 and all(d == r for d, r in brute_similar(left).items())
+
+
+@pytest.mark.parametrize("depth", [14, 16, 17, 20])
+def test_trie_join_finds_links_from_deep_levels(spark, depth):
+    rnd = random.Random(depth)
+    bits = [(3, 21, 42, 50), (21, 22), (0, 20, 21, 63), (15, 21, 42, 63), (41, 42), *(tuple(rnd.sample(range(64), rnd.randint(1, 4))) for _ in range(60))]
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    pairs = []
+    for at in bits:  # bit 0 is the highest
+        a = rnd.getrandbits(64)
+        pairs.append((signed(a), signed(a ^ sum(1 << 63 - k for k in at))))
+    leaves = spark.createDataFrame([(x,) for p in pairs for x in p], "fingerprint long")
+    shared = near_dup.staged(near_dup.shared_levels(leaves, 2 * len(pairs), 4, 2 * len(pairs) / 2**depth), "t")
+    split = near_dup.split_crowded(shared, 4, 1)
+    place = ["trie", "depth", "node", "mask"]
+    links = split.repartition(4, *place).sortWithinPartitions(*place).mapInArrow(near_dup._walk_group(4), "a long, b long")
+    assert {frozenset((r.a, r.b)) for r in links.collect()} == {frozenset(p) for p in pairs}

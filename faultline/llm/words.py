@@ -95,17 +95,20 @@ _STOPS, _LETTERS = frozenset(".,"), frozenset("abcdefghijklmnopqrstuvwxyzABCDEFG
 class StemMemory(Memory):
     """Memory of a tokenizer that always cuts between an ASCII letter and a full stop or comma: both sides are encoded apart, once each.
 
-    lower: the tokenizer lower-cases, so that ASCII pieces are encoded in lower case.
+    lower: the tokenizer lower-cases, so that ASCII pieces are encoded in lower case, except
+    where that would make one of the added tokens, which the tokenizer matches in the raw text.
     """
 
-    def __init__(self, encode, lower: bool = False, **more):
-        self.lower = lower
+    def __init__(self, encode, lower: bool = False, added: tuple[str, ...] = (), **more):
+        self.lower, self.added = lower, added
         super().__init__(encode, **more)
 
     def _add(self, pieces: list[str]) -> None:
         parts, whole = {}, []
         for x in pieces:
             y = x.lower() if self.lower and x.isascii() else x
+            if y != x and any(mark in y for mark in self.added):
+                y = x
             if y[-1:] in _STOPS and y[-2:-1] in _LETTERS:
                 parts[x] = y[:-1], y[-1]
             elif y is x or y == x:
@@ -184,7 +187,8 @@ def library_memory(path: str, lower: bool = False) -> Memory:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        marks = [(i, x.content) for i, x in t.get_added_tokens_decoder().items() if not (x.lstrip or x.rstrip or x.single_word)]
+        added = t.get_added_tokens_decoder()
+        marks = [(i, x.content) for i, x in added.items() if not (x.lstrip or x.rstrip or x.single_word)]
         mark_id, mark = marks[0] if marks else (None, None)
 
         def each(pieces):
@@ -201,5 +205,5 @@ def library_memory(path: str, lower: bool = False) -> Memory:
             ends = np.flatnonzero(ids == mark_id)
             return ids[ids != mark_id], np.diff(ends, prepend=-1) - 1
 
-        _loaded["library", path, lower] = StemMemory(encode, lower)
+        _loaded["library", path, lower] = StemMemory(encode, lower, tuple(x.content for x in added.values()))
     return _loaded["library", path, lower]

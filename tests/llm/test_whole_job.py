@@ -2,10 +2,13 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from faultline.llm import near_dup, similar
+from faultline.llm import near_dup, similar, words
+from faultline.llm.queries import tokenizer
 
 
 def five_words(t):
@@ -72,3 +75,15 @@ def test_trie_join_finds_links_from_deep_levels(spark, depth):
     place = ["trie", "depth", "node", "mask"]
     links = split.repartition(4, *place).sortWithinPartitions(*place).mapInArrow(near_dup._walk_group(4), "a long, b long")
     assert {frozenset((r.a, r.b)) for r in links.collect()} == {frozenset(p) for p in pairs}
+
+
+def test_packing_ids_of_mixed_case_special_tokens():
+    from tokenizers import Tokenizer
+
+    path = tokenizer("word_bpe_49k.json")
+    marks = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|StartOfText|>"]
+    texts = ["Plain Text.", *marks, *(f"A{m}B, {m}. {m}{marks[0]} END{m}X." for m in marks), "<|ENDOF TEXT|>"]
+    flat, counts = words.encode_blank_free(words.Words(pa.array(texts)), words.library_memory(path, True))
+    library = Tokenizer.from_file(path)
+    got = [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])]
+    assert got == [library.encode(x, add_special_tokens=False).ids for x in texts]

@@ -7,6 +7,11 @@ A document's posterior over languages is proportional to the product of
   host      prior of its host, smoothed towards that of the address suffix, which
             is smoothed towards that of the whole table
 
+One more hypothesis is that the text is of no modelled language. Its likelihood
+of a trigram lies UNKNOWN_AT of the way from what the nearest language expects of its
+own texts to that of bins all alike; it is told by length, has a prior of UNKNOWN,
+and says nothing of hosts and declared languages. Such texts are undetermined.
+
 The trigram model is counted over all documents with a declared language. The
 tables of declared languages, suffixes and hosts are grouped counts of the
 language that the text alone suggests, over all documents; each is combined
@@ -36,6 +41,7 @@ TEMPER = 0.25
 #: Pseudo-counts of the parent's shares.
 HOST_WEIGHT, SUFFIX_WEIGHT, DECLARED_WEIGHT = 20.0, 50.0, 5.0
 MIN_POSTERIOR = 0.6
+UNKNOWN, UNKNOWN_AT = 0.01, 2 / 3
 #: Most bytes whose likelihoods are held at a time.
 _BLOCK = 1 << 20
 
@@ -86,12 +92,14 @@ def fit_text_model(rows: DataFrame, max_languages: int = MAX_LANGUAGES) -> tuple
 
 
 def text_evidence(rows: DataFrame, model: np.ndarray) -> DataFrame:
-    """rows without text, with ll (tempered log likelihood by language) and letters (whether the text has any)."""
+    """rows without text, with ll (tempered log likelihood by language, the highest at 0), _other (that of no language) and letters (whether the text has any)."""
     from pyspark.sql import types as T
 
     kept = [f for f in rows.schema.fields if f.name != "text"]
-    schema = T.StructType([*kept, T.StructField("ll", T.ArrayType(T.DoubleType())), T.StructField("letters", T.BooleanType())])
+    schema = T.StructType([*kept, T.StructField("ll", T.ArrayType(T.DoubleType())), T.StructField("_other", T.DoubleType()), T.StructField("letters", T.BooleanType())])
     table = np.ascontiguousarray(model.T)
+    own = (np.exp(model.astype(np.float64)) * model).sum(1)
+    unknown = own + UNKNOWN_AT * (-np.log(BINS) - own)
 
     def run(batches):
         for batch in batches:
@@ -99,10 +107,12 @@ def text_evidence(rows: DataFrame, model: np.ndarray) -> DataFrame:
                 texts = step.column("text")
                 bins, owners = trigrams(texts)
                 ll = np.stack([np.bincount(owners, table[bins, k], len(texts)) for k in range(table.shape[1])], 1) * TEMPER
-                ll -= ll.max(1, keepdims=True)
+                top = ll.max(1, keepdims=True)
+                other = TEMPER * np.bincount(owners, minlength=len(texts)) * unknown[ll.argmax(1)] - top[:, 0]
+                ll -= top
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ll) + 1) * ll.shape[1], pa.int32()), pa.array(ll.ravel()))
                 letters = pc.match_substring_regex(pc.fill_null(texts, ""), r"\p{L}")
-                yield pa.RecordBatch.from_arrays([*[step.column(f.name) for f in kept], lists, letters], names=[f.name for f in schema])
+                yield pa.RecordBatch.from_arrays([*[step.column(f.name) for f in kept], lists, pa.array(other), letters], names=[f.name for f in schema])
 
     return rows.mapInArrow(run, schema)
 
@@ -128,7 +138,7 @@ def identify(rows: DataFrame, max_languages: int = MAX_LANGUAGES) -> DataFrame:
         return rows.drop("text").withColumns({"lang": none, "posterior": F.lit(0.0), "text_lang": none, "kept": F.lit(False)})
     k = len(languages)
     best = lambda a: F.array_position(a, F.array_max(a)).cast("int") - 1
-    found = staged(text_evidence(rows, model).withColumn("first", best(F.col("ll"))), "languages")
+    found = staged(text_evidence(rows, model).withColumn("first", F.when(F.col("_other") <= 0, best(F.col("ll")))), "languages")
     # The declared languages as evidence: of declared value d, the chance under each language.
     total = F.array(*[F.lit(1.0 / k)] * k)
     everything = found.agg(*[F.count(F.when(F.col("first") == i, 1)).cast("double").alias(f"c{i}") for i in range(k)])
@@ -146,12 +156,13 @@ def identify(rows: DataFrame, max_languages: int = MAX_LANGUAGES) -> DataFrame:
     by_host = _smoothed(F.col("c_host"), F.coalesce("p_suffix", as_array(prior)), HOST_WEIGHT)
     zero = as_array([0.0] * k)
     logs = F.zip_with(F.zip_with("ll", by_host, lambda a, p: a + F.log(p)), F.coalesce("said", zero), lambda a, b: a + b)
-    out = out.withColumn("_log", logs).withColumn("_top", F.array_max("_log"))
-    names = F.array(*[F.lit(x) for x in languages])
+    other = F.col("_other") + float(np.log(UNKNOWN)) + F.when(F.col("said").isNull(), 0.0).otherwise(-float(np.log(k)))
+    out = out.withColumn("_log", F.concat(logs, F.array(other))).withColumn("_top", F.array_max("_log"))
+    names = F.array(*[F.lit(x) for x in languages], F.lit(None).cast("string"))
     posterior = 1 / F.aggregate("_log", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top")))
     out = out.withColumns({"lang": F.get(names, best(F.col("_log"))), "posterior": posterior, "text_lang": F.get(names, F.col("first"))})
-    keep = F.col("letters") & (F.col("posterior") >= MIN_POSTERIOR)
-    return out.withColumn("kept", keep).drop("ll", "letters", "first", "d", "said", "sx", "p_suffix", "h", "c_host", "_log", "_top")
+    keep = F.col("letters") & F.col("lang").isNotNull() & (F.col("posterior") >= MIN_POSTERIOR)
+    return out.withColumn("kept", keep).drop("ll", "_other", "letters", "first", "d", "said", "sx", "p_suffix", "h", "c_host", "_log", "_top")
 
 
 def document_rows(docs: DataFrame) -> DataFrame:

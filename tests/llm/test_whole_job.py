@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from faultline.llm import near_dup, similar, words
+from faultline.llm import language, near_dup, similar, words
 from faultline.llm.queries import tokenizer
 
 
@@ -87,3 +87,15 @@ def test_packing_ids_of_mixed_case_special_tokens():
     library = Tokenizer.from_file(path)
     got = [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])]
     assert got == [library.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_texts_of_no_modelled_language_are_rejected(spark):
+    rnd = random.Random(1)
+    junk = [" ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9))) for _ in range(100)) for _ in range(5)]
+    odd = [*junk, "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему.", "国境の長いトンネルを抜けると雪国であった。夜の底が白くなった。", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto."]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    rows = [(10**6 + i, x, [None, "es"][i % 2], "web") for i, x in enumerate(odd)]
+    got = language.identify(language.document_rows(docs.union(spark.createDataFrame(rows, docs.schema)))).toPandas()
+    planted = got.doc_id >= 10**6
+    assert planted.sum() == len(odd) and not got[planted].kept.any() and got[planted].lang.isna().all()
+    assert got[~planted].kept.mean() > 0.995 and (got[~planted].lang == got[~planted].declared).mean() > 0.99

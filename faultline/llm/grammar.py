@@ -2,9 +2,10 @@
 
 Documents are range-partitioned by id; each task encodes its range and closes a
 shard every SHARD_TOKENS tokens. Per shard, rounds replace frequent pairs of
-adjacent symbols by nonterminals, until none is frequent or after ROUNDS rounds: a round counts all pairs, takes up to
-ROUND_RULES with MIN_COUNT places and more, most frequent first, and replaces
-their places from left to right without overlap. A shard row holds
+adjacent symbols by nonterminals until no pair has MIN_COUNT places: a round
+counts the pairs, takes all frequent ones, and replaces their places from left
+to right without overlap. A rule costs three numbers, which rarer pairs don't
+earn back. A shard row holds
 
   rules        pairs of symbols, nonterminal k = FIRST_RULE + k; later rules use earlier ones
   rule_tokens  how many tokens each rule expands to
@@ -17,7 +18,9 @@ find the symbols of any token range, so a document is decoded alone.
 
 Cases: null text is empty and has the end id only; null ids come first; rows that
 repeat an id are documents each, one after the other; a document longer than a
-shard makes a longer shard; an empty table gives no shard and an empty result.
+shard makes a longer shard, and its text is encoded in portions, so that a task
+holds the text, its ids and the working memory of one portion; an empty table
+gives no shard and an empty result. Further columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -27,30 +30,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefix_sums, staged, steps
-from .words import encode_spaced, gather, library_memory
+from .common import join_checked, prefix_sums, staged, steps
+from .words import encode_spaced, gather, library
 
 SHARD_TOKENS = 1 << 20
 FIRST_RULE = 1 << 20
-ROUNDS, ROUND_RULES, MIN_COUNT = 12, 4096, 8
+MIN_COUNT = 8
 _TABLE_BITS = 17  # small enough for a core's cache
 SHARDS = "part int, seq int, n_tokens long, doc_ids array<long>, doc_tokens array<long>, rules binary, rule_tokens binary, symbols binary"
 _SHARDS = pa.schema(
     [("part", pa.int32()), ("seq", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("rules", pa.binary()), ("rule_tokens", pa.binary()), ("symbols", pa.binary())]
 )
-_DOCS = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("doc_id", pa.int64()), ("within", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+_DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
 
 def _cell(keys: np.ndarray) -> np.ndarray:
     return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
 
 
-def compress(tokens: np.ndarray, rounds: int = ROUNDS, round_rules: int = ROUND_RULES, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(tokens: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, rule_tokens, symbols) of a token sequence."""
     seq, rules, sizes = tokens.astype(np.uint64), [], []
     low, high = np.uint64(0xFFFFFFFF), np.uint64(32)
     newest = None  # where set, all frequent pairs without a symbol from here on have been replaced
-    for _ in range(rounds):
+    while True:
         if newest is None:
             keys, where = (seq[:-1] << high) | seq[1:], None
         else:
@@ -66,7 +69,7 @@ def compress(tokens: np.ndarray, rounds: int = ROUNDS, round_rules: int = ROUND_
         often = np.flatnonzero(counts >= min_count)
         if not len(often):
             break
-        pick = often[np.argsort(-counts[often], kind="stable")][:round_rules]
+        pick = often[np.argsort(-counts[often], kind="stable")]
         pairs = ordered[edge[pick]]
         cells = _cell(pairs)
         _, first = np.unique(cells, return_index=True)  # of pairs in one cell the more frequent; others wait a round
@@ -154,8 +157,8 @@ def _encoded(path: str, end_id: int, shard_tokens: int):
         part, seq, held = TaskContext.get().partitionId(), 0, 0
         ids, sizes, tokens = [], [], []
         for batch in batches:
-            for step in steps(batch, "text", 4 << 20):
-                flat, counts = encode_spaced(step.column("text"), library_memory(path))
+            for step in steps(batch, "text"):
+                flat, counts = encode_spaced(step.column("text"), library(path, spaced=True))
                 ends = np.cumsum(counts + 1)
                 out = np.full(int(ends[-1]), end_id, np.uint32)
                 out[np.delete(np.arange(len(out)), ends - 1)] = flat
@@ -172,35 +175,36 @@ def _encoded(path: str, end_id: int, shard_tokens: int):
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """The written shard table; (part, seq) ascend with doc_id."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    # The second key spreads rows without an id, or with one id, over ranges.
+    rows = docs.select("doc_id", "text").withColumn("spread", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "spread").sortWithinPartitions("doc_id", "spread").drop("spread")
     return staged(rows.mapInArrow(_encoded(tokenizer, end_id, shard_tokens), SHARDS), "shards")
 
 
 def _documents(batches):
     for batch in batches:
         for i in range(batch.num_rows):
-            row = {k: batch.column(k)[i] for k in _SHARDS.names}
-            rules, rule_tokens, symbols = (np.frombuffer(row[k].as_py(), "<u4") for k in ("rules", "rule_tokens", "symbols"))
+            row = {k: batch.column(k)[i] for k in ("tokens_before", "doc_ids", "doc_tokens", "rules", "rule_tokens", "symbols")}
+            rules, rule_tokens, symbols = (np.frombuffer(row[k].as_buffer(), "<u4") for k in ("rules", "rule_tokens", "symbols"))
             data = Grammar(rules.reshape(-1, 2), rule_tokens).decode(symbols).astype("<u4").tobytes()
-            sizes = np.asarray(row["doc_tokens"].as_py(), np.int64)
+            sizes = row["doc_tokens"].values.to_numpy()
             ends = np.cumsum(sizes)
             if ends[-1] * 4 != len(data):
                 raise ValueError("a shard doesn't expand to the tokens that it states")
-            ids = [data[4 * (b - n) : 4 * b] for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([row["part"].as_py()] * n, pa.int32()), pa.array([row["seq"].as_py()] * n, pa.int32()), row["doc_ids"].values, pa.array(ends - sizes), pa.array(sizes), pa.array(ids, pa.binary())], schema=_DOCS
-            )
+            ids = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.r_[0, 4 * ends].astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([row["doc_ids"].values, pa.array(ends - sizes + row["tokens_before"].as_py()), pa.array(sizes), ids], schema=_DOCS)
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids): every document decoded from its shard; start counts the tokens of all before it.
 
-    The running sum is over one row per shard.
+    Running sums are over the shards of a part, and over one row per part.
     """
-    rows = shards.mapInArrow(_documents, "part int, seq int, doc_id long, within long, n_tokens long, ids binary")
-    before = prefix_sums(shards.select("part", "seq", "n_tokens"), ["part", "seq"], "n_tokens", "tokens_before").drop("n_tokens")
-    return rows.join(before, ["part", "seq"]).select("doc_id", (F.col("tokens_before") + F.col("within")).alias("start"), "n_tokens", "ids")
+    sizes = shards.select("part", "seq", "n_tokens")
+    parts = prefix_sums(sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")), ["part"], "n", "part_before").drop("n")
+    before = prefix_sums(sizes, ["seq"], "n_tokens", "within", ["part"]).drop("n_tokens").join(F.broadcast(parts), "part")
+    before = staged(before.select("part", "seq", (F.col("part_before") + F.col("within")).alias("tokens_before")), "starts")
+    placed = join_checked(shards, before, ["part", "seq"], "inner", 24)
+    return placed.mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def read_range(shards: DataFrame, doc_id: int) -> DataFrame:

@@ -12,19 +12,21 @@ though range partitioning samples its input. The sort key ends with hash and
 id, so copies, which share a place on the curve, are dealt to many ranges.
 
 Cases: null text is empty and has the end id only; a document longer than a
-sequence is cut; repeated rows are packed each; null ids are carried; an empty
+sequence is cut, and a very long text is tokenised in portions; repeated rows are packed each; null ids are carried; an empty
 table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_steps, staged
-from .words import Words, encode_blank_free, library_memory
+from .words import Words, encode_blank_free, library, long_text, portions, strings
 
 HASH_DIMS, DIMS, BITS = 256, 3, 10
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, curve long, ids binary"
@@ -61,25 +63,40 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def projected(words: Words) -> np.ndarray:
-    """DIMS coordinates of each text's hashed word counts, scaled to unit variance for unrelated words."""
+@lru_cache
+def _directions() -> np.ndarray:
+    """The fixed projection of HASH_DIMS counts to DIMS coordinates."""
+    return np.random.default_rng(20).standard_normal((HASH_DIMS, DIMS))
+
+
+def word_sums(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The projected hashed word counts of each text, and its number of words; both add up over portions of a text."""
     import pandas as pd
 
-    bins = (pd.util.hash_array(np.array(words.distinct, object), categorize=False) % HASH_DIMS).astype(np.int64) if words.distinct else np.zeros(0, np.int64)
-    rows = np.random.default_rng(20).standard_normal((HASH_DIMS, DIMS))[bins]
-    n = np.maximum(np.bincount(words.owners, minlength=words.n), 1)
-    return np.stack([np.bincount(words.owners, rows[:, k][words.codes], words.n) for k in range(DIMS)], 1) / np.sqrt(n)[:, None]
+    bins = (pd.util.hash_array(np.array(strings(words.distinct), object), categorize=False) % HASH_DIMS).astype(np.int64) if len(words.distinct) else np.zeros(0, np.int64)
+    rows = _directions()[bins]
+    return np.stack([np.bincount(words.owners, rows[:, k][words.codes], words.n) for k in range(DIMS)], 1), np.bincount(words.owners, minlength=words.n)
 
 
-def curve_places(words: Words) -> np.ndarray:
-    cells = ((0.5 + np.arctan(projected(words)) / np.pi) * (1 << BITS)).astype(np.int64)
+def curve_places(sums: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    """Places on the curve of sums that are scaled to unit variance for unrelated words."""
+    scaled = sums / np.sqrt(np.maximum(n_words, 1))[:, None]
+    cells = ((0.5 + np.arctan(scaled) / np.pi) * (1 << BITS)).astype(np.int64)
     return hilbert(np.clip(cells, 0, (1 << BITS) - 1), BITS)
 
 
-def _tokenised(path: str, end_id: int, lower: bool):
+def _read(texts: pa.StringArray, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all texts, how many each has, and its word sums."""
+    if (text := long_text(texts)) is not None:
+        flat, counts, sums, n = zip(*(_read(pa.array([x]), path) for x in portions(text)), strict=True)
+        return np.concatenate(flat), sum(counts), sum(sums), sum(n)
+    words = Words(texts)
+    return *encode_blank_free(words, library(path, spaced=False)), *word_sums(words)
+
+
+def _tokenised(path: str, end_id: int):
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = Words(batch.column("text"))
-        flat, counts = encode_blank_free(words, library_memory(path, lower))
+        flat, counts, sums, n_words = _read(batch.column("text"), path)
         small = np.uint16 if not len(flat) or flat.max() < 1 << 16 else np.uint32
         ends = np.cumsum(counts + 1)
         out = np.full(int(ends[-1]), end_id, small)
@@ -87,7 +104,7 @@ def _tokenised(path: str, end_id: int, lower: bool):
         data, width = out.tobytes(), out.itemsize
         bounds = np.r_[0, ends] * width
         ids = [data[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(curve_places(words)), pa.array(counts + 1), pa.array(ids, pa.binary())], schema=_TOKENS)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(curve_places(sums, n_words)), pa.array(counts + 1), pa.array(ids, pa.binary())], schema=_TOKENS)
 
     return in_steps("text", work)
 
@@ -119,18 +136,15 @@ def _packed(size: int):
     return run
 
 
-def tokenised(docs: DataFrame, tokenizer: str, end_id: int, lower: bool = True) -> DataFrame:
-    """(doc_id, curve, n, ids): ids with the end id, 16 bits each where they fit.
-
-    The tokenizer must drop white space; lower says that it lower-cases.
-    """
-    return docs.select("doc_id", "text").mapInArrow(_tokenised(tokenizer, end_id, lower), "doc_id long, curve long, n long, ids binary")
+def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """(doc_id, curve, n, ids): ids with the end id, 16 bits each where they fit. The tokenizer must drop white space and lower-case; others are refused."""
+    return docs.select("doc_id", "text").mapInArrow(_tokenised(tokenizer, end_id), "doc_id long, curve long, n long, ids binary")
 
 
 def pack_along_curve(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1) -> DataFrame:
     """One row per piece of a document in a sequence; ids are little-endian unsigned 32-bit."""
     rows = staged(tokenised(docs, tokenizer, end_id), "tokens")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = F.xxhash64("doc_id", "n")
+    spread = F.xxhash64("doc_id", "n", F.monotonically_increasing_id())  # rows alike in all columns are dealt to many ranges too
     ranged = rows.withColumn("spread", spread).repartitionByRange(parts, "curve", "spread").sortWithinPartitions("curve", "spread", "doc_id")
     return ranged.select("doc_id", "curve", "n", "ids").mapInArrow(_packed(size), PIECES)

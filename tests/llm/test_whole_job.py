@@ -83,7 +83,7 @@ def test_packing_ids_of_mixed_case_special_tokens():
     path = tokenizer("word_bpe_49k.json")
     marks = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|StartOfText|>"]
     texts = ["Plain Text.", *marks, *(f"A{m}B, {m}. {m}{marks[0]} END{m}X." for m in marks), "<|ENDOF TEXT|>"]
-    flat, counts = words.encode_blank_free(words.Words(pa.array(texts)), words.library_memory(path, True))
+    flat, counts = words.encode_blank_free(words.Words(pa.array(texts)), words.library(path, spaced=False))
     library = Tokenizer.from_file(path)
     got = [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])]
     assert got == [library.encode(x, add_special_tokens=False).ids for x in texts]

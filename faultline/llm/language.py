@@ -12,157 +12,229 @@ of a trigram lies UNKNOWN_AT of the way from what the nearest language expects o
 own texts to that of bins all alike; it is told by length, has a prior of UNKNOWN,
 and says nothing of hosts and declared languages. Such texts are undetermined.
 
-The trigram model is counted over all documents with a declared language. The
-tables of declared languages, suffixes and hosts are grouped counts of the
+The languages are all declared codes, of two or three letters with or without
+further subtags ("pt-BR" is pt); other declared values are none. The trigram model
+is counted over all documents with a declared language. Texts are held against
+BLOCK_LANGUAGES languages in a pass, however many there are. A text carries on
+the languages whose likelihood is within CARRIED of its best: priors and
+declared languages move a language by less than 100 in a table of 10^10 rows, so
+that what others would add is far below a double's precision.
+
+The tables of declared languages, suffixes and hosts are grouped counts of the
 language that the text alone suggests, over all documents; each is combined
-before its shuffle, so a host with a third of all rows is one row per task.
+before its shuffle, so a host with a third of all rows is one row per task and
+language.
 
 Cases: null or empty text leaves the other evidence; a null or unknown declared
-language, host or suffix leaves the rest; repeated rows count each; a table with
-no declared language at all has no model, and every row is undetermined; an empty
-table gives an empty result. A document is kept if its text has a letter and the
+language, host or suffix leaves the rest; repeated rows count each; languages
+that are equally likely are taken in the order of their codes; a table
+with no declared language at all has no model, and every row is undetermined; an
+empty table gives an empty result; very long texts are read in blocks of bytes.
+Further columns are carried, whatever their names; those named lang, posterior,
+text_lang or kept are replaced. A document is kept if its text has a letter and the
 posterior of its language is MIN_POSTERIOR or more.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import staged, steps
+from .common import join_checked, staged, steps
 
 BINS = 1 << 15
-#: At most so many languages, those declared most often, are told apart: bounds the model.
-MAX_LANGUAGES = 128
+#: Languages that a pass over the texts holds models of: 16 MiB.
+BLOCK_LANGUAGES = 128
 TEMPER = 0.25
 #: Pseudo-counts of the parent's shares.
 HOST_WEIGHT, SUFFIX_WEIGHT, DECLARED_WEIGHT = 20.0, 50.0, 5.0
 MIN_POSTERIOR = 0.6
 UNKNOWN, UNKNOWN_AT = 0.01, 2 / 3
-#: Most bytes whose likelihoods are held at a time.
-_BLOCK = 1 << 20
+CARRIED = 300.0
+#: Most bytes whose likelihoods are held at a time, and languages that a task counts at a time.
+_BLOCK, _COUNTED = 1 << 20, 64
+_OUT = ("lang", "posterior", "text_lang", "kept")
+
 
+def code(declared: Column) -> Column:
+    """The language code of a declared value, null where it begins with none: 26^2 + 26^3 codes at most."""
+    found = F.lower(F.regexp_extract(declared, r"^\s*([A-Za-z]{2,3})(?:[-_][A-Za-z0-9_-]*)?\s*$", 1))
+    return F.when(found != "", found)
 
-def trigrams(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-    """(bins, owners) of all byte trigrams inside lower-cased texts, each with a blank before and after."""
+
+def trigrams(texts: pa.StringArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bins, owners) of all byte trigrams inside lower-cased texts, each with a blank before and after; a text that is alone and long comes in blocks."""
     lists = pc.binary_join_element_wise("", pc.utf8_lower(pc.fill_null(texts, "")), "", " ")
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     raw = np.frombuffer(lists.cast(pa.binary()).buffers()[2] or b"", np.uint8)
     offsets = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1].astype(np.int64)
     raw = raw[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
+    if len(texts) == 1:
+        for a in range(0, max(len(raw) - 2, 1), _BLOCK):
+            bins = _bins(raw[a : a + _BLOCK + 2], np.arange(max(min(len(raw) - a, _BLOCK + 2) - 2, 0)))
+            yield bins, np.zeros(len(bins), np.int64)
+        return
     sizes = np.maximum(np.diff(offsets) - 2, 0)
-    starts = offsets[:-1]
     ends = np.cumsum(sizes)
-    at = np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
-    b = raw.astype(np.uint32)
-    mixed = (b[at] * np.uint32(0x9E3779B1)) ^ (b[at + 1] * np.uint32(0x85EBCA77)) ^ (b[at + 2] * np.uint32(0xC2B2AE3D))
-    return ((mixed * np.uint32(0x27D4EB2F)) >> np.uint32(32 - 15)).astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
-
-
-def _count(languages: list[str]):
-    def run(batches):
-        total = np.zeros((len(languages), BINS), np.int64)
-        for batch in batches:
-            for step in steps(batch, "text", _BLOCK):
-                which = pc.index_in(step.column("declared"), pa.array(languages)).fill_null(-1).to_numpy(zero_copy_only=False)
-                bins, owners = trigrams(step.column("text"))
-                lang = which[owners]
-                total += np.bincount((lang * BINS + bins)[lang >= 0], minlength=total.size).reshape(total.shape)
-        lang, bins = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(bins, pa.int32()), pa.array(total[lang, bins])], names=["lang", "bin", "n"])
+    at = np.repeat(offsets[:-1] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+    yield _bins(raw, at), np.repeat(np.arange(len(sizes)), sizes)
 
-    return run
 
+def _bins(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    b = raw.astype(np.uint32)
+    mixed = (b[at] * np.uint32(0x9E3779B1)) ^ (b[at + 1] * np.uint32(0x85EBCA77)) ^ (b[at + 2] * np.uint32(0xC2B2AE3D))
+    return ((mixed * np.uint32(0x27D4EB2F)) >> np.uint32(32 - 15)).astype(np.int64)
 
-def fit_text_model(rows: DataFrame, max_languages: int = MAX_LANGUAGES) -> tuple[list[str], np.ndarray]:
-    """(languages, log probabilities by language and bin) of rows (text, declared)."""
-    top = rows.filter("declared is not null").groupBy("declared").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "declared").limit(max_languages)
-    languages = sorted(r.declared for r in top.collect())
-    counts = np.full((max(len(languages), 1), BINS), 0.5)
-    if languages:
-        summed = rows.select("text", "declared").filter("declared is not null").mapInArrow(_count(languages), "lang int, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
-        # languages x BINS numbers at most, whatever the input
-        for r in summed.toLocalIterator():
-            counts[r.lang, r.bin] += r.n
-    return languages, np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
 
+def _counted(held: dict[str, np.ndarray]) -> pa.RecordBatch:
+    found = [(k, np.flatnonzero(v)) for k, v in held.items()]
+    names = pa.DictionaryArray.from_arrays(np.repeat(np.arange(len(found), dtype=np.int32), [len(b) for _, b in found]), pa.array([k for k, _ in found], pa.string())).cast(pa.string())
+    bins = np.concatenate([b for _, b in found])
+    return pa.RecordBatch.from_arrays([names, pa.array(bins, pa.int32()), pa.array(np.concatenate([held[k][b] for k, b in found]))], names=["lang", "bin", "n"])
 
-def text_evidence(rows: DataFrame, model: np.ndarray) -> DataFrame:
-    """rows without text, with ll (tempered log likelihood by language, the highest at 0), _other (that of no language) and letters (whether the text has any)."""
-    from pyspark.sql import types as T
 
+def _count(batches):
+    """Counts of the bins by language, for a few languages at a time."""
+    held: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for step in steps(batch, "text", _BLOCK):
+            d = step.column("declared").dictionary_encode()
+            which, names = d.indices.to_numpy(zero_copy_only=False), d.dictionary.to_pylist()
+            for bins, owners in trigrams(step.column("text")):
+                lang = which[owners]
+                for k in np.unique(which).tolist():
+                    if names[k] not in held and len(held) == _COUNTED:
+                        yield _counted(held)
+                        held = {}
+                    counts = np.bincount(bins[lang == k] if len(names) > 1 else bins, minlength=BINS)
+                    held[names[k]] = held[names[k]] + counts if names[k] in held else counts
+    if held:
+        yield _counted(held)
+
+
+def count_trigrams(rows: DataFrame) -> DataFrame:
+    """The written counts (lang, bin, n) of rows (text, declared) that declare a language."""
+    counted = rows.select("text", "declared").filter("declared is not null").mapInArrow(_count, "lang string, bin int, n long")
+    return staged(counted.groupBy("lang", "bin").agg(F.sum("n").alias("n")), "trigrams")
+
+
+def text_model(counts: DataFrame, languages: list[str]) -> np.ndarray:
+    """Log probabilities by language and bin. BLOCK_LANGUAGES x BINS counts at most reach the driver."""
+    found = counts.filter(F.col("lang").isin(languages)).toArrow()
+    table = np.full((len(languages), BINS), 0.5)
+    if found.num_rows:
+        lang = pc.index_in(found.column("lang"), pa.array(languages)).to_numpy()
+        table[lang, found.column("bin").to_numpy()] += found.column("n").to_numpy()
+    return np.log(table / table.sum(1, keepdims=True)).astype(np.float32)
+
+
+_EVIDENCE = [
+    T.StructField("top", T.DoubleType()),
+    T.StructField("likely", T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("ll", T.DoubleType())]))),
+    T.StructField("other", T.DoubleType()),
+    T.StructField("letters", T.BooleanType()),
+]
+
+
+def text_evidence(rows: DataFrame, languages: list[str], model: np.ndarray) -> DataFrame:
+    """rows without text, with likely (the languages within CARRIED of the best, with tempered log likelihoods), top (the best's), other (that of no language) and letters."""
     kept = [f for f in rows.schema.fields if f.name != "text"]
-    schema = T.StructType([*kept, T.StructField("ll", T.ArrayType(T.DoubleType())), T.StructField("_other", T.DoubleType()), T.StructField("letters", T.BooleanType())])
+    schema = T.StructType([*kept, *_EVIDENCE])
     table = np.ascontiguousarray(model.T)
     own = (np.exp(model.astype(np.float64)) * model).sum(1)
     unknown = own + UNKNOWN_AT * (-np.log(BINS) - own)
+    names = pa.array(languages, pa.string())
 
     def run(batches):
         for batch in batches:
             for step in steps(batch, "text", _BLOCK):
                 texts = step.column("text")
-                bins, owners = trigrams(texts)
-                ll = np.stack([np.bincount(owners, table[bins, k], len(texts)) for k in range(table.shape[1])], 1) * TEMPER
-                top = ll.max(1, keepdims=True)
-                other = TEMPER * np.bincount(owners, minlength=len(texts)) * unknown[ll.argmax(1)] - top[:, 0]
-                ll -= top
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ll) + 1) * ll.shape[1], pa.int32()), pa.array(ll.ravel()))
+                ll, size = np.zeros((len(texts), len(languages))), np.zeros(len(texts))
+                for bins, owners in trigrams(texts):
+                    ll += np.stack([np.bincount(owners, table[bins, k], len(texts)) for k in range(table.shape[1])], 1)
+                    size += np.bincount(owners, minlength=len(texts))
+                ll *= TEMPER
+                top = ll.max(1)
+                near = ll >= top[:, None] - CARRIED
+                which = pa.DictionaryArray.from_arrays(np.nonzero(near)[1].astype(np.int32), names).cast(pa.string())
+                pairs = pa.StructArray.from_arrays([which, pa.array(ll[near])], names=["lang", "ll"])
+                likely = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(near.sum(1))], pa.int32()), pairs)
                 letters = pc.match_substring_regex(pc.fill_null(texts, ""), r"\p{L}")
-                yield pa.RecordBatch.from_arrays([*[step.column(f.name) for f in kept], lists, pa.array(other), letters], names=[f.name for f in schema])
+                yield pa.RecordBatch.from_arrays([*[step.column(f.name) for f in kept], pa.array(top), likely, pa.array(TEMPER * size * unknown[ll.argmax(1)]), letters], names=[f.name for f in schema])
 
     return rows.mapInArrow(run, schema)
 
 
-def _shares(rows: DataFrame, by: str, k: int) -> DataFrame:
-    """(by, c): counts of the languages that texts suggest, as an array."""
-    counted = rows.filter(F.col(by).isNotNull()).groupBy(by).agg(*[F.count(F.when(F.col("first") == i, 1)).alias(f"c{i}") for i in range(k)])
-    return counted.select(by, F.array(*[F.col(f"c{i}").cast("double") for i in range(k)]).alias(f"c_{by}"))
+def evidence(rows: DataFrame, counts: DataFrame, languages: list[str], block: int = BLOCK_LANGUAGES) -> DataFrame:
+    """text_evidence over all languages, a block of them in a pass."""
+    blocks = [languages[a : a + block] for a in range(0, len(languages), block)]
+    if len(blocks) == 1:
+        return staged(text_evidence(rows, blocks[0], text_model(counts, blocks[0])), "languages")
+    numbered = staged(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    # A row of each pass and text: as many as there are blocks.
+    passes = [staged(text_evidence(numbered.select("row", "text"), b, text_model(counts, b)), "languages") for b in blocks]
+    union = passes[0]
+    for p in passes[1:]:
+        union = union.unionByName(p)
+    best = union.groupBy("row").agg(F.max("top").alias("top"), F.flatten(F.collect_list("likely")).alias("likely"), F.max_by("other", "top").alias("other"), F.first("letters").alias("letters"))
+    best = best.withColumn("likely", F.array_sort(F.filter("likely", lambda x: x["ll"] >= F.col("top") - CARRIED)))
+    return staged(numbered.drop("text").join(best, "row").drop("row"), "languages")
 
 
-def _smoothed(counts: Column, parent: Column, weight: float) -> Column:
-    """(counts + weight * parent) / (their sum); the parent where there are no counts."""
-    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x) + weight
-    return F.when(counts.isNull(), parent).otherwise(F.zip_with(counts, parent, lambda c, p: (c + weight * p) / total))
+def shares(found: DataFrame, by: str) -> DataFrame:
+    """(by, of, all): how often the texts of each value suggest each language, as a map, and how many there are."""
+    counted = found.filter(F.col(by).isNotNull() & F.col("first").isNotNull()).groupBy(by, "first").agg(F.count("*").alias("n"))
+    pairs = F.map_from_entries(F.collect_list(F.struct("first", "n")))  # a pair per language
+    return staged(counted.groupBy(by).agg(pairs.alias("of"), F.sum("n").alias("all")), by)
 
 
-def identify(rows: DataFrame, max_languages: int = MAX_LANGUAGES) -> DataFrame:
+def identify(rows: DataFrame, block: int = BLOCK_LANGUAGES) -> DataFrame:
     """rows (text, declared, host, suffix and others) without text, with lang, posterior, text_lang and kept."""
-    rows = rows.withColumns({k: F.col(k).cast("string") for k in ("text", "declared", "host", "suffix")})
-    languages, model = fit_text_model(rows, max_languages)
+    inputs = ("text", "declared", "host", "suffix")
+    others = [F.col(f"`{c}`") for c in rows.columns if c not in (*inputs, *_OUT)]
+    columns = [c for c in rows.columns if c != "text" and c not in _OUT]
+    rows = rows.select(F.col("text").cast("string"), F.struct("declared", "host", "suffix", *others).alias("rest"), code(F.col("declared").cast("string")).alias("declared"), F.col("host").cast("string"), F.col("suffix").cast("string"))
+    counts = count_trigrams(rows)
+    languages = sorted(r.lang for r in counts.select("lang").distinct().collect())  # codes, so at most 18,252
+    rest = [F.col(f"rest.`{c}`") for c in columns]
     if not languages:
         none = F.lit(None).cast("string")
-        return rows.drop("text").withColumns({"lang": none, "posterior": F.lit(0.0), "text_lang": none, "kept": F.lit(False)})
+        return rows.select(*rest, none.alias("lang"), F.lit(0.0).alias("posterior"), none.alias("text_lang"), F.lit(False).alias("kept"))
     k = len(languages)
-    best = lambda a: F.array_position(a, F.array_max(a)).cast("int") - 1
-    found = staged(text_evidence(rows, model).withColumn("first", F.when(F.col("_other") <= 0, best(F.col("ll")))), "languages")
-    # The declared languages as evidence: of declared value d, the chance under each language.
-    total = F.array(*[F.lit(1.0 / k)] * k)
-    everything = found.agg(*[F.count(F.when(F.col("first") == i, 1)).cast("double").alias(f"c{i}") for i in range(k)])
-    overall = everything.select(_smoothed(F.array(*[F.col(f"c{i}") for i in range(k)]), total, 1.0).alias("p"), F.array(*[F.col(f"c{i}") for i in range(k)]).alias("n"))
-    row = overall.first()
-    prior, seen = ([float(x) for x in row[name]] for name in ("p", "n"))
-    as_array = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-    declared = found.withColumn("declared", F.when(F.col("declared").isin(languages), F.col("declared")))
-    said = _shares(declared, "declared", k)
-    said = said.select(F.col("declared").alias("d"), F.zip_with("c_declared", as_array(seen), lambda c, n: F.log((c + DECLARED_WEIGHT / k) / (n + DECLARED_WEIGHT))).alias("said"))
-    suffixes = _shares(found, "suffix", k).select(F.col("suffix").alias("sx"), _smoothed(F.col("c_suffix"), as_array(prior), SUFFIX_WEIGHT).alias("p_suffix"))
-    hosts = staged(_shares(found, "host", k).withColumnRenamed("host", "h"), "hosts")
-    out = found.join(F.broadcast(said), F.col("declared") == F.col("d"), "left")  # MAX_LANGUAGES rows at most
-    out = out.join(suffixes, F.col("suffix") == F.col("sx"), "left").join(hosts, F.col("host") == F.col("h"), "left")
-    by_host = _smoothed(F.col("c_host"), F.coalesce("p_suffix", as_array(prior)), HOST_WEIGHT)
-    zero = as_array([0.0] * k)
-    logs = F.zip_with(F.zip_with("ll", by_host, lambda a, p: a + F.log(p)), F.coalesce("said", zero), lambda a, b: a + b)
-    other = F.col("_other") + float(np.log(UNKNOWN)) + F.when(F.col("said").isNull(), 0.0).otherwise(-float(np.log(k)))
-    out = out.withColumn("_log", F.concat(logs, F.array(other))).withColumn("_top", F.array_max("_log"))
-    names = F.array(*[F.lit(x) for x in languages], F.lit(None).cast("string"))
-    posterior = 1 / F.aggregate("_log", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top")))
-    out = out.withColumns({"lang": F.get(names, best(F.col("_log"))), "posterior": posterior, "text_lang": F.get(names, F.col("first"))})
-    keep = F.col("letters") & F.col("lang").isNotNull() & (F.col("posterior") >= MIN_POSTERIOR)
-    return out.withColumn("kept", keep).drop("ll", "_other", "letters", "first", "d", "said", "sx", "p_suffix", "h", "c_host", "_log", "_top")
+    found = evidence(rows, counts, languages, block)
+    first = F.filter("likely", lambda x: x["ll"] == F.col("top"))[0]["lang"]
+    found = found.withColumn("first", F.when(F.col("other") <= F.col("top"), first))
+    everything = found.filter(F.col("first").isNotNull()).groupBy("first").agg(F.count("*").alias("n"))
+    overall = everything.agg(F.map_from_entries(F.collect_list(F.struct("first", "n"))).alias("seen"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    table = lambda by, prefix: shares(found, by).select(F.col(by), F.col("of").alias(f"{prefix}_of"), F.col("all").alias(f"{prefix}_all"))
+    out = found.crossJoin(F.broadcast(overall))  # one row
+    for by in ("declared", "suffix", "host"):
+        out = join_checked(out, table(by, by), by, "left", 200 + 16 * k)
+    of = lambda m, lang: F.coalesce(F.try_element_at(m, lang), F.lit(0)).cast("double")
+
+    def log_posterior(x: Column) -> Column:
+        lang = x["lang"]
+        overall = (of(F.col("seen"), lang) + 1.0 / k) / (F.col("total") + 1.0)
+        suffix = (of(F.col("suffix_of"), lang) + SUFFIX_WEIGHT * overall) / (F.coalesce("suffix_all", F.lit(0)) + SUFFIX_WEIGHT)
+        host = (of(F.col("host_of"), lang) + HOST_WEIGHT * suffix) / (F.coalesce("host_all", F.lit(0)) + HOST_WEIGHT)
+        said = F.log((of(F.col("declared_of"), lang) + DECLARED_WEIGHT / k) / (of(F.col("seen"), lang) + DECLARED_WEIGHT))
+        # A code that no text suggests says nothing.
+        return F.struct((x["ll"] - F.col("top") + F.log(host) + F.when(F.col("declared_of").isNull(), 0.0).otherwise(said)).alias("log"), lang.alias("lang"))
+
+    other = F.col("other") - F.col("top") + float(np.log(UNKNOWN)) + F.when(F.col("declared_of").isNull(), 0.0).otherwise(-float(np.log(k)))
+    out = out.withColumn("logs", F.concat(F.transform("likely", log_posterior), F.array(F.struct(other.alias("log"), F.lit(None).cast("string").alias("lang")))))
+    out = out.withColumn("best", F.array_max(F.transform("logs", lambda x: x["log"])))
+    posterior = 1 / F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x["log"] - F.col("best")))
+    lang = F.filter("logs", lambda x: x["log"] == F.col("best"))[0]["lang"]
+    out = out.select(*rest, lang.alias("lang"), posterior.alias("posterior"), F.col("first").alias("text_lang"), F.col("letters"))
+    return out.withColumn("kept", F.col("letters") & F.col("lang").isNotNull() & (F.col("posterior") >= MIN_POSTERIOR)).drop("letters")
 
 
 def document_rows(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -23,9 +24,11 @@ _staged: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local one if all run on this machine; else an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="checkpoint-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -56,6 +59,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def fresh_name(name: str, df: DataFrame) -> str:
+    """A column name that df doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    return next(x for x in (f"{name}{'_' * k}" for k in range(1, len(taken) + 2)) if x not in taken)
+
+
 def join_checked(big: DataFrame, small: DataFrame, on, how: str, row_bytes: int) -> DataFrame:
     """Join with small broadcast if its counted rows fit the bound, else by a shuffle that splits skewed keys.
 

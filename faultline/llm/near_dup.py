@@ -34,10 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_steps, staged
+from . import similar
+from .common import in_steps, join_checked, staged
 from .components import connected_components
+from .shingles import shingle_hashes
 
-SHINGLE, SEED, DISTANCE = 4, 42, 4
+SHINGLE, DISTANCE = 4, 4
 TRIES = 3
 #: Fingerprints that a node pair holds on average and at most, before it is split further.
 LEAVES, CROWDED = 1 << 11, 1 << 14
@@ -46,23 +48,6 @@ _BLOCK = 1 << 17
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.int64())])
 
 
-def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
-    """The XXH64 of each of a text's word shingles, one for a shorter text, none for a text without words."""
-    import xxhash
-
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, "<u8")
-    line, n = memoryview(b" ".join(words)), len(words)
-    digest = xxhash.xxh64_intdigest
-    if n <= shingle:
-        return np.array([digest(line, SEED)], "<u8")
-    sizes = np.fromiter(map(len, words), np.int64, n) + 1
-    starts = np.cumsum(sizes) - sizes
-    ends = starts[shingle - 1 :] + sizes[shingle - 1 :] - 1
-    return np.array([digest(line[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=False)], "<u8")
-
-
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The 64-bit SimHash of a text's word shingles, as a signed number."""
     values = shingle_hashes(text, shingle)
@@ -329,10 +314,17 @@ def simhash_components(docs: DataFrame, distance: int = DISTANCE, shingle: int =
     return prints.join(classes, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The rows of docs that stay: of each class the row with the smallest id. Ids identify rows here."""
-    from .common import join_checked
+def near_copies(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(node, label): the ids of documents with a near copy, and the smallest id that links reach.
 
-    rows = simhash_components(docs, distance)
-    gone = staged(rows.filter("doc_id <> component_id").select("doc_id").distinct(), "near")
+    Links are those of the trie join over fingerprints of five-word shingles, and those
+    that `similar` adds: few bits lose copies near the similarity of 0.8.
+    """
+    rows = simhash_components(docs, distance, similar.SHINGLE).filter("doc_id <> component_id").select(F.col("doc_id").cast("long").alias("a"), F.col("component_id").cast("long").alias("b"))
+    return connected_components(staged(rows.union(similar.similar_links(docs)), "links"))
+
+
+def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """The rows of docs that stay: of each group of near copies the row with the smallest id. Ids identify rows here; rows without an id stay."""
+    gone = staged(near_copies(docs, distance).filter("node <> label").select(F.col("node").alias("doc_id")), "copies")
     return join_checked(docs, gone, "doc_id", "left_anti", 16)

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from faultline.llm import language, near_dup, similar, words
+from faultline.llm import components, language, near_dup, similar, words
 from faultline.llm.queries import tokenizer
 
 
@@ -16,15 +16,17 @@ def five_words(t):
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
 
 
-def brute_similar(texts):
-    """{id: least id of its group} by comparing all pairs."""
+def brute_similar(texts, bits=None):
+    """{id: least id of its group} by comparing all pairs: similar sets, or fingerprints within so many bits."""
+    prints = {d: near_dup.fingerprint(t, 5) for d, t in texts.items()} if bits is not None else None
     sets = {d: five_words(t) for d, t in texts.items()}
     sizes, least = {d: len(s) for d, s in sets.items()}, {d: d for d in texts}
     root = lambda d: d if least[d] == d else root(least[d])
     for a in sets:
         for b in sets:
             x, y = sizes[a], sizes[b]
-            if a < b and x and 4 * x <= 5 * y and 4 * y <= 5 * x and 9 * len(sets[a] & sets[b]) >= 4 * (x + y):
+            close = a < b and prints is not None and ((prints[a] ^ prints[b]) % 2**64).bit_count() <= bits
+            if close or a < b and x and 4 * x <= 5 * y and 4 * y <= 5 * x and 9 * len(sets[a] & sets[b]) >= 4 * (x + y):
                 x, y = root(a), root(b)
                 least[max(x, y)] = min(x, y)
     return {d: root(d) for d in texts}
@@ -45,10 +47,12 @@ def test_similarity_dedup_against_brute_force(spark):
     df = spark.createDataFrame([*enumerate(texts), (None, "a b")], "doc_id long, text string").selectExpr("*", "1 as n", "2 as s", "3 as label")
     want = brute_similar(dict(enumerate(texts)))
     assert 20 < sum(d != r for d, r in want.items()) < len(texts) - 60
-    got = similar.keep_one(df)
+    assert {r.node: r.label for r in components.connected_components(similar.similar_links(df)).collect()} == {d: r for d, r in want.items() if list(want.values()).count(r) > 1}
+    got = near_dup.keep_one(df)
     assert got.columns == df.columns
-    assert {r.doc_id for r in got.collect()} == {None, *want.values()}
-    assert similar.keep_one(df.limit(0)).count() == 0
+    want = brute_similar(dict(enumerate(texts)), 4)
+    assert want[2] == 0 and {r.doc_id for r in got.collect()} == {None, *want.values()}  # texts without words have one fingerprint
+    assert near_dup.keep_one(df.limit(0)).count() == 0
 
 
 def test_pipeline_leaves_no_similar_documents(spark):

@@ -44,6 +44,10 @@ QUANTITIES = ["512Mi", "500m", "2", "1Gi", "\"250m\"", "1.5k", "lots", "3T", "64
 LEVELS = ["ERROR", "warn", "30", "50", "3", "notice", "Emerg", "6", "verbose", "odd"]
 
 
+KINDS = ["oom_killed", "span_error", "conn_refused", "timeout", "dns_failure", "image_pull", "node_not_ready", "conn_exhaustion", "change", "rollout", "crash_loop"]
+KILLED_TEXTS = ["Memory cgroup out of memory: Killed process 12 (App-#)", "kernel: app-# invoked oom-killer: gfp", "oom-kill:constraint=NONE,task=app-#,pid=7", "certificate has expired on app-#", "handshake with app-# failed"]
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -78,6 +82,22 @@ UNION ALL SELECT l_orderkey, n, CASE WHEN n % 3 = 0 THEN n - 1 WHEN n % 11 = 0 T
   CASE WHEN o_totalprice > 250000 THEN 'high' WHEN o_totalprice > 120000 THEN 'medium' ELSE 'low' END AS risk FROM orders""",
         "entities": """SELECT concat('customer-', cast(c_custkey % 400 AS varchar(9))) AS name, lower(r_name) AS cluster, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE lower(n_name) END AS namespace,
   c_custkey AS seq, c_custkey % 4 <> 0 AS cluster_known FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+        "components": """SELECT concat(type, ':', cluster, '/', namespace, '/', name) AS id, name, type, cluster, namespace, CASE WHEN k % 7 = 0 THEN 'ingress' END AS role,
+  CASE k % 6 WHEN 0 THEN 'root' WHEN 1 THEN 'failing' WHEN 2 THEN 'degraded' WHEN 3 THEN 'at-risk' ELSE 'healthy' END AS status, cast(k % 97 AS double) / 100 AS impact, n AS errors, k % 5 = 0 AS user_facing, k % 3 <> 0 AS traced,
+  concat('rel-', cast(k % 30 AS varchar(9))) AS release FROM (SELECT concat('app-', cast(c_custkey % 60 AS varchar(9))) AS name,
+  CASE c_custkey % 10 WHEN 0 THEN 'datastore' WHEN 1 THEN 'infra' WHEN 2 THEN 'node' WHEN 3 THEN 'external' ELSE 'service' END AS type, concat('c', cast(c_nationkey % 3 AS varchar(9))) AS cluster,
+  concat('ns', cast(c_nationkey % 4 AS varchar(9))) AS namespace, min(c_custkey) AS k, count(*) AS n FROM customer GROUP BY c_custkey % 60, c_custkey % 10, c_nationkey % 3, c_nationkey % 4) g""",
+        "changes": f"""SELECT concat('chg-', cast(o_orderkey AS varchar(12))) AS id, concat('app-', cast(o_custkey % 60 AS varchar(9))) AS name, concat('rel-', cast(o_custkey % 30 AS varchar(9))) AS release,
+  {pick("o_orderkey", ["image", "resources", "configmap", "env", "networkpolicy", "probe", "secret", "replicas"])} AS category, CASE WHEN o_totalprice > 250000 THEN 'high' WHEN o_totalprice > 120000 THEN 'medium' ELSE 'low' END AS risk,
+  cast(o_orderkey % 500 AS int) AS line, concat('shop/app:v', cast(o_custkey % 5 AS varchar(9)), '.0') AS before, concat('shop/app:', CASE WHEN o_orderkey % 16 = 0 THEN 'v' ELSE '' END, cast(o_custkey % 6 AS varchar(9)), '.1') AS after,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'containers[web].image' ELSE 'image.tag' END AS field, concat('ns', cast(o_custkey % 4 AS varchar(9))) AS namespace, {ms("o_orderdate")} AS ts_ms FROM orders""",
+        "deploys": f"""SELECT concat('rel-', cast(o_custkey % 40 AS varchar(9))) AS release, o_orderkey % 50 AS revision, concat('app-', cast(o_custkey % 60 AS varchar(9))) AS name, concat('c', cast(o_custkey % 3 AS varchar(9))) AS cluster,
+  o_orderkey AS seq, CASE WHEN o_orderkey % 3 <> 0 THEN {ms("o_orderdate")} END AS deployed_ms, CASE WHEN o_orderkey % 4 <> 0 THEN concat(cast(o_custkey % 6 AS varchar(9)), '.1') END AS app_to FROM orders""",
+        "faults": f"""SELECT seq, CASE WHEN seq % 11 <> 0 THEN t END AS ts_ms, seq % 7 = 0 AS ts_unknown, {pick("seq", KINDS)} AS kind, {pick("user_id", ["info", "warn", "error", "critical"])} AS severity,
+  {pick("seq", ["helm", "alerts", "logs", "traces"])} AS source, cast(seq % 13 AS int) AS source_line, {pick("user_id", ["dns_failure", "tls_error", "other"])} AS cause, name, type, cluster, namespace,
+  concat(type, ':', cluster, '/', namespace, '/', name) AS component, CASE WHEN seq % 6 <> 0 THEN concat('ns', cast(user_id % 4 AS varchar(9))) END AS target_namespace, CASE WHEN seq % 5 <> 0 THEN concat(name, '-', cast(seq % 3 AS varchar(9))) END AS pod,
+  replace({pick("user_id", KILLED_TEXTS)}, '#', cast(seq % 60 AS varchar(9))) AS text FROM (SELECT event_id AS seq, {ms("ts")} AS t, user_id, concat('app-', cast(user_id % 60 AS varchar(9))) AS name,
+  CASE user_id % 10 WHEN 0 THEN 'datastore' WHEN 1 THEN 'infra' WHEN 2 THEN 'node' WHEN 3 THEN 'external' ELSE 'service' END AS type, concat('c', cast(event_id % 3 AS varchar(9))) AS cluster, concat('ns', cast(event_id % 4 AS varchar(9))) AS namespace FROM events) e""",
         "evidence": f"""SELECT concat('h', cast(o_custkey % 40 AS varchar(9))) AS hypothesis, concat('svc-', cast(o_custkey % 8 AS varchar(9))) AS component, o_orderkey AS pos,
   o_orderkey % 500 AS ref, cast({div("o_orderkey * 7 % 100", "1")} AS double) / 100 AS weight FROM orders""",
     }

@@ -80,3 +80,38 @@ def severity_level(burn_rate: Column, window_days: Column, user_facing_failing:
 def saved_pct(burn_rate: Column, eta_min: Column, window_days: Column, effect: Column) -> Column:
     """Budget that a mitigation saves over the next two hours."""
     return consumed_pct(burn_rate, F.greatest(F.lit(0.0), F.lit(120.0) - eta_min), window_days) * effect
+
+
+def requests(ratio: Column, slo: Column, rpm: Column, minutes: Column, window_days: Column) -> Column:
+    """Struct of bad and budget: requests that failed so far, and that may fail in the window."""
+    return F.struct(half_up(ratio * rpm * minutes).cast("long").alias("bad"), half_up((1 - slo) * rpm * window_days * 1440).cast("long").alias("budget"))
+
+
+def alert_states(budgets: DataFrame) -> DataFrame:
+    """Of (id, burn, minutes, window_days, observed_min, observed_burn and others): the three alert rows with threshold, above, observed, modelled, state and fires_in_min.
+
+    observed_min and observed_burn are the long window and rate of a burn alert that fires, null if unknown.
+    """
+    row = F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.lit(s).alias("share"), F.lit(h).alias("long_h")) for i, (s, h, _, _) in enumerate(ROWS)])).alias("row")
+    rows = budgets.select("*", row).select("*", "row.place", "row.long_h", (F.col("row.share") * F.col("window_days") * 24 / F.col("row.long_h")).alias("threshold")).drop("row")
+    above = (F.col("burn") > 0) & (F.col("burn") >= F.col("threshold") - 1e-9)
+    observed = F.coalesce((F.abs(F.col("observed_min") - F.col("long_h") * 60) < 1) & (F.col("observed_burn") >= F.col("threshold") - 1e-9), F.lit(False))
+    rows = rows.withColumns({"above": above, "observed": observed, "fires_after_min": F.when(above, half_up(F.col("long_h") * 60 * F.col("threshold") / F.col("burn"), 2))})
+    rows = rows.withColumn("modelled", F.col("above") & F.coalesce(F.col("minutes") >= F.col("fires_after_min") - 1e-9, F.lit(False)))
+    state = F.when(F.col("observed"), "firing-observed").when(F.col("modelled"), "firing-estimate").when(F.col("above"), "pending").otherwise("not-at-this-burn")
+    return rows.withColumns({"state": state, "fires_in_min": F.when(F.col("above"), half_up(F.greatest(F.lit(0.0), F.col("fires_after_min") - F.col("minutes")), 2))})
+
+
+def notes(budgets: DataFrame) -> DataFrame:
+    """(id, note): what a firing burn alert says against the model: the change is too recent for it, or errors began earlier; or the page is still to come.
+
+    budgets: as for alert_states, with since_change_min (null if unknown).
+    """
+    rows = alert_states(budgets)
+    seen = F.col("observed") | (F.col("observed_min").isNull() & F.coalesce(F.col("observed_burn") >= F.col("threshold") - 1e-9, F.lit(False)))
+    first = F.min(F.when(seen, F.struct("place", "modelled", F.coalesce("fires_after_min", F.lit(0.0)).alias("after")))).alias("early")
+    page = F.bool_or((F.col("place") == 0) & F.col("above") & ~F.col("modelled") & ~F.col("observed")).alias("waits")
+    g = rows.groupBy("id").agg(first, page, F.min("since_change_min").alias("since"))
+    early = F.col("early").isNotNull() & ~F.coalesce(F.col("early.modelled"), F.lit(True))
+    recent = F.coalesce(F.col("since") < F.col("early.after"), F.lit(False))
+    return g.select("id", F.when(early & recent, "change-too-recent").when(early, "started-earlier").when(F.col("waits"), "page-pending").alias("note"))

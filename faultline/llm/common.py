@@ -44,14 +44,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _staged.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
 
 
-def discard_staged(spark: SparkSession) -> None:
-    """Delete the tables that this process has staged; frames that read them end with it."""
-    while _staged:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def staged_so_far() -> int:
+    """A mark for discard."""
+    return len(_staged)
+
+
+def discard(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Delete the tables staged since a mark but those of keep, which are staged themselves; frames that read the others end with them."""
+    kept = {getattr(df, "_staged_at", None) for df in keep}
+    for path in _staged[since:]:
+        if path not in kept:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _staged[since:] = [x for x in _staged[since:] if x in kept]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

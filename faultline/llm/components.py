@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged, staged_so_far
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -21,6 +21,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     both = staged(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "links")
     labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
+        mark = staged_so_far()
         known = labels.select(F.col("node").alias("b"), F.col("label").alias("near"))
         near = both.join(known, "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
         closer = labels.join(near, "node").select("node", F.least("label", "near").alias("to"), F.col("label").alias("old"))
@@ -28,6 +29,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         jump = closer.select(F.col("node").alias("to"), F.col("to").alias("further"))
         new = closer.join(jump, "to", "left").select("node", F.least("to", "further").alias("label"), "old")
         new = staged(new, "labels")
+        discard(edges.sparkSession, mark, new)
         if new.filter("label <> old").isEmpty():
             return new.select("node", "label")
         labels = new.select("node", "label")

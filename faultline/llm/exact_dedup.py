@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, fresh_name, join_checked, staged
+from .common import BLANKS, discard, fresh_name, join_checked, staged, staged_so_far
 
 #: Doublings of the first pass over the hashes, and of each further one over those in overfull buckets.
 FIRST_BITS, NEXT_BITS = 14, 6
@@ -131,7 +131,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that stay, with all their columns. Ids identify rows here; an id's repeated rows of one text become one."""
+    mark = staged_so_far()
     verdicts = staged(exact_dedup(df, id_col, text_col), "verdicts")
+    discard(df.sparkSession, mark, verdicts)
     gone = staged(verdicts.groupBy(F.col("id").alias(id_col)).agg(F.max("kept").alias("stays"), F.count("*").alias("n")).filter("not stays or n > 1"), "gone")
     lost = gone.filter("not stays").select(id_col)
     same = F.col(f"_g.{id_col}").eqNullSafe(F.col(f"_d.{id_col}"))

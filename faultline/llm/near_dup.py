@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import similar
-from .common import in_steps, join_checked, staged
+from .common import discard, in_steps, join_checked, staged, staged_so_far
 from .components import connected_components
 from .shingles import shingle_hashes
 
@@ -326,5 +326,7 @@ def near_copies(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """The rows of docs that stay: of each group of near copies the row with the smallest id. Ids identify rows here; rows without an id stay."""
+    mark = staged_so_far()
     gone = staged(near_copies(docs, distance).filter("node <> label").select(F.col("node").alias("doc_id")), "copies")
+    discard(docs.sparkSession, mark, gone)
     return join_checked(docs, gone, "doc_id", "left_anti", 16)

@@ -34,10 +34,10 @@ def signals_of(panes: DataFrame, span_rows: DataFrame, alert_rows: DataFrame) ->
     log = logs.read_logs(panes.filter("source = 'logs'")).select(*SIGNAL)
     bad = span_rows.filter("error")
     component = component_id(component_type(F.col("service"))["type"], F.col("cluster"), F.col("namespace"), F.col("service"))
-    failed = bad.select("incident_id", F.lit("traces").alias("source"), F.lit(0).alias("source_line"), F.col("start_ms").cast("long").alias("ts_ms"), _null("long").alias("age_ms"), F.lit("span_error").alias("kind"), F.lit("error").alias("severity"), component.alias("component"),
+    failed = bad.select("incident_id", F.lit("traces").alias("source"), "source_line", F.col("start_ms").cast("long").alias("ts_ms"), _null("long").alias("age_ms"), F.lit("span_error").alias("kind"), F.lit("error").alias("severity"), component.alias("component"),
                         norm(F.col("service")).alias("name"), "namespace", F.coalesce("cluster", F.lit("cluster-1")).alias("cluster"), F.col("op").alias("text"), "trace_id", F.col("peer").alias("target"))
     a = alert_rows.filter("component is not null")
-    fired = a.select("incident_id", F.lit("alerts").alias("source"), F.lit(0).alias("source_line"), F.col("starts_ms").alias("ts_ms"), _null("long").alias("age_ms"), "kind", "severity", component_id(component_type(F.col("component"))["type"], F.col("cluster"), F.col("namespace"), F.col("component")).alias("component"),
+    fired = a.select("incident_id", F.lit("alerts").alias("source"), "source_line", F.col("starts_ms").alias("ts_ms"), _null("long").alias("age_ms"), "kind", "severity", component_id(component_type(F.col("component"))["type"], F.col("cluster"), F.col("namespace"), F.col("component")).alias("component"),
                      F.col("component").alias("name"), "namespace", F.coalesce("cluster", F.lit("cluster-1")).alias("cluster"), F.coalesce("summary", "name").alias("text"), _null().alias("trace_id"), _null().alias("target"))
     every = log.unionByName(failed).unionByName(fired)
     clock = timeline.latest_clock(every.filter("ts_ms is not null"), ["incident_id"])

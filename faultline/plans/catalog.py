@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names, text, times
 from ..functions import vocabulary as V
 from ..operators import budget, changes, entities, graph, lookup, scoring, spans, stackfit, timeline
+from ..session import cut
 from ..sources import lines, logs
 from ..sources.adapters import view, with_views
 from ..streaming import live
@@ -72,7 +73,7 @@ def edge_health(spark, sf_dir):
     return _edges(spark, sf_dir)
 
 
-@query("spans", sql="SELECT trace_id, span_id, parent_id, service FROM spans s WHERE parent_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM spans p WHERE p.trace_id = s.trace_id AND p.span_id = s.parent_id)")
+@query("spans", sql="SELECT s.trace_id, s.span_id, s.parent_id, s.service FROM spans s ANTI JOIN spans p ON p.trace_id = s.trace_id AND p.span_id = s.parent_id WHERE s.parent_id IS NOT NULL")
 def span_orphans(spark, sf_dir):
     return spans.orphans(view(spark, sf_dir, "spans")).select("trace_id", "span_id", "parent_id", "service")
 
@@ -89,10 +90,11 @@ def entry_points(spark, sf_dir):
     return spans.entry_points(view(spark, sf_dir, "spans"))
 
 
-@query("spans", sql="""m AS (SELECT service, op, median(dur_ms) AS median_ms FROM spans GROUP BY ALL)
-SELECT trace_id, span_id, s.service, s.op, dur_ms, median_ms FROM spans s JOIN m USING (service, op) WHERE dur_ms >= 1000 AND dur_ms > 1.5 * median_ms""")
+@query("spans", sql="""s AS (SELECT * REPLACE (dur_ms * CASE WHEN (trace_id + span_id) % 37 = 0 THEN 6 ELSE 1 END AS dur_ms) FROM spans), m AS (SELECT service, op, median(dur_ms) AS median_ms FROM s GROUP BY ALL)
+SELECT trace_id, span_id, s.service, s.op, dur_ms, median_ms FROM s JOIN m USING (service, op) WHERE dur_ms >= 1000 AND dur_ms > 3 * median_ms""")
 def slow_spans(spark, sf_dir):
-    return spans.slow_spans(view(spark, sf_dir, "spans"), 1.5).select("trace_id", "span_id", "service", "op", "dur_ms", "median_ms")
+    s = view(spark, sf_dir, "spans")
+    return spans.slow_spans(s.withColumn("dur_ms", F.col("dur_ms") * F.when((F.col("trace_id") + F.col("span_id")) % 37 == 0, 6).otherwise(1))).select("trace_id", "span_id", "service", "op", "dur_ms", "median_ms")
 
 
 @query("spans", sql="""bad AS (SELECT trace_id, span_id FROM spans WHERE error), pairs AS (SELECT a.trace_id, a.span_id, b.span_id AS other,
@@ -106,7 +108,7 @@ def related_spans(spark, sf_dir):
 @query("spans", sql=LINKED.lstrip() + """, named AS (SELECT CASE WHEN "from" LIKE 'supp-1%' THEN 'supp-1x' ELSE "from" END AS f, CASE WHEN "to" LIKE 'supp-1%' THEN 'supp-1x' ELSE "to" END AS t, * FROM edges)
 SELECT f AS "from", t AS "to", sum(calls)::BIGINT AS calls, sum(errors)::BIGINT AS errors, max(p95_ms) AS p95_ms, min(first_error_ms) AS first_error_ms FROM named WHERE f <> t GROUP BY ALL""")
 def edge_merge_canonical(spark, sf_dir):
-    edges = _edges(spark, sf_dir)
+    edges = cut(_edges(spark, sf_dir))
     ends = edges.select(F.col("from").alias("alias")).union(edges.select("to")).distinct()
     return spans.merge_edges(edges, ends.filter("alias like 'supp-1%'").withColumn("id", F.lit("supp-1x")))
 
@@ -126,13 +128,13 @@ risk AS (SELECT component, min(hops)::INT AS hops FROM (SELECT * FROM one UNION
 
 @query("spans", sql=LINKED.lstrip() + FAIL + RISK + " SELECT * FROM risk")
 def at_risk_two_hop(spark, sf_dir):
-    edges = _edges(spark, sf_dir)
+    edges = cut(_edges(spark, sf_dir))
     return graph.at_risk(edges, _failing(edges))
 
 
 @query("spans", sql=LINKED.lstrip() + FAIL + """ SELECT component FROM failing WHERE NOT EXISTS (SELECT 1 FROM edges e JOIN failing f2 ON e."to" = f2.component WHERE e."from" = failing.component)""")
 def deepest_failing(spark, sf_dir):
-    edges = _edges(spark, sf_dir)
+    edges = cut(_edges(spark, sf_dir))
     return graph.deepest_failing(edges, _failing(edges))
 
 
@@ -143,7 +145,7 @@ state AS (SELECT component, CASE WHEN component IN (SELECT component FROM failin
 
 
 def _states(spark, sf_dir):
-    edges = _edges(spark, sf_dir)
+    edges = cut(_edges(spark, sf_dir))
     components = edges.select(F.col("from").alias("component")).union(edges.select("to"))
     return edges, graph.statuses(components, edges, _failing(edges), components.limit(0))
 
@@ -193,7 +195,7 @@ def healthy_siblings(spark, sf_dir):
 one AS (SELECT "from" AS component, min(since_ms) AS since_ms FROM edges JOIN own ON "to" = component GROUP BY ALL), two AS (SELECT "from" AS component, min(since_ms) AS since_ms FROM edges JOIN one ON "to" = component GROUP BY ALL)
 SELECT component, min(since_ms) AS reveal_ms FROM (SELECT * FROM own UNION ALL SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY ALL""")
 def reveal_times(spark, sf_dir):
-    edges = _edges(spark, sf_dir)
+    edges = cut(_edges(spark, sf_dir))
     own = edges.filter("first_error_ms is not null").groupBy(F.col("to").alias("component")).agg(F.min("first_error_ms").alias("since_ms"))
     return graph.reveal_times(own, edges)
 
@@ -622,7 +624,7 @@ def component_signals_topk(spark, sf_dir):
 @query("spans", sql=LINKED.lstrip() + """, d AS (SELECT 'caller' AS direction, "from" AS other, calls, errors FROM edges WHERE "to" = 'supp-3' UNION ALL SELECT 'callee', "to", calls, errors FROM edges WHERE "from" = 'supp-3')
 SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY direction ORDER BY errors DESC, calls DESC, other) <= 30""")
 def dependencies(spark, sf_dir):
-    return lookup.dependencies(_edges(spark, sf_dir), "supp-3")
+    return lookup.dependencies(cut(_edges(spark, sf_dir)), "supp-3")
 
 
 @query("log_lines", sql="c AS (SELECT seq, component, sum(strlen(body)) OVER (PARTITION BY component ORDER BY seq ROWS UNBOUNDED PRECEDING)::BIGINT AS used_bytes FROM log_lines) SELECT * FROM c WHERE used_bytes <= 8000")

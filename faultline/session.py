@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -22,10 +25,11 @@ def session(master: str | None = None, app: str = "faultline", **more: str) -> S
 
 
 def cut(df):
-    """df with its lineage cut by checkpoint(), in the folder of spark.checkpoint.dir; a temporary one where none is set, as in tests."""
+    """df with its lineage cut by checkpoint(), in the folder of spark.checkpoint.dir. Where that is unset, a local one if all run on this machine; else an error."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()

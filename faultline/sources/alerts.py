@@ -12,7 +12,7 @@ from ..functions.names import norm, pod_owner
 from ..functions.text import alert_kind, alert_severity, first_of, logfmt
 from ..functions.times import leading_stamp, window_minutes
 from .lines import split_lines
-from .traces import json_segments, repaired_json
+from .traces import json_segments, line_of, repaired_json
 
 _ALERT = "struct<status:string,state:string,labels:map<string,string>,annotations:map<string,string>,startsAt:string,activeAt:string,endsAt:string,value:string,fingerprint:string>"
 _API = "array<struct<status:struct<state:string,silencedBy:array<string>>,labels:map<string,string>,annotations:map<string,string>,startsAt:string,endsAt:string,fingerprint:string>>"
@@ -59,20 +59,29 @@ def _rows(df: DataFrame, status: Column, value: Column) -> DataFrame:
         iso_ms(F.col("ends")).alias("ends_ms"),
         value.alias("value"),
         long_window.alias("long_window_min"),
+        "source_line",
         F.coalesce(_map("annotations")["summary"], _map("annotations")["description"], _map("annotations")["message"]).alias("summary"),
         "labels",
     )
 
 
+def _located(labels: Column, starts: Column, fingerprint: Column) -> Column:
+    """The line that names an alert of a document: by name, else by start, else by fingerprint."""
+    doc, first = F.col("doc"), F.col("first_line")
+    has = lambda v: F.coalesce(doc.contains(F.concat(F.lit('"'), v, F.lit('"'))), F.lit(False))
+    name = F.coalesce(labels["alertname"], F.lit(""))
+    return F.when(has(name), line_of(doc, first, name)).when(has(starts), line_of(doc, first, starts)).when(has(fingerprint), line_of(doc, first, fingerprint)).otherwise(first)
+
+
 def json_alerts(docs: DataFrame) -> DataFrame:
     """Of (incident_id, doc): webhook and rule documents, and bare arrays of alerts. Inactive rules are left out."""
-    o = docs.filter(F.col("doc").rlike(r"^\s*\{")).select("incident_id", F.from_json("doc", WEBHOOK).alias("o"))
+    o = docs.filter(F.col("doc").rlike(r"^\s*\{")).select("incident_id", "first_line", "doc", F.from_json("doc", WEBHOOK).alias("o"))
     listed = F.concat(*[F.coalesce(x, F.array().cast(f"array<{_ALERT}>")) for x in (F.col("o.alerts"), F.col("o.data.alerts"), F.flatten(F.flatten(F.transform(F.col("o.data.groups"), lambda g: F.transform(g["rules"], lambda r: r["alerts"])))))])
-    a = o.select("incident_id", _map("o.groupLabels").alias("gl"), _map("o.commonLabels").alias("cl"), _map("o.commonAnnotations").alias("ca"), F.explode(listed).alias("a"))
-    a = a.select("incident_id", overlaid(F.col("gl"), F.col("cl"), _map("a.labels")).alias("labels"), overlaid(F.col("ca"), _map("a.annotations")).alias("annotations"), F.coalesce("a.startsAt", "a.activeAt").alias("starts"), F.col("a.endsAt").alias("ends"), F.lower(F.coalesce("a.status", "a.state", F.lit("firing"))).alias("state"), F.col("a.value").try_cast("double").alias("value"))
+    a = o.select("incident_id", "first_line", "doc", _map("o.groupLabels").alias("gl"), _map("o.commonLabels").alias("cl"), _map("o.commonAnnotations").alias("ca"), F.explode(listed).alias("a"))
+    a = a.select("incident_id", _located(F.col("a.labels"), F.coalesce("a.startsAt", "a.activeAt"), F.col("a.fingerprint")).alias("source_line"), overlaid(F.col("gl"), F.col("cl"), _map("a.labels")).alias("labels"), overlaid(F.col("ca"), _map("a.annotations")).alias("annotations"), F.coalesce("a.startsAt", "a.activeAt").alias("starts"), F.col("a.endsAt").alias("ends"), F.lower(F.coalesce("a.status", "a.state", F.lit("firing"))).alias("state"), F.col("a.value").try_cast("double").alias("value"))
     first = _rows(a.filter("state <> 'inactive'"), F.when(F.col("state") == "active", "firing").otherwise(F.col("state")), F.col("value"))
-    api = docs.filter(F.col("doc").rlike(r"^\s*\[")).select("incident_id", F.explode(F.from_json("doc", _API)).alias("a")).filter("a.labels is not null")
-    api = api.select("incident_id", _map("a.labels").alias("labels"), _map("a.annotations").alias("annotations"), F.col("a.startsAt").alias("starts"), F.col("a.endsAt").alias("ends"), F.lower(F.coalesce("a.status.state", F.lit("firing"))).alias("state"))
+    api = docs.filter(F.col("doc").rlike(r"^\s*\[")).select("incident_id", "first_line", "doc", F.explode(F.from_json("doc", _API)).alias("a")).filter("a.labels is not null")
+    api = api.select("incident_id", _located(F.col("a.labels"), F.col("a.startsAt"), F.col("a.fingerprint")).alias("source_line"), _map("a.labels").alias("labels"), _map("a.annotations").alias("annotations"), F.col("a.startsAt").alias("starts"), F.col("a.endsAt").alias("ends"), F.lower(F.coalesce("a.status.state", F.lit("firing"))).alias("state"))
     return first.unionByName(_rows(api, F.when(F.col("state") == "suppressed", "silenced").when(F.col("state") == "active", "firing").otherwise(F.col("state")), F.lit(None).cast("double")))
 
 
@@ -87,7 +96,7 @@ def text_alerts(panes: DataFrame) -> DataFrame:
     severity = F.when(line.rlike(stamped), F.lower(F.regexp_extract(line, stamped, 2)))
     extra = F.map_filter(F.create_map(F.lit("alertname"), F.col("name"), F.lit("severity"), F.coalesce(severity, F.col("m")["severity"])), lambda k, v: v.isNotNull())
     m = m.withColumns({"name": name, "state": state}).filter("name is not null")
-    m = m.select("incident_id", overlaid(F.col("m"), extra).alias("labels"), _map(F.lit(None).cast("map<string,string>")).alias("annotations"), line.alias("starts"), F.lit(None).cast("string").alias("ends"), "state")
+    m = m.select("incident_id", F.col("line_no").cast("int").alias("source_line"), overlaid(F.col("m"), extra).alias("labels"), _map(F.lit(None).cast("map<string,string>")).alias("annotations"), line.alias("starts"), F.lit(None).cast("string").alias("ends"), "state")
     return _rows(m, F.col("state"), F.lit(None).cast("double"))
 
 

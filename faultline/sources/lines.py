@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
 
 
-def split_lines(panes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line_no, line): cleaned lines numbered from 1; one empty line at the end is dropped, null text has none."""
-    parts = F.split(clean_text(F.col(text_col)), "\r\n|\r|\n")
+def pane_lines(text: Column) -> Column:
+    """The cleaned lines of a text; one empty line at the end is dropped, null text has none."""
+    parts = F.split(clean_text(text), "\r\n|\r|\n")
     last = F.size(parts)
-    parts = F.when((last > 1) & (F.element_at(parts, -1) == ""), F.slice(parts, 1, last - 1)).otherwise(parts)
-    rows = panes.select(F.col(id_col), F.posexplode(parts).alias("pos", "line"))
+    return F.when((last > 1) & (F.element_at(parts, -1) == ""), F.slice(parts, 1, last - 1)).otherwise(parts)
+
+
+def split_lines(panes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, line_no, line): cleaned lines numbered from 1."""
+    rows = panes.select(F.col(id_col), F.posexplode(pane_lines(F.col(text_col))).alias("pos", "line"))
     return rows.select(id_col, (F.col("pos") + 1).alias("line_no"), "line")
+
+
+def line_at(text: Column, offset: Column) -> Column:
+    """The 1-based line that holds a character offset of a text."""
+    before = F.substring(F.regexp_replace(text, "\r\n?", "\n"), F.lit(1), offset)
+    return (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("int")

@@ -6,15 +6,18 @@ json_segments cuts the documents out, span_lines reads what is left.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import logfmt
 from ..functions.times import duration_ms, leading_stamp
-from .lines import split_lines
+from .lines import pane_lines, split_lines
 
-COLUMNS = ["incident_id", "trace_id", "span_id", "parent_id", "service", "op", "kind", "start_ms", "dur_ms", "error", "http_status", "db", "peer", "cluster", "namespace", "pod", "format"]
+COLUMNS = ["incident_id", "trace_id", "span_id", "parent_id", "service", "op", "kind", "start_ms", "dur_ms", "error", "http_status", "db", "peer", "cluster", "namespace", "pod", "source_line", "format"]
 
 _VALUE = "struct<stringValue:string,intValue:string,boolValue:boolean,doubleValue:double>"
 _ATTRIBUTES = f"array<struct<key:string,value:{_VALUE}>>"
@@ -26,25 +29,48 @@ JAEGER = f"struct<data:array<struct<traceID:string,spans:array<struct<traceID:st
 ZIPKIN = "array<struct<traceId:string,id:string,parentId:string,name:string,kind:string,timestamp:double,duration:double,localEndpoint:struct<serviceName:string>,remoteEndpoint:struct<serviceName:string,ipv4:string>,tags:map<string,string>>>"
 
 
+#: A line that can begin a document; "[FIRING:2]" and "[pod/x" can't.
+OPENS = re.compile(r"""\s*(?:\{\s*(?:["}]|$)|\[\s*(?:[\[{"\d\]-]|true|false|null|$))""")
+_SEGMENTS = T.ArrayType(T.StructType([T.StructField("first_line", T.IntegerType()), T.StructField("doc", T.StringType())]))
+
+
+@F.pandas_udf(_SEGMENTS)
+def _segments(panes: pd.Series) -> pd.Series:
+    """The documents in the lines of a pane. A document ends where its own brackets balance, or with the pane."""
+
+    def cut(lines):
+        out, held, depth = [], [], 0
+        for number, line in enumerate(lines if lines is not None else [], 1):
+            if not held:
+                if not OPENS.match(line):
+                    continue
+                first, depth, opened = number, 0, False
+            held.append(line)
+            for mark in re.sub(r'"(?:[^"\\]|\\.)*"?', "", line):
+                if mark in "{[":
+                    depth, opened = depth + 1, True
+                elif mark in "}]":
+                    depth -= 1
+                    if opened and depth <= 0:
+                        out.append({"first_line": first, "doc": "\n".join(held)})
+                        held = []
+                        break
+        return [*out, {"first_line": first, "doc": "\n".join(held)}] if held else out
+
+    return panes.map(cut)
+
+
 def json_segments(panes: DataFrame) -> DataFrame:
-    """(incident_id, first_line, doc): the JSON documents in panes.
-
-    A line that begins a document is one that opens a bracket outside any other
-    document, unless it is an alert or pod prefix; a document ends where its
-    brackets balance, or with the pane. Strings are taken out before counting.
-    """
-    rows = split_lines(panes, "incident_id", "text")
-    bare = F.regexp_replace("line", r'"(?:[^"\\]|\\.)*"', "")
-    net = F.length(F.regexp_replace(bare, r"[^{\[]", "")) - F.length(F.regexp_replace(bare, r"[^}\]]", ""))
-    opens = F.col("line").rlike(r"^\s*[{\[]") & ~F.col("line").rlike(r"^\s*\[(?:FIRING|RESOLVED|pod/)")
-    w = Window.partitionBy("incident_id").orderBy("line_no")
-    rows = rows.withColumns({"net": net, "opens": opens})
-    rows = rows.withColumn("depth", F.sum("net").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("starts", F.col("opens") & (F.coalesce("depth", F.lit(0)) <= 0))
-    rows = rows.withColumn("doc_no", F.sum(F.col("starts").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = rows.filter((F.col("doc_no") > 0) & (F.col("starts") | (F.coalesce("depth", F.lit(0)) > 0)))
-    parts = F.sort_array(F.collect_list(F.struct("line_no", "line")))
-    return inside.groupBy("incident_id", "doc_no").agg(F.min("line_no").alias("first_line"), F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("doc")).drop("doc_no")
+    """(incident_id, first_line, doc): the JSON documents in panes; text outside a document doesn't count for it."""
+    found = panes.select("incident_id", F.explode(_segments(pane_lines(F.col("text")))).alias("d"))
+    return found.select("incident_id", "d.first_line", "d.doc")
+
+
+def line_of(doc: Column, first_line: Column, value: Column) -> Column:
+    """The pane's line on which a document first holds a quoted value; the document's first line if it doesn't."""
+    before = F.call_function("substring_index", doc, F.concat(F.lit('"'), value, F.lit('"')), F.lit(1))
+    lines = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
+    return F.when(doc.contains(F.concat(F.lit('"'), value, F.lit('"'))), first_line + lines).otherwise(first_line).cast("int")
 
 
 @F.pandas_udf(T.StringType())
@@ -128,57 +154,59 @@ def _normalised(df: DataFrame, form: str) -> DataFrame:
         F.coalesce(_first(r, "k8s.cluster.name", "cluster"), _first(a, "k8s.cluster.name", "cluster")).alias("cluster"),
         F.coalesce(_first(r, "k8s.namespace.name", "service.namespace"), _first(a, "k8s.namespace.name", "namespace")).alias("namespace"),
         F.coalesce(r["k8s.pod.name"], a["k8s.pod.name"]).alias("pod"),
+        "source_line",
         F.lit(form).alias("format"),
     )
 
 
 def otlp_spans(docs: DataFrame) -> DataFrame:
     """Of (incident_id, doc): resource, scope and span levels exploded; nanoseconds to milliseconds with their fraction."""
-    root = docs.select("incident_id", F.from_json("doc", OTLP).alias("o"))
-    res = root.select("incident_id", F.explode(F.coalesce("o.resourceSpans", "o.resource_spans", "o.batches")).alias("res"))
-    scopes = res.select("incident_id", _attributes(F.col("res.resource.attributes")).alias("r"), F.explode(F.coalesce("res.scopeSpans", "res.instrumentationLibrarySpans")).alias("scope"))
-    s = scopes.select("incident_id", "r", F.explode("scope.spans").alias("s"))
+    held = ["incident_id", "first_line", "doc"]
+    root = docs.select(*held, F.from_json("doc", OTLP).alias("o"))
+    res = root.select(*held, F.explode(F.coalesce("o.resourceSpans", "o.resource_spans", "o.batches")).alias("res"))
+    scopes = res.select(*held, _attributes(F.col("res.resource.attributes")).alias("r"), F.explode(F.coalesce("res.scopeSpans", "res.instrumentationLibrarySpans")).alias("scope"))
+    s = scopes.select(*held, "r", F.explode("scope.spans").alias("s"))
     start, end = F.col("s.startTimeUnixNano").try_cast("decimal(20,0)"), F.col("s.endTimeUnixNano").try_cast("decimal(20,0)")
     none = F.lit(None).cast("string")
     rows = s.select("incident_id", F.col("s.traceId").alias("trace_id"), F.col("s.spanId").alias("span_id"), F.col("s.parentSpanId").alias("parent_id"), none.alias("service"), F.col("s.name").alias("op"), F.col("s.kind").alias("kind"),
-                    (start / 1000000).cast("double").alias("start_ms"), ((end - start) / 1000000).cast("double").alias("dur_ms"), F.col("s.status.code").alias("status_code"), none.alias("peer"), _attributes(F.col("s.attributes")).alias("a"), "r")
+                    (start / 1000000).cast("double").alias("start_ms"), ((end - start) / 1000000).cast("double").alias("dur_ms"), F.col("s.status.code").alias("status_code"), none.alias("peer"), _attributes(F.col("s.attributes")).alias("a"), "r", line_of(F.col("doc"), F.col("first_line"), F.col("s.spanId")).alias("source_line"))
     return _normalised(rows, "otlp")
 
 
 def jaeger_spans(docs: DataFrame) -> DataFrame:
     """Of (incident_id, doc): services from the process table; the CHILD_OF reference is the parent, else the first; microseconds."""
-    t = docs.select("incident_id", F.explode(F.from_json("doc", JAEGER)["data"]).alias("t"))
-    s = t.select("incident_id", "t.processes", "t.traceID", F.explode("t.spans").alias("s"))
+    t = docs.select("incident_id", "first_line", "doc", F.explode(F.from_json("doc", JAEGER)["data"]).alias("t"))
+    s = t.select("incident_id", "first_line", "doc", "t.processes", "t.traceID", F.explode("t.spans").alias("s"))
     process = F.col("processes")[F.col("s.processID")]
     refs = F.col("s.references")
     parent = F.coalesce(F.get(F.filter(refs, lambda x: x["refType"] == "CHILD_OF"), F.lit(0))["spanID"], F.get(refs, F.lit(0))["spanID"])
     a = _tags(F.col("s.tags"))
     rows = s.select("incident_id", F.coalesce("s.traceID", "traceID").alias("trace_id"), F.col("s.spanID").alias("span_id"), parent.alias("parent_id"), process["serviceName"].alias("service"), F.col("s.operationName").alias("op"), F.lit(None).cast("string").alias("kind"),
-                    (F.col("s.startTime") / 1000).alias("start_ms"), (F.col("s.duration") / 1000).alias("dur_ms"), a["otel.status_code"].alias("status_code"), F.lit(None).cast("string").alias("peer"), a.alias("a"), _tags(process["tags"]).alias("r"))
+                    (F.col("s.startTime") / 1000).alias("start_ms"), (F.col("s.duration") / 1000).alias("dur_ms"), a["otel.status_code"].alias("status_code"), F.lit(None).cast("string").alias("peer"), a.alias("a"), _tags(process["tags"]).alias("r"), line_of(F.col("doc"), F.col("first_line"), F.col("s.spanID")).alias("source_line"))
     return _normalised(rows, "jaeger")
 
 
 def zipkin_spans(docs: DataFrame) -> DataFrame:
     """Of (incident_id, doc): version 2 arrays with local and remote endpoints; microseconds."""
-    s = docs.filter(F.col("doc").rlike(r"^\s*\[")).select("incident_id", F.explode(F.from_json("doc", ZIPKIN)).alias("s")).filter("s.id is not null")
+    s = docs.filter(F.col("doc").rlike(r"^\s*\[")).select("incident_id", "first_line", "doc", F.explode(F.from_json("doc", ZIPKIN)).alias("s")).filter("s.id is not null")
     empty = F.create_map().cast("map<string,string>")
     a = F.coalesce(F.col("s.tags"), empty)
     failed = F.when(F.coalesce(a["error"], F.lit("false")) != "false", "error")
     rows = s.select("incident_id", F.col("s.traceId").alias("trace_id"), F.col("s.id").alias("span_id"), F.col("s.parentId").alias("parent_id"), F.col("s.localEndpoint.serviceName").alias("service"), F.col("s.name").alias("op"), F.col("s.kind").alias("kind"),
-                    (F.col("s.timestamp") / 1000).alias("start_ms"), (F.col("s.duration") / 1000).alias("dur_ms"), failed.alias("status_code"), F.coalesce("s.remoteEndpoint.serviceName", "s.remoteEndpoint.ipv4").alias("peer"), a.alias("a"), empty.alias("r"))
+                    (F.col("s.timestamp") / 1000).alias("start_ms"), (F.col("s.duration") / 1000).alias("dur_ms"), failed.alias("status_code"), F.coalesce("s.remoteEndpoint.serviceName", "s.remoteEndpoint.ipv4").alias("peer"), a.alias("a"), empty.alias("r"), line_of(F.col("doc"), F.col("first_line"), F.col("s.id")).alias("source_line"))
     return _normalised(rows, "zipkin")
 
 
 def text_spans(panes: DataFrame) -> DataFrame:
     """Of (incident_id, text): lines with trace, span and service pairs."""
-    m = split_lines(panes, "incident_id", "text").select("incident_id", leading_stamp(F.col("line")).alias("t"), logfmt(F.col("line")).alias("m"))
+    m = split_lines(panes, "incident_id", "text").select("incident_id", F.col("line_no").alias("source_line"), leading_stamp(F.col("line")).alias("t"), logfmt(F.col("line")).alias("m"))
     m = m.filter(F.col("m")["trace"].isNotNull() & F.col("m")["span"].isNotNull() & F.col("m")["service"].isNotNull())
     v = F.col("m")
     status = F.when(F.lower(F.coalesce(v["status"], F.lit(""))).isin("error", "err", "failed", "2"), "error")
     a = F.map_filter(F.create_map(F.lit("http.status_code"), v["code"], F.lit("db.system"), v["db"], F.lit("error"), v["error"]), lambda k, x: x.isNotNull())
     r = F.map_filter(F.create_map(F.lit("cluster"), v["cluster"], F.lit("k8s.namespace.name"), F.coalesce(v["ns"], v["namespace"]), F.lit("k8s.pod.name"), v["pod"]), lambda k, x: x.isNotNull())
     rows = m.select("incident_id", v["trace"].alias("trace_id"), v["span"].alias("span_id"), v["parent"].alias("parent_id"), v["service"].alias("service"), v["op"].alias("op"), v["kind"].alias("kind"),
-                    F.col("t.ts_ms").cast("double").alias("start_ms"), duration_ms(v["dur"]).alias("dur_ms"), status.alias("status_code"), v["peer"].alias("peer"), a.alias("a"), r.alias("r"))
+                    F.col("t.ts_ms").cast("double").alias("start_ms"), duration_ms(v["dur"]).alias("dur_ms"), status.alias("status_code"), v["peer"].alias("peer"), a.alias("a"), r.alias("r"), "source_line")
     return _normalised(rows, "text")
 
 

@@ -214,3 +214,27 @@ def test_scalars(spark):
 )
 def test_redaction(spark, before, after):
     assert spark.createDataFrame([(before,)], "v string").select(text.redact(F.col("v")).alias("r")).first().r == after
+
+
+def test_json_segments_count_from_their_own_start(spark):
+    from faultline.sources.traces import json_segments
+
+    doc = '{\n "a": "x ] }",\n "b": [1]\n}'
+    panes = {
+        "open text before": "note: retry [1/3\n" + doc,
+        "stray close before": "}\n" + doc + "\n[1, 2]",
+        "broken line between": doc + "\nmsg {broken\n" + doc,
+        "prefixes": '[FIRING:2] Hot [x\n[pod/web-1/app] {"k": 1\n' + doc,
+        "cut off": doc + '\n{"a": [1,\n 2',
+        "none": "",
+    }
+    got = {}
+    for r in json_segments(spark.createDataFrame(list(panes.items()), "incident_id string, text string")).collect():
+        got.setdefault(r.incident_id, []).append((r.first_line, r.doc))
+    assert got == {
+        "open text before": [(2, doc)],
+        "stray close before": [(2, doc), (6, "[1, 2]")],
+        "broken line between": [(1, doc), (6, doc)],
+        "prefixes": [(3, doc)],
+        "cut off": [(1, doc), (5, '{"a": [1,\n 2')],
+    }

@@ -17,7 +17,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prefix_sums, staged
+from .common import fresh_name, prefix_sums, staged
 
 LAW = "key"
 
@@ -39,25 +39,28 @@ def shard_records(df: DataFrame, keys: list[str], weights: Mapping[int, float],
 
     Slots are numbered in two steps: row numbers inside hash buckets of a shard,
     then running sums over bucket sizes, so no task holds a whole shard. A bucket
-    hashes all of order, not only the keys: rows of one key spread.
+    hashes all of order, not only the keys: rows of one key spread. Columns of df
+    named shard, grown_shard or slot are replaced; others are carried, whatever their names.
     """
     spark = df.sparkSession
+    bucket, row, first, held = (fresh_name(x, df) for x in ("bucket", "row", "start", "n"))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = staged(
         df.withColumns(
             {
                 "shard": shard_of(keys, weights),
                 "grown_shard": shard_of(keys, grown) if grown else F.lit(None).cast("int"),
-                "_bucket": F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"),
+                bucket: F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"),
             }
         ),
         "shards",
     )
-    counts = placed.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
-    starts = prefix_sums(counts, ["_bucket"], "_n", "_start", ["shard"]).drop("_n")
-    inside = F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy(*order))
+    counts = placed.groupBy("shard", bucket).agg(F.count("*").alias(held))
+    starts = prefix_sums(counts, [bucket], held, first, ["shard"]).drop(held)
+    inside = F.row_number().over(Window.partitionBy("shard", bucket).orderBy(*order))
     # At most shards x buckets rows: a size set by the cluster, not by the input.
-    return placed.withColumn("_row", inside).join(F.broadcast(starts), ["shard", "_bucket"]).withColumn("slot", (F.col("_start") + F.col("_row") - 1).cast("long")).drop("_bucket", "_row", "_start")
+    placed = placed.withColumn(row, inside).join(F.broadcast(starts), ["shard", bucket])
+    return placed.withColumn("slot", (F.col(first) + F.col(row) - 1).cast("long")).drop(bucket, row, first)
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, weights: Mapping[int, float] | None = None) -> DataFrame:

@@ -23,8 +23,8 @@ def _covered(positions: Column) -> Column:
     return F.when(n == 0, F.lit(0).cast("long")).otherwise(F.aggregate(gaps, F.lit(0).cast("long"), lambda a, g: a + g))
 
 
-def _repeats(windows: Column) -> Column:
-    """Words inside windows that occur twice or more. Most texts have none: a hash set tells; else windows are sorted with their places."""
+def _repeats(words: Column) -> Column:
+    """Words inside windows that occur twice or more. Most texts have none, as distinct hashes tell; else windows are sorted with their places and compared by their words."""
 
     def sorted_places(s: Column) -> Column:
         n = F.size(s)
@@ -32,12 +32,17 @@ def _repeats(windows: Column) -> Column:
         at = F.filter(F.sequence(F.lit(0), n - 1), lambda k: F.when((k > 0) & same(k, F.greatest(k - 1, F.lit(0))), F.lit(True)).otherwise((k < n - 1) & same(k, F.least(k + 1, n - 1))))
         return let(F.array_sort(F.transform(at, lambda k: F.get(s, k)["at"])), _covered)
 
-    pairs = F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("at")))
-    none = F.size(F.array_distinct(windows)) == F.size(windows)
-    return F.when(none, F.lit(0).cast("long")).otherwise(let(F.array_sort(pairs), sorted_places))
+    def repeated_hashes(hashes: Column) -> Column:
+        # Words hold no space, so windows joined by spaces are equal where their words are.
+        window = lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+        pairs = F.transform(hashes, lambda h, i: F.struct(window(i).alias("w"), i.alias("at")))
+        none = F.size(F.array_distinct(hashes)) == F.size(hashes)
+        return F.when(none, F.lit(0).cast("long")).otherwise(let(F.array_sort(pairs), sorted_places))
 
+    return let(_window_hashes(words), repeated_hashes)
 
-def _windows(words: Column) -> Column:
+
+def _window_hashes(words: Column) -> Column:
     """A 64-bit hash of each window of three words, in order."""
     n = F.size(words)
     some = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
@@ -57,7 +62,7 @@ def text_stats(text: Column, more: bool = False) -> Column:
             out.append((F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"))
             lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
             both = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
-            out += [both["n"].alias("n_lines"), both["dup"].alias("n_dup_lines"), let(_windows(words), _repeats).alias("n_repeat_words")]
+            out += [both["n"].alias("n_lines"), both["dup"].alias("n_dup_lines"), _repeats(words).alias("n_repeat_words")]
             if more:
                 count = lambda drop: (F.char_length(t) - F.char_length(drop)).cast("long")
                 out += [

@@ -99,12 +99,12 @@ def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterat
         yield batch.slice(start)
 
 
-def in_steps(column: str, work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch]):
+def in_steps(column: str, work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch], limit: int = STEP_BYTES):
     """A mapInArrow function that applies work to each slice of each batch."""
 
     def run(batches):
         for batch in batches:
-            for part in steps(batch, column):
+            for part in steps(batch, column, limit):
                 out = work(part)
                 if isinstance(out, pa.RecordBatch):
                     yield out

@@ -13,6 +13,11 @@ from .text import first_of
 _UNITS = "ms|us|µs|μs|ns|y|w|d|h|m|s"
 
 
+def bound(value: Column, body) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def half_up(x: Column, digits: int = 0) -> Column:
     """Rounded half towards plus infinity."""
     p = float(10**digits)
@@ -90,6 +95,55 @@ def leading_stamp(line: Column, year: int = 1970, default_offset: int = 0) -> Co
     )
 
 
+# Whole stamps: day and month names first, C's form, syslog's and klog's without a year.
+ISO = r"(?i)^(\d{4})[-/](\d{2})[-/](\d{2})(?:[T ](\d{2}:\d{2})(?::(\d{2})(?:[.,](\d+))?)?)?\s*(Z|[+-]\d{2}(?::?\d{2})?|UTC|GMT)?(?:\s+\(?([A-Za-z]{2,5})\)?)?(?:\s+m=[+-][\d.]+)?$"
+RFC_1123 = r"^(?:[A-Za-z]{3},?\s+)?(\d{1,2})\s+([A-Za-z]{3})\s+(\d{4})\s+(\d{2}:\d{2})(?::(\d{2})(?:\.(\d+))?)?\s*(Z|[+-]\d{2}:?\d{2}|[A-Za-z]{1,5})?$"
+ANSIC = r"^(?:[A-Za-z]{3}\s+)?([A-Za-z]{3})\s+(\d{1,2})\s+(\d{2}:\d{2}:\d{2})(?:\.(\d+))?\s+(?:([A-Za-z]{2,5}|[+-]\d{4})\s+)?(\d{4})$"
+SYSLOG = r"^([A-Za-z]{3})\s+(\d{1,2})\s+(\d{2}:\d{2}:\d{2})(?:\.(\d+))?$"
+KLOG = r"^(\d{2})(\d{2})\s+(\d{2}:\d{2}:\d{2})(?:\.(\d+))?$"
+EPOCH = r"^-?\d{9,19}(?:\.\d+)?$"
+DAY = 86_400_000
+
+
+def parsed_stamp(text: Column, now_ms: Column, year: Column | None = None, default_offset: int = 0) -> Column:
+    """Struct of ts_ms, zone_assumed and year_assumed of a whole stamp in one of six forms; nulls if it is none.
+
+    A form without a year takes the year given, else now's; without one given, a stamp over a day after now is last year's.
+    """
+    t = F.trim(text)
+    part = lambda p, i: F.regexp_extract(t, p, i)
+    some = lambda c, other: F.when(c != "", c).otherwise(other)
+    iso, rfc, c, sys_, klog, epoch = (t.rlike(p) for p in (ISO, RFC_1123, ANSIC, SYSLOG, KLOG, EPOCH))
+    months = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m.lower(), f"{i:02}")])
+    named = F.try_element_at(months, F.lower(first_of([(rfc, part(RFC_1123, 2)), (c, part(ANSIC, 1)), (sys_, part(SYSLOG, 1))])))
+    month = first_of([(iso, part(ISO, 2)), (klog, part(KLOG, 1)), (rfc | c | sys_, named)])
+    day = F.lpad(first_of([(iso, part(ISO, 3)), (rfc, part(RFC_1123, 1)), (c, part(ANSIC, 2)), (sys_, part(SYSLOG, 2)), (klog, part(KLOG, 2))]), 2, "0")
+    short = lambda clock, seconds: F.concat(some(clock, "00:00"), F.lit(":"), some(seconds, "00"))
+    clock = first_of([(iso, short(part(ISO, 4), part(ISO, 5))), (rfc, short(part(RFC_1123, 4), part(RFC_1123, 5))), (c, part(ANSIC, 3)), (sys_, part(SYSLOG, 3)), (klog, part(KLOG, 3))])
+    digits = first_of([(iso, part(ISO, 6)), (rfc, part(RFC_1123, 6)), (c, part(ANSIC, 4)), (sys_, part(SYSLOG, 4)), (klog, part(KLOG, 4))])
+    zone = first_of([(iso, some(part(ISO, 7), part(ISO, 8))), (rfc, part(RFC_1123, 7)), (c, part(ANSIC, 5))])
+    stated = first_of([(iso, part(ISO, 1)), (rfc, part(RFC_1123, 3)), (c, part(ANSIC, 6))])
+    now_year = F.year(F.timestamp_millis(now_ms))
+    assumed = now_year if year is None else F.coalesce(year.cast("int"), now_year)
+    given = F.lit(False) if year is None else year.isNotNull()
+    fields = F.struct(
+        epoch.alias("epoch"), (iso | rfc | c).alias("dated"), (sys_ | klog).alias("yearless"), F.when(epoch, epoch_ms(t.try_cast("double"))).alias("at"), stated.alias("y"), month.alias("mo"), day.alias("d"), clock.alias("clock"), digits.alias("digits"),
+        F.when(zone != "", zone).alias("zone"), assumed.alias("assumed"), now_ms.alias("now"), given.alias("given"),
+    )
+
+    def placed(p: Column, offset: Column) -> Column:
+        rest = F.coalesce(F.rpad(F.substring(p["digits"], 1, 3), 3, "0").try_cast("long"), F.lit(0).cast("long")) - F.coalesce(offset, F.lit(default_offset)) * 60_000
+        at = lambda back: _utc_ms(F.concat_ws(" ", F.concat_ws("-", F.coalesce(p["y"], F.lpad((p["assumed"] - back).cast("string"), 4, "0")), p["mo"], p["d"]), p["clock"])) + rest
+
+        def chosen(this: Column) -> Column:
+            ts = F.when(p["epoch"], p["at"]).when(p["yearless"] & ~p["given"] & (this > p["now"] + DAY), at(1)).when(p["dated"] | p["yearless"], this).cast("long")
+            return F.struct(ts.alias("ts_ms"), F.when(ts.isNotNull(), ~p["epoch"] & offset.isNull()).alias("zone_assumed"), F.when(ts.isNotNull(), p["yearless"]).alias("year_assumed"))
+
+        return bound(F.when(p["dated"] | p["yearless"], at(0)), chosen)
+
+    return bound(fields, lambda p: bound(offset_minutes(p["zone"]), lambda offset: placed(p, offset)))
+
+
 def window_minutes(text: Column) -> Column:
     """Minutes of a plain window length such as 1h or 3 days."""
     pattern = r"(?i)^\s*(\d+(?:\.\d+)?)\s*(m|min|mins|minutes?|h|hr|hours?|d|days?)\s*\z"

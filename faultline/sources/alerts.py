@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
@@ -97,10 +97,67 @@ def text_alerts(panes: DataFrame) -> DataFrame:
     extra = F.map_filter(F.create_map(F.lit("alertname"), F.col("name"), F.lit("severity"), F.coalesce(severity, F.col("m")["severity"])), lambda k, v: v.isNotNull())
     m = m.withColumns({"name": name, "state": state}).filter("name is not null")
     m = m.select("incident_id", F.col("line_no").cast("int").alias("source_line"), overlaid(F.col("m"), extra).alias("labels"), _map(F.lit(None).cast("map<string,string>")).alias("annotations"), line.alias("starts"), F.lit(None).cast("string").alias("ends"), "state")
+    m = with_bodies(m, body_labels(panes))
     return _rows(m, F.col("state"), F.lit(None).cast("double"))
 
 
+_DATE = r"\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:\s?(?:[A-Z]{2,5}|[+-]\d{2}:?\d{2}|Z))?"
+TOOL_ROW = rf"(?i)^\s*([A-Za-z_:][\w:.-]*)\s+({_DATE})\s+(.*?)\s*\b(active|suppressed|unprocessed|firing|resolved|pending)\s*$"
+TOOL_WIDE = rf"(?i)^(.*?)\s+({_DATE})\s+({_DATE})\s+(\S*)\s+(active|suppressed|unprocessed|firing|resolved|pending)\s*$"
+TOOL_HEADER = r"^\s*(?:Alertname\s+Starts At\s+Summary\s+State|Labels\s+Annotations\s+Starts At\s+Ends At\s+Generator URL\s+State)\s*$"
+ANNOTATIONS = "summary description message runbook_url runbook dashboard title".split()
+LABEL = r"([A-Za-z_][\w]*)=\"((?:[^\"\\]|\\.)*)\""
+
+
+def tool_alerts(panes: DataFrame) -> DataFrame:
+    """Of (incident_id, text): the simple and the extended table of the alert manager's command line tool."""
+    rows = split_lines(panes, "incident_id", "text")
+    line = F.col("line")
+    w = Window.partitionBy("incident_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    inside = F.last(F.when(line.rlike(TOOL_HEADER), F.col("line_no")).when(F.trim(line) == "", F.lit(-1)), ignorenulls=True).over(w)
+    rows = rows.withColumn("table", inside).filter((F.col("table") > 0) & (F.col("table") < F.col("line_no")))
+    pairs = F.map_from_arrays(F.regexp_extract_all(F.regexp_extract(line, TOOL_WIDE, 1), F.lit(LABEL), F.lit(1)), F.regexp_extract_all(F.regexp_extract(line, TOOL_WIDE, 1), F.lit(LABEL), F.lit(2)))
+    wide, simple = line.rlike(TOOL_WIDE) & line.contains('="'), line.rlike(TOOL_ROW)
+    part = lambda i, j: F.when(wide, F.regexp_extract(line, TOOL_WIDE, j)).otherwise(F.regexp_extract(line, TOOL_ROW, i))
+    is_note = lambda k: F.lower(k).isin(ANNOTATIONS)
+    labels = F.when(wide, F.map_filter(pairs, lambda k, v: ~is_note(k))).otherwise(F.create_map(F.lit("alertname"), F.regexp_extract(line, TOOL_ROW, 1)))
+    notes = F.when(wide, F.map_filter(pairs, lambda k, v: is_note(k))).otherwise(F.create_map(F.lit("summary"), F.regexp_extract(line, TOOL_ROW, 3)))
+    stamp = lambda c: F.regexp_replace(c, r"\s(?:UTC|GMT)$", "Z")
+    state = F.lower(part(4, 5))
+    a = rows.filter(wide | simple).select("incident_id", F.col("line_no").cast("int").alias("source_line"), labels.alias("labels"), notes.alias("annotations"), stamp(part(2, 2)).alias("starts"), F.when(wide & (state == "resolved"), stamp(F.regexp_extract(line, TOOL_WIDE, 3))).alias("ends"), state.alias("state"))
+    return _rows(a.filter(F.col("labels")["alertname"].isNotNull()), F.when(F.col("state").isin("resolved", "pending"), F.col("state")).when(F.col("state") == "suppressed", "silenced").otherwise("firing"), F.lit(None).cast("double"))
+
+
+SECTION = r"(?i)^\s*\*?(Labels|Annotations|Details|Alert details)\*?\s*:\s*$"
+BULLET = r"^\s*(?:[-•*·]\s*)?\*?([A-Za-z_][\w.]*)\*?\s*(?:=|:)\s*(.+?)\s*$"
+
+
+def body_labels(panes: DataFrame) -> DataFrame:
+    """Of (incident_id, text): (incident_id, alert_line, labels, annotations), the bullets under "Labels:", "Annotations:" and "Details:" of the alert above them."""
+    rows = split_lines(panes, "incident_id", "text")
+    line = F.col("line")
+    w = Window.partitionBy("incident_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    head = line.rlike(r"^\s*\[(?:FIRING|RESOLVED)(?::\d+)?\]\s+\S") | line.rlike(r"\b(?:FIRING|RESOLVED|PENDING)\s+\w+\s+[A-Z]\w+")
+    rows = rows.withColumn("alert_line", F.last(F.when(head, F.col("line_no")), ignorenulls=True).over(w)).filter("alert_line is not null")
+    inside = Window.partitionBy("incident_id", "alert_line").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    section = F.last(F.when(line.rlike(SECTION), F.lower(F.regexp_extract(line, SECTION, 1))), ignorenulls=True).over(inside)
+    b = rows.withColumn("section", section).filter(F.col("section").isNotNull() & line.rlike(BULLET) & ~line.rlike(SECTION))
+    key, value = F.regexp_extract(line, BULLET, 1), F.regexp_replace(F.regexp_extract(line, BULLET, 2), "^[\"']|[\"']$", "")
+    note = (F.col("section") == "annotations") | ((F.col("section") != "labels") & F.lower(key).isin(*ANNOTATIONS, "alert"))
+    b = b.select("incident_id", "alert_line", F.when(note, F.lower(key)).otherwise(key).alias("key"), value.alias("value"), note.alias("note"), "line_no")
+    once = b.groupBy("incident_id", "alert_line", "note", "key").agg(F.max_by("value", "line_no").alias("value"))
+    of = lambda c: F.map_from_entries(F.collect_list(F.when(c, F.struct("key", "value"))))
+    return once.groupBy("incident_id", "alert_line").agg(of(~F.col("note")).alias("labels"), of(F.col("note")).alias("annotations"))
+
+
+def with_bodies(rows: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Text alerts (incident_id, source_line, labels, annotations and others) with what their bodies state in place of what the subject could only guess."""
+    b = bodies.select("incident_id", F.col("alert_line").cast("int").alias("source_line"), F.col("labels").alias("stated"), F.col("annotations").alias("noted"))
+    out = rows.join(b, ["incident_id", "source_line"], "left")
+    return out.withColumns({"labels": overlaid(_map("labels"), _map("stated")), "annotations": overlaid(_map("annotations"), _map("noted"))}).drop("stated", "noted")
+
+
 def read_alerts(panes: DataFrame) -> DataFrame:
     """All alerts of panes."""
     docs = json_segments(panes).withColumn("doc", repaired_json("doc"))
-    return json_alerts(docs).unionByName(text_alerts(panes))
+    return json_alerts(docs).unionByName(text_alerts(panes)).unionByName(tool_alerts(panes))

@@ -16,6 +16,7 @@ from ..functions.text import classify, first_of, level_in, level_of, logfmt, red
 from ..functions.times import MONTHS, age_ms, duration_ms, leading_stamp
 from ..session import cut
 from .lines import split_lines
+from .traces import json_segments, line_of, repaired_json
 
 MARKERS = [r"^\s*#\s*cluster:\s*(\S+)", r"^\s*-{3}\s*cluster=(\S+?)\s*-{3}", r"^\s*\[context:\s*([^\]\s]+)\s*\]"]
 ECHO = r"^\s*(?:[$#>]\s*)?(?:kubectl|k|oc|helm|stern|kubectx)\s+\S"
@@ -170,6 +171,54 @@ def describe_rows(rows: DataFrame) -> DataFrame:
     return _of(g, F.col("k"), F.lit("error"), pod_owner(F.col("pod0"))["workload"], F.col("ns0"), text, F.col("ts"), F.lit(None).cast("long"), pod=F.col("pod0"))
 
 
+DESCRIBED_EVENT = r"^\s+(Normal|Warning)\s+(\S+)\s+(\S+(?: \(x\d+ over \S+\))?)\s+(\S+)\s+(.*)\z"
+
+
+def described_events(rows: DataFrame) -> DataFrame:
+    """The events under a pod description: type, reason, age, origin and message; the "over" age is the onset."""
+    line = F.col("line")
+    part = lambda i: F.regexp_extract(line, DESCRIBED_EVENT, i)
+    top = line.rlike(r"^Name:\s+\S")
+    order = Window.partitionBy("incident_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    r = rows.withColumn("block", F.sum(top.cast("int")).over(order)).filter("block > 0")
+    inside = Window.partitionBy("incident_id", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda c: F.last(c, ignorenulls=True).over(inside)
+    r = r.withColumns({"pod0": last(F.when(top, F.regexp_extract(line, r"^Name:\s+(\S+)", 1))), "ns0": last(F.when(line.rlike(r"^Namespace:"), F.regexp_extract(line, r"^Namespace:\s+(\S+)", 1))), "under": last(F.when(line.rlike(r"^Events:"), F.lit(True)))})
+    e = r.filter(F.coalesce("under", F.lit(False)) & line.rlike(DESCRIBED_EVENT))
+    age = F.coalesce(age_ms(F.regexp_extract(part(3), r"over (\S+)\)", 1)), age_ms(part(3)))
+    warning = part(1) == "Warning"
+    kind = F.coalesce(classify(F.concat(part(2), F.lit(": "), part(5))), F.when(warning, "error_generic"))
+    return _of(e.withColumn("k", kind).filter("k is not null"), F.col("k"), F.when(warning, "warn").otherwise("info"), pod_owner(F.col("pod0"))["workload"], F.col("ns0"), F.concat(part(2), F.lit(": "), part(5)), F.lit(None).cast("long"), age, pod=F.col("pod0"))
+
+
+_OBJECT = "struct<kind:string,name:string,namespace:string>"
+_EVENT = f"struct<kind:string,involvedObject:{_OBJECT},regarding:{_OBJECT},reason:string,message:string,note:string,type:string,count:bigint,firstTimestamp:string,lastTimestamp:string,eventTime:string,series:struct<count:bigint,lastObservedTime:string>>"
+_EVENTS = f"struct<kind:string,items:array<{_EVENT}>>"
+
+
+def event_documents(panes: DataFrame) -> DataFrame:
+    """Events as JSON: a list, an array or one event, of either API version; the first time is the onset."""
+    docs = json_segments(panes).withColumn("doc", repaired_json("doc"))
+    many, one = F.from_json("doc", _EVENTS)["items"], F.from_json("doc", _EVENT)
+    array = F.from_json("doc", f"array<{_EVENT}>")
+    listed = F.when(F.col("doc").rlike(r"^\s*\["), array).otherwise(F.coalesce(many, F.array(one)))
+    e = docs.select("incident_id", "first_line", "doc", F.explode(listed).alias("e"))
+    e = e.withColumn("o", F.coalesce("e.involvedObject", "e.regarding")).filter(F.col("o.name").isNotNull() & F.col("e.reason").isNotNull())
+    said = F.trim(F.coalesce("e.message", "e.note", F.lit("")))
+    warning = F.coalesce(F.col("e.type"), F.lit("Normal")) == "Warning"
+    text = F.concat("e.reason", F.lit(": "), said)
+    kind = F.coalesce(classify(text), F.when(warning, "error_generic"))
+    at = leading_stamp(F.concat(F.coalesce("e.firstTimestamp", "e.eventTime", "e.lastTimestamp", "e.series.lastObservedTime"), F.lit(" ")))["ts_ms"]
+    what = F.lower(F.coalesce("o.kind", F.lit("pod")))
+    owner = F.when(what == "pod", pod_owner(F.col("o.name"))["workload"]).when(what == "replicaset", replica_set_owner(F.col("o.name"))).otherwise(norm(F.col("o.name")))
+    none = F.lit(None).cast("string")
+    rows = e.withColumns({"k": kind, "said": text, "at": at, "line_no": line_of(F.col("doc"), F.col("first_line"), F.coalesce("e.message", "e.note")), "cluster": none, "namespace": none}).filter("k is not null")
+    return _of(rows, F.col("k"), F.when(warning, "warn").otherwise("info"), owner, F.col("o.namespace"), F.col("said"), F.col("at"), F.lit(None).cast("long"), F.when(what == "node", "node"), pod=F.when(what == "pod", F.col("o.name")))
+
+
+#: The stream and flag that a container runtime puts behind the stamp.
+CRI = r"^(\d{4}-\d{2}-\d{2}T\S+ )(?:stdout|stderr) [FP] "
+KLOG_LINE = r"^([IWEF])\d{4} \d{2}:\d{2}:\d{2}\.\d+\s+\d+ [^\]]+\]\s*"
 POD_PREFIX = r"^\[pod/([^/\]]+)/([^\]]+)\]\s*"
 STERN = r"^(?:([a-z0-9-]+)\s+)?([a-z0-9][a-z0-9-]*-[a-z0-9]{5}|[a-z0-9][a-z0-9-]*-\d{1,3})\s+([a-z0-9-]+)\s+(?=\[?\d{4}-|\{|[A-Z]{4,5}\b)"
 
@@ -183,6 +232,7 @@ def application_rows(rows: DataFrame) -> DataFrame:
     pod = F.when(prefixed, F.regexp_extract(line, POD_PREFIX, 1)).when(stern, F.regexp_extract(line, STERN, 2))
     ns = F.when(stern & ~prefixed, some(F.regexp_extract(line, STERN, 1)))
     body = F.when(prefixed, F.regexp_replace(line, POD_PREFIX, "")).when(stern, F.regexp_replace(line, STERN, "")).otherwise(line)
+    body = F.regexp_replace(body, CRI, "$1")
     r = lines.withColumns({"pod0": pod, "ns0": ns, "body": body}).withColumn("stamp", leading_stamp(F.col("body"))).withColumn("f", structured(F.col("stamp.rest")))
     said = leading_stamp(F.concat("f.ts", F.lit(" ")))["ts_ms"]
     r = r.withColumn("own_ts", F.coalesce("stamp.ts_ms", said))
@@ -191,7 +241,7 @@ def application_rows(rows: DataFrame) -> DataFrame:
     text = F.coalesce(F.concat_ws(" ", "f.msg", "f.error"), F.lit(""))
     text = F.when(text != "", text).otherwise(F.col("stamp.rest"))
     bare = F.concat_ws(" ", text, F.when(F.col("f.status").isNotNull(), F.concat(F.lit("status="), "f.status")))
-    r = r.withColumns({"said": bare, "k0": classify(bare), "level": F.coalesce(level_of(F.col("f.level")), level_in(F.col("stamp.rest")))})
+    r = r.withColumns({"said": bare, "k0": classify(bare), "level": F.coalesce(level_of(F.col("f.level")), first_of([(F.regexp_extract("body", KLOG_LINE, 1) == k, F.lit(v)) for k, v in (("I", "info"), ("W", "warn"), ("E", "error"), ("F", "critical"))]), level_in(F.col("stamp.rest")))})
     kind = F.coalesce(F.col("k0"), F.when(F.col("level").isin("error", "critical"), "error_generic"))
     r = r.withColumn("k", kind).filter("k is not null")
     # Continuations of a stack repeat the kind of the record above: one signal is enough.
@@ -216,7 +266,7 @@ def read_logs(panes: DataFrame) -> DataFrame:
     """All signals of log panes; ages are left as ages until the clock is known."""
     rows = cut(contexts(panes))  # six readers share it
     out = application_rows(rows)
-    for part in (event_rows(rows), pod_rows(rows), node_rows(rows), hpa_rows(rows), describe_rows(rows)):
+    for part in (event_rows(rows), pod_rows(rows), node_rows(rows), hpa_rows(rows), describe_rows(rows), described_events(rows), event_documents(panes)):
         out = out.unionByName(part)
     return out
 

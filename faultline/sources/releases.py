@@ -15,6 +15,7 @@ from .traces import json_segments, repaired_json
 
 HISTORY_ROW = r"^\s*(\d+)\s+(\d{4}-\S+(?: [\d:.]+(?: \S+)*?)?|\S.*?\d{4})\s+(superseded|deployed|failed|pending-\w+|uninstalled|uninstalling|unknown)\s+(\S+)\s+(\S+)\s+(.*)\z"
 HISTORY = "array<struct<revision:bigint,updated:string,status:string,chart:string,app_version:string,description:string>>"
+LISTED = "array<struct<name:string,namespace:string,revision:string,updated:string,status:string,chart:string,app_version:string>>"
 LIST_ROW = r"^\s*(\S+)\s+(\S+)\s+(\d+)\s+(\d{4}-\d{2}-\d{2}\s.*?)\s+(superseded|deployed|failed|pending-\w+|uninstalled|unknown)\s+(\S+)\s+(\S+)\s*\z"
 UNIFIED = r"^\+\+\+ (?:b/)?(?:\S*/)?([^/\s]+)/([^/\s]+\.ya?ml)"
 BLOCK = r"^(\S+), (\S+), (\w+) \(([^)]*)\) has (changed|been added|been removed)"
@@ -37,11 +38,17 @@ def history(panes: DataFrame) -> DataFrame:
 
 
 def listed(panes: DataFrame) -> DataFrame:
-    """(incident_id, release_id, namespace, revision, status, ts_ms, chart, app_version) of release lists."""
+    """(incident_id, release_id, namespace, revision, status, ts_ms, chart, app_version) of release lists, tables and JSON."""
     rows = split_lines(panes, "incident_id", "text").filter(F.col("line").rlike(LIST_ROW))
     part = lambda i: F.regexp_extract("line", LIST_ROW, i)
+    docs = json_segments(panes).withColumn("doc", repaired_json("doc"))
+    items = F.when(F.col("doc").rlike(r"^\s*\["), F.from_json("doc", LISTED)).otherwise(F.from_json("doc", f"struct<releases:{LISTED}>")["releases"])
+    j = docs.select("incident_id", F.explode(items).alias("x")).filter("x.name is not null and x.revision rlike '^[0-9]+$'")
+    at = F.regexp_replace(F.regexp_extract("x.updated", _UPDATED, 1), r"\s+([+-]\d{2}:?\d{2})\z", "$1")
+    j = j.select("incident_id", F.col("x.name").alias("release_id"), "x.namespace", F.col("x.revision").cast("long").alias("revision"), F.lower("x.status").alias("status"), leading_stamp(F.concat(at, F.lit(" ")))["ts_ms"].alias("ts_ms"), "x.chart", "x.app_version").filter("ts_ms is not null")
     stamp = F.regexp_replace(F.regexp_extract(part(4), _UPDATED, 1), r"\s+([+-]\d{2}:?\d{2})\z", "$1")
-    return rows.select("incident_id", part(1).alias("release_id"), part(2).alias("namespace"), part(3).cast("long").alias("revision"), part(5).alias("status"), leading_stamp(F.concat(stamp, F.lit(" ")))["ts_ms"].alias("ts_ms"), part(6).alias("chart"), part(7).alias("app_version"))
+    table = rows.select("incident_id", part(1).alias("release_id"), part(2).alias("namespace"), part(3).cast("long").alias("revision"), part(5).alias("status"), leading_stamp(F.concat(stamp, F.lit(" ")))["ts_ms"].alias("ts_ms"), part(6).alias("chart"), part(7).alias("app_version"))
+    return table.unionByName(j)
 
 
 def deploys(panes: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ def line_of(doc: Column, first_line: Column, value: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def repaired_json(docs):
-    """Documents that are cut off, closed after their last complete value; null where nothing can be read."""
+    """Documents that are cut off, closed after their last complete value; null for what is whole and malformed, or can't be read."""
     import json
 
     def close(text):
@@ -93,10 +93,12 @@ def repaired_json(docs):
                 quoted = True
             elif c in "{[":
                 stack.append("}" if c == "{" else "]")
-            elif c in "}]" and stack:
-                stack.pop()
+            elif c in "}]" and (not stack or stack.pop() != c):
+                return None  # malformed, not cut off
             if not quoted and c in "{[}],":
                 marks.append((i + (c != ","), "".join(reversed(stack))))
+        if not stack:
+            return None
         for at, tail in reversed(marks):
             try:
                 json.loads(text[:at] + tail)
@@ -161,7 +163,7 @@ def _normalised(df: DataFrame, form: str) -> DataFrame:
 
 def otlp_spans(docs: DataFrame) -> DataFrame:
     """Of (incident_id, doc): resource, scope and span levels exploded; nanoseconds to milliseconds with their fraction."""
-    held = ["incident_id", "first_line", "doc"]
+    held = ["incident_id", "first_line"]
     root = docs.select(*held, F.from_json("doc", OTLP).alias("o"))
     res = root.select(*held, F.explode(F.coalesce("o.resourceSpans", "o.resource_spans", "o.batches")).alias("res"))
     scopes = res.select(*held, _attributes(F.col("res.resource.attributes")).alias("r"), F.explode(F.coalesce("res.scopeSpans", "res.instrumentationLibrarySpans")).alias("scope"))
@@ -169,31 +171,31 @@ def otlp_spans(docs: DataFrame) -> DataFrame:
     start, end = F.col("s.startTimeUnixNano").try_cast("decimal(20,0)"), F.col("s.endTimeUnixNano").try_cast("decimal(20,0)")
     none = F.lit(None).cast("string")
     rows = s.select("incident_id", F.col("s.traceId").alias("trace_id"), F.col("s.spanId").alias("span_id"), F.col("s.parentSpanId").alias("parent_id"), none.alias("service"), F.col("s.name").alias("op"), F.col("s.kind").alias("kind"),
-                    (start / 1000000).cast("double").alias("start_ms"), ((end - start) / 1000000).cast("double").alias("dur_ms"), F.col("s.status.code").alias("status_code"), none.alias("peer"), _attributes(F.col("s.attributes")).alias("a"), "r", line_of(F.col("doc"), F.col("first_line"), F.col("s.spanId")).alias("source_line"))
+                    (start / 1000000).cast("double").alias("start_ms"), ((end - start) / 1000000).cast("double").alias("dur_ms"), F.col("s.status.code").alias("status_code"), none.alias("peer"), _attributes(F.col("s.attributes")).alias("a"), "r", F.col("first_line").alias("source_line"))
     return _normalised(rows, "otlp")
 
 
 def jaeger_spans(docs: DataFrame) -> DataFrame:
     """Of (incident_id, doc): services from the process table; the CHILD_OF reference is the parent, else the first; microseconds."""
-    t = docs.select("incident_id", "first_line", "doc", F.explode(F.from_json("doc", JAEGER)["data"]).alias("t"))
-    s = t.select("incident_id", "first_line", "doc", "t.processes", "t.traceID", F.explode("t.spans").alias("s"))
+    t = docs.select("incident_id", "first_line", F.explode(F.from_json("doc", JAEGER)["data"]).alias("t"))
+    s = t.select("incident_id", "first_line", "t.processes", "t.traceID", F.explode("t.spans").alias("s"))
     process = F.col("processes")[F.col("s.processID")]
     refs = F.col("s.references")
     parent = F.coalesce(F.get(F.filter(refs, lambda x: x["refType"] == "CHILD_OF"), F.lit(0))["spanID"], F.get(refs, F.lit(0))["spanID"])
     a = _tags(F.col("s.tags"))
     rows = s.select("incident_id", F.coalesce("s.traceID", "traceID").alias("trace_id"), F.col("s.spanID").alias("span_id"), parent.alias("parent_id"), process["serviceName"].alias("service"), F.col("s.operationName").alias("op"), F.lit(None).cast("string").alias("kind"),
-                    (F.col("s.startTime") / 1000).alias("start_ms"), (F.col("s.duration") / 1000).alias("dur_ms"), a["otel.status_code"].alias("status_code"), F.lit(None).cast("string").alias("peer"), a.alias("a"), _tags(process["tags"]).alias("r"), line_of(F.col("doc"), F.col("first_line"), F.col("s.spanID")).alias("source_line"))
+                    (F.col("s.startTime") / 1000).alias("start_ms"), (F.col("s.duration") / 1000).alias("dur_ms"), a["otel.status_code"].alias("status_code"), F.lit(None).cast("string").alias("peer"), a.alias("a"), _tags(process["tags"]).alias("r"), F.col("first_line").alias("source_line"))
     return _normalised(rows, "jaeger")
 
 
 def zipkin_spans(docs: DataFrame) -> DataFrame:
     """Of (incident_id, doc): version 2 arrays with local and remote endpoints; microseconds."""
-    s = docs.filter(F.col("doc").rlike(r"^\s*\[")).select("incident_id", "first_line", "doc", F.explode(F.from_json("doc", ZIPKIN)).alias("s")).filter("s.id is not null")
+    s = docs.filter(F.col("doc").rlike(r"^\s*\[")).select("incident_id", "first_line", F.explode(F.from_json("doc", ZIPKIN)).alias("s")).filter("s.id is not null")
     empty = F.create_map().cast("map<string,string>")
     a = F.coalesce(F.col("s.tags"), empty)
     failed = F.when(F.coalesce(a["error"], F.lit("false")) != "false", "error")
     rows = s.select("incident_id", F.col("s.traceId").alias("trace_id"), F.col("s.id").alias("span_id"), F.col("s.parentId").alias("parent_id"), F.col("s.localEndpoint.serviceName").alias("service"), F.col("s.name").alias("op"), F.col("s.kind").alias("kind"),
-                    (F.col("s.timestamp") / 1000).alias("start_ms"), (F.col("s.duration") / 1000).alias("dur_ms"), failed.alias("status_code"), F.coalesce("s.remoteEndpoint.serviceName", "s.remoteEndpoint.ipv4").alias("peer"), a.alias("a"), empty.alias("r"), line_of(F.col("doc"), F.col("first_line"), F.col("s.id")).alias("source_line"))
+                    (F.col("s.timestamp") / 1000).alias("start_ms"), (F.col("s.duration") / 1000).alias("dur_ms"), failed.alias("status_code"), F.coalesce("s.remoteEndpoint.serviceName", "s.remoteEndpoint.ipv4").alias("peer"), a.alias("a"), empty.alias("r"), F.col("first_line").alias("source_line"))
     return _normalised(rows, "zipkin")
 
 
@@ -210,10 +212,17 @@ def text_spans(panes: DataFrame) -> DataFrame:
     return _normalised(rows, "text")
 
 
+def located(spans: DataFrame, docs: DataFrame) -> DataFrame:
+    """spans with source_line the line that declares their id, where the documents have one; else their document's first line."""
+    lines = docs.select("incident_id", "first_line", F.posexplode(F.split("doc", "\n")).alias("pos", "line"))
+    ids = lines.select("incident_id", (F.col("first_line") + F.col("pos")).cast("int").alias("at"), F.explode(F.regexp_extract_all("line", F.lit(r'"(?:spanId|spanID|id)"\s*:\s*"([^"]+)"'), F.lit(1))).alias("span_id"))
+    first = ids.groupBy("incident_id", "span_id").agg(F.min("at").alias("declared"))
+    out = spans.join(first, ["incident_id", "span_id"], "left").withColumn("source_line", F.coalesce("declared", "source_line").cast("int"))
+    return out.select(*COLUMNS)
+
+
 def read_spans(panes: DataFrame) -> DataFrame:
     """All spans of panes, whatever their formats; a document that fits none gives no rows."""
     docs = json_segments(panes).withColumn("doc", repaired_json("doc"))
-    out = otlp_spans(docs)
-    for part in (jaeger_spans(docs), zipkin_spans(docs), text_spans(panes)):
-        out = out.unionByName(part)
+    out = located(otlp_spans(docs).unionByName(jaeger_spans(docs)).unionByName(zipkin_spans(docs)), docs).unionByName(text_spans(panes).withColumn("source_line", F.col("source_line").cast("int")))
     return out.filter("trace_id is not null and span_id is not null")

@@ -57,12 +57,12 @@ def test_similarity_dedup_against_brute_force(spark):
 
 def test_sketches_never_rule_out_what_sets_share():
     rng = np.random.default_rng(3)
-    for n, m in ((1, 1), (40, 50), (200, 190), (3000, 3700), (70_000, 80_000)):
+    for n, m in ((1, 1), (40, 50), (200, 190), (3000, 3700), (70_000, 80_000)):  # the last by buckets of 34 and more
         shared = rng.integers(-(2**63), 2**63, min(n, m) * 2 // 3, np.int64)
         x, y = (np.unique(np.r_[shared, rng.integers(-(2**63), 2**63, k - len(shared), np.int64)]) for k in (n, m))
         most = similar.most_shared(similar.count_sketch(x), similar.count_sketch(y))
         assert len(np.intersect1d(x, y)) <= most <= min(n, m)
-        assert n < 100 or most < min(n, m) * 0.95
+        assert n < 100 or most < min(n, m) * 0.99
 
 
 def test_pipeline_leaves_no_similar_documents(spark):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vocabulary as V
@@ -116,20 +116,37 @@ def redaction_passes() -> list[tuple[str, str, str]]:
     ]
 
 
+#: Without one of these, a pass finds nothing: cheap to look for, unlike its pattern.
+NEEDED = {"private-key": ["PRIVATE KEY"], "jwt": ["eyJ"], "bearer": ["Bearer", "Basic"], "aws-key": ["AKIA", "ASIA"], "url-credential": ["://"], "email": ["@"]}
+
+
+def _possible(kind: str, t: Column) -> Column:
+    return reduce(lambda a, x: a | t.contains(x), NEEDED[kind][1:], t.contains(NEEDED[kind][0])) if kind in NEEDED else F.lit(True)
+
+
+def redacted(df: DataFrame, column: str) -> DataFrame:
+    """df with the column redacted and `counts`, a map of kinds to how many were replaced.
+
+    A pass's text is a column of its own, computed once for the next pass and its
+    count; a pass whose literals are absent is skipped.
+    """
+    passes, names = redaction_passes(), [f"_n{i}" for i in range(len(redaction_passes()))]
+    df = df.withColumn(column, F.coalesce(column, F.lit("")))
+    for name, (kind, pattern, new) in zip(names, passes, strict=True):
+        t = F.col(column)
+        df = df.withColumn(name, F.when(_possible(kind, t), F.regexp_count(t, F.lit(pattern))).otherwise(0))
+        df = df.withColumn(column, F.when(F.col(name) > 0, F.regexp_replace(t, pattern, new)).otherwise(t))
+    kinds: dict[str, Column] = {}
+    for name, (kind, _, _) in zip(names, passes, strict=True):
+        kinds[kind] = kinds[kind] + F.col(name) if kind in kinds else F.col(name)
+    return df.withColumn("counts", F.create_map(*[x for k, c in kinds.items() for x in (F.lit(k), c)])).drop(*names)
+
+
 def redact(text: Column) -> Column:
     """Text with secrets, credentials, addresses and blobs replaced by marks that name their kind."""
     return reduce(lambda t, p: F.regexp_replace(t, p[1], p[2]), redaction_passes(), F.coalesce(text, F.lit("")))
 
 
-def redaction_counts(text: Column) -> Column:
-    """Map of kinds to how many of each redact() replaces."""
-    t, counts = F.coalesce(text, F.lit("")), {}
-    for kind, pattern, new in redaction_passes():
-        counts[kind] = counts.get(kind, F.lit(0)) + F.regexp_count(t, F.lit(pattern))
-        t = F.regexp_replace(t, pattern, new)
-    return F.create_map(*[x for k, c in counts.items() for x in (F.lit(k), c)])
-
-
 def looks_secret(key: Column, value: Column) -> Column:
     """Whether a key names a secret or a value would be redacted."""
     hit = reduce(lambda a, n: a + n, [F.regexp_count(F.coalesce(value, F.lit("")), F.lit(p)) for _, p, _ in redaction_passes()])

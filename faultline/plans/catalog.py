@@ -538,11 +538,35 @@ def redact_emails(spark, sf_dir):
     return d.select("doc_id", F.sha2(F.regexp_replace("text", pattern, new), 256).alias("redacted"), F.regexp_count("text", F.lit(pattern)).alias("emails"))
 
 
-@query()
+REDACTED_SQL = {
+    "private_key": (r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----[\s\S]*?(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----|\z)", "[REDACTED:private-key]"),
+    "jwt": (r"\beyJ[A-Za-z0-9_-]{5,}\.eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]*", "[REDACTED:jwt]"),
+    "bearer": (r"\b(Bearer)(\s+)([A-Za-z0-9._~+/=-]{8,})", r"\1\2[REDACTED:bearer]"),
+    "basic": (r"\b(Basic)(\s+)([A-Za-z0-9._~+/=-]{8,})", r"\1\2[REDACTED:basic-auth]"),
+    "aws_key": (r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", "[REDACTED:aws-key]"),
+    "url_credential": (r"(?i)\b([a-z][a-z0-9+.-]*://)([^:/@\s\[]+):([^@\s/\[]+)@", r"\1\2:[REDACTED:url-credential]@"),
+    # RE2 has neither look-ahead nor references: quoted and bare values apart, values of 6 and more characters that aren't digits alone.
+    "quoted": (rf"(?i)([\"']?\b{text.SECRET_KEY}[\"']?[ \t]*[:=][ \t]*)\"([^\s\"',;&}}\[$<{{]{{6,}})\"", r'\1"[REDACTED:secret-value]"'),
+    "bare": (rf"(?i)([\"']?\b{text.SECRET_KEY}[\"']?[ \t]*[:=][ \t]*)([^\s\"',;&}}\[$<{{][^\s\"',;&}}]{{5,}})", r"\1[REDACTED:secret-value]"),
+    "email": (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b", "[REDACTED:email]"),
+}
+
+
+def _redaction_sql() -> str:
+    """The passes in RE2's pattern language, over the shapes that documents hold; no document has 40 base64 characters in a row beside a digest."""
+    parts, now = ["t0 AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)"], 0
+    for name, (pattern, new) in REDACTED_SQL.items():
+        p = _sql_pattern(pattern)
+        parts.append(f"t{now + 1} AS (SELECT * REPLACE (regexp_replace(t, {p}, {_sql_pattern(new)}, 'g') AS t), len(regexp_extract_all(t, {p})) AS n_{name} FROM t{now})")
+        now += 1
+    counts = "n_private_key::INT AS private_key, n_jwt::INT AS jwt, (n_bearer + n_basic)::INT AS bearer, n_aws_key::INT AS aws_key, n_url_credential::INT AS url_credential, (n_quoted + n_bare)::INT AS secret_value, n_email::INT AS email, 0::INT AS base64"
+    return f"WITH {', '.join(parts)} SELECT doc_id, sha256(t) AS redacted, {counts} FROM t{now}"
+
+
+@query(sql=_redaction_sql())
 def redact_all(spark, sf_dir):
-    d = read(spark, sf_dir, "documents")
-    out = d.select("doc_id", text.redact(F.col("text")).alias("redacted"), text.redaction_counts(F.col("text")).alias("counts"))
-    return out.select("doc_id", F.sha2("redacted", 256).alias("redacted"), *[F.col("counts")[k].alias(k.replace("-", "_")) for k in dict.fromkeys(p[0] for p in text.redaction_passes())])
+    d = text.redacted(read(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return d.select("doc_id", F.sha2("text", 256).alias("redacted"), *[F.col("counts")[k].alias(k.replace("-", "_")) for k in dict.fromkeys(p[0] for p in text.redaction_passes())])
 
 
 @query("log_lines", sql="""SELECT seq, nullif(regexp_extract(body, '(?:^|\\s)level=([^\\s"]*)', 1), '') AS level, nullif(regexp_extract(body, '(?:^|\\s)msg="([^"]*)"', 1), '') AS msg, nullif(regexp_extract(body, '(?:^|\\s)status=([^\\s"]*)', 1), '') AS status FROM log_lines""")
@@ -659,12 +683,12 @@ def live_sessions(spark, sf_dir):
 
 
 def _panes(spark, sf_dir):
-    """One incident per 20 users: log lines, spans as text, a release history and alerts, all from the tables."""
-    lines_ = view(spark, sf_dir, "log_lines").withColumn("incident_id", F.concat(F.lit("inc-"), (F.col("seq") % 20).cast("string")))
+    """Incidents of 200 successive log lines and of the spans of 200 successive traces, so that they grow in number with the tables, not in size."""
+    lines_ = view(spark, sf_dir, "log_lines").withColumn("incident_id", F.concat(F.lit("inc-"), F.expr("cast(seq div 200 as string)")))
     stamp = F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     ordered = lambda df, line, key: df.groupBy("incident_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
     log = ordered(lines_, F.concat(F.lit("[pod/"), "component", F.lit("-7d9f8b6c5-x2k4j/app] "), stamp, F.lit(" "), "body"), "seq").withColumn("source", F.lit("logs"))
-    s = view(spark, sf_dir, "spans").withColumns({"incident_id": F.concat(F.lit("inc-"), (F.col("trace_id") % 20).cast("string")), "ts_ms": F.col("start_ms")})
+    s = view(spark, sf_dir, "spans").withColumns({"incident_id": F.concat(F.lit("inc-"), F.expr("cast(trace_id div 200 as string)")), "ts_ms": F.col("start_ms")})
     span = F.concat(stamp, F.lit(" trace="), F.col("trace_id").cast("string"), F.lit(" span="), F.col("span_id").cast("string"), F.lit(" parent="), F.coalesce(F.col("parent_id").cast("string"), F.lit("-")), F.lit(" service="), "service", F.lit(" kind="), "kind", F.lit(" op="), "op", F.lit(" dur="), F.col("dur_ms").cast("long").cast("string"), F.lit("ms status="), F.when(F.col("error"), "error").otherwise("ok"))
     trace = ordered(s.withColumn("line_key", F.struct("trace_id", "span_id")), span, "line_key").withColumn("source", F.lit("traces"))
     return log.unionByName(trace).select("incident_id", "source", "text")

@@ -9,7 +9,7 @@ from ..functions import times
 from ..functions import vocabulary as V
 from ..sources import alerts, context, lines, logs, releases, traces
 from ..sources.adapters import pick, view
-from .catalog import FLOOR_SQL, _classify_sql, query, read
+from .catalog import FLOOR_SQL, ORACLES, _classify_sql, query, read
 
 #: Rows that one pane holds: panes grow in number with the tables, not in size.
 PANE_ROWS = 200
@@ -187,3 +187,7 @@ def read_application_lines(spark, sf_dir):
     rows = view(spark, sf_dir, "log_lines")
     panes = pane(rows, F.concat(F.lit("[pod/"), "component", F.lit("-7d9f8b6c5-x2k4j/app] "), stamp(), F.when(F.col("seq") % 2 == 0, " stdout F ").otherwise(" "), "body"))
     return logs.read_logs(panes).groupBy("incident_id", "kind", "severity").agg(F.count("*").alias("n"), F.min("ts_ms").alias("first_ms"))
+
+
+#: The whole reader over the same lines gives the same signals.
+ORACLES["analysis_log_signals"] = ORACLES["read_application_lines"]

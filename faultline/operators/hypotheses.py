@@ -29,17 +29,26 @@ DEPLOY, FIRST_ERROR, HIGH_CHANGE, MIGRATION, DEPENDENCY, CALLERS = 0.2, 0.3, 0.1
 UNKNOWN_BELOW, UNKNOWN = 0.35, 0.3
 HOURS_2 = 7_200_000
 
-# Mitigations: kind, categories that it fixes, minutes, risk, effect, whether it needs an earlier revision; best first.
+# Mitigations: kind, categories that it fixes, minutes, risk, effect, what it needs; kinds in the order of preference.
 OPTIONS = [
     ("canary-abort", ["bad-deploy"], 2.0, "low", 1.0, "canary"),
     ("helm-rollback", ["bad-deploy", "resource-limits", "image-pull", "config-error", "probe-misconfig", "dns", "connection-exhaustion", "network-policy"], 6.0, "low", 1.0, "previous"),
-    ("resource-restore", ["resource-limits"], 5.0, "medium", 1.0, "change"),
     ("config-revert", ["config-error", "dns", "network-policy"], 5.0, "medium", 1.0, "change"),
     ("rollout-undo", ["image-pull", "bad-deploy"], 4.0, "low", 1.0, "change"),
-    ("roll-forward", ["tls-cert", "image-pull", "config-error", "dns"], 15.0, "medium", 1.0, ""),
+    ("set-image", ["image-pull", "bad-deploy"], 4.0, "low", 1.0, "image"),
+    ("resource-restore", ["resource-limits"], 5.0, "medium", 1.0, "cut"),
     ("scale", ["connection-exhaustion", "scheduling-capacity", "rate-limiting"], 5.0, "medium", 0.7, ""),
+    ("roll-forward", ["image-pull"], 10.0, "low", 1.0, ""),
+    ("roll-forward", ["tls-cert", "dns"], 15.0, "medium", 1.0, ""),
+    ("roll-forward", ["config-error"], 5.0, "low", 1.0, ""),
+    ("roll-forward", ["node-pressure"], 12.0, "medium", 1.0, ""),
+    ("roll-forward", ["bad-deploy"], 30.0, "medium", 1.0, "migration"),
+    ("traffic-shift", ["bad-deploy", "resource-limits", "config-error", "dns", "connection-exhaustion", "node-pressure", "dependency-failure"], 10.0, "medium", 0.8, "split"),
     ("restart", ["node-pressure", "dependency-failure", "unknown", "resource-limits"], 3.0, "low", 0.3, ""),
 ]
+PREFERRED = list(dict.fromkeys(k for k, *_ in OPTIONS))
+# A rollback past a migration: minutes and risk; past resource definitions or secrets: risk. What a high risk costs in the order.
+ROLLBACK_MIGRATION, ROLLBACK_HEAVY, HIGH_COST = (8.0, "high"), "medium", 8
 
 
 def evidence(signals: DataFrame, changes: DataFrame, deploys: DataFrame, deepest: DataFrame, callers: DataFrame) -> DataFrame:
@@ -107,16 +116,97 @@ def ranked(hypotheses: DataFrame, incidents: DataFrame, per_component: int = 3,
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("incident_id").orderBy(*order))).filter(F.col("rank") <= most)
 
 
-def options(hypotheses: DataFrame, deploys: DataFrame) -> DataFrame:
+def abilities(deploys: DataFrame, changes: DataFrame | None = None, clusters: DataFrame | None = None) -> DataFrame:
+    """(incident_id, previous, canary, image, cut, migration, heavy, split): what an incident's releases, changes and clusters allow.
+
+    changes: incident_id, kind, category, direction, before; clusters: incident_id, cluster, failing.
+    """
+    out = deploys.groupBy("incident_id").agg(F.bool_or(F.col("previous").isNotNull() & F.col("rolled_back_ms").isNull()).alias("previous"))
+    if changes is not None:
+        c, has = changes, lambda condition, name: F.bool_or(F.coalesce(condition, F.lit(False))).alias(name)
+        found = c.groupBy("incident_id").agg(
+            has(F.col("kind") == "Rollout", "canary"), has((F.col("category") == "image") & F.col("before").isNotNull(), "image"), has((F.col("category") == "resources") & (F.col("direction") == "down"), "cut"),
+            has(F.col("category") == "migration-hook", "migration"), has(F.col("category").isin("crd", "secret"), "heavy"),
+        )
+        out = out.join(found, "incident_id", "full")
+    if clusters is not None:
+        out = out.join(clusters.groupBy("incident_id").agg((F.bool_or(F.col("failing") > 0) & F.bool_or(F.col("failing") == 0)).alias("split")), "incident_id", "full")
+    flags = ("previous", "canary", "image", "cut", "migration", "heavy", "split")
+    return out.select("incident_id", *[(F.coalesce(F.col(k), F.lit(False)) if k in out.columns else F.lit(False)).alias(k) for k in flags])
+
+
+def options(hypotheses: DataFrame, deploys: DataFrame, changes: DataFrame | None = None, clusters: DataFrame | None = None) -> DataFrame:
     """(incident_id, kind, fixes, eta_min, risk, effect, recommended): mitigations of the ranked causes; of those that fix the first, one is recommended.
 
-    A rollback needs an earlier revision that isn't restored already, a revert a change in evidence.
+    A rollback needs an earlier revision that isn't restored already, and takes longer past a migration; a revert
+    needs a change in evidence, and so on: see OPTIONS.
     """
-    able = deploys.groupBy("incident_id").agg(F.bool_or(F.col("previous").isNotNull() & F.col("rolled_back_ms").isNull()).alias("previous"))
-    h = hypotheses.join(able, "incident_id", "left")
-    table = F.explode(F.array(*[F.struct(F.lit(i).alias("pref"), F.lit(k).alias("kind"), F.array(*[F.lit(c) for c in cats]).alias("cats"), F.lit(eta).alias("eta_min"), F.lit(risk).alias("risk"), F.lit(eff).alias("effect"), F.lit(need).alias("need")) for i, (k, cats, eta, risk, eff, need) in enumerate(OPTIONS)]))
+    h = hypotheses.join(abilities(deploys, changes, clusters), "incident_id", "left")
+    table = F.explode(F.array(*[F.struct(F.lit(PREFERRED.index(k)).alias("pref"), F.lit(k).alias("kind"), F.array(*[F.lit(c) for c in cats]).alias("cats"), F.lit(eta).alias("eta_min"), F.lit(risk).alias("risk"), F.lit(eff).alias("effect"), F.lit(need).alias("need")) for k, cats, eta, risk, eff, need in OPTIONS]))
     rows = h.select("*", table.alias("o")).filter(F.expr("array_contains(o.cats, category)"))
-    rows = rows.filter((F.col("o.need") == "") | ((F.col("o.need") == "previous") & F.coalesce("previous", F.lit(False))) | ((F.col("o.need") == "change") & (F.col("changes") > 0)))
-    out = rows.groupBy("incident_id", "o.kind", "o.pref", "o.eta_min", "o.risk", "o.effect").agg(F.min("rank").alias("top"), F.sort_array(F.collect_set("category")).alias("fixes"))
-    w = Window.partitionBy("incident_id").orderBy((F.col("top") != F.min("top").over(Window.partitionBy("incident_id"))).cast("int"), F.col("pref") + F.when(F.col("risk") == "high", 8).otherwise(0), "eta_min", "kind")
+    able = F.when(F.col("o.need") == "", True).when(F.col("o.need") == "change", F.col("changes") > 0)
+    for k in ("previous", "canary", "image", "cut", "migration", "split"):
+        able = able.when(F.col("o.need") == k, F.coalesce(F.col(k), F.lit(False)))
+    back, past = F.col("o.kind") == "helm-rollback", F.coalesce("migration", F.lit(False))
+    rows = rows.filter(able).withColumns({"eta": F.when(back & past, ROLLBACK_MIGRATION[0]).otherwise(F.col("o.eta_min")), "danger": F.when(back & past, ROLLBACK_MIGRATION[1]).when(back & F.coalesce("heavy", F.lit(False)), ROLLBACK_HEAVY).otherwise(F.col("o.risk"))})
+    out = rows.groupBy("incident_id", "o.kind", "o.pref", F.col("eta").alias("eta_min"), F.col("danger").alias("risk"), "o.effect").agg(F.min("rank").alias("top"), F.sort_array(F.collect_set("category")).alias("fixes"))
+    level = F.when(F.col("risk") == "low", 0).when(F.col("risk") == "medium", 1).otherwise(2)
+    w = Window.partitionBy("incident_id").orderBy((F.col("top") != F.min("top").over(Window.partitionBy("incident_id"))).cast("int"), F.col("pref") + F.when(F.col("risk") == "high", HIGH_COST).otherwise(0), level, "eta_min", "kind")
     return out.withColumn("recommended", F.row_number().over(w) == 1).select("incident_id", "kind", "fixes", "eta_min", "risk", "effect", "recommended")
+
+
+# Rules whose weight grows with what was seen: category, kinds, least weight, weight of each further signal, most.
+GROWING = [("dns", ["dns_failure"], 0.35, 0.05, 0.55), ("scheduling-capacity", ["scheduling_failed"], 0.2, 0.05, 0.4)]
+# Further evidence of a category: kinds beside those that name it, their weight, and how many pieces count.
+BESIDE = [("resource-limits", ["crash_loop"], 0.15, 1), ("connection-exhaustion", ["hpa_maxed"], 0.15, 1), ("node-pressure", ["evicted"], 0.25, 1), ("scheduling-capacity", ["hpa_maxed"], 0.2, 1), ("scheduling-capacity", ["pvc_pending"], 0.4, 1)]
+SECOND_SERVICE, EACH_WORKLOAD = 0.15, 0.1
+
+
+def growing_evidence(signals: DataFrame) -> DataFrame:
+    """(incident_id, category, component, weight, pieces): the evidence of rules that count: the more lookups fail, the likelier it is the name service; a second client that sees it adds to it; other kinds beside speak for the cause.
+
+    signals: incident_id, cluster, component, kind.
+    """
+    parts = []
+    for category, kinds, least, each, most in GROWING:
+        mine = signals.filter(F.col("kind").isin(kinds)).groupBy("incident_id", "cluster", "component").agg(F.count("*").alias("n"))
+        whole = mine.groupBy("incident_id", "cluster").agg(F.sum("n").alias("all"), F.count("*").alias("clients"))
+        weight = F.least(F.lit(most), F.lit(least) + F.lit(each) * (F.col("all") - 1))
+        parts.append(mine.join(whole, ["incident_id", "cluster"]).select("incident_id", F.lit(category).alias("category"), "component", (weight + F.when(F.col("clients") > 1, SECOND_SERVICE).otherwise(0.0)).alias("weight"), F.col("n").alias("pieces")))
+    for category, kinds, weight, most in BESIDE:
+        beside = signals.filter(F.col("kind").isin(kinds)).groupBy("incident_id", "component").agg(F.count("*").alias("n"))
+        parts.append(beside.select("incident_id", F.lit(category).alias("category"), "component", (F.least("n", F.lit(most)) * weight).alias("weight"), F.col("n").alias("pieces")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+# What speaks against a cause when it is missing: category, change categories of which one would be expected.
+EXPECTED = {"image-pull": ["image"], "config-error": ["configmap", "env", "secret"], "resource-limits": ["resources"], "probe-misconfig": ["probe"], "connection-exhaustion": ["hpa", "replicas", "env"], "dns": ["configmap"]}
+
+
+def counter_evidence(hypotheses: DataFrame, changes: DataFrame, siblings: DataFrame) -> DataFrame:
+    """(incident_id, category, component, against): no change of the kind that would explain it; the same name healthy in another cluster under no change.
+
+    hypotheses: incident_id, category, component, name, cluster; changes: incident_id, category, name; siblings: incident_id, name, cluster, status.
+    """
+    table = F.create_map(*[x for k, v in EXPECTED.items() for x in (F.lit(k), F.array(*[F.lit(c) for c in v]))])
+    h = hypotheses.withColumn("expected", F.try_element_at(table, F.col("category")))
+    had = changes.groupBy("incident_id", "name").agg(F.collect_set("category").alias("had"))
+    bare = h.filter("expected is not null").join(had, ["incident_id", "name"], "left").filter(~F.coalesce(F.arrays_overlap("had", "expected"), F.lit(False)))
+    missing = bare.select("incident_id", "category", "component", F.lit("no-such-change").alias("against"))
+    well = siblings.filter("status = 'healthy'").select("incident_id", "name", F.col("cluster").alias("other")).distinct()
+    twin = h.join(well, ["incident_id", "name"]).filter("other <> cluster").select("incident_id", "category", "component", F.lit("healthy-sibling").alias("against")).distinct()
+    return missing.unionByName(twin)
+
+
+def covers(hypotheses: DataFrame, edges: DataFrame, failing: DataFrame) -> DataFrame:
+    """(incident_id, category, component, covered): what a cause explains: its component, and failing callers within two calls.
+
+    edges: incident_id, from, to; failing: incident_id, component.
+    """
+    h = hypotheses.select("incident_id", "category", "component").filter("component <> ''")
+    calls = edges.select("incident_id", F.col("to").alias("near"), F.col("from").alias("covered")).distinct()
+    ill = failing.select("incident_id", F.col("component").alias("covered")).distinct()
+    one = h.join(calls, (h["incident_id"] == calls["incident_id"]) & (h["component"] == calls["near"])).select(h["incident_id"], "category", "component", "covered").join(ill, ["incident_id", "covered"], "left_semi")
+    step = one.withColumnRenamed("covered", "near")
+    two = step.join(calls, ["incident_id", "near"]).join(ill, ["incident_id", "covered"], "left_semi").select("incident_id", "category", "component", "covered")
+    return h.withColumn("covered", F.col("component")).unionByName(one.select("incident_id", "category", "component", "covered")).unionByName(two).distinct()

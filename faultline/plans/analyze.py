@@ -105,7 +105,7 @@ def analyze(panes: DataFrame, slo: float = 0.999, window_days: float = 30.0) ->
         "timeline": timeline.first_per_kind(signals.withColumnRenamed("id", "seq")),
         "evidence": rows,
         "hypotheses": causes,
-        "options": hypotheses.options(causes, deploys),
+        "options": hypotheses.options(causes, deploys, changes, clusters),
         "budget": b,
         "alert_rows": budget.alert_rows(b),
         "projections": budget.projections(b),

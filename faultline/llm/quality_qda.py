@@ -30,6 +30,9 @@ from .text_stats import text_stats
 
 POOL, DIAG, FLOOR = 0.2, 0.1, 1e-3
 ACCEPT = 0.7
+#: Words and lines added below the shares of repeats, and of distinct words, so that those of a short text tell little. Of five
+#: settings from 1 to 80 these lost fewest good rows (0 of 2555) in five folds of the learning rows of sf0.1; held-out rows took no part.
+REPEAT_WORDS, DISTINCT_WORDS, REPEAT_LINES = 80, 40, 8
 FEATURES = ("words", "word_length", "symbols", "bangs", "repeats", "dup_lines", "distinct", "upper", "digits")
 
 
@@ -45,9 +48,9 @@ def features(text: Column) -> Column:
             F.log((s["word_chars"] + 5) / words),
             F.log(s["n_symbols"] / words + 0.02),
             F.log(s["n_bangs"] / words + 0.02),
-            F.sqrt(s["n_repeat_words"] / (words + 39)),  # the shares of a short text tell little
-            F.sqrt(s["n_dup_lines"] / (s["n_lines"] + F.lit(4.0))),
-            (s["n_distinct"] + 20) / (words + 20),
+            F.sqrt(s["n_repeat_words"] / (s["n_words"] + float(REPEAT_WORDS))),
+            F.sqrt(s["n_dup_lines"] / (s["n_lines"] + float(REPEAT_LINES))),
+            (s["n_distinct"] + DISTINCT_WORDS) / (s["n_words"] + float(DISTINCT_WORDS)),
             F.log((s["n_upper"] + 0.4) / chars),
             F.sqrt(s["n_digits"] / chars),
         )

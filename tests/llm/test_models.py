@@ -138,9 +138,9 @@ def brute_features(text):
         math.log((sum(map(len, words)) + 5) / n),
         math.log(sum(t.count(c) for c in "#*$%&|<>") / n + 0.02),
         math.log(t.count("!") / n + 0.02),
-        math.sqrt(len(covered) / (n + 39)),
-        math.sqrt((len(lines) - len(set(lines))) / (len(lines) + 4)),
-        (len(set(words)) + 20) / (n + 20),
+        math.sqrt(len(covered) / (len(words) + quality_qda.REPEAT_WORDS)),
+        math.sqrt((len(lines) - len(set(lines))) / (len(lines) + quality_qda.REPEAT_LINES)),
+        (len(set(words)) + quality_qda.DISTINCT_WORDS) / (len(words) + quality_qda.DISTINCT_WORDS),
         math.log((upper + 0.4) / chars),
         math.sqrt(sum(c in "0123456789" for c in t) / chars),
     ]

@@ -76,19 +76,33 @@ def alias_closure(aliases: DataFrame) -> DataFrame:
         now = new.select("alias", "id")
 
 
-def layers(edges: DataFrame) -> DataFrame:
-    """(node, layer): the longest path that leads to each node. Edges must have no cycle; a round extends all paths by one edge."""
+def acyclic(edges: DataFrame) -> DataFrame:
+    """(from, to): the edges without those that close a cycle.
+
+    What is on no path between cycles is trimmed off round by round; of the edges
+    that stay, those that don't go up in the order of names are dropped.
+    """
     links = cut(edges.select("from", "to").distinct())
-    front = links.select(F.col("from").alias("node")).union(links.select("to")).distinct()
-    out, layer, most = front.withColumn("layer", F.lit(0)), 0, None
+    core, n = links, links.count()
+    while n:
+        entered, left = core.select(F.col("to").alias("from")).distinct(), core.select(F.col("from").alias("to")).distinct()
+        core = cut(core.join(entered, "from", "left_semi").join(left, "to", "left_semi").select("from", "to"))
+        if (now := core.count()) == n:
+            break
+        n = now
+    return links.join(core.filter(F.col("from") >= F.col("to")), ["from", "to"], "left_anti")
+
+
+def layers(edges: DataFrame) -> DataFrame:
+    """(node, layer): the longest path that leads to each node, once cycles are broken; a round extends all paths by one edge."""
+    links = cut(acyclic(edges))
+    ends = edges.select(F.col("from").alias("node")).union(edges.select("to")).distinct()
+    out, front, layer = ends.withColumn("layer", F.lit(0)), ends, 0
     while True:
         front = cut(links.join(front.withColumnRenamed("node", "from"), "from", "left_semi").select(F.col("to").alias("node")).distinct())
         if front.isEmpty():
             return out.groupBy("node").agg(F.max("layer").alias("layer"))
         layer += 1
-        most = most or out.count()
-        if layer > most:
-            raise ValueError("the edges have a cycle")
         out = out.union(front.withColumn("layer", F.lit(layer)))
 
 

@@ -60,8 +60,9 @@ def test_aliases_with_a_cycle_end(spark):
     rows = [("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("y", "x")]
     got = dict(graph.alias_closure(spark.createDataFrame(rows, "alias string, id string")).collect())
     assert (got["a"], got["b"], got["c"]) == ("d", "d", "d")
-    with pytest.raises(ValueError, match="cycle"):
-        graph.layers(spark.createDataFrame([("x", "y"), ("y", "x")], "from string, to string"))
+    edges = [("in", "x"), ("x", "y"), ("y", "z"), ("z", "x"), ("z", "out"), ("s", "s"), ("in", "out")]
+    got = dict(graph.layers(spark.createDataFrame(edges, "from string, to string")).collect())
+    assert got == {"in": 0, "x": 1, "y": 2, "z": 3, "out": 4, "s": 0}
 
 
 def test_certificates_and_misplaced_panes(spark):

@@ -2,7 +2,8 @@
 
 A document's posterior over languages is proportional to the product of
 
-  text      likelihood of its hashed byte trigrams, tempered for their dependence
+  text      likelihood of its hashed byte trigrams without digits (numbers, addresses and
+            keys are of no language), tempered for their dependence
   declared  probability of the declared markup language given the language
   host      prior of its host, smoothed towards that of the address suffix, which
             is smoothed towards that of the whole table
@@ -69,7 +70,7 @@ def code(declared: Column) -> Column:
 
 
 def trigrams(texts: pa.StringArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bins, owners) of all byte trigrams inside lower-cased texts, each with a blank before and after; a text that is alone and long comes in blocks."""
+    """(bins, owners) of the byte trigrams without a digit inside lower-cased texts, each with a blank before and after; a text that is alone and long comes in blocks."""
     lists = pc.binary_join_element_wise("", pc.utf8_lower(pc.fill_null(texts, "")), "", " ")
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     raw = np.frombuffer(lists.cast(pa.binary()).buffers()[2] or b"", np.uint8)
@@ -78,13 +79,21 @@ def trigrams(texts: pa.StringArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     offsets = offsets - offsets[0]
     if len(texts) == 1:
         for a in range(0, max(len(raw) - 2, 1), _BLOCK):
-            bins = _bins(raw[a : a + _BLOCK + 2], np.arange(max(min(len(raw) - a, _BLOCK + 2) - 2, 0)))
+            part = raw[a : a + _BLOCK + 2]
+            at = np.arange(max(len(part) - 2, 0))
+            bins = _bins(part, at[_has_no_digit(part, at)])
             yield bins, np.zeros(len(bins), np.int64)
         return
     sizes = np.maximum(np.diff(offsets) - 2, 0)
     ends = np.cumsum(sizes)
     at = np.repeat(offsets[:-1] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
-    yield _bins(raw, at), np.repeat(np.arange(len(sizes)), sizes)
+    wordy = _has_no_digit(raw, at)
+    yield _bins(raw, at[wordy]), np.repeat(np.arange(len(sizes)), sizes)[wordy]
+
+
+def _has_no_digit(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    digit = (raw >= 48) & (raw <= 57)
+    return ~(digit[at] | digit[at + 1] | digit[at + 2])
 
 
 def _bins(raw: np.ndarray, at: np.ndarray) -> np.ndarray:

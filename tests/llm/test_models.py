@@ -13,9 +13,11 @@ from faultline.llm import language, quality_qda
 
 
 def bins_of(text):
-    """The definition: byte trigrams of the lower-cased text between blanks, mixed to 15 bits."""
+    """The definition: byte trigrams without digits of the lower-cased text between blanks, mixed to 15 bits."""
     raw, out = b" " + (text or "").lower().encode() + b" ", []
     for a, b, c in zip(raw, raw[1:], raw[2:], strict=False):
+        if any(48 <= v <= 57 for v in (a, b, c)):
+            continue
         x = ((a * 0x9E3779B1) ^ (b * 0x85EBCA77) ^ (c * 0xC2B2AE3D)) & 0xFFFFFFFF
         out.append((x * 0x27D4EB2F & 0xFFFFFFFF) >> 17)
     return Counter(out)
@@ -68,12 +70,13 @@ def corpus(n_langs, per, seed=3):
     """Texts of invented languages, each with syllables of its own; some misdeclared or undeclared."""
     rnd = random.Random(seed)
     codes = [a + b for a in "abcdefghijklmnop" for b in "qrstuvwxyzabcde"][:n_langs]
+    numbers = lambda: rnd.choice(["", f" {rnd.randrange(10**6)}"])
     syllables = {c: ["".join(rnd.choice("aeiou" if k % 2 else "bcdfghklmnprst") for k in range(rnd.choice([2, 3]))) for _ in range(12)] for c in codes}
     rows = []
     for c in codes:
         for _ in range(per):
             text = " ".join("".join(rnd.choice(syllables[c]) for _ in range(rnd.randint(1, 3))) for _ in range(rnd.choice([1, 4, 40])))
-            rows.append((text, rnd.choice([c, c, c, rnd.choice(codes), None]), rnd.choice([f"h{c}", "big", None]), rnd.choice(["com", c, None])))
+            rows.append((text + numbers(), rnd.choice([c, c, c, rnd.choice(codes), None]), rnd.choice([f"h{c}", "big", None]), rnd.choice(["com", c, None])))
     return [*rows, (None, codes[0], "big", None), ("", None, None, "com"), ("!? 12", codes[1], "hx", "com"), rows[0], rows[0]]
 
 

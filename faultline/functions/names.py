@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from . import vocabulary as V
 from .text import first_of
 
+# Shapes of generated names: deployment, daemon set, stateful set, replica set; letters of generated suffixes, where a digit anywhere also tells.
 _DEPLOYMENT = r"^(.+)-([a-z0-9]{8,10})-([a-z0-9]{5})\z"
 _DAEMON = r"^(.+)-([a-z0-9]{5})\z"
 _STATEFUL = r"^(.+)-(\d{1,4})\z"
 _REPLICA_SET = r"^(.+)-([a-z0-9]{8,10})\z"
-#: Letters of generated suffixes; a digit anywhere also tells.
 _GENERATED = r"^[bcdfghjklmnpqrstvwxz2456789]+\z|\d"
 
 

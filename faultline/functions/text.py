@@ -94,7 +94,7 @@ REFERENCE_KEY = r"(?:name|refs?|path|file|type|kind|id)"
 
 
 def redaction_passes() -> list[tuple[str, str, str]]:
-    """(kind, pattern, replacement), in order; later passes leave marked values alone."""
+    """(kind, pattern, replacement), in order; later passes leave marked values alone. All of it is fixed values."""
     mark = lambda kind: f"[REDACTED:{kind}]"
     marked = r"(?!\[REDACTED:)"
     harmless = rf"(?!{HARMLESS}(?:[\s\"',;&}}]|\z))"

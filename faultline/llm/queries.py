@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, grammar, language, near_dup, packing, pieces, quality_qda, quality_rules, sharding, warc
+from . import exact_dedup, grammar, hard_negatives, jaccard, language, near_dup, packing, pieces, quality_qda, quality_rules, resampling, sharding, warc
 from .common import table
 
 
@@ -68,5 +68,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_warc, op4_token_grammar, op5_quality_rules, op6_sharding, op7_sentencepiece, op8_quality_classifier, op9_language_id, op10_simhash, language_id_pages)}
-ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op3_warc": warc.ORACLE, "op5_quality_rules": quality_rules.ORACLE}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_warc, op4_token_grammar, op5_quality_rules, op6_sharding, op7_sentencepiece, op8_quality_classifier, op9_language_id, op10_simhash, op11_importance_resampling, op12_jaccard_join, op13_hard_negatives, language_id_pages)}
+ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op3_warc": warc.ORACLE, "op5_quality_rules": quality_rules.ORACLE, "op11_importance_resampling": resampling.ORACLE, "op12_jaccard_join": jaccard.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}

@@ -16,11 +16,11 @@ of its size class can differ in, and its parts are keys. Similar sets have an eq
 part, so two sets whose shared prefix n-grams are all common meet there.
 
 Only connections are asked for, not all pairs, so a key's group is worked in two
-steps. First each member is held against the group's least one and against the next
-in an order by hash: a fixed number of pairs a row. Then, in groups whose members
-are not all connected yet, every pair that is not connected is held against the
-filters, in blocks of BLOCK members, and what passes is verified. No pair that
-could connect two components is left out, whatever the size of a group.
+steps. First each member is held against the one with the most shared keys, which
+in a family of copies is the original or near it: one pair a row. Then, in groups
+whose members are not all connected yet, every pair that is not connected is held
+against the filters, in blocks of BLOCK members, and what passes is verified. No
+pair that could connect two components is left out, whatever the size of a group.
 
 Cases: null texts and texts without words have no n-grams and link with nothing;
 texts with fewer words than an n-gram are one of it; repeated rows share their set;
@@ -41,13 +41,16 @@ from pyspark.sql import functions as F
 from .common import discard, in_steps, join_checked, staged, staged_so_far, steps
 from .components import connected_components
 
-#: Counters of the sketch: one number of 32 bits each goes to every task.
-COUNTERS = 1 << 20
+#: Counters of the sketch, sent to every task as one number of 32 bits each, and how many travel together.
+COUNTERS, SEGMENT = 1 << 21, 1 << 13
 #: Documents by its counter, over the mean counter, from which on an n-gram is common.
 HOT = 512
 #: Members of a group that are held against each other at a time, and bytes that one such step makes.
 BLOCK, _STEP = 1024, 1 << 24
-_WORDS = 1 << 19
+#: Members of a group from which on the sizes of parts travel with them, so that only pairs that pass all filters leave a task.
+LARGE = 32
+#: Sets whose keys a task knows to be sent already, and bytes of text that are hashed at a time.
+_SENT, _PIECE = 1 << 18, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -90,19 +93,34 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class _Words(dict):
-    """The hash of each word met so far."""
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
 
-        if len(self) >= _WORDS:
-            self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word, 42)
-        return out
+#: A number for each byte, and the powers of an odd base and of its inverse modulo 2^64.
+_BYTES = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BASE = 0xD6E8FEB86659FD93
+_UP, _DOWN = _powers(_BASE, _PIECE + 1), _powers(pow(_BASE, -1, 1 << 64), _PIECE + 1)
 
 
-_words = _Words()
+def _run_hashes(words: list[bytes], k: int) -> np.ndarray:
+    """A hash of each run of k words: the difference of two prefix sums of a polynomial over the text's bytes, brought to one power."""
+    line = np.frombuffer(b" ".join(words), np.uint8)
+    if len(line) > _PIECE:
+        if len(words) <= 2 * k:  # words of great length
+            import xxhash
+
+            return np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), 42) for i in range(len(words) - k + 1)], np.uint64)
+        half = len(words) // 2
+        return np.concatenate([_run_hashes(words[: half + k - 1], k), _run_hashes(words[half:], k)])
+    sums = np.zeros(len(line) + 1, np.uint64)
+    np.cumsum(_BYTES[line] * _UP[: len(line)], out=sums[1:])
+    gaps = np.flatnonzero(line == 32)
+    starts, ends = np.r_[0, gaps + 1], np.r_[gaps, len(line)]
+    starts, ends = starts[: len(words) - k + 1], ends[k - 1 :]
+    return _mixed((sums[ends] - sums[starts]) * _DOWN[starts] + (ends - starts).astype(np.uint64))
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -110,12 +128,7 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    k = min(shingle, len(h))
-    out = np.full(len(h) - k + 1, k, np.uint64)
-    for i in range(k):
-        out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
-    return np.unique(out)
+    return np.unique(_run_hashes(words, min(shingle, len(words))))
 
 
 def set_id(s: np.ndarray) -> int:
@@ -160,50 +173,116 @@ def sizes_of_parts(s: np.ndarray) -> bytes:
     return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
 
 
-def sketch_counts(docs: DataFrame, rule: Rule, counters: int = COUNTERS) -> np.ndarray:
-    """How many distinct n-grams of documents fall on each counter, over all documents."""
+def set_rows(docs: DataFrame, rule: Rule, counters: int = COUNTERS) -> DataFrame:
+    """(doc_id, set_id, n, sizes, segment, counts): a row for each document without the last two, and the task's sketch as rows of the last two alone.
+
+    counts are SEGMENT numbers of as many bytes as the largest needs: how many distinct n-grams of documents fall on each counter.
+    """
+    names = ["doc_id", "set_id", "n", "sizes", "segment", "counts"]
 
     def run(batches):
-        total = np.zeros(counters, np.int64)
+        total = np.zeros(counters, np.uint32)
         for batch in batches:
             for part in steps(batch, "text"):
                 sets = [shingle_set(x.as_py(), rule.shingle) for x in part.column("text")]
+                k = len(sets)
                 at = np.concatenate([*sets, np.zeros(0, np.uint64)]) & np.uint64(counters - 1)
-                total += np.bincount(at.astype(np.int64), minlength=counters)
-        some = np.flatnonzero(total)
-        for a in range(0, len(some), 1 << 16):
-            here = some[a : a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(here.astype(np.int32)), pa.array(total[here])], names=["counter", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(counters, np.int64)  # as many numbers as there are counters
-    out[rows.column("counter").to_numpy()] = rows.column("n").to_numpy()
+                total += np.bincount(at.astype(np.int64), minlength=counters).astype(np.uint32)
+                columns = [part.column("doc_id"), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([sizes_of_parts(s) for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
+        width = min(SEGMENT, counters)
+        for i in range(0, counters, width):
+            here = total[i : i + width]
+            if here.any():
+                packed = here.astype(np.uint8 if here.max() < 1 << 8 else np.uint16 if here.max() < 1 << 16 else np.uint32).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([i // width], pa.int32()), pa.array([packed], pa.binary())], names=names)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, set_id long, n int, sizes binary, segment int, counts binary")
+
+
+def sketch(rows: DataFrame, counters: int = COUNTERS) -> np.ndarray:
+    """The counters of all tasks' sketches, added up by segment."""
+    width = min(SEGMENT, counters)
+    kinds = {width: np.uint8, 2 * width: np.uint16, 4 * width: np.uint32}
+
+    def add(batches):
+        total, now = np.zeros(width, np.int64), None
+        for batch in batches:
+            for segment, packed in zip(batch.column("segment").to_pylist(), batch.column("counts"), strict=True):
+                if segment != now:
+                    if now is not None:
+                        yield one(now, total)
+                    total, now = np.zeros(width, np.int64), segment
+                total += np.frombuffer(packed.as_py(), kinds[len(packed.as_py())])
+        if now is not None:
+            yield one(now, total)
+
+    def one(segment, total):
+        total = np.minimum(total, (1 << 32) - 1).astype(np.uint32)
+        return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["segment", "counts"])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    summed = rows.filter("segment is not null").select("segment", "counts").repartition(parts, "segment").sortWithinPartitions("segment")
+    out = np.zeros(counters, np.uint32)  # as many numbers as there are counters
+    for r in summed.mapInArrow(add, "segment int, counts binary").collect():
+        out[r.segment * width : (r.segment + 1) * width] = np.frombuffer(r.counts, np.uint32)
     return out
 
 
-def index_rows(docs: DataFrame, rule: Rule, counters: np.ndarray, hot: int = HOT) -> DataFrame:
-    """(key, place, set_id, n, doc_id, sizes): a row of each document without key and place, and rows of its set's keys without doc_id and sizes."""
+def key_rows(docs: DataFrame, rule: Rule, counters: np.ndarray, hot: int = HOT) -> DataFrame:
+    """(key, set_id, n, place) of the sets of documents with an id; a task sends the keys of a set once."""
     mean = float(counters.mean())
     most = mean + max(float(hot), 4 * mean**0.5)
 
-    def work(batch):
-        ids, sets = batch.column("doc_id").to_pylist(), [shingle_set(x.as_py(), rule.shingle) for x in batch.column("text")]
-        own = [set_id(s) for s in sets]
-        size = np.array([len(s) for s in sets], np.int32)
-        none = lambda kind, n: pa.nulls(n, kind)
-        k = len(ids)
-        yield pa.RecordBatch.from_arrays([none(pa.int64(), k), none(pa.int32(), k), pa.array(own, pa.int64()), pa.array(size), pa.array(ids, pa.int64()), pa.array([sizes_of_parts(s) for s in sets], pa.binary())], names=_INDEX)
-        found = [prefix_keys(s, rule, counters, most) if d is not None else (s[:0], np.zeros(0, np.int32)) for d, s in zip(ids, sets, strict=True)]
-        each = np.array([len(keys) for keys, _ in found])
-        total = int(each.sum())
-        if total:
-            keys, places = (np.concatenate([x[i] for x in found]) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(places), pa.array(np.repeat(np.array(own, np.int64), each)), pa.array(np.repeat(size, each)), none(pa.int64(), total), none(pa.binary(), total)], names=_INDEX)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(in_steps("text", work, 1 << 20), "key long, place int, set_id long, n int, doc_id long, sizes binary")
-
-
-_INDEX = ["key", "place", "set_id", "n", "doc_id", "sizes"]
+    def run(batches):
+        sent: set[int] = set()
+        for batch in batches:
+            for part in steps(batch, "text", 1 << 20):
+                found, own, size = [], [], []
+                for x in part.column("text"):
+                    s = shingle_set(x.as_py(), rule.shingle)
+                    me = set_id(s)
+                    if not len(s) or me in sent:
+                        continue
+                    if len(sent) >= _SENT:
+                        sent.clear()
+                    sent.add(me)
+                    found.append(prefix_keys(s, rule, counters, most))
+                    own.append(me)
+                    size.append(len(s))
+                if found:
+                    each = np.array([len(keys) for keys, _ in found])
+                    keys, places = (np.concatenate([x[i] for x in found]) for i in (0, 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(np.array(own, np.int64), each)), pa.array(np.repeat(np.array(size, np.int32), each)), pa.array(places)], names=_KEYS)
+
+    return docs.filter("doc_id is not null").select("text").mapInArrow(run, "key long, set_id long, n int, place int")
+
+
+_KEYS = ["key", "set_id", "n", "place"]
+
+
+def _shared(batches):
+    """Of rows sorted by key and set, one of each key and set, of keys that two sets or more have. A row is held back until the next tells."""
+    held, known = None, False
+    for batch in batches:
+        if held is not None:
+            batch = pa.concat_batches([held, batch])
+        key, own = batch.column("key").to_numpy(), batch.column("set_id").to_numpy()
+        first = np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1])]
+        batch, key = batch.filter(pa.array(first)), key[first]
+        same = key[1:] == key[:-1]
+        keep = np.r_[known, same] | np.r_[same, False]
+        held, known = batch.slice(len(key) - 1), bool(keep[-1])
+        if keep[:-1].any():
+            yield batch.slice(0, len(key) - 1).filter(pa.array(keep[:-1]))
+    if held is not None and known:
+        yield held
+
+
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """The rows of keys that two sets or more have, once for each set: one shuffle, after which most keys end."""
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keys.repartition(parts, "key").sortWithinPartitions("key", "set_id").mapInArrow(_shared, "key long, set_id long, n int, place int")
 
 
 def _fits(rule: Rule):
@@ -286,13 +365,19 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, rule: Rule) ->
     return found.distinct()
 
 
+def with_leaders(shared: DataFrame) -> DataFrame:
+    """shared with leader, the member of the group with the most shared keys (the least of equals), members, their number, and the block of each."""
+    degrees = shared.groupBy("set_id").agg(F.count("*").alias("degree"))
+    best = F.struct("degree", (-F.col("set_id")).alias("order"), "n", "place")
+    groups = shared.join(degrees, "set_id").groupBy("key").agg(F.max(best).alias("b"), F.count("*").alias("members"))
+    leader = F.struct((-F.col("b.order")).alias("set_id"), "b.n", "b.place")
+    groups = groups.select("key", leader.alias("leader"), "members", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    return shared.join(groups, "key").withColumn("salt", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+
+
 def first_pairs(shared: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b): each member of a group against the least one and against the next by hash; groups over BLOCK members are salted for the latter."""
-    me = F.struct("set_id", "n", "place")
-    order = Window.partitionBy("key", "salt").orderBy(F.xxhash64("set_id", "key"), "set_id")
-    rows = shared.select(me.alias("x"), "least", F.lead(me).over(order).alias("next"))
-    near = rows.select("x", F.explode(F.array("least", "next")).alias("y")).filter("y is not null")
-    return _once(near.filter(_fits(rule)))
+    """(a, b): each member of a group against its leader, if they pass the filters."""
+    return _once(shared.select(F.struct("set_id", "n", "place").alias("x"), F.col("leader").alias("y")).filter(_fits(rule)))
 
 
 def _in_blocks(rule: Rule):
@@ -349,9 +434,11 @@ def _in_blocks(rule: Rule):
 def other_pairs(shared: DataFrame, labels: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """(a, b): the pairs that share a key, are in different components and pass all filters."""
     spark = shared.sparkSession
-    rows = shared.drop("least").join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    rows = shared.filter("members > 2").drop("leader").join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     apart = rows.groupBy("key").agg((F.min("label") < F.max("label")).alias("apart")).filter("apart").select("key")
-    rows = rows.join(apart, "key", "left_semi").join(sets.select("set_id", "sizes"), "set_id")
+    rows = rows.join(apart, "key", "left_semi")
+    large = rows.filter(F.col("members") > LARGE).join(sets.select("set_id", "sizes"), "set_id")
+    rows = large.unionByName(rows.filter(F.col("members") <= LARGE).withColumn("sizes", F.lit(b"")))
     mine, blocks = F.col("salt"), F.col("blocks")
     other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
     units = rows.select("key", "set_id", "n", "place", "label", "sizes", "salt", other)
@@ -364,14 +451,10 @@ def other_pairs(shared: DataFrame, labels: DataFrame, sets: DataFrame, rule: Rul
 def jaccard_components(docs: DataFrame, rule: Rule = Rule(), hot: int = HOT) -> DataFrame:
     """(doc_id, n_shingles, component_id): component_id is the smallest id that links reach, the document's own included."""
     spark, mark = docs.sparkSession, staged_so_far()
-    rows = staged(index_rows(docs, rule, sketch_counts(docs, rule), hot), "index")
-    members, keys = rows.filter("key is null").select("doc_id", "set_id", "n", "sizes"), rows.filter("key is not null").select("key", "place", "set_id", "n")
-    # A key's rows are summed up before the shuffle; most keys are of one set and end here.
-    me = F.struct("set_id", "n", "place")
-    groups = keys.groupBy("key").agg(F.min(me).alias("least"), F.max("set_id").alias("last"), F.count("*").alias("held"))
-    groups = staged(groups.filter("least.set_id < last").select("key", "least", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks")), "groups")
-    shared = join_checked(keys, groups, "key", "inner", 32).distinct()
-    shared = staged(shared.withColumn("salt", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")), "shared")
+    rows = staged(set_rows(docs, rule), "sets")
+    members = rows.filter("segment is null").select("doc_id", "set_id", "n", "sizes")
+    shared = staged(shared_keys(key_rows(docs, rule, sketch(rows), hot)), "shared")
+    shared = staged(with_leaders(shared), "groups")
     named = shared.select("set_id").distinct()
     sets = staged(members.filter("doc_id is not null").join(named, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sizes").alias("sizes")), "sets")
     pairs = staged(first_pairs(shared, rule), "pairs")

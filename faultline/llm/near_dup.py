@@ -34,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import similar
+from . import jaccard
 from .common import discard, in_steps, join_checked, staged, staged_so_far
 from .components import connected_components
 from .shingles import shingle_hashes
 
 SHINGLE, DISTANCE = 4, 4
 TRIES = 3
+#: What is a near copy beside few differing bits: sets of five-word shingles of a similarity of 0.8 and more.
+SIMILAR = jaccard.Rule(5, 80)
 #: Fingerprints that a node pair holds on average and at most, before it is split further.
 LEAVES, CROWDED = 1 << 11, 1 << 14
 #: Node pairs that a task expands at a time.
@@ -318,10 +320,11 @@ def near_copies(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(node, label): the ids of documents with a near copy, and the smallest id that links reach.
 
     Links are those of the trie join over fingerprints of five-word shingles, and those
-    that `similar` adds: few bits lose copies near the similarity of 0.8.
+    of the Jaccard join: few bits lose copies near the similarity of 0.8.
     """
-    rows = simhash_components(docs, distance, similar.SHINGLE).filter("doc_id <> component_id").select(F.col("doc_id").cast("long").alias("a"), F.col("component_id").cast("long").alias("b"))
-    return connected_components(staged(rows.union(similar.similar_links(docs)), "links"))
+    moved = lambda rows: rows.filter("doc_id <> component_id").select(F.col("doc_id").cast("long").alias("a"), F.col("component_id").cast("long").alias("b"))
+    rows = moved(simhash_components(docs, distance, SIMILAR.shingle)).union(moved(jaccard.jaccard_components(docs, SIMILAR)))
+    return connected_components(staged(rows, "links"))
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:

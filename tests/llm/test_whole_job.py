@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from faultline.llm import components, language, near_dup, similar, words
+from faultline.llm import jaccard, language, near_dup, words
 from faultline.llm.queries import tokenizer
 
 
@@ -47,7 +47,7 @@ def test_similarity_dedup_against_brute_force(spark):
     df = spark.createDataFrame([*enumerate(texts), (None, "a b")], "doc_id long, text string").selectExpr("*", "1 as n", "2 as s", "3 as label")
     want = brute_similar(dict(enumerate(texts)))
     assert 20 < sum(d != r for d, r in want.items()) < len(texts) - 60
-    assert {r.node: r.label for r in components.connected_components(similar.similar_links(df)).collect()} == {d: r for d, r in want.items() if list(want.values()).count(r) > 1}
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(df, near_dup.SIMILAR).collect() if r.doc_id is not None} == want
     got = near_dup.keep_one(df)
     assert got.columns == df.columns
     want = brute_similar(dict(enumerate(texts)), 4)
@@ -55,16 +55,42 @@ def test_similarity_dedup_against_brute_force(spark):
     assert near_dup.keep_one(df.limit(0)).count() == 0
 
 
-def test_sketches_never_rule_out_what_sets_share():
+def test_sizes_of_parts_never_rule_out_what_sets_share():
     rng = np.random.default_rng(3)
-    for n, m in ((1, 1), (40, 50), (200, 190), (3000, 3700), (70_000, 80_000)):  # the last by buckets of 34 and more
-        shared = rng.integers(-(2**63), 2**63, min(n, m) * 2 // 3, np.int64)
-        x, y = (np.unique(np.r_[shared, rng.integers(-(2**63), 2**63, k - len(shared), np.int64)]) for k in (n, m))
-        most = similar.most_shared(similar.count_sketch(x), similar.count_sketch(y))
+    for n, m in ((1, 1), (40, 50), (200, 190), (3000, 3700), (70_000, 80_000)):  # the last by parts of 17 and more
+        shared = rng.integers(0, 2**64, min(n, m) * 2 // 3, np.uint64)
+        x, y = (np.unique(np.r_[shared, rng.integers(0, 2**64, k - len(shared), np.uint64)]) for k in (n, m))
+        sizes = [jaccard.sizes_of_parts(x), jaccard.sizes_of_parts(y)]
+        most = int(np.minimum(*jaccard._unpacked(sizes, min(map(len, sizes)))).sum())
         assert len(np.intersect1d(x, y)) <= most <= min(n, m)
         assert n < 100 or most < min(n, m) * 0.99
 
 
+def forms(pairs, seed=7):
+    """Texts of 300 words with 42 fields of 8 values; of each two copies that differ in 5 fields (similarity 0.844; strangers 0.23)."""
+    rnd = random.Random(seed)
+    out = []
+    for _ in range(pairs):
+        fields = [rnd.randrange(8) for _ in range(42)]
+        other = list(fields)
+        for at in rnd.sample(range(42), 5):
+            other[at] = (other[at] + rnd.randrange(1, 8)) % 8
+        for values in (fields, other):
+            out.append(" ".join(f"v{values[k // 7]}x{k}" if k % 7 == 3 and k // 7 < 42 else f"w{k}" for k in range(300)))
+    return out
+
+
+@pytest.mark.parametrize("pairs", [400, 3000])
+def test_no_copy_of_a_form_is_lost(spark, pairs):
+    """All pairs meet under common shingles; every one must be found, however many forms there are."""
+    texts = forms(pairs)
+    copies = [(2 * k, 2 * k + 1) for k in range(pairs) if 9 * len(five_words(texts[2 * k]) & five_words(texts[2 * k + 1])) >= 4 * (len(five_words(texts[2 * k])) + len(five_words(texts[2 * k + 1])))]
+    df = spark.createDataFrame(enumerate(texts), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(df, near_dup.SIMILAR).collect()}
+    assert len(copies) > 0.9 * pairs and all(got[a] == got[b] for a, b in copies)
+    assert len(set(got.values())) >= 0.9 * pairs
+
+
 def test_pipeline_leaves_no_similar_documents(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

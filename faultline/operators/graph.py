@@ -76,34 +76,70 @@ def alias_closure(aliases: DataFrame) -> DataFrame:
         now = new.select("alias", "id")
 
 
-def acyclic(edges: DataFrame) -> DataFrame:
-    """(from, to): the edges without those that close a cycle.
-
-    What is on no path between cycles is trimmed off round by round; of the edges
-    that stay, those that don't go up in the order of names are dropped.
-    """
-    links = cut(edges.select("from", "to").distinct())
-    core, n = links, links.count()
+def _trimmed(links: DataFrame) -> DataFrame:
+    """links (from, to) without those that no cycle can hold, as nothing leads to their start or on from their end; round by round."""
+    n = links.count()
     while n:
-        entered, left = core.select(F.col("to").alias("from")).distinct(), core.select(F.col("from").alias("to")).distinct()
-        core = cut(core.join(entered, "from", "left_semi").join(left, "to", "left_semi").select("from", "to"))
-        if (now := core.count()) == n:
+        entered, left = links.select(F.col("to").alias("from")).distinct(), links.select(F.col("from").alias("to")).distinct()
+        links = cut(links.join(entered, "from", "left_semi").join(left, "to", "left_semi").select("from", "to"))
+        if (now := links.count()) == n:
             break
         n = now
-    return links.join(core.filter(F.col("from") >= F.col("to")), ["from", "to"], "left_anti")
+    return links
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, root): the nodes that lie on cycles, and the greatest node of those that they reach and are reached by.
+
+    Every node takes the greatest name among those that reach it; within one name,
+    what reaches the bearer of the name is its component. Components found are taken
+    out and the rest goes round again, without what lies on no cycle.
+    """
+    rest = _trimmed(cut(edges.select("from", "to").filter("from <> to").distinct()))
+    out = rest.select(F.col("from").alias("node"), F.col("from").alias("root")).limit(0)
+    while not rest.isEmpty():
+        named = cut(rest.select(F.col("from").alias("node")).union(rest.select("to")).distinct().withColumn("root", F.col("node")))
+        while True:
+            came = rest.join(named.select(F.col("node").alias("from"), "root"), "from").groupBy(F.col("to").alias("node")).agg(F.max("root").alias("came"))
+            new = cut(named.join(came, "node", "left").select("node", F.greatest("root", "came").alias("root"), (F.col("came") > F.col("root")).alias("moved")))
+            named = new.select("node", "root")
+            if new.filter("moved").isEmpty():
+                break
+        end = lambda k: named.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
+        inside = cut(rest.join(end("from"), "from").join(end("to"), "to").filter("root_from = root_to").select("from", "to", F.col("root_to").alias("root")))
+        found = front = cut(named.filter("node = root"))
+        while not front.isEmpty():
+            back = inside.join(front.select(F.col("node").alias("to")), "to", "left_semi").select(F.col("from").alias("node"), "root").distinct()
+            front = cut(back.join(found, "node", "left_anti"))
+            found = cut(found.union(front))
+        out = out.union(found)
+        gone = lambda k: found.select(F.col("node").alias(k))
+        rest = _trimmed(cut(rest.join(gone("from"), "from", "left_anti").join(gone("to"), "to", "left_anti").select("from", "to")))
+    many = out.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root")
+    return out.join(many, "root", "left_semi").select("node", "root")  # what lies between two cycles bears its own name alone
+
+
+def acyclic(edges: DataFrame) -> DataFrame:
+    """(from, to): the edges without those that close a cycle: of the edges inside a strong component those that don't go up in the order of names. All others stay."""
+    links = cut(edges.select("from", "to").distinct())
+    parts = cut(strong_components(links))
+    end = lambda k: parts.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
+    inside = links.join(end("from"), "from").join(end("to"), "to").filter("root_from = root_to")
+    closing = inside.filter(F.col("from") >= F.col("to")).select("from", "to").union(links.filter(F.col("from") == F.col("to")))
+    return links.join(closing, ["from", "to"], "left_anti")
 
 
 def layers(edges: DataFrame) -> DataFrame:
-    """(node, layer): the longest path that leads to each node, once cycles are broken; a round extends all paths by one edge."""
+    """(node, layer): the longest path that leads to each node, once cycles are broken; a round passes on what the round before raised."""
     links = cut(acyclic(edges))
-    ends = edges.select(F.col("from").alias("node")).union(edges.select("to")).distinct()
-    out, front, layer = ends.withColumn("layer", F.lit(0)), ends, 0
+    state = cut(edges.select(F.col("from").alias("node")).union(edges.select("to")).distinct().select("node", F.lit(0).alias("layer")))
+    front = state
     while True:
-        front = cut(links.join(front.withColumnRenamed("node", "from"), "from", "left_semi").select(F.col("to").alias("node")).distinct())
+        raised = links.join(front.withColumnRenamed("node", "from"), "from").groupBy(F.col("to").alias("node")).agg((F.max("layer") + 1).alias("up"))
+        new = cut(state.join(raised, "node", "left").select("node", F.greatest("layer", "up").alias("layer"), (F.col("up") > F.col("layer")).alias("moved")))
+        state, front = new.select("node", "layer"), new.filter("moved").select("node", "layer")
         if front.isEmpty():
-            return out.groupBy("node").agg(F.max("layer").alias("layer"))
-        layer += 1
-        out = out.union(front.withColumn("layer", F.lit(layer)))
+            return state
 
 
 def edge_dns_only(edges: DataFrame, dns_spans: DataFrame) -> DataFrame:

@@ -186,15 +186,18 @@ EXPECTED = {"image-pull": ["image"], "config-error": ["configmap", "env", "secre
 def counter_evidence(hypotheses: DataFrame, changes: DataFrame, siblings: DataFrame) -> DataFrame:
     """(incident_id, category, component, against): no change of the kind that would explain it; the same name healthy in another cluster under no change.
 
-    hypotheses: incident_id, category, component, name, cluster; changes: incident_id, category, name; siblings: incident_id, name, cluster, status.
+    hypotheses: incident_id, category, component, name, cluster; changes: category, name; siblings: name, cluster, status. Where these
+    have an incident_id too, they count for that incident only.
     """
+    keys = lambda df: [k for k in ("incident_id", "name") if k in df.columns]
     table = F.create_map(*[x for k, v in EXPECTED.items() for x in (F.lit(k), F.array(*[F.lit(c) for c in v]))])
     h = hypotheses.withColumn("expected", F.try_element_at(table, F.col("category")))
-    had = changes.groupBy("incident_id", "name").agg(F.collect_set("category").alias("had"))
-    bare = h.filter("expected is not null").join(had, ["incident_id", "name"], "left").filter(~F.coalesce(F.arrays_overlap("had", "expected"), F.lit(False)))
+    had = changes.groupBy(*keys(changes)).agg(F.collect_set("category").alias("had"))  # a closed vocabulary bounds the set
+    bare = h.filter("expected is not null").join(had, keys(changes), "left").filter(~F.coalesce(F.arrays_overlap("had", "expected"), F.lit(False)))
     missing = bare.select("incident_id", "category", "component", F.lit("no-such-change").alias("against"))
-    well = siblings.filter("status = 'healthy'").select("incident_id", "name", F.col("cluster").alias("other")).distinct()
-    twin = h.join(well, ["incident_id", "name"]).filter("other <> cluster").select("incident_id", "category", "component", F.lit("healthy-sibling").alias("against")).distinct()
+    # A healthy place elsewhere: the least and the greatest healthy cluster of a name tell, so no pairs of clusters arise.
+    well = siblings.filter("status = 'healthy'").groupBy(*keys(siblings)).agg(F.min("cluster").alias("least"), F.max("cluster").alias("most"))
+    twin = h.join(well, keys(siblings)).filter("least <> cluster or most <> cluster").select("incident_id", "category", "component", F.lit("healthy-sibling").alias("against")).distinct()
     return missing.unionByName(twin)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import rank
+from .scans import running_sums
 
 
 def search(lines: DataFrame, query: str, most: int = 40) -> DataFrame:
@@ -31,8 +32,7 @@ def dependencies(edges: DataFrame, component: str, most: int = 30) -> DataFrame:
 
 def within_bytes(rows: DataFrame, by: list[str], order: list[str], text: str, budget: int) -> DataFrame:
     """The longest prefix of each group whose texts fit the budget."""
-    used = F.sum(F.octet_length(text)).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("used_bytes", used).filter(F.col("used_bytes") <= budget)
+    return running_sums(rows, by, order, {"used_bytes": F.octet_length(text).cast("long")}).filter(F.col("used_bytes") <= budget)
 
 
 # Bytes of a lookup's result and of an evidence pack.
@@ -43,21 +43,45 @@ def resolved(components: DataFrame, wanted: DataFrame) -> DataFrame:
     """(ref, id, others): the component that each reference names, and how many more it could mean.
 
     An exact id wins; then a name, an id without its type, the end of one, or namespace/name; then any part of an id. Of
-    several the worst off is taken. wanted: ref, a short list.
+    several the worst off is taken. wanted: ref.
+
+    Every way to name a component is a key, so the first two are equi-joins. For the
+    last, ids are indexed by their runs of up to GRAM characters; a reference looks up
+    the run of its own that the fewest ids have, and what it finds is compared.
     """
     from .orders import STATUSES, place_in
 
-    low = F.lower("ref")
-    tail = F.regexp_replace(low, r"^[^:]*:", "")
-    lid, lname = F.lower("id"), F.lower("name")
-    bare = F.regexp_replace(lid, r"^[^:]*:", "")
-    exact = F.col("id") == F.col("ref")
-    named = (lname == low) | (lid == low) | (bare == tail) | lid.endswith(F.concat(F.lit("/"), tail)) | (F.concat(F.lower(F.coalesce("namespace", F.lit(""))), F.lit("/"), lname) == low)
-    tier = F.when(exact, 0).when(named, 1).when(lid.contains(low), 2)
-    hits = components.crossJoin(F.broadcast(wanted.filter("ref <> ''"))).withColumn("tier", tier).filter("tier is not null")
+    refs = wanted.filter("ref <> ''").select("ref", F.lower("ref").alias("low")).distinct().withColumn("tail", F.regexp_replace("low", r"^[^:]*:", ""))
+    rest = ["id", "status", "impact"]
+    c = components.select(*rest, F.lower("id").alias("lid"), F.lower("name").alias("lname"), F.lower(F.coalesce("namespace", F.lit(""))).alias("ns"))
+    exact = c.join(refs.select("ref", F.col("ref").alias("id")), "id").select("ref", F.lit(0).alias("tier"), *rest)
+    way = lambda on, key: F.struct(F.lit(on).alias("on"), key.alias("key"))
+    parts = F.split("lid", "/")
+    ends = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: way("tail", F.array_join(F.slice(parts, k, F.size(parts)), "/")))
+    ways = F.concat(F.array(way("low", F.col("lname")), way("low", F.col("lid")), way("low", F.concat_ws("/", "ns", "lname")), way("tail", F.regexp_replace("lid", r"^[^:]*:", ""))), F.when(F.size(parts) > 1, ends).otherwise(F.slice(ends, 1, 0)))
+    keys = c.select(*rest, F.explode(F.array_distinct(ways)).alias("w")).select(*rest, "w.*").filter("key is not null")
+    asked = refs.select("ref", F.explode(F.array(way("low", F.col("low")), way("tail", F.col("tail")))).alias("w")).select("ref", "w.*")
+    named = keys.join(asked, ["on", "key"]).select("ref", F.lit(1).alias("tier"), *rest).distinct()
+    open_ = refs.join(exact.select("ref").union(named.select("ref")).distinct(), "ref", "left_anti")
+    indexed = c.select(*rest, "lid", F.explode(grams(F.col("lid"))).alias("gram"))
+    held = indexed.groupBy("gram").agg(F.count("*").alias("ids"))
+    longest = F.least(F.char_length("low"), F.lit(GRAM))
+    looked = open_.select("ref", "low", F.explode(F.filter(grams(F.col("low")), lambda g: F.char_length(g) == longest)).alias("gram")).join(held, "gram", "left")
+    rarest = looked.groupBy("ref", "low").agg(F.min_by("gram", F.struct(F.coalesce("ids", F.lit(0)), "gram")).alias("gram"))
+    part = indexed.join(rarest, "gram").filter(F.contains("lid", F.col("low"))).select("ref", F.lit(2).alias("tier"), *rest)
+    hits = exact.unionByName(named.join(exact.select("ref"), "ref", "left_anti")).unionByName(part)
     best = F.struct(place_in(F.col("status"), STATUSES), -F.coalesce("impact", F.lit(0.0)), "id")
-    per = hits.groupBy("ref", "tier").agg(F.min_by("id", best).alias("id"), (F.count("*") - 1).alias("others"))
-    return per.groupBy("ref").agg(F.min_by(F.struct("id", "others"), "tier").alias("x")).select("ref", "x.id", "x.others")
+    return hits.groupBy("ref").agg(F.min_by("id", best).alias("id"), (F.count("*") - 1).alias("others"))
+
+
+#: Characters of the longest runs by which ids are indexed.
+GRAM = 3
+
+
+def grams(text):
+    """The distinct runs of 1 to GRAM characters of a text."""
+    runs = lambda k: F.when(F.char_length(text) >= k, F.transform(F.sequence(F.lit(1), F.char_length(text) - (k - 1)), lambda i: F.substring(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*[runs(k) for k in range(1, GRAM + 1)]))
 
 
 def fitted(rows: DataFrame, by: list[str], order: list, budget: int = LOOKUP_BYTES) -> DataFrame:

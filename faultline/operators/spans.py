@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .selection import ranked_values
+
 FAILING, DEGRADED = 0.2, 0.02
 
 
@@ -34,21 +37,12 @@ def derived_edges(spans: DataFrame) -> DataFrame:
     return calls.unionByName(stores).unionByName(peers).filter(F.col("from") != F.col("to"))
 
 
-def counted_values(rows: DataFrame, keys: list[str], value: str, *more) -> DataFrame:
-    """Rows of (keys, value) with n, how many there are, upto, how many of the key are no larger, and of, how many of the key; more aggregates as given.
-
-    Exact ranks without a list of a key's values: equal ones are counted before the shuffle.
-    """
-    c = rows.groupBy(*keys, value).agg(F.count("*").alias("n"), *more)
-    w = Window.partitionBy(*keys)
-    return c.withColumns({"upto": F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "of": F.sum("n").over(w)})
-
-
 def edge_health(calls: DataFrame) -> DataFrame:
     """(from, to): calls, errors, error_rate, p95_ms (nearest rank), first_error_ms, status."""
-    c = counted_values(calls, ["from", "to"], "dur_ms", F.count_if("error").alias("bad"), F.min(F.when(F.col("error"), F.col("start_ms"))).alias("first_error_ms"))
-    p95 = F.min(F.when(F.col("upto") * 100 >= F.col("of") * 95, F.col("dur_ms")))
-    out = c.groupBy("from", "to").agg(F.sum("n").alias("calls"), F.sum("bad").alias("errors"), p95.alias("p95_ms"), F.min("first_error_ms").alias("first_error_ms"))
+    calls = cut(calls.select("from", "to", "dur_ms", "error", "start_ms"))
+    out = calls.groupBy("from", "to").agg(F.count("*").alias("calls"), F.count_if("error").alias("errors"), F.min(F.when(F.col("error"), F.col("start_ms"))).alias("first_error_ms"))
+    p95 = ranked_values(calls, ["from", "to"], "dur_ms", {"p95_ms": F.floor((F.col("n") * 95 + 99) / 100)}, written=True)
+    out = out.join(p95.drop("n"), ["from", "to"], "left").select("from", "to", "calls", "errors", "p95_ms", "first_error_ms")
     out = out.withColumn("error_rate", F.floor(F.col("errors") / F.col("calls") * 10000 + 0.5) / 10000)
     return out.withColumn("status", F.when(F.col("error_rate") >= FAILING, "failing").when(F.col("error_rate") >= DEGRADED, "degraded").otherwise("ok"))
 
@@ -83,9 +77,9 @@ def entry_points(spans: DataFrame) -> DataFrame:
 
 def slow_spans(spans: DataFrame, factor: float = 3.0, least_ms: float = 1000.0) -> DataFrame:
     """Spans of at least least_ms that took more than factor times the median of their service and operation."""
-    c = counted_values(spans.filter("dur_ms is not null"), ["service", "op"], "dur_ms")
-    at = lambda k: F.min(F.when(F.col("upto") * 2 >= F.col("of") + k, F.col("dur_ms")))  # noqa: E731  the lower and the upper of the middle two
-    medians = c.groupBy("service", "op").agg(((at(0) + at(1)) / 2).alias("median_ms"))
+    n = F.col("n")
+    middle = ranked_values(spans, ["service", "op"], "dur_ms", {"lower": F.floor((n + 1) / 2), "upper": F.floor(n / 2) + 1})
+    medians = middle.select("service", "op", ((F.col("lower") + F.col("upper")) / 2).alias("median_ms"))
     return spans.join(medians, ["service", "op"]).filter((F.col("dur_ms") >= least_ms) & (F.col("dur_ms") > factor * F.col("median_ms")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_anomaly, rank
+from .scans import first_rows, last_known, neighbours, row_numbers, running_sums
 
 HOUR_MS = 3_600_000
 #: Stamps of one scope are ordered by source in this order.
@@ -18,8 +19,7 @@ def source_rank():
 
 def onset(errors: DataFrame, by: list[str], gap_ms: int = HOUR_MS, least: int = 3) -> DataFrame:
     """(by, onset_ms): the earliest error, without leading ones over gap_ms before the next while `least` remain."""
-    w = Window.partitionBy(*by).orderBy("ts_ms", "seq")
-    marked = errors.select(*by, "ts_ms", F.lead("ts_ms").over(w).alias("next"), F.count("*").over(w.rowsBetween(0, Window.unboundedFollowing)).alias("left"))
+    marked = neighbours(errors.select(*by, "ts_ms", "seq"), by, ["ts_ms", "seq"], "ts_ms", "next", "left")
     stays = F.coalesce(F.col("next") - F.col("ts_ms") <= gap_ms, F.lit(True)) | (F.col("left") < least)
     return marked.filter(stays).groupBy(*by).agg(F.min("ts_ms").alias("onset_ms"))
 
@@ -55,18 +55,14 @@ def first_per_kind(signals: DataFrame) -> DataFrame:
 
 def numbered_ids(signals: DataFrame, by: list[str]) -> DataFrame:
     """Adds id: source-line for the first signal of a line, source-line.n for the n-th after it."""
-    n = F.row_number().over(Window.partitionBy(*by, "source", "source_line").orderBy("seq")) - 1
-    stem = F.concat_ws("-", "source", F.col("source_line").cast("string"))
-    return signals.withColumn("id", F.when(n == 0, stem).otherwise(F.concat(stem, F.lit("."), n.cast("string"))))
+    rows = row_numbers(signals, [*by, "source", "source_line"], ["seq"], "_n")
+    stem, n = F.concat_ws("-", "source", F.col("source_line").cast("string")), F.col("_n") - 1
+    return rows.withColumn("id", F.when(n == 0, stem).otherwise(F.concat(stem, F.lit("."), n.cast("string")))).drop("_n")
 
 
 def carried(rows: DataFrame, by: list[str], order: list[str], columns: list[str], reset: str | None = None) -> DataFrame:
     """Adds carried_<column>: the last non-null value so far in each group, forgotten at rows where reset holds."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    if reset:
-        rows = rows.withColumn("_part", F.sum(F.expr(reset).cast("int")).over(w))
-        w = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumns({f"carried_{c}": F.last(c, ignorenulls=True).over(w) for c in columns}).drop("_part")
+    return last_known(rows, by, order, columns, reset)
 
 
 def first_last_error(signals: DataFrame) -> DataFrame:
@@ -89,13 +85,23 @@ def kinds_ranked(signals: DataFrame) -> DataFrame:
     return counts.groupBy("component").agg(F.concat_ws(",", F.transform(items, lambda x: x["k"])).alias("kinds"))
 
 
-def capped(signals: DataFrame, by: list[str], most: int) -> DataFrame:
-    """All errors, and others by severity and newest first until a group has `most` rows."""
-    errors = rank(F.col("severity")) >= 2
-    counts = signals.groupBy(*by).agg(F.count_if(errors).alias("_errors"))
-    w = Window.partitionBy(*by).orderBy(rank(F.col("severity")).desc(), F.desc("ts_ms"), "seq")
-    rest = signals.filter(~errors).withColumn("_rn", F.row_number().over(w)).join(counts, by).filter(F.col("_rn") <= most - F.col("_errors")).drop("_rn", "_errors")
-    return signals.filter(errors).unionByName(rest)
+def capped(signals: DataFrame, by: list[str], most: int, cited: DataFrame | None = None) -> DataFrame:
+    """What a group must keep, and other signals by severity and newest first until it has `most` rows.
+
+    Errors, changes that are more than information, and signals that cited (by, seq)
+    names must be kept. Of the others the first `most` of each part of a group are
+    found before the group's, so none is sorted whole.
+    """
+    must = (rank(F.col("severity")) >= 2) | ((F.col("kind") == "change") & (rank(F.col("severity")) >= 1))
+    if cited is not None:
+        signals = signals.join(cited.select(*by, "seq").distinct().withColumn("_cited", F.lit(True)), [*by, "seq"], "left")
+        must = must | F.col("_cited").isNotNull()
+    signals = signals.withColumn("_must", must)
+    counts = signals.groupBy(*by).agg(F.count_if("_must").alias("_kept"))
+    order = [rank(F.col("severity")).desc(), F.desc("ts_ms"), F.col("seq")]
+    rest = first_rows(signals.filter("not _must"), by, order, most, spread=F.xxhash64("seq"), place="_rn")
+    rest = rest.join(counts, by).filter(F.col("_rn") <= most - F.col("_kept")).drop("_rn", "_kept")
+    return signals.filter("_must").unionByName(rest).drop("_must", "_cited")
 
 
 def handoffs(scalings: DataFrame) -> DataFrame:
@@ -110,8 +116,8 @@ def visible_at(reveals: DataFrame, times: DataFrame) -> DataFrame:
     """(t_ms, visible): how many components have changed by each time: running sums over distinct reveal times, no pairs."""
     steps = reveals.filter("reveal_ms is not null").groupBy(F.col("reveal_ms").alias("t_ms")).agg(F.count("*").alias("n"))
     both = steps.withColumn("asked", F.lit(False)).unionByName(times.select("t_ms", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked")))
-    w = Window.orderBy("t_ms").rangeBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("visible", F.sum("n").over(w)).filter("asked").select("t_ms", "visible").distinct()
+    points = both.groupBy("t_ms").agg(F.sum("n").alias("n"), F.bool_or("asked").alias("asked"))
+    return running_sums(points, [], ["t_ms"], {"visible": F.col("n")}).filter("asked").select("t_ms", "visible")
 
 
 def since(direct: DataFrame, onward: DataFrame) -> DataFrame:

@@ -184,6 +184,34 @@ def layering_longest_path(spark, sf_dir):
     return graph.layers(edges.union(n.select(node(F.col("n_nationkey")), node(F.col("n_nationkey") + 1 + F.col("n_regionkey")))))
 
 
+CYCLES = """e AS (SELECT DISTINCT 'a' || lpad((c_custkey % 60)::VARCHAR, 2, '0') AS f, 'a' || lpad((CASE WHEN c_custkey % 4 = 0 AND c_custkey % 60 < 54 THEN c_custkey % 60 + 6 ELSE c_custkey % 60 // 6 * 6 + (c_custkey + 1 + c_nationkey % 2) % 6 END)::VARCHAR, 2, '0') AS t FROM customer),
+reach AS (SELECT f, t FROM e UNION SELECT r.f, e.t FROM reach r JOIN e ON r.t = e.f), same AS (SELECT a.f, a.t FROM reach a JOIN reach b ON a.f = b.t AND a.t = b.f),
+kept AS (SELECT f, t FROM e WHERE f < t OR (f, t) NOT IN (SELECT (f, t) FROM same))"""
+
+
+def _linked_cycles(spark, sf_dir):
+    """Groups of six names that call each other in cycles, and calls from group to group."""
+    k, n = F.col("c_custkey") % 60, F.col("c_custkey")
+    name = lambda c: F.concat(F.lit("a"), F.lpad(F.floor(c).cast("string"), 2, "0"))
+    to = F.when((n % 4 == 0) & (k < 54), k + 6).otherwise(F.floor(k / 6) * 6 + (n + 1 + F.col("c_nationkey") % 2) % 6)
+    return read(spark, sf_dir, "customer").select(name(k).alias("from"), name(to).alias("to"))
+
+
+@query(sql=f"WITH RECURSIVE {CYCLES} SELECT f AS \"from\", t AS \"to\" FROM kept")
+def broken_cycles(spark, sf_dir):
+    return graph.acyclic(_linked_cycles(spark, sf_dir))
+
+
+@query(sql=f"WITH RECURSIVE {CYCLES} SELECT f AS node, max(t) AS root FROM same GROUP BY f HAVING count(*) > 1")
+def strong_components(spark, sf_dir):
+    return graph.strong_components(_linked_cycles(spark, sf_dir)).select("node", "root")
+
+
+@query(sql=f"""WITH RECURSIVE {CYCLES}, w AS (SELECT f AS node, 0 AS layer FROM e UNION SELECT t, 0 FROM e UNION SELECT kept.t, layer + 1 FROM w JOIN kept ON w.node = kept.f) SELECT node, max(layer)::INT AS layer FROM w GROUP BY node""")
+def layering_with_cycles(spark, sf_dir):
+    return graph.layers(_linked_cycles(spark, sf_dir))
+
+
 @query("entities", sql="""s AS (SELECT name, cluster, CASE WHEN count(*) > 1 THEN 'failing' ELSE 'healthy' END AS status FROM entities GROUP BY ALL)
 SELECT a.name, a.cluster, b.cluster AS sibling_cluster FROM s a JOIN s b ON a.name = b.name AND a.cluster <> b.cluster WHERE a.status <> 'healthy' AND b.status = 'healthy'""")
 def healthy_siblings(spark, sf_dir):

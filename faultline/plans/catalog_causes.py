@@ -60,17 +60,15 @@ def counted_evidence(spark, sf_dir):
 EXPECTED = " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in H.EXPECTED.items())
 
 
-@query("faults", "changes", "components", sql=f"""h AS (SELECT DISTINCT seq // {INCIDENTS} AS i, CASE kind WHEN 'oom_killed' THEN 'resource-limits' WHEN 'image_pull' THEN 'image-pull' WHEN 'dns_failure' THEN 'dns' ELSE 'unknown' END AS category, component, name, cluster FROM faults WHERE seq % 3 = 0),
-c AS (SELECT DISTINCT name, category FROM changes WHERE line < 30), x AS (SELECT h.*, CASE category {EXPECTED} END AS ex FROM h), w AS (SELECT DISTINCT name, cluster AS other FROM components WHERE status = 'healthy')
-SELECT i AS incident_id, category, component, 'no-such-change' AS against FROM x WHERE ex IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c WHERE c.name = x.name AND list_contains(ex, c.category)) UNION ALL SELECT DISTINCT i, category, component, 'healthy-sibling' FROM x JOIN w ON w.name = x.name AND other <> cluster""")
+@query("faults", "changes", "components", sql=f"""h AS (SELECT DISTINCT seq // {INCIDENTS} AS i, CASE kind WHEN 'oom_killed' THEN 'resource-limits' WHEN 'image_pull' THEN 'image-pull' WHEN 'dns_failure' THEN 'dns' ELSE 'unknown' END AS category, component, name, cluster FROM faults),
+c AS (SELECT DISTINCT substr(id, 5)::BIGINT // {INCIDENTS} AS i, name, category FROM changes), x AS (SELECT h.*, CASE category {EXPECTED} END AS ex FROM h), w AS (SELECT DISTINCT name, cluster AS other FROM components WHERE status = 'healthy')
+SELECT i AS incident_id, category, component, 'no-such-change' AS against FROM x WHERE ex IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c WHERE c.i = x.i AND c.name = x.name AND list_contains(ex, c.category)) UNION ALL SELECT DISTINCT i, category, component, 'healthy-sibling' FROM x JOIN w ON w.name = x.name AND other <> cluster""")
 def counter_evidence(spark, sf_dir):
-    f = view(spark, sf_dir, "faults").filter("seq % 3 = 0")
+    f = view(spark, sf_dir, "faults")
     category = F.when(F.col("kind") == "oom_killed", "resource-limits").when(F.col("kind") == "image_pull", "image-pull").when(F.col("kind") == "dns_failure", "dns").otherwise("unknown")
     h = f.select(F.expr(f"seq div {INCIDENTS}").alias("incident_id"), category.alias("category"), "component", "name", "cluster").distinct()
-    ids = h.select("incident_id").distinct()
-    changes = ids.crossJoin(F.broadcast(view(spark, sf_dir, "changes").filter("line < 30").select("name", "category").distinct()))
-    siblings = ids.crossJoin(F.broadcast(view(spark, sf_dir, "components").select("name", "cluster", "status").distinct()))
-    return H.counter_evidence(h, changes, siblings)
+    changes = view(spark, sf_dir, "changes").withColumn("incident_id", F.expr(f"cast(substring(id, 5) as bigint) div {INCIDENTS}"))
+    return H.counter_evidence(h, changes, view(spark, sf_dir, "components"))
 
 
 @query("faults", sql=f"""e AS (SELECT DISTINCT seq // {INCIDENTS} AS i, component AS f, 'service:' || cluster || '/' || namespace || '/app-' || (seq % 6 + 4) AS t FROM faults), h AS (SELECT DISTINCT i, 'x' AS category, t AS component FROM e WHERE i % 2 = 0), b AS (SELECT DISTINCT seq // {INCIDENTS} AS i, component FROM faults WHERE severity IN ('error', 'critical')),

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .graph import alias_closure
+
 
 def merged(hints: DataFrame, by: list[str], most: int = 50) -> DataFrame:
     """One row per component: how many hints, whether any knew the cluster, and the first `most` namespaces in order."""
@@ -68,3 +71,44 @@ def dependency_hints(signals: DataFrame, most_ids: int = 20) -> DataFrame:
 def unresolved(signals: DataFrame, components: DataFrame) -> DataFrame:
     """Components that signals name and the table lacks."""
     return signals.select("component").distinct().join(components.select("component"), "component", "left_anti")
+
+
+# Types of which an entity that only resembles a component may turn out to be, in the order of preference.
+REAL_TYPES = ["service", "datastore", "infra"]
+
+
+def _fitting(asks: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """(id, target): for each of asks the candidate of the same keys, if all of these are in one place; its own type comes first, then by REAL_TYPES and id.
+
+    Candidates are summed up per key before the join, so no pairs of hints arise.
+    """
+    place = F.concat_ws("/", F.coalesce("cluster", F.lit("?")), F.coalesce("namespace", F.lit("?")))
+    first = [F.min(F.when(F.col("type") == t, F.col("id"))).alias(f"_{t}") for t in REAL_TYPES]
+    groups = known.withColumn("_place", place).groupBy(*keys).agg(F.min("_place").alias("_least"), F.max("_place").alias("_most"), *first).filter("_least = _most")
+    own = F.coalesce(*[F.when(F.col("type") == t, F.col(f"_{t}")) for t in REAL_TYPES], *[F.col(f"_{t}") for t in REAL_TYPES])
+    return asks.join(groups, keys).select("id", own.alias("target")).filter("target is not null")
+
+
+def reconciled_in_tiers(entities: DataFrame) -> DataFrame:
+    """(id, target): where half-known entities belong, the best known first, so that vaguer ones see only what is left.
+
+    entities: id, name, type, cluster, namespace, of which the last two are null where nothing states them. An entity
+    moves onto one that agrees with all that it states and adds something, if all such are in one cluster and namespace;
+    an external peer moves onto a real component of its name that agrees. Nodes and what is known in full stay.
+    Chains are followed to their end. The order of rows doesn't matter.
+    """
+    e = entities.select("id", "name", "type", "cluster", "namespace").dropDuplicates(["id"])
+    real, peers = e.filter(F.col("type").isin(REAL_TYPES)), e.filter("type = 'external'")
+    kind = lambda df, cluster, namespace: df.filter(f"cluster is {'not ' * cluster}null and namespace is {'not ' * namespace}null")
+    whole, spaced, placed, bare = (kind(real, *k) for k in ((1, 1), (0, 1), (1, 0), (0, 0)))
+    moved = _fitting(spaced, whole, ["name", "namespace"]).unionByName(_fitting(placed, whole, ["name", "cluster"])).unionByName(_fitting(kind(peers, 1, 1), whole, ["name", "cluster", "namespace"]))
+    moved = cut(moved)
+    left = whole.unionByName(spaced.unionByName(placed).join(moved, "id", "left_anti").select(*whole.columns))
+    found = [moved]
+    step = _fitting(bare, left, ["name"])
+    step = step.unionByName(_fitting(kind(peers, 0, 1), left.filter("namespace is not null"), ["name", "namespace"])).unionByName(_fitting(kind(peers, 1, 0), left.filter("cluster is not null"), ["name", "cluster"]))
+    found.append(cut(step))
+    left = left.unionByName(bare.join(found[1], "id", "left_anti").select(*whole.columns))
+    found.append(_fitting(kind(peers, 0, 0), left, ["name"]))
+    every = found[0].unionByName(found[1]).unionByName(found[2]).filter("id <> target")
+    return alias_closure(every.select(F.col("id").alias("alias"), F.col("target").alias("id"))).select(F.col("alias").alias("id"), F.col("id").alias("target"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import correlate as C
+from ..operators import entities as E
 from ..sources.adapters import view
-from .catalog import RANK, query
+from .catalog import RANK, query, read
 
 
 @query("faults", sql="SELECT seq, CASE WHEN kind = 'span_error' AND cause IN ('dns_failure', 'tls_error', 'conn_exhaustion') THEN cause ELSE kind END AS counts_as FROM faults")
@@ -224,3 +225,23 @@ def counts_of_other_sources(spark, sf_dir):
     return C.other_source_counts(view(spark, sf_dir, "faults"))
 
 
+
+
+_PICK = "SELECT id, arg_min(t, ((ct <> et)::INT, CASE ct WHEN 'service' THEN 0 WHEN 'datastore' THEN 1 ELSE 2 END, t)) AS t FROM {} GROUP BY id HAVING count(DISTINCT place) = 1"
+_PAIRS = "SELECT e.id, c.id AS t, c.type AS ct, e.type AS et, coalesce(c.cluster, '?') || '/' || coalesce(c.namespace, '?') AS place FROM h e JOIN {} c ON c.name = e.name AND (e.cluster IS NULL OR c.cluster = e.cluster) AND (e.namespace IS NULL OR c.namespace = e.namespace)"
+_HINTS = """SELECT DISTINCT concat(type, ':', coalesce(cluster, '?'), '/', coalesce(namespace, '?'), '/', name) AS id, name, type, cluster, namespace FROM (
+  SELECT concat('app-', cast(c_custkey % 200 AS varchar(9))) AS name, CASE c_custkey % 7 WHEN 0 THEN 'external' WHEN 1 THEN 'datastore' WHEN 2 THEN 'node' WHEN 3 THEN 'infra' ELSE 'service' END AS type,
+  CASE WHEN c_custkey % 5 < 3 THEN concat('c', cast(c_nationkey % 2 AS varchar(9))) END AS cluster, CASE WHEN c_custkey % 11 < 6 THEN concat('ns', cast(c_nationkey % 3 AS varchar(9))) END AS namespace FROM {}) x"""
+
+
+@query(sql=f"""WITH RECURSIVE h AS ({_HINTS.format("customer")}), r AS (SELECT * FROM h WHERE type IN ('service', 'datastore', 'infra')), full_ AS (SELECT * FROM r WHERE cluster IS NOT NULL AND namespace IS NOT NULL),
+p1 AS ({_PAIRS.format("full_")} WHERE (e.type IN ('service', 'datastore', 'infra') AND (e.cluster IS NULL) <> (e.namespace IS NULL)) OR (e.type = 'external' AND e.cluster IS NOT NULL AND e.namespace IS NOT NULL)), m1 AS ({_PICK.format("p1")}),
+l1 AS (SELECT * FROM r WHERE (cluster IS NOT NULL OR namespace IS NOT NULL) AND id NOT IN (SELECT id FROM m1)),
+p2 AS ({_PAIRS.format("l1")} WHERE (e.type IN ('service', 'datastore', 'infra') AND e.cluster IS NULL AND e.namespace IS NULL) OR (e.type = 'external' AND (e.cluster IS NULL) <> (e.namespace IS NULL))), m2 AS ({_PICK.format("p2")}),
+l2 AS (SELECT * FROM l1 UNION ALL SELECT * FROM r WHERE cluster IS NULL AND namespace IS NULL AND id NOT IN (SELECT id FROM m2)),
+p3 AS ({_PAIRS.format("l2")} WHERE e.type = 'external' AND e.cluster IS NULL AND e.namespace IS NULL), m3 AS ({_PICK.format("p3")}),
+m AS (SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3), walk AS (SELECT id, t, 1 AS d FROM m UNION ALL SELECT w.id, m.t, d + 1 FROM walk w JOIN m ON w.t = m.id)
+SELECT id, arg_max(t, d) AS target FROM walk GROUP BY id""")
+def reconcile_tiers(spark, sf_dir):
+    """Hints with and without a cluster and a namespace, of all types, from the best known to the vaguest."""
+    return E.reconciled_in_tiers(spark.sql(_HINTS.format("{customer}"), customer=read(spark, sf_dir, "customer")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, text, times
 from ..functions import vocabulary as V
-from ..operators import budget, changes, entities, graph, lookup, scoring, spans, stackfit, timeline
+from ..operators import budget, changes, entities, graph, lookup, rules, scoring, spans, stackfit, timeline
 from ..session import cut
 from ..sources import lines, logs
 from ..sources.adapters import view, with_views
@@ -717,12 +717,43 @@ def _panes(spark, sf_dir):
     ordered = lambda df, line, key: df.groupBy("incident_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
     log = ordered(lines_, F.concat(F.lit("[pod/"), "component", F.lit("-7d9f8b6c5-x2k4j/app] "), stamp, F.lit(" "), "body"), "seq").withColumn("source", F.lit("logs"))
     s = view(spark, sf_dir, "spans").withColumns({"incident_id": F.concat(F.lit("inc-"), F.expr("cast(trace_id div 200 as string)")), "ts_ms": F.col("start_ms")})
-    span = F.concat(stamp, F.lit(" trace="), F.col("trace_id").cast("string"), F.lit(" span="), F.col("span_id").cast("string"), F.lit(" parent="), F.coalesce(F.col("parent_id").cast("string"), F.lit("-")), F.lit(" service="), "service", F.lit(" kind="), "kind", F.lit(" op="), "op", F.lit(" dur="), F.col("dur_ms").cast("long").cast("string"), F.lit("ms status="), F.when(F.col("error"), "error").otherwise("ok"))
+    span = F.concat(stamp, F.lit(" trace="), F.col("trace_id").cast("string"), F.lit(" span="), (F.col("span_id") + 1).cast("string"), F.lit(" parent="), F.coalesce((F.col("parent_id") + 1).cast("string"), F.lit("-")), F.lit(" service="), "service", F.lit(" kind="), "kind", F.lit(" op="), "op", F.lit(" dur="), F.col("dur_ms").cast("long").cast("string"), F.lit("ms status="), F.when(F.col("error"), "error").otherwise("ok"))
     trace = ordered(s.withColumn("line_key", F.struct("trace_id", "span_id")), span, "line_key").withColumn("source", F.lit("traces"))
     return log.unionByName(trace).select("incident_id", "source", "text")
 
 
-@query()
+#: What the log reader makes of LOG_TEXTS, by place: kind and severity.
+_SHOWN = ["oom_killed error", "crash_loop error", "image_pull error", "probe_failed warn", "dns_failure error", "tls_error error", "conn_exhaustion critical", "migration error", "conn_refused error", "timeout error", "http_429 warn", "", "http_5xx error", "throttled warn", "rollout info", "restart info", "scheduling_failed warn", "panic critical", "hpa_maxed warn", ""]
+_HOME = "'service:cluster-1/default/' || "
+_ANALYSIS = f"""k AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{x.split()[0]}', '{x.split()[1]}')" for i, x in enumerate(_SHOWN) if x)}) t(idx, kind, severity)),
+sig AS (SELECT seq // 200 AS i, component AS c, kind, severity, ts_ms // 1000 * 1000 AS ts FROM log_lines JOIN k ON seq % 20 = idx UNION ALL SELECT trace_id // 200, service, 'span_error', 'error', start_ms // 1000 * 1000 FROM spans WHERE error),
+err AS (SELECT * FROM sig WHERE {ANOMALY} AND {RANK} >= 2), lead_ AS (SELECT i, ts, lead(ts) OVER w AS nxt, count(*) OVER (PARTITION BY i ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lft FROM err WINDOW w AS (PARTITION BY i ORDER BY ts)),
+onset AS (SELECT i, min(ts) AS onset_ms FROM lead_ WHERE nxt IS NULL OR nxt - ts <= 3600000 OR lft < 3 GROUP BY i),
+parents AS (SELECT trace_id, span_id AS parent_id, max(service) AS parent_service FROM spans GROUP BY ALL),
+edges AS (SELECT s.trace_id // 200 AS i, parent_service AS f, service AS t, count(*) AS calls, count(*) FILTER (error) AS errors, floor(count(*) FILTER (error) / count(*) * 10000 + 0.5) / 10000 AS rate FROM spans s JOIN parents USING (trace_id, parent_id) WHERE parent_service <> service GROUP BY ALL),
+failing AS (SELECT DISTINCT i, c FROM err JOIN onset USING (i) WHERE ts >= onset_ms - 900000 UNION SELECT i, t FROM edges WHERE rate >= 0.2),
+deep AS (SELECT DISTINCT i, c FROM failing JOIN edges e USING (i) WHERE e.t = c AND rate >= 0.2 AND (i, c) NOT IN (SELECT (o.i, o.f) FROM edges o JOIN failing x ON x.i = o.i AND x.c = o.t)),
+n AS (SELECT i, c, kind, count(*) AS n FROM sig GROUP BY ALL), one AS (SELECT i, kind, arg_min(c, (-n, c)) AS c, count(*) AS clients FROM n WHERE kind IN ('dns_failure', 'tls_error', 'conn_exhaustion') GROUP BY ALL),
+has AS (SELECT i, c, sum(n) FILTER (kind = 'crash_loop') AS crash, sum(n) FILTER (kind = 'hpa_maxed') AS maxed, count(*) FILTER (kind = 'span_error' OR kind IN (SELECT kind FROM err)) AS own FROM n GROUP BY ALL),
+worst AS (SELECT e.i, e.t AS c, arg_min(e.f, (-errors, e.f)) AS f FROM edges e JOIN deep d ON d.i = e.i AND d.c = e.t WHERE rate >= 0.2 GROUP BY ALL),
+clue AS (SELECT i, 'resource-limits' AS category, c, 0.5 AS w FROM n WHERE kind = 'oom_killed' UNION ALL SELECT n.i, 'resource-limits', n.c, 0.15 FROM n JOIN has USING (i, c) WHERE kind = 'oom_killed' AND crash > 0
+  UNION ALL SELECT i, 'image-pull', c, 0.55 FROM n WHERE kind = 'image_pull' UNION ALL SELECT i, 'probe-misconfig', c, 0.25 FROM n WHERE kind = 'probe_failed' UNION ALL SELECT i, 'rate-limiting', c, 0.45 FROM n WHERE kind = 'http_429'
+  UNION ALL SELECT i, 'scheduling-capacity', c, least(0.4, 0.2 + 0.05 * (n - 1)) FROM n WHERE kind = 'scheduling_failed' UNION ALL SELECT n.i, 'scheduling-capacity', n.c, 0.2 FROM n JOIN has USING (i, c) WHERE kind = 'scheduling_failed' AND maxed > 0
+  UNION ALL SELECT i, 'dns', c, least(0.55, 0.35 + 0.05 * (clients - 1)) FROM one WHERE kind = 'dns_failure' UNION ALL SELECT i, 'tls-cert', c, 0.45 FROM one WHERE kind = 'tls_error'
+  UNION ALL SELECT i, 'connection-exhaustion', c, 0.4 FROM one WHERE kind = 'conn_exhaustion' UNION ALL SELECT i, 'connection-exhaustion', c, 0.1 FROM one WHERE kind = 'conn_exhaustion' AND clients > 1 UNION ALL SELECT o.i, 'connection-exhaustion', o.c, 0.15 FROM one o JOIN has USING (i, c) WHERE o.kind = 'conn_exhaustion' AND maxed > 0
+  UNION ALL SELECT w.i, 'dependency-failure', w.c, 0.35 FROM worst w WHERE (w.i, w.f) IN (SELECT (i, c) FROM err) UNION ALL SELECT d.i, 'dependency-failure', d.c, 0.2 FROM deep d JOIN worst USING (i, c) WHERE (d.i, d.c) IN (SELECT (i, c) FROM err)),
+raw AS (SELECT g.i, category, g.c, pieces, base * CASE WHEN deep.c IS NOT NULL THEN 1.1 ELSE 1 END AS raw FROM (SELECT i, category, c, count(*) AS pieces, 1 - exp(sum(ln(1 - w::DOUBLE))) AS base FROM clue GROUP BY ALL) g LEFT JOIN deep ON deep.i = g.i AND deep.c = g.c),
+scored AS (SELECT i, category, c, pieces, raw, floor(CASE WHEN pieces < 2 THEN least(raw, 0.5) ELSE least(raw, 0.95) END * 1000 + 0.5) / 1000 AS confidence FROM raw),
+weak AS (SELECT i FROM (SELECT DISTINCT seq // 200 AS i FROM log_lines UNION SELECT DISTINCT trace_id // 200 FROM spans) LEFT JOIN scored USING (i) GROUP BY i HAVING coalesce(max(confidence), 0) < 0.35),
+most AS (SELECT f.i, arg_min(f.c, (-coalesce(e.n, 0), f.c)) AS c FROM failing f JOIN weak USING (i) LEFT JOIN (SELECT i, c, count(*) AS n FROM err GROUP BY ALL) e ON e.i = f.i AND e.c = f.c GROUP BY f.i),
+every AS (SELECT i, category, {_HOME} c AS c, confidence, raw, pieces FROM scored UNION ALL SELECT i, 'unknown', {_HOME} c, 0.3, 0.3, 1 FROM most
+  UNION ALL SELECT i, 'unknown', '', 0.3, 0.3, 0 FROM weak WHERE i NOT IN (SELECT i FROM most) AND i NOT IN (SELECT i FROM scored)),
+placed AS (SELECT *, list_position({rules.CATEGORIES}, category) AS sp FROM every), few AS (SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY i, c ORDER BY confidence DESC, round(raw, 9) DESC, sp) <= 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY confidence DESC, round(raw, 9) DESC, sp, c) AS rank FROM few)
+SELECT 'inc-' || i AS incident_id, category, c AS component, confidence, floor(raw * 1000 + 0.5) / 1000 AS raw, pieces, 0::BIGINT AS changes, rank::INT AS rank FROM r WHERE rank <= 6"""
+
+
+@query("log_lines", "spans", sql=_ANALYSIS)
 def analysis_hypotheses(spark, sf_dir):
     """Ranked causes of incidents built from the tables, through all readers and rules."""
     return analyze(_panes(spark, sf_dir))["hypotheses"]

@@ -177,8 +177,8 @@ def test_memory_cut_is_the_first_cause(spark):
     picks = [r for r in out["options"].collect() if r.recommended]
     assert {(r.incident_id, r.kind) for r in picks} == {("i", "helm-rollback"), ("blank", "restart")}
     state = {r.name: r.status for r in out["components"].collect()}
-    assert state["cart"] == "failing" and state["web"] == "failing"
-    assert out["edges"].select("from", "to", "calls", "status").collect() == [("web", "cart", 5, "failing")]
+    assert state["cart"] == "root" and state["web"] == "failing"
+    assert out["edges"].select("from", "to", "calls", "status").collect() == [("service:cluster-1/default/web", "service:cluster-1/default/cart", 5, "failing")]
     b = {r.incident_id: r for r in out["budget"].collect()}
     assert b["i"].ratio_source == "traces" and b["blank"].ratio_source == "default"
     assert out["series"].count() == 50 and out["alert_rows"].count() == 6

@@ -169,7 +169,7 @@ def test_release_panes(spark):
 def test_memory_cut_is_the_first_cause(spark):
     oom = "\n".join(f"[pod/cart-7d9f8b6c5-x2k4j/app] 2025-10-09T08:4{i}:20Z ERROR container OOMKilled Exit Code: 137" for i in range(3, 8))
     spans = "\n".join(f"2025-10-09T08:45:0{i}Z trace=t{i} span=a service=web kind=server op=get dur=90ms status=error code=502\n2025-10-09T08:45:0{i}Z trace=t{i} span=b parent=a service=cart kind=server op=load dur=80ms status=error" for i in range(5))
-    rows = [("i", "logs", oom), ("i", "traces", spans), ("i", "helm", HELM), ("i", "alerts", "[FIRING:1] CartOOMKilled service=cart namespace=default"), ("blank", "logs", "")]
+    rows = [("i", "logs", oom), ("i", "traces", spans), ("i", "helm", HELM), ("i", "alerts", "[FIRING:1] CartOOMKilled service=cart namespace=shop"), ("blank", "logs", "")]
     out = analyze(spark.createDataFrame(rows, PANES))
     h = {(r.incident_id, r["rank"]): r for r in out["hypotheses"].collect()}
     assert h["i", 1].category == "resource-limits" and "cart" in h["i", 1].component and 0.7 < h["i", 1].confidence <= 0.95
@@ -178,7 +178,7 @@ def test_memory_cut_is_the_first_cause(spark):
     assert {(r.incident_id, r.kind) for r in picks} == {("i", "helm-rollback"), ("blank", "restart")}
     state = {r.name: r.status for r in out["components"].collect()}
     assert state["cart"] == "root" and state["web"] == "failing"
-    assert out["edges"].select("from", "to", "calls", "status").collect() == [("service:cluster-1/default/web", "service:cluster-1/default/cart", 5, "failing")]
+    assert out["edges"].select("from", "to", "calls", "status").collect() == [("service:cluster-1/default/web", "service:cluster-1/shop/cart", 5, "failing")]
     b = {r.incident_id: r for r in out["budget"].collect()}
     assert b["i"].ratio_source == "traces" and b["blank"].ratio_source == "default"
     assert out["series"].count() == 50 and out["alert_rows"].count() == 6

@@ -24,22 +24,29 @@ def _covered(positions: Column) -> Column:
 
 
 def _repeats(words: Column) -> Column:
-    """Words inside windows that occur twice or more. Most texts have none, as distinct hashes tell; else windows are sorted with their places and compared by their words."""
+    """Words inside windows that occur twice or more. Hashes tell where a window may be repeated; only those windows become texts, which are sorted with their places and compared."""
 
-    def sorted_places(s: Column) -> Column:
+    def equal_to_next(s: Column, field: str) -> Column:
+        """The places of sorted pairs that equal one beside them."""
         n = F.size(s)
-        same = lambda a, b: F.get(s, a)["w"] == F.get(s, b)["w"]
+        same = lambda a, b: F.get(s, a)[field] == F.get(s, b)[field]
         at = F.filter(F.sequence(F.lit(0), n - 1), lambda k: F.when((k > 0) & same(k, F.greatest(k - 1, F.lit(0))), F.lit(True)).otherwise((k < n - 1) & same(k, F.least(k + 1, n - 1))))
-        return let(F.array_sort(F.transform(at, lambda k: F.get(s, k)["at"])), _covered)
+        return F.transform(at, lambda k: F.get(s, k)["at"])
 
-    def repeated_hashes(hashes: Column) -> Column:
-        # Words hold no space, so windows joined by spaces are equal where their words are.
-        window = lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
-        pairs = F.transform(hashes, lambda h, i: F.struct(window(i).alias("w"), i.alias("at")))
+    # Words hold no space, so windows joined by spaces are equal where their words are.
+    window = lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+
+    def by_words(places: Column) -> Column:
+        pairs = F.array_sort(F.transform(places, lambda i: F.struct(window(i).alias("w"), i.alias("at"))))
+        repeated = let(pairs, lambda s: F.array_sort(equal_to_next(s, "w")))
+        return F.when(F.size(places) == 0, F.lit(0).cast("long")).otherwise(let(repeated, _covered))
+
+    def by_hash(hashes: Column) -> Column:
         none = F.size(F.array_distinct(hashes)) == F.size(hashes)
-        return F.when(none, F.lit(0).cast("long")).otherwise(let(F.array_sort(pairs), sorted_places))
+        pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
+        return F.when(none, F.lit(0).cast("long")).otherwise(let(let(pairs, lambda s: equal_to_next(s, "h")), by_words))
 
-    return let(_window_hashes(words), repeated_hashes)
+    return let(_window_hashes(words), by_hash)
 
 
 def _window_hashes(words: Column) -> Column:

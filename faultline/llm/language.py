@@ -246,9 +246,14 @@ def identify(rows: DataFrame, block: int = BLOCK_LANGUAGES) -> DataFrame:
     return out.withColumn("kept", F.col("letters") & F.col("lang").isNotNull() & (F.col("posterior") >= MIN_POSTERIOR)).drop("letters")
 
 
+#: An address in a text, by its scheme, its first label or its @, with its last label.
+_ADDRESS = r"(?i)(?:\bhttps?://|\bwww\.|@)[a-z0-9](?:[a-z0-9.-]*[a-z0-9])?\.([a-z]{2,24})\b"
+
+
 def document_rows(docs: DataFrame) -> DataFrame:
-    """Documents as evidence: the language column is what is declared, the source is the host; there is no address."""
-    return docs.select("doc_id", "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit(None).cast("string").alias("suffix"))
+    """Documents as evidence: the language column is what is declared, the source is the host, the suffix is that of the first address in the text, a site's or a mailbox."""
+    suffix = F.lower(F.regexp_extract("text", _ADDRESS, 1))
+    return docs.select("doc_id", "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.when(suffix != "", suffix).alias("suffix"))
 
 
 def page_rows(pages: DataFrame) -> DataFrame:

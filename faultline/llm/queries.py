@@ -55,7 +55,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = language.identify(language.document_rows(table(spark, sf_dir, "documents")))
-    return rows.select("doc_id", "lang", "posterior", "text_lang", "declared", "kept")
+    return rows.select("doc_id", "lang", "posterior", "text_lang", "declared", "suffix", "kept")
 
 
 def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,14 +142,19 @@ def stack_costs(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.inline(F.array(*[F.struct(F.lit(s).alias("stack"), F.lit(n).alias("line"), money(x).alias("usd")) for s, n, x in lines])))
 
 
-def stack_catalogue(spark) -> DataFrame:
-    """(stack, item, value, unit): the limits and prices that flags and costs rest on."""
-    rows = [
-        ("hosted", "included series per node", float(INCLUDED_PER_NODE), "series"), ("hosted", "node", NODE_USD, "usd/month"), ("hosted", "traced host", APM_USD, "usd/month"), ("hosted", "log ingest", INGEST_USD, "usd/GB"), ("hosted", "log index", None, "usd/event"),
-        ("self-hosted", "series per tenant", float(TENANT_SERIES), "series"), ("self-hosted", "log rate per tenant", TENANT_MB_S, "MB/s"), ("self-hosted", "plan", PLAN_USD, "usd/month"), ("self-hosted", "series", SERIES_USD, "usd/1000"), ("self-hosted", "log processed", PROCESS_USD, "usd/GB"), ("self-hosted", "log written", WRITE_USD, "usd/GB"),
-        ("collector", "point", float(POINT_BYTES), "bytes"), ("collector", "points", POINT_GB_USD, "usd/GB"), ("managed", "series per workspace", float(WORKSPACE_SERIES), "series"), ("managed", "burst floor", float(BURST_SERIES), "series"), *[("managed", f"samples from {int(low)}", price, "usd/million") for low, _, price in SAMPLE_TIERS],
-    ]
-    return spark.createDataFrame(rows, "stack string, item string, value double, unit string")
+#: The limits and prices that flags and costs rest on: stack, item, value, unit.
+CATALOGUE = [
+    ("hosted", "included series per node", float(INCLUDED_PER_NODE), "series"), ("hosted", "node", NODE_USD, "usd/month"), ("hosted", "traced host", APM_USD, "usd/month"), ("hosted", "log ingest", INGEST_USD, "usd/GB"), ("hosted", "log index", None, "usd/event"),
+    ("self-hosted", "series per tenant", float(TENANT_SERIES), "series"), ("self-hosted", "log rate per tenant", TENANT_MB_S, "MB/s"), ("self-hosted", "plan", PLAN_USD, "usd/month"), ("self-hosted", "series", SERIES_USD, "usd/1000"), ("self-hosted", "log processed", PROCESS_USD, "usd/GB"), ("self-hosted", "log written", WRITE_USD, "usd/GB"),
+    ("collector", "point", float(POINT_BYTES), "bytes"), ("collector", "points", POINT_GB_USD, "usd/GB"), ("managed", "series per workspace", float(WORKSPACE_SERIES), "series"), ("managed", "burst floor", float(BURST_SERIES), "series"), *[("managed", f"samples from {int(low)}", price, "usd/million") for low, _, price in SAMPLE_TIERS],
+]
+
+
+def stack_catalogue(scales: DataFrame) -> DataFrame:
+    """(stack, item, value, unit, over): the catalogue, and how many of the scales have more series than a limit allows; null for what is no limit of series."""
+    table = F.explode(F.array(*[F.struct(F.lit(s).alias("stack"), F.lit(i).alias("item"), F.lit(v).cast("double").alias("value"), F.lit(u).alias("unit")) for s, i, v, u in CATALOGUE]))
+    rows = scales.select(F.col("series").cast("double").alias("series"), table.alias("c")).select("series", "c.*")
+    return rows.groupBy("stack", "item", "value", "unit").agg(F.count_if(F.col("series") > F.col("value")).alias("over")).withColumn("over", F.when(F.col("unit") == "series", F.col("over")))
 
 
 def assembled(flags: DataFrame) -> DataFrame:

@@ -156,6 +156,9 @@ def stack_costs(spark, sf_dir):
     return stackfit.stack_costs(_scales(spark, sf_dir))
 
 
-@query(sql="SELECT stack, count(*) AS items, count(value) AS known FROM (VALUES ('hosted', 1.0), ('hosted', 1.0), ('hosted', 1.0), ('hosted', 1.0), ('hosted', NULL), ('self-hosted', 1.0), ('self-hosted', 1.0), ('self-hosted', 1.0), ('self-hosted', 1.0), ('self-hosted', 1.0), ('self-hosted', 1.0), ('collector', 1.0), ('collector', 1.0), ('managed', 1.0), ('managed', 1.0), ('managed', 1.0), ('managed', 1.0), ('managed', 1.0), ('managed', 1.0)) t(stack, value) GROUP BY ALL")
+_CATALOGUE = ", ".join(f"('{s}', '{i}', {'NULL' if v is None else v}::DOUBLE, '{u}')" for s, i, v, u in stackfit.CATALOGUE)
+
+
+@query("signals", sql=SCALES + f", ca AS (SELECT * FROM (VALUES {_CATALOGUE}) t(stack, item, value, unit)) SELECT stack, item, value, unit, CASE WHEN unit = 'series' THEN count(*) FILTER (series > value) END AS over FROM ca CROSS JOIN sc GROUP BY stack, item, value, unit")
 def stack_catalogue(spark, sf_dir):
-    return stackfit.stack_catalogue(spark).groupBy("stack").agg(F.count("*").alias("items"), F.count("value").alias("known"))
+    return stackfit.stack_catalogue(_scales(spark, sf_dir))

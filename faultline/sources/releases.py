@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import chart_release, fnv_id
@@ -11,6 +10,7 @@ from ..functions.text import looks_secret
 from ..functions.times import leading_stamp
 from ..operators.changes import classify_change
 from .lines import split_lines
+from .manifests import records
 from .traces import json_segments, repaired_json
 
 HISTORY_ROW = r"^\s*(\d+)\s+(\d{4}-\S+(?: [\d:.]+(?: \S+)*?)?|\S.*?\d{4})\s+(superseded|deployed|failed|pending-\w+|uninstalled|uninstalling|unknown)\s+(\S+)\s+(\S+)\s+(.*)\z"
@@ -74,48 +74,8 @@ def suspects(rows: DataFrame) -> DataFrame:
     return out.select("incident_id", "release_id", "revision", F.coalesce("target", "older").alias("previous"), F.col("ts_ms").alias("deployed_ms"), "rolled_back_ms", "chart", "app_version")
 
 
-MARKS = "incident_id string, block_no int, namespace string, resource string, kind string, path string, sign string, pos int, value string"
-
-
-def _walk(block: pd.DataFrame) -> pd.DataFrame:
-    """Marked lines of one resource with the path of keys that leads to them, by indentation; list items are named by their name key."""
-    import re
-
-    out, stack = [], []
-    for row in block.sort_values("line_no").itertuples():
-        text = row.line
-        sign = text[:1] if text[:1] in "+-" else " "
-        body = text[1:] if text[:1] in "+- " else text
-        m = re.match(r"^(\s*)((?:- )*)(?:([^\s:#][^:]*):(?:\s+(.*))?|(\S.*))?$", body)
-        if not m or not body.strip():
-            continue
-        depth = len(m[1]) + len(m[2] or "")
-        while stack and stack[-1][0] >= depth:
-            stack.pop()
-        key, value = m[3], m[4] if m[3] else m[5]
-        value = None if value is None else value.strip().strip("\"'")
-        if m[2]:
-            name = value if key == "name" else None
-            while stack and stack[-1][0] >= len(m[1]) + 1 and stack[-1][1].startswith("["):
-                stack.pop()
-            stack.append((len(m[1]) + 1, f"[{name}]" if name else "[]"))
-        path = "".join(k if k.startswith("[") else f".{k}" for _, k in stack)
-        if key:
-            full = f"{path}.{key.strip()}".lstrip(".")
-            if value in (None, "", "|", ">", "|-", ">-"):
-                stack.append((depth, key.strip()))
-            elif sign != " ":
-                out.append((full, sign, row.line_no, value))
-        elif sign != " " and value is not None:
-            out.append((path.lstrip("."), sign, row.line_no, value))
-    head = block.iloc[0]
-    return pd.DataFrame([(head.incident_id, head.block_no, head.namespace, head.resource, head.kind, *x) for x in out], columns=[x.split()[0] for x in MARKS.split(", ")])
-
-
-def diff_marks(panes: DataFrame) -> DataFrame:
-    """Removed and added values of "ns, name, Kind (group) has changed:" blocks and of unified diffs of values files, one row per marked line with its path."""
-    from pyspark.sql import Window
-
+def diff_blocks(panes: DataFrame) -> DataFrame:
+    """(incident_id, block_no, namespace, resource, kind, line_no, line): the lines of "ns, name, Kind (group) has changed:" blocks and of unified diffs of values files."""
     rows = split_lines(panes, "incident_id", "text")
     rows = rows.filter(~F.col("line").rlike(r"^(?:diff --git |index [0-9a-f]+|--- |@@ )"))
     head = F.col("line").rlike(BLOCK) | F.col("line").rlike(UNIFIED)
@@ -123,9 +83,17 @@ def diff_marks(panes: DataFrame) -> DataFrame:
     file = F.col("line").rlike(UNIFIED)
     part = lambda i: F.regexp_extract("line", BLOCK, i)
     names = rows.filter(head).select("incident_id", "block_no", F.when(file, "").otherwise(part(1)).alias("namespace"), F.when(file, F.regexp_extract("line", UNIFIED, 1)).otherwise(part(2)).alias("resource"), F.when(file, "values").otherwise(part(3)).alias("kind"))
-    lines = rows.filter(~head).join(names, ["incident_id", "block_no"])
-    # A block is one resource of one release; Kubernetes bounds a resource's size.
-    return lines.groupBy("incident_id", "block_no").applyInPandas(_walk, MARKS)
+    return rows.filter(~head).join(names, ["incident_id", "block_no"])
+
+
+def diff_records(panes: DataFrame) -> DataFrame:
+    """(incident_id, block_no, namespace, resource, kind, line_no, sign, path, value): every value of the blocks with its path."""
+    return records(diff_blocks(panes), ["incident_id", "block_no", "namespace", "resource", "kind"])
+
+
+def diff_marks(panes: DataFrame) -> DataFrame:
+    """Removed and added values of blocks, one row per marked line with its path and pos."""
+    return diff_records(panes).filter("sign <> ' '").withColumnRenamed("line_no", "pos")
 
 
 def changes(panes: DataFrame) -> DataFrame:

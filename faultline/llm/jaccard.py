@@ -42,7 +42,7 @@ from .common import discard, in_steps, join_checked, staged, staged_so_far, step
 from .components import connected_components
 
 #: Counters of the sketch, sent to every task as one number of 32 bits each, and how many travel together.
-COUNTERS, SEGMENT = 1 << 21, 1 << 13
+COUNTERS, SEGMENT = 1 << 20, 1 << 13
 #: Documents by its counter, over the mean counter, from which on an n-gram is common.
 HOT = 512
 #: Members of a group that are held against each other at a time, and bytes that one such step makes.
@@ -50,7 +50,7 @@ BLOCK, _STEP = 1024, 1 << 24
 #: Members of a group from which on the sizes of parts travel with them, so that only pairs that pass all filters leave a task.
 LARGE = 32
 #: Sets whose keys a task knows to be sent already, and bytes of text that are hashed at a time.
-_SENT, _PIECE = 1 << 18, 1 << 20
+_SENT, _PIECE = 1 << 17, 1 << 17
 
 
 @dataclass(frozen=True)
@@ -183,11 +183,11 @@ def set_rows(docs: DataFrame, rule: Rule, counters: int = COUNTERS) -> DataFrame
     def run(batches):
         total = np.zeros(counters, np.uint32)
         for batch in batches:
-            for part in steps(batch, "text"):
+            for part in steps(batch, "text", 1 << 20):
                 sets = [shingle_set(x.as_py(), rule.shingle) for x in part.column("text")]
                 k = len(sets)
-                at = np.concatenate([*sets, np.zeros(0, np.uint64)]) & np.uint64(counters - 1)
-                total += np.bincount(at.astype(np.int64), minlength=counters).astype(np.uint32)
+                at, n = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]) & np.uint64(counters - 1), return_counts=True)
+                total[at.astype(np.int64)] += n.astype(np.uint32)
                 columns = [part.column("doc_id"), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([sizes_of_parts(s) for s in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*columns, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
         width = min(SEGMENT, counters)
@@ -410,7 +410,7 @@ def _in_blocks(rule: Rule):
                 x, y = np.flatnonzero(width == w_x), np.flatnonzero(width == w_y)
                 w = int(min(w_x, w_y))
                 b_x, b_y = (_unpacked([sizes[i] for i in k], w) if w else None for k in (x, y))
-                step = max(1, _STEP // (2 * max(w, 1) * len(y)))
+                step = max(1, _STEP // ((2 * w + 64) * len(y)))
                 for at in range(0, len(x), step):
                     i = x[at : at + step]
                     p, q = rows[i][:, None, :], rows[y][None, :, :]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import vocabulary as V
 from .text import first_of
+from .times import bound
 
 # Shapes of generated names: deployment, daemon set, stateful set, replica set; letters of generated suffixes, where a digit anywhere also tells.
 _DEPLOYMENT = r"^(.+)-([a-z0-9]{8,10})-([a-z0-9]{5})\z"
@@ -113,3 +114,50 @@ def image_tag(image: Column) -> Column:
 def chart_release(chart: Column) -> Column:
     """A chart's name without its version."""
     return F.regexp_replace(chart, r"-v?\d+(?:\.\d+)*(?:[-+][\w.+-]*)?\z", "")
+
+
+def entity_hint(name: Column, namespace: Column, cluster: Column, pod: Column | None = None, node: Column | None = None, kind: Column | None = None) -> Column:
+    """Struct of id, type, role, name, cluster, cluster_known, namespace, ns_known and controller of what a line names; null without a name.
+
+    A pod stands for its workload, a node for itself; where a name tells of infrastructure or a store, that outweighs a stated service.
+    """
+    none = F.lit(None).cast("string")
+    pod, node, kind = (none if x is None else x for x in (pod, node, kind))
+    some = lambda c: F.nullif(norm(c), F.lit(""))
+    given = F.struct(some(name).alias("name"), some(pod).alias("pod"), some(node).alias("node"), some(namespace).alias("namespace"), F.nullif(cluster, F.lit("")).alias("cluster"), kind.alias("kind"))
+
+    def owned(g: Column) -> Column:
+        owner = F.when(g["pod"].isNotNull() & g["name"].isNull(), pod_owner(g["pod"]))
+        return bound(owner, lambda o: bound(F.coalesce(g["name"], o["workload"], g["node"]), lambda own: bound(component_type(own), lambda told: placed(g, o, own, told))))
+
+    def placed(g: Column, o: Column, own: Column, told: Column) -> Column:
+        is_node = g["node"].isNotNull() | F.coalesce(g["kind"] == "node", F.lit(False))
+        type_ = F.when(is_node, "node").when(g["kind"].isNull() | ((g["kind"] == "service") & told["type"].isin("infra", "datastore")), told["type"]).otherwise(g["kind"])
+        dns = ~is_node & (told["type"] == "infra") & own.rlike(V.CORE_DNS)
+        place = F.when(is_node, "").when(dns, "kube-system").otherwise(g["namespace"])
+        named = F.when(dns, "coredns").otherwise(own)
+        fields = [
+            component_id(type_, g["cluster"], place, named).alias("id"), type_.alias("type"), F.when(~is_node, told["role"]).alias("role"), named.alias("name"), F.coalesce(g["cluster"], F.lit("cluster-1")).alias("cluster"), g["cluster"].isNotNull().alias("cluster_known"),
+            F.coalesce(place, F.lit("default")).alias("namespace"), place.isNotNull().alias("ns_known"), o["controller"].alias("controller"),
+        ]
+        return F.when(own.isNotNull(), F.struct(*fields))
+
+    return bound(given, owned)
+
+
+# How events tell of replica sets and their pods.
+SCALED, CREATED = r"(?i)replica set (\S+) (?:to|from \d+ to) (\d+)", r"Created pod: (\S+)"
+
+
+def rollout_attributes(text: Column) -> Column:
+    """Struct of replica_set, replicas, direction and pod that an event's text names; nulls where it names none."""
+    found = F.struct(F.regexp_extract(text, SCALED, 1).alias("set"), F.regexp_extract(text, SCALED, 2).alias("n"), F.lower(F.regexp_extract(text, CREATED, 1)).alias("pod"), text.rlike("(?i)Scaled down").alias("down"))
+
+    def fields(x: Column) -> Column:
+        scaled = x["set"] != ""
+        owner = F.when(x["pod"] != "", pod_owner(x["pod"])["replica_set"])
+        return F.struct(
+            F.when(scaled, F.lower(x["set"])).otherwise(owner).alias("replica_set"), F.when(scaled, x["n"].try_cast("int")).alias("replicas"), F.when(scaled, F.when(x["down"], "down").otherwise("up")).alias("direction"), F.nullif(x["pod"], F.lit("")).alias("pod"),
+        )
+
+    return bound(found, fields)

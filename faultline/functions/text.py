@@ -142,6 +142,32 @@ def redacted(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("counts", F.create_map(*[x for k, c in kinds.items() for x in (F.lit(k), c)])).drop(*names)
 
 
+def redacted_pane(df: DataFrame, column: str) -> DataFrame:
+    """redacted, with as many lines as before: the mark of a private key is followed by the breaks that the key had, so lines keep their numbers."""
+    kind, pattern, mark = redaction_passes()[0]
+    t = F.coalesce(column, F.lit(""))
+    breaks = lambda key: F.regexp_count(key, F.lit(r"\r\n|\r|\n"))
+
+    def padded(parts: Column) -> Column:
+        keys = F.transform(F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(1)), lambda key: F.concat(F.lit(mark), F.repeat(F.lit("\n"), breaks(key))))
+        after = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+        return F.concat(parts[0], F.array_join(F.zip_with(keys, after, lambda key, rest: F.concat(key, rest)), ""))
+
+    has = t.contains(NEEDED[kind][0])
+    df = df.withColumns({"_keys": F.when(has, F.regexp_count(t, F.lit(pattern))).otherwise(0), column: F.when(has, F.transform(F.array(F.split(t, pattern)), padded)[0]).otherwise(t)})
+    out = redacted(df, column)
+    return out.withColumn("counts", F.transform_values("counts", lambda k, n: n + F.when(k == kind, F.col("_keys")).otherwise(0))).drop("_keys")
+
+
+# Columns that hold ids and closed vocabularies, which are never redacted.
+KEPT = set("id ids signal_id change_id component_id related_ids from to source kind kinds severity status category risk type role cluster clusters namespace state tool incident_id component".split())
+
+
+def scrubbed(df: DataFrame) -> DataFrame:
+    """df with every text column redacted but those that hold ids and closed vocabularies."""
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), redact(F.col(c))) for c, kind in df.dtypes if kind == "string" and c.lower() not in KEPT})
+
+
 def redact(text: Column) -> Column:
     """Text with secrets, credentials, addresses and blobs replaced by marks that name their kind."""
     return reduce(lambda t, p: F.regexp_replace(t, p[1], p[2]), redaction_passes(), F.coalesce(text, F.lit("")))

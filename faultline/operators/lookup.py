@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..functions.text import rank
 from .scans import running_sums
 
 
-def search(lines: DataFrame, query: str, most: int = 40) -> DataFrame:
-    """The first `most` lines that hold the query, without regard to case and never as a pattern."""
-    return lines.filter(F.contains(F.lower("body"), F.lit(query.lower()))).orderBy("seq").limit(most)
+def search(lines: DataFrame, query: str, most: int = 40, source: str | None = None, redact: bool = False) -> DataFrame:
+    """The first `most` lines that hold the query, without regard to case and never as a pattern; of one source if given.
+
+    With redact the lines are redacted before they are searched, so a secret can't be found by guessing it.
+    """
+    rows = lines if source is None else lines.filter(F.col("source") == source)
+    rows = rows.withColumn("body", text.redact(F.col("body"))) if redact else rows
+    return rows.filter(F.contains(F.lower("body"), F.lit(query.lower()))).orderBy("seq").limit(most)
 
 
 def component_signals(signals: DataFrame, component: str, kinds: list[str] | None = None, most: int = 25) -> DataFrame:

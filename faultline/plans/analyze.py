@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import component_id, component_type, norm, parse_id
+from ..functions.names import component_id, component_type, norm, parse_id, rollout_attributes
 from ..functions.text import is_anomaly, rank
 from ..operators import budget, correlate, entities, graph, hypotheses, orders, rules, spans, timeline
 from ..session import cut
@@ -253,6 +253,5 @@ def analyze(panes: DataFrame, slo: float = 0.999, window_days: float = 30.0) ->
 
 def scalings(signals: DataFrame) -> DataFrame:
     """(component, set, direction, ts_ms) of the lines that tell of replica sets scaled up or down."""
-    said = r"(?i)scaled (up|down) replica set (\S+) (?:from \d+ )?to \d+"
-    rows = signals.filter((F.col("kind") == "rollout") & F.col("text").rlike(said) & F.col("ts_ms").isNotNull())
-    return rows.select(I, "component", F.regexp_extract("text", said, 2).alias("set"), F.lower(F.regexp_extract("text", said, 1)).alias("direction"), "ts_ms")
+    rows = signals.filter("kind = 'rollout' and ts_ms is not null").withColumn("r", rollout_attributes(F.col("text")))
+    return rows.filter("r.direction is not null").select(I, "component", F.col("r.replica_set").alias("set"), "r.direction", "ts_ms")

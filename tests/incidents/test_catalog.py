@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline.operators import budget, graph, timeline
-from faultline.plans import catalog, catalog_causes, catalog_display, catalog_forms, catalog_joins, catalog_lookups, catalog_manifests, catalog_orders, catalog_readers  # noqa: F401  each registers its queries
+from faultline.plans import catalog, catalog_causes, catalog_display, catalog_forms, catalog_joins, catalog_lookups, catalog_manifests, catalog_orders, catalog_readers, catalog_scalars  # noqa: F401  each registers its queries
 from faultline.sources import certificates
 from faultline.sources.adapters import view
 from faultline.streaming import live

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline.functions import names, text, times
+from faultline.plans import outputs
 from faultline.plans.analyze import PANES, analyze
 from faultline.sources import alerts, lines, logs, releases, traces
 
@@ -184,6 +185,11 @@ def test_memory_cut_is_the_first_cause(spark):
     assert out["series"].count() == 50 and out["alert_rows"].count() == 6
     for name, df in out.items():
         assert df.count() >= 0, name
+    brief = {r.incident_id: r.brief for r in outputs.briefs(out).collect()}
+    assert set(brief) == {"i", "blank"} and [x for x in brief["i"].split("\n") if x.startswith("## ")] == ["## Likely causes", "## Evidence", "## Recommended action", "## Affected", "## Error budget", "## Timeline", "## Warnings"]
+    assert "1. resource-limits at service:cluster-1/shop/cart" in brief["i"] and "- killed (logs-1)" in brief["i"] and "helm-rollback" in brief["i"] and "service:cluster-1/shop/cart: root" in brief["i"]
+    document = {r.incident_id: json.loads(r.document) for r in outputs.documents(out).collect()}
+    assert document["i"]["hypotheses"][0]["category"] == "resource-limits" and {x["clue"] for x in document["i"]["evidence"]} >= {"killed", "limit-lowered", "release"} and len(document["i"]["changes"]) == 2
 
 
 def test_scalars(spark):

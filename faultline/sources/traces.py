@@ -6,7 +6,9 @@ json_segments cuts the documents out, span_lines reads what is left.
 
 from __future__ import annotations
 
+import math
 import re
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,33 +31,38 @@ JAEGER = f"struct<data:array<struct<traceID:string,spans:array<struct<traceID:st
 ZIPKIN = "array<struct<traceId:string,id:string,parentId:string,name:string,kind:string,timestamp:double,duration:double,localEndpoint:struct<serviceName:string>,remoteEndpoint:struct<serviceName:string,ipv4:string>,tags:map<string,string>>>"
 
 
-#: A line that can begin a document; "[FIRING:2]" and "[pod/x" can't.
+# Fixed value: a line that can begin a document; "[FIRING:2]" and "[pod/x" can't.
 OPENS = re.compile(r"""\s*(?:\{\s*(?:["}]|$)|\[\s*(?:[\[{"\d\]-]|true|false|null|$))""")
+#: What is no bracket: strings, which end with their line at the latest, and all else.
+_NO_BRACKET = re.compile(r'"(?:[^"\\]|\\.)*"?|[^"{}\[\]]+')
 _SEGMENTS = T.ArrayType(T.StructType([T.StructField("first_line", T.IntegerType()), T.StructField("doc", T.StringType())]))
 
 
+def _levels(line: str) -> tuple[int, float]:
+    """How far a line's brackets go up or down, and the lowest that they come."""
+    heights = list(accumulate(1 if c in "{[" else -1 for c in _NO_BRACKET.sub("", line)))
+    return (heights[-1], min(heights)) if heights else (0, math.inf)
+
+
 @F.pandas_udf(_SEGMENTS)
 def _segments(panes: pd.Series) -> pd.Series:
-    """The documents in the lines of a pane. A document ends where its own brackets balance, or with the pane."""
+    """The documents in the lines of a pane. A document ends with the line on which its brackets come back to the ground, or with the pane."""
 
     def cut(lines):
-        out, held, depth = [], [], 0
-        for number, line in enumerate(lines if lines is not None else [], 1):
-            if not held:
-                if not OPENS.match(line):
-                    continue
-                first, depth, opened = number, 0, False
-            held.append(line)
-            for mark in re.sub(r'"(?:[^"\\]|\\.)*"?', "", line):
-                if mark in "{[":
-                    depth, opened = depth + 1, True
-                elif mark in "}]":
-                    depth -= 1
-                    if opened and depth <= 0:
-                        out.append({"first_line": first, "doc": "\n".join(held)})
-                        held = []
+        lines = [] if lines is None else list(lines)
+        out, taken = [], 0
+        for first in (i for i, line in enumerate(lines) if OPENS.match(line)):
+            if first >= taken:  # else it is inside the document before
+                levels = [_levels(lines[first])]
+                ground = 0
+                for line in map(lines.__getitem__, range(first + 1, len(lines))):
+                    if ground + levels[-1][1] <= 0:
                         break
-        return [*out, {"first_line": first, "doc": "\n".join(held)}] if held else out
+                    ground += levels[-1][0]
+                    levels.append(_levels(line))
+                taken = first + len(levels)
+                out.append({"first_line": first + 1, "doc": "\n".join(lines[first:taken])})
+        return out
 
     return panes.map(cut)
 

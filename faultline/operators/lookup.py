@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -117,12 +117,21 @@ def change_list(changes: DataFrame) -> DataFrame:
     return fitted(rows, ["release"], [F.coalesce(risk_rank(F.col("risk")), F.lit(4)), "line", "id"])
 
 
+def json_number(x: Column) -> Column:
+    """A double as JSON text: plain digits from 0.0001 to below 1e16, where Spark writes exponents from 1e7 on and below 0.001."""
+    text, size = x.cast("double").cast("string"), F.abs(x)
+    plain = F.regexp_replace(F.regexp_replace(x.cast("double").cast("decimal(38,20)").cast("string"), "0+$", ""), r"\.$", ".0")
+    far = F.regexp_replace(F.regexp_replace(text, r"(?:\.0)?E(?=\d)", "e+"), r"(?:\.0)?E-", "e-")
+    return F.when((size == 0) | ((size >= 1e-3) & (size < 1e7)), text).when((size >= 1e-4) & (size < 1e16), plain).otherwise(F.regexp_replace(far, r"(e[+-])(\d)$", "$10$2"))
+
+
 def budget_view(budgets: DataFrame) -> DataFrame:
     """(id, result): the budget of each incident as JSON, or a note that nothing tells its error rate."""
     from .budget import consumed_pct
 
     used = F.round(consumed_pct(F.col("burn"), F.col("minutes"), F.col("window_days")), 4)
-    known = F.to_json(F.struct(F.lit(True).alias("hasEvidence"), F.round("burn", 3).alias("burnRate"), F.col("minutes").alias("incidentMinutes"), F.col("window_days").alias("windowDays"), used.alias("consumedPct")))
+    said = {"burnRate": F.round("burn", 3), "incidentMinutes": F.col("minutes"), "windowDays": F.col("window_days"), "consumedPct": used}
+    known = F.concat(F.lit("{"), F.concat_ws(",", F.lit('"hasEvidence":true'), *[F.concat(F.lit(f'"{k}":'), json_number(v)) for k, v in said.items()]), F.lit("}"))
     return budgets.select("id", F.when(F.col("burn").isNotNull(), known).otherwise(F.to_json(F.struct(F.lit(False).alias("hasEvidence"), F.lit("no error-rate evidence").alias("note")))).alias("result"))
 
 

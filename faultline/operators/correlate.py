@@ -94,8 +94,8 @@ def upstream_targets(upstreams: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def deploy_signals(deploys: DataFrame, signals: DataFrame) -> DataFrame:
-    """deploys with signal_id: the first of the deploy signals (release, revision, seq, id) of the same release and revision."""
-    first = signals.groupBy("release", "revision").agg(F.min_by("id", "seq").alias("signal_id"))
+    """deploys with signal_id: the first of the deploy signals (release, revision, seq, id) of the same release and revision; of equal seq the smallest id."""
+    first = signals.groupBy("release", "revision").agg(F.min_by("id", F.struct("seq", "id")).alias("signal_id"))
     return deploys.join(first, ["release", "revision"], "left")
 
 

@@ -98,7 +98,9 @@ def upstream_edges(spark, sf_dir):
 @query("deploys", "changes", sql="""s AS (SELECT release, line::BIGINT % 50 AS revision, arg_min(id, line * 1000000 + split_part(id, '-', 2)::BIGINT % 1000000) AS signal_id FROM changes GROUP BY ALL)
 SELECT seq, signal_id FROM deploys LEFT JOIN s USING (release, revision)""")
 def deploy_signal_ids(spark, sf_dir):
-    s = view(spark, sf_dir, "changes").select("id", "release", (F.col("line").cast("long") % 50).alias("revision"), (F.col("line") * 1000000 + F.split("id", "-")[1].cast("long") % 1000000).alias("seq"))
+    number = F.split("id", "-")[1].cast("long")
+    # Numbers that are equal modulo a million tie: the first in the table's order stays.
+    s = view(spark, sf_dir, "changes").select("id", "release", (F.col("line").cast("long") % 50).alias("revision"), F.struct((F.col("line") * 1000000 + number % 1000000).alias("place"), number.alias("number")).alias("seq"))
     return C.deploy_signals(view(spark, sf_dir, "deploys"), s).select("seq", "signal_id")
 
 

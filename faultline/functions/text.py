@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from re import _parser as parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,11 +16,21 @@ def first_of(cases: list[tuple[Column, Column]]) -> Column:
     return reduce(lambda c, x: c.when(*x), cases, F)
 
 
+def bound(value: Column, body) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def computed(value: Column, test=None) -> Column:
+    """A generator of value where it passes the test (is not null): what uses or filters the column later doesn't compute it again."""
+    return F.explode(F.filter(F.array(value), test or (lambda x: x.isNotNull())))
+
+
 def is_server_error(text: Column) -> Column:
     """A 5xx status in one of five shapes; a bare number only beside HTTP words and without a unit."""
     bare = text.rlike(r" 5\d\d(?: |\z)") & text.rlike("(?i)" + V.HTTP_WORDS) & ~text.rlike("(?i)" + V.COUNTED_UNITS)
     shapes = ["(?i)" + V.STATUS_FIELD + r"5\d\d\b", r"\bHTTP/\d(?:\.\d)?\"?\s+5\d\d\b", "(?i)" + V.REASON_5XX, "(?i)" + V.ANSWERED_5XX]
-    return reduce(lambda a, p: a | text.rlike(p), shapes, bare)
+    return text.rlike(r"5\d\d") & reduce(lambda a, p: a | text.rlike(p), shapes, bare)
 
 
 def is_rate_limit(text: Column) -> Column:
@@ -28,10 +39,40 @@ def is_rate_limit(text: Column) -> Column:
     return reduce(lambda a, p: a | text.rlike(p), shapes, bare)
 
 
+def required(pattern: str) -> list[str]:
+    """Lower-case texts of which a match of the pattern holds one at least; none if there is no such list of texts of three and more letters."""
+
+    def of(items) -> list[str]:
+        found, run = [], ""
+        for op, value in [*items, (None, None)]:
+            if op is parser.LITERAL and value < 128:
+                run += chr(value).lower()
+                continue
+            found, run = found + [[run]] * bool(run), ""
+            if op is parser.BRANCH:
+                found.append([x for branch in value[1] for x in of(branch) or [""]])
+            elif op is parser.SUBPATTERN:
+                found.append(of(value[3]))
+            elif op is parser.MAX_REPEAT and value[0] > 0:
+                found.append(of(value[2]))
+        return max((x for x in found if x), key=lambda x: min(map(len, x)), default=[])
+
+    texts = sorted(set(of(parser.parse(pattern))))
+    return texts if texts and min(map(len, texts)) >= 3 else []
+
+
 def classify(text: Column) -> Column:
-    """The kind of a log text: first match in the ordered table, else null."""
+    """The kind of a log text: first match in the ordered table, else null. A pattern is tried where one of its required texts is found, which is cheap to look for."""
     other = {"http_429": is_rate_limit, "http_5xx": is_server_error}
-    return first_of([(text.rlike("(?i)" + p) if p else other[kind](text), F.lit(kind)) for kind, p in V.LOG_PATTERNS])
+
+    def possible(low: Column, pattern: str) -> list[Column]:
+        return [reduce(lambda a, x: a | x, [low.contains(x) for x in texts]) for texts in [required(pattern)] if texts]
+
+    def kind_of(t: Column) -> Column:
+        cases = [reduce(lambda a, x: a & x, [*possible(t["low"], p), t["text"].rlike("(?i)" + p)]) if p else other[kind](t["text"]) for kind, p in V.LOG_PATTERNS]
+        return first_of([(c, F.lit(kind)) for c, (kind, _) in zip(cases, V.LOG_PATTERNS, strict=True)])
+
+    return bound(F.struct(text.alias("text"), F.lower(text).alias("low")), kind_of)
 
 
 def level_of(word: Column) -> Column:
@@ -73,12 +114,12 @@ PAIR = r"([A-Za-z_@][\w.@/-]*)=(\"(?:[^\"\\]|\\.)*\"|[^\s\"]*)"
 
 def logfmt(text: Column) -> Column:
     """Map of k=v pairs; of a repeated key the first, quotes taken off and escapes undone."""
-    keys = F.regexp_extract_all(text, F.lit(PAIR), F.lit(1))
-    values = F.regexp_extract_all(text, F.lit(PAIR), F.lit(2))
     bare = lambda v: F.when(v.startswith('"'), F.regexp_replace(v.substr(F.lit(2), F.length(v) - 2), r"\\(.)", "$1")).otherwise(v)
-    pairs = F.arrays_zip(keys.alias("k"), F.transform(values, bare).alias("v"))
-    firsts = F.filter(pairs, lambda p, i: F.array_position(keys, p["k"]) == i + 1)
-    return F.map_from_entries(F.transform(firsts, lambda p: F.struct(p["k"], p["v"])))
+    key = lambda p: F.substring_index(p, "=", 1)
+    firsts = lambda found, keys: F.filter(found, lambda p, i: F.array_position(keys, key(p)) == i + 1)
+    entry = lambda p: F.struct(key(p).alias("k"), bare(p.substr(F.length(key(p)) + 2, F.length(p))).alias("v"))
+    # Found once and bound: named twice, the search would be made anew for every pair.
+    return bound(F.regexp_extract_all(text, F.lit(PAIR), F.lit(0)), lambda found: bound(F.transform(found, key), lambda keys: F.map_from_entries(F.transform(firsts(found, keys), entry))))
 
 
 def clean_text(text: Column) -> Column:
@@ -118,10 +159,16 @@ def redaction_passes() -> list[tuple[str, str, str]]:
 
 #: Without one of these, a pass finds nothing: cheap to look for, unlike its pattern.
 NEEDED = {"private-key": ["PRIVATE KEY"], "jwt": ["eyJ"], "bearer": ["Bearer", "Basic"], "aws-key": ["AKIA", "ASIA"], "url-credential": ["://"], "email": ["@"]}
+#: The same, of any case: parts of SECRET_KEY.
+NEEDED_WORDS = {"secret-value": ["passw", "pwd", "secret", "token", "key", "credential"]}
 
 
 def _possible(kind: str, t: Column) -> Column:
-    return reduce(lambda a, x: a | t.contains(x), NEEDED[kind][1:], t.contains(NEEDED[kind][0])) if kind in NEEDED else F.lit(True)
+    if kind in NEEDED:
+        return reduce(lambda a, x: a | x, [t.contains(x) for x in NEEDED[kind]])
+    if kind in NEEDED_WORDS:
+        return bound(F.lower(t), lambda low: reduce(lambda a, x: a | x, [low.contains(x) for x in NEEDED_WORDS[kind]]))
+    return F.length(t) >= 40 if kind == "base64" else F.lit(True)
 
 
 def redacted(df: DataFrame, column: str) -> DataFrame:
@@ -170,13 +217,14 @@ def scrubbed(df: DataFrame) -> DataFrame:
 
 def redact(text: Column) -> Column:
     """Text with secrets, credentials, addresses and blobs replaced by marks that name their kind."""
-    return reduce(lambda t, p: F.regexp_replace(t, p[1], p[2]), redaction_passes(), F.coalesce(text, F.lit("")))
+    once = lambda t, p: bound(t, lambda x: F.when(_possible(p[0], x), F.regexp_replace(x, p[1], p[2])).otherwise(x))
+    return reduce(once, redaction_passes(), F.coalesce(text, F.lit("")))
 
 
 def looks_secret(key: Column, value: Column) -> Column:
     """Whether a key names a secret or a value would be redacted."""
-    hit = reduce(lambda a, n: a + n, [F.regexp_count(F.coalesce(value, F.lit("")), F.lit(p)) for _, p, _ in redaction_passes()])
-    return F.coalesce(key.rlike(f"(?i)^{SECRET_KEY}\\z"), F.lit(False)) | (hit > 0)
+    hit = lambda v: reduce(lambda a, x: a | x, [_possible(k, v) & v.rlike(p) for k, p, _ in redaction_passes()])
+    return F.coalesce(key.rlike(f"(?i)^{SECRET_KEY}\\z"), F.lit(False)) | bound(F.coalesce(value, F.lit("")), hit)
 
 
 def alert_kind(name: Column, reason: Column | None = None, job: Column | None = None) -> Column:

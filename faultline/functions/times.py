@@ -8,16 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocabulary as V
-from .text import first_of
+from .text import bound, first_of
 
 _UNITS = "ms|us|µs|μs|ns|y|w|d|h|m|s"
 
 
-def bound(value: Column, body) -> Column:
-    """body of a value that is computed once, however often body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def half_up(x: Column, digits: int = 0) -> Column:
     """Rounded half towards plus infinity."""
     p = float(10**digits)
@@ -76,15 +71,20 @@ MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
 
 def leading_stamp(line: Column, year: int = 1970, default_offset: int = 0) -> Column:
     """Struct of ts_ms, inferred (a zone or year was supplied by us), format and rest; null fields without a stamp."""
-    part = lambda p, i: F.regexp_extract(line, p, i)
     iso, syslog, epoch = (line.rlike(p) for p in (LEAD_ISO, LEAD_SYSLOG, LEAD_EPOCH))
     millis = lambda digits: F.coalesce(F.rpad(F.substring(digits, 1, 3), 3, "0").try_cast("long"), F.lit(0).cast("long"))
-    zone = F.trim(part(LEAD_ISO, 3))
-    at_iso = _utc_ms(F.translate(part(LEAD_ISO, 1), "/T", "- ")) + millis(part(LEAD_ISO, 2)) - F.when(zone == "", default_offset).otherwise(offset_minutes(zone)) * 60000
-    month = reduce(lambda c, m: c.when(part(LEAD_SYSLOG, 1) == m[1], f"{m[0]:02}"), enumerate(MONTHS, 1), F)
-    stamp = F.concat(F.lit(f"{year:04}-"), month, F.lit("-"), F.lpad(part(LEAD_SYSLOG, 2), 2, "0"), F.lit(" "), part(LEAD_SYSLOG, 3))
-    at_syslog = _utc_ms(stamp) + millis(part(LEAD_SYSLOG, 4)) - default_offset * 60000
-    at_epoch = epoch_ms(part(LEAD_EPOCH, 1).try_cast("double"))
+    #: The groups of a shape, in one search.
+    groups = lambda p, n: F.split(F.regexp_replace(line, p + r"[\s\S]*", "\x00".join(f"${i + 1}" for i in range(n))), "\x00")
+    zone = F.trim(F.regexp_extract(line, LEAD_ISO, 3))
+    east = lambda z: F.when(z == "", default_offset).otherwise(offset_minutes(z)) * 60000
+    at_iso = bound(groups(LEAD_ISO, 3), lambda g: _utc_ms(F.translate(g[0], "/T", "- ")) + millis(g[1]) - bound(F.trim(g[2]), east))
+
+    def of_syslog(g: Column) -> Column:
+        month = reduce(lambda c, m: c.when(g[0] == m[1], f"{m[0]:02}"), enumerate(MONTHS, 1), F)
+        return bound(F.concat(F.lit(f"{year:04}-"), month, F.lit("-"), F.lpad(g[1], 2, "0"), F.lit(" "), g[2]), _utc_ms) + millis(g[3]) - default_offset * 60000
+
+    at_syslog = bound(groups(LEAD_SYSLOG, 4), of_syslog)
+    at_epoch = bound(F.regexp_extract(line, LEAD_EPOCH, 1).try_cast("double"), epoch_ms)
     chosen = lambda *v: F.when(iso, v[0]).when(syslog, v[1]).when(epoch, v[2])
     rest = [F.regexp_replace(line, p, "") for p in (LEAD_ISO, LEAD_SYSLOG, LEAD_EPOCH)]
     return F.struct(

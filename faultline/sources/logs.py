@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..functions.names import component_id, component_type, norm, pod_owner, replica_set_owner, target_in
-from ..functions.text import classify, first_of, level_in, level_of, logfmt, redact, with_floor
+from ..functions.text import bound, classify, computed, first_of, level_in, level_of, logfmt, redact, with_floor
 from ..functions.times import MONTHS, age_ms, duration_ms, leading_stamp
 from ..session import cut
 from .lines import split_lines
@@ -52,13 +52,9 @@ FIELDS = {
 
 def structured(body: Column) -> Column:
     """Struct of FIELDS of a JSON or logfmt body; null fields otherwise."""
-    json = body.rlike(r"^\s*\{")
-    pairs = logfmt(body)
-    out = []
-    for name, keys in FIELDS.items():
-        found = [F.get_json_object(body, f"$['{k}']") for k in keys]
-        out.append(F.when(json, F.coalesce(*found)).otherwise(F.coalesce(*[pairs[k] for k in keys])).alias(name))
-    return F.struct(*out)
+    fields = lambda value: F.struct(*[F.coalesce(*[value(k) for k in keys]).alias(name) for name, keys in FIELDS.items()])
+    json = lambda b: fields(lambda k: F.get_json_object(b, f"$['{k}']"))
+    return bound(body, lambda b: F.when(b.rlike(r"^\s*\{"), json(b)).otherwise(bound(logfmt(b), lambda pairs: fields(lambda k: pairs[k]))))
 
 
 def contexts(panes: DataFrame) -> DataFrame:
@@ -104,7 +100,7 @@ def event_rows(rows: DataFrame) -> DataFrame:
     kind = classify(F.concat_ws(" ", part(4), part(6)))
     level = F.when(part(3) == "Warning", "warn").otherwise("info")
     kind = F.coalesce(kind, F.when(part(3) == "Warning", "error_generic"))
-    out = _of(e.withColumn("k", kind).filter("k is not null"), F.col("k"), level, owner, F.when(part(1) != "", part(1)), F.concat_ws(" ", part(4), part(6)), F.lit(None).cast("long"), age, F.when(kind_of == "node", "node"), pod=F.when(kind_of == "pod", name))
+    out = _of(e.withColumn("k", computed(kind)), F.col("k"), level, owner, F.when(part(1) != "", part(1)), F.concat_ws(" ", part(4), part(6)), F.lit(None).cast("long"), age, F.when(kind_of == "node", "node"), pod=F.when(kind_of == "pod", name))
     return out
 
 
@@ -119,7 +115,7 @@ def pod_rows(rows: DataFrame) -> DataFrame:
     kind = F.coalesce(known, F.when(unready, "probe_failed"), F.when(part(6).try_cast("int") > 0, "restart"))
     level = F.when(known.isNotNull(), "error").otherwise("warn")
     age = F.coalesce(age_ms(part(7)), F.when(kind != "restart", age_ms(part(8))))
-    return _of(p.withColumn("k", kind).filter("k is not null"), F.col("k"), level, pod_owner(part(2))["workload"], F.when(part(1) != "", part(1)), line, F.lit(None).cast("long"), age, pod=part(2))
+    return _of(p.withColumn("k", computed(kind)), F.col("k"), level, pod_owner(part(2))["workload"], F.when(part(1) != "", part(1)), line, F.lit(None).cast("long"), age, pod=part(2))
 
 
 def node_rows(rows: DataFrame) -> DataFrame:
@@ -153,7 +149,9 @@ def describe_rows(rows: DataFrame) -> DataFrame:
     key, value = F.regexp_extract(line, DESCRIBE_KEY, 2), F.regexp_extract(line, DESCRIBE_KEY, 3)
     top = line.rlike(r"^Name:\s+\S")
     order = Window.partitionBy("incident_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    r = rows.withColumn("block", F.sum(top.cast("int")).over(order)).filter("block > 0")
+    # Other lines change nothing that is carried.
+    told = F.col("control") | line.rlike(DESCRIBE_KEY) | line.rlike(CONTAINER) | line.rlike(r"^Name(?:space)?:")
+    r = rows.filter(told).withColumn("block", F.sum(top.cast("int")).over(order)).filter("block > 0")
     inside = Window.partitionBy("incident_id", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     last = lambda c: F.last(c, ignorenulls=True).over(inside)
     r = r.withColumns({"pod0": last(F.when(top, value)), "ns0": last(F.when(line.rlike(r"^Namespace:"), value)), "box": last(F.when(line.rlike(CONTAINER), F.regexp_extract(line, CONTAINER, 1))), "state": last(F.when(key.isin("State", "Last State"), key))})
@@ -180,7 +178,7 @@ def described_events(rows: DataFrame) -> DataFrame:
     part = lambda i: F.regexp_extract(line, DESCRIBED_EVENT, i)
     top = line.rlike(r"^Name:\s+\S")
     order = Window.partitionBy("incident_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    r = rows.withColumn("block", F.sum(top.cast("int")).over(order)).filter("block > 0")
+    r = rows.filter(line.rlike(r"^(?:Name|Namespace|Events):") | line.rlike(DESCRIBED_EVENT)).withColumn("block", F.sum(top.cast("int")).over(order)).filter("block > 0")
     inside = Window.partitionBy("incident_id", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     last = lambda c: F.last(c, ignorenulls=True).over(inside)
     r = r.withColumns({"pod0": last(F.when(top, F.regexp_extract(line, r"^Name:\s+(\S+)", 1))), "ns0": last(F.when(line.rlike(r"^Namespace:"), F.regexp_extract(line, r"^Namespace:\s+(\S+)", 1))), "under": last(F.when(line.rlike(r"^Events:"), F.lit(True)))})
@@ -188,7 +186,7 @@ def described_events(rows: DataFrame) -> DataFrame:
     age = F.coalesce(age_ms(F.regexp_extract(part(3), r"over (\S+)\)", 1)), age_ms(part(3)))
     warning = part(1) == "Warning"
     kind = F.coalesce(classify(F.concat(part(2), F.lit(": "), part(5))), F.when(warning, "error_generic"))
-    return _of(e.withColumn("k", kind).filter("k is not null"), F.col("k"), F.when(warning, "warn").otherwise("info"), pod_owner(F.col("pod0"))["workload"], F.col("ns0"), F.concat(part(2), F.lit(": "), part(5)), F.lit(None).cast("long"), age, pod=F.col("pod0"))
+    return _of(e.withColumn("k", computed(kind)), F.col("k"), F.when(warning, "warn").otherwise("info"), pod_owner(F.col("pod0"))["workload"], F.col("ns0"), F.concat(part(2), F.lit(": "), part(5)), F.lit(None).cast("long"), age, pod=F.col("pod0"))
 
 
 _OBJECT = "struct<kind:string,name:string,namespace:string>"
@@ -212,7 +210,7 @@ def event_documents(panes: DataFrame) -> DataFrame:
     what = F.lower(F.coalesce("o.kind", F.lit("pod")))
     owner = F.when(what == "pod", pod_owner(F.col("o.name"))["workload"]).when(what == "replicaset", replica_set_owner(F.col("o.name"))).otherwise(norm(F.col("o.name")))
     none = F.lit(None).cast("string")
-    rows = e.withColumns({"k": kind, "said": text, "at": at, "line_no": line_of(F.col("doc"), F.col("first_line"), F.coalesce("e.message", "e.note")), "cluster": none, "namespace": none}).filter("k is not null")
+    rows = e.withColumn("k", computed(kind)).withColumns({"said": text, "at": at, "line_no": line_of(F.col("doc"), F.col("first_line"), F.coalesce("e.message", "e.note")), "cluster": none, "namespace": none})
     return _of(rows, F.col("k"), F.when(warning, "warn").otherwise("info"), owner, F.col("o.namespace"), F.col("said"), F.col("at"), F.lit(None).cast("long"), F.when(what == "node", "node"), pod=F.when(what == "pod", F.col("o.name")))
 
 
@@ -243,7 +241,7 @@ def application_rows(rows: DataFrame) -> DataFrame:
     bare = F.concat_ws(" ", text, F.when(F.col("f.status").isNotNull(), F.concat(F.lit("status="), "f.status")))
     r = r.withColumns({"said": bare, "k0": classify(bare), "level": F.coalesce(level_of(F.col("f.level")), first_of([(F.regexp_extract("body", KLOG_LINE, 1) == k, F.lit(v)) for k, v in (("I", "info"), ("W", "warn"), ("E", "error"), ("F", "critical"))]), level_in(F.col("stamp.rest")))})
     kind = F.coalesce(F.col("k0"), F.when(F.col("level").isin("error", "critical"), "error_generic"))
-    r = r.withColumn("k", kind).filter("k is not null")
+    r = r.withColumn("k", computed(kind))
     # Continuations of a stack repeat the kind of the record above: one signal is enough.
     above = Window.partitionBy("incident_id").orderBy("line_no")
     r = r.withColumn("k_above", F.lag("k").over(above))

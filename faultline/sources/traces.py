@@ -10,12 +10,11 @@ import math
 import re
 from itertools import accumulate
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import logfmt
+from ..functions.text import clean_text, computed, logfmt
 from ..functions.times import duration_ms, leading_stamp
 from .lines import pane_lines, split_lines
 
@@ -44,32 +43,32 @@ def _levels(line: str) -> tuple[int, float]:
     return (heights[-1], min(heights)) if heights else (0, math.inf)
 
 
-@F.pandas_udf(_SEGMENTS)
-def _segments(panes: pd.Series) -> pd.Series:
-    """The documents in the lines of a pane. A document ends with the line on which its brackets come back to the ground, or with the pane."""
+#: OPENS for any line of a text, in Java's words; it may hold for a text without such a line, but not the other way round.
+_BLANK = r"[^\p{L}\p{N}\p{P}\p{S}]*"
+MAY_OPEN = rf"(?m)^{_BLANK}(?:\{{{_BLANK}(?:[\"}}]|$)|\[{_BLANK}(?:[\[{{\"\p{{Nd}}\]-]|true|false|null|$))"
+
 
-    def cut(lines):
-        lines = [] if lines is None else list(lines)
-        out, taken = [], 0
-        for first in (i for i, line in enumerate(lines) if OPENS.match(line)):
-            if first >= taken:  # else it is inside the document before
-                levels = [_levels(lines[first])]
-                ground = 0
-                for line in map(lines.__getitem__, range(first + 1, len(lines))):
-                    if ground + levels[-1][1] <= 0:
-                        break
-                    ground += levels[-1][0]
-                    levels.append(_levels(line))
-                taken = first + len(levels)
-                out.append({"first_line": first + 1, "doc": "\n".join(lines[first:taken])})
-        return out
-
-    return panes.map(cut)
+@F.udf(_SEGMENTS, useArrow=False)  # a batch is 100 panes, whereas an Arrow batch is 10,000 of any size
+def _segments(lines):
+    """The documents in the lines of a pane. A document ends with the line on which its brackets come back to the ground, or with the pane."""
+    out, taken = [], 0
+    for first in (i for i, line in enumerate(lines or []) if OPENS.match(line)):
+        if first >= taken:  # else it is inside the document before
+            levels = [_levels(lines[first])]
+            ground = 0
+            for line in map(lines.__getitem__, range(first + 1, len(lines))):
+                if ground + levels[-1][1] <= 0:
+                    break
+                ground += levels[-1][0]
+                levels.append(_levels(line))
+            taken = first + len(levels)
+            out.append((first + 1, "\n".join(lines[first:taken])))
+    return out
 
 
 def json_segments(panes: DataFrame) -> DataFrame:
     """(incident_id, first_line, doc): the JSON documents in panes; text outside a document doesn't count for it."""
-    found = panes.select("incident_id", F.explode(_segments(pane_lines(F.col("text")))).alias("d"))
+    found = panes.filter(clean_text(F.col("text")).rlike(MAY_OPEN)).select("incident_id", F.explode(_segments(pane_lines(F.col("text")))).alias("d"))
     return found.select("incident_id", "d.first_line", "d.doc")
 
 
@@ -80,41 +79,38 @@ def line_of(doc: Column, first_line: Column, value: Column) -> Column:
     return F.when(doc.contains(F.concat(F.lit('"'), value, F.lit('"'))), first_line + lines).otherwise(first_line).cast("int")
 
 
-@F.pandas_udf(T.StringType())
-def repaired_json(docs):
-    """Documents that are cut off, closed after their last complete value; null for what is whole and malformed, or can't be read."""
+@F.udf(T.StringType(), useArrow=False)
+def repaired_json(text):
+    """A document that is cut off, closed after its last complete value; null for what is whole and malformed, or can't be read."""
     import json
 
-    def close(text):
-        try:
-            json.loads(text)
-            return text
-        except (TypeError, ValueError):
-            if not isinstance(text, str):
-                return None
-        stack, quoted, escaped, marks = [], False, False, []
-        for i, c in enumerate(text):
-            if quoted:
-                quoted, escaped = (c != '"' or escaped), c == "\\" and not escaped
-            elif c == '"':
-                quoted = True
-            elif c in "{[":
-                stack.append("}" if c == "{" else "]")
-            elif c in "}]" and (not stack or stack.pop() != c):
-                return None  # malformed, not cut off
-            if not quoted and c in "{[}],":
-                marks.append((i + (c != ","), "".join(reversed(stack))))
-        if not stack:
+    try:
+        json.loads(text)
+        return text
+    except (TypeError, ValueError):
+        if not isinstance(text, str):
             return None
-        for at, tail in reversed(marks):
-            try:
-                json.loads(text[:at] + tail)
-                return text[:at] + tail
-            except ValueError:
-                continue
+    stack, quoted, escaped, marks = [], False, False, []
+    for i, c in enumerate(text):
+        if quoted:
+            quoted, escaped = (c != '"' or escaped), c == "\\" and not escaped
+        elif c == '"':
+            quoted = True
+        elif c in "{[":
+            stack.append("}" if c == "{" else "]")
+        elif c in "}]" and (not stack or stack.pop() != c):
+            return None  # malformed, not cut off
+        if not quoted and c in "{[}],":
+            marks.append((i + (c != ","), "".join(reversed(stack))))
+    if not stack:
         return None
-
-    return docs.map(close)
+    for at, tail in reversed(marks):
+        try:
+            json.loads(text[:at] + tail)
+            return text[:at] + tail
+        except ValueError:
+            continue
+    return None
 
 
 def _attributes(pairs: Column) -> Column:
@@ -208,8 +204,8 @@ def zipkin_spans(docs: DataFrame) -> DataFrame:
 
 def text_spans(panes: DataFrame) -> DataFrame:
     """Of (incident_id, text): lines with trace, span and service pairs."""
-    m = split_lines(panes, "incident_id", "text").select("incident_id", F.col("line_no").alias("source_line"), leading_stamp(F.col("line")).alias("t"), logfmt(F.col("line")).alias("m"))
-    m = m.filter(F.col("m")["trace"].isNotNull() & F.col("m")["span"].isNotNull() & F.col("m")["service"].isNotNull())
+    whole = lambda m: m["trace"].isNotNull() & m["span"].isNotNull() & m["service"].isNotNull()
+    m = split_lines(panes, "incident_id", "text").select("incident_id", F.col("line_no").alias("source_line"), "line", computed(logfmt(F.col("line")), whole).alias("m")).withColumn("t", leading_stamp(F.col("line")))
     v = F.col("m")
     status = F.when(F.lower(F.coalesce(v["status"], F.lit(""))).isin("error", "err", "failed", "2"), "error")
     a = F.map_filter(F.create_map(F.lit("http.status_code"), v["code"], F.lit("db.system"), v["db"], F.lit("error"), v["error"]), lambda k, x: x.isNotNull())

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names, text, times
 from ..functions import vocabulary as V
 from ..operators import budget, changes, entities, graph, lookup, rules, scoring, spans, stackfit, timeline
-from ..session import cut
+from ..session import cut, spread
 from ..sources import lines, logs
 from ..sources.adapters import view, with_views
 from ..streaming import live
@@ -714,7 +714,8 @@ def _panes(spark, sf_dir):
     """Incidents of 200 successive log lines and of the spans of 200 successive traces, so that they grow in number with the tables, not in size."""
     lines_ = view(spark, sf_dir, "log_lines").withColumn("incident_id", F.concat(F.lit("inc-"), F.expr("cast(seq div 200 as string)")))
     stamp = F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    ordered = lambda df, line, key: df.groupBy("incident_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
+    keyed = lambda df, line, key: spread(df.select("incident_id", F.struct(F.col(key).alias("k"), line.alias("l")).alias("x")), "incident_id")
+    ordered = lambda df, line, key: keyed(df, line, key).groupBy("incident_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["l"]), "\n").alias("text"))
     log = ordered(lines_, F.concat(F.lit("[pod/"), "component", F.lit("-7d9f8b6c5-x2k4j/app] "), stamp, F.lit(" "), "body"), "seq").withColumn("source", F.lit("logs"))
     s = view(spark, sf_dir, "spans").withColumns({"incident_id": F.concat(F.lit("inc-"), F.expr("cast(trace_id div 200 as string)")), "ts_ms": F.col("start_ms")})
     span = F.concat(stamp, F.lit(" trace="), F.col("trace_id").cast("string"), F.lit(" span="), (F.col("span_id") + 1).cast("string"), F.lit(" parent="), F.coalesce((F.col("parent_id") + 1).cast("string"), F.lit("-")), F.lit(" service="), "service", F.lit(" kind="), "kind", F.lit(" op="), "op", F.lit(" dur="), F.col("dur_ms").cast("long").cast("string"), F.lit("ms status="), F.when(F.col("error"), "error").otherwise("ok"))

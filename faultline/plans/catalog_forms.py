@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, text, times
 from ..operators import budget, changes, entities, graph, stackfit, timeline
+from ..session import spread
 from ..sources import alerts, certificates, logs, releases, traces
 from ..sources.adapters import pick, view
 from ..streaming import live
@@ -103,7 +104,7 @@ def read_jaeger(spark, sf_dir):
 def read_text_spans(spark, sf_dir):
     s = _spans(spark, sf_dir).withColumn("ts_ms", F.col("start_ms"))
     line = F.concat(stamp(), F.lit(" trace="), "t", F.lit(" span="), "s", F.lit(" parent="), F.coalesce("p", F.lit("-")), F.lit(" service="), "service", F.lit(' op="a b" dur='), F.floor("dur_ms").cast("string"), F.lit("ms status="), F.when(F.col("error"), "error").otherwise("ok"))
-    panes = s.groupBy("incident_id").agg(F.concat_ws("\n", F.sort_array(F.collect_list(line))).alias("text"))
+    panes = spread(s.select("incident_id", line.alias("line")), "incident_id").groupBy("incident_id").agg(F.concat_ws("\n", F.sort_array(F.collect_list("line"))).alias("text"))
     return traces.text_spans(panes).select(*_SPAN)
 
 
@@ -134,7 +135,8 @@ def read_histories(spark, sf_dir):
     row = F.concat_ws("   ", F.col("revision").cast("string"), F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd'T'HH:mm:ss'Z'"), "status", F.lit("app-1.2.3"), F.lit("9"), said)
     item = F.to_json(F.struct("revision", F.concat(at, F.lit("")).alias("updated"), "status", F.lit("app-1.2.3").alias("chart"), F.lit("9").alias("app_version"), said.alias("description")))
     line = F.when(F.col("release_id") % 2 == 0, row).otherwise(F.concat(F.lit("["), F.replace(item, F.lit(" UTC"), F.lit("Z")), F.lit("]")))
-    panes = r.groupBy(F.concat(F.lit("inc-"), F.col("release_id").cast("string")).alias("incident_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("revision", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
+    r = spread(r.select(F.concat(F.lit("inc-"), F.col("release_id").cast("string")).alias("incident_id"), F.struct("revision", line.alias("l")).alias("x")), "incident_id")
+    panes = r.groupBy("incident_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["l"]), "\n").alias("text"))
     return releases.history(panes).select("incident_id", "release_id", "revision", "status", "ts_ms", "rolled_back_to")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import times
 from ..functions import vocabulary as V
+from ..session import spread
 from ..sources import alerts, context, lines, logs, releases, traces
 from ..sources.adapters import pick, view
 from .catalog import FLOOR_SQL, ORACLES, _classify_sql, query, read
@@ -24,7 +25,7 @@ def pane(rows: DataFrame, line, before=None, after=None) -> DataFrame:
     r = rows.select(F.concat(F.lit("inc-"), F.expr(f"cast(seq div {PANE_ROWS} as string)")).alias("incident_id"), F.struct("seq", line.alias("l")).alias("x"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["l"]), "\n")
     parts = [*([before] if before is not None else []), text, *([after] if after is not None else [])]
-    return r.groupBy("incident_id").agg(F.concat_ws("\n", *parts).alias("text"))
+    return spread(r, "incident_id").groupBy("incident_id").agg(F.concat_ws("\n", *parts).alias("text"))
 
 
 INC = f"'inc-' || seq // {PANE_ROWS}"
@@ -105,12 +106,12 @@ def read_release_lists(spark, sf_dir):
 def read_span_lines(spark, sf_dir):
     from pyspark.sql import Window
 
-    s = view(spark, sf_dir, "spans").withColumn("p", F.expr("trace_id div 200"))
-    s = s.withColumns({"n": F.row_number().over(Window.partitionBy("p").orderBy("trace_id", "span_id")), "of": F.count("*").over(Window.partitionBy("p"))})
+    s = spread(view(spark, sf_dir, "spans").withColumn("incident_id", F.concat(F.lit("inc-"), F.expr("cast(trace_id div 200 as string)"))), "incident_id")
+    s = s.withColumns({"n": F.row_number().over(Window.partitionBy("incident_id").orderBy("trace_id", "span_id")), "of": F.count("*").over(Window.partitionBy("incident_id"))})
     span = F.to_json(F.struct(F.concat(F.lit("t"), F.col("trace_id").cast("string")).alias("traceId"), F.concat(F.lit("s"), F.col("trace_id").cast("string"), F.lit("-"), F.col("span_id").cast("string")).alias("id"), F.struct(F.col("service").alias("serviceName")).alias("localEndpoint"), F.lit("op").alias("name"), F.lit(1000.0).alias("timestamp"), F.lit(5.0).alias("duration"), F.create_map(F.lit("error"), F.col("error").cast("string")).alias("tags")))
     line = F.concat(span, F.when(F.col("n") < F.col("of"), ",").otherwise(""))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", line.alias("l")))), lambda x: x["l"]), "\n")
-    panes = s.groupBy(F.concat(F.lit("inc-"), F.col("p").cast("string")).alias("incident_id")).agg(F.concat(F.lit("[\n"), text, F.lit("\n]")).alias("text"))
+    panes = s.groupBy("incident_id").agg(F.concat(F.lit("[\n"), text, F.lit("\n]")).alias("text"))
     docs = traces.json_segments(panes)
     return traces.located(traces.zipkin_spans(docs), docs).select("incident_id", "trace_id", "span_id", "service", "error", "source_line")
 

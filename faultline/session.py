@@ -33,3 +33,9 @@ def cut(df):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
+
+
+def spread(df, *by):
+    """df in as many partitions as keep all cores busy, by the columns given. Few bytes can be much work (a pane's expressions), and by bytes alone adaptive plans would leave them to a few tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *by)

@@ -30,11 +30,11 @@ def latest_deploy(history: DataFrame) -> DataFrame:
 
 def paired(marks: DataFrame, by: list[str]) -> DataFrame:
     """(by, n, before, after): the n-th removal of a place beside its n-th addition; marks has sign, pos and value."""
-    n = F.row_number().over(Window.partitionBy(*by, "sign").orderBy("pos"))
-    rows = marks.withColumn("n", n)
-    gone = rows.filter("sign = '-'").select(*by, "n", F.col("value").alias("before"))
-    come = rows.filter("sign = '+'").select(*by, "n", F.col("value").alias("after"))
-    return gone.join(come, [*by, "n"], "full_outer")
+    of = lambda sign: F.col("sign") == sign
+    before = Window.partitionBy(*by).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    n = F.when(of("-"), F.count_if(of("-")).over(before)).otherwise(F.count_if(of("+")).over(before))
+    rows = marks.filter("sign in ('-', '+')").withColumn("n", n.cast("int"))
+    return rows.groupBy(*by, "n").agg(F.max(F.when(of("-"), F.col("value"))).alias("before"), F.max(F.when(of("+"), F.col("value"))).alias("after"))
 
 
 def capped_changes(changes: DataFrame, by: list[str], most: int = 40) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..session import spread
 from ..sources import manifests, releases
 from .catalog import query, read
 
@@ -69,7 +70,7 @@ def filled(text: str) -> str:
 
 def _panes(spark, sf_dir):
     """A pane per customer, so that panes grow in number with the table."""
-    c = read(spark, sf_dir, "customer")
+    c = spread(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
     return c.select(F.expr("concat('inc-', cast(c_custkey as string))").alias("incident_id"), F.concat_ws("\n", *[F.expr(filled(x)) for x in LINES]).alias("text"))
 
 
@@ -84,15 +85,15 @@ def read_diff_records(spark, sf_dir):
 @query(sql=f"""SELECT 'inc-' || c_custkey AS incident_id, r AS resource, CASE WHEN r = app THEN app END AS name, CASE WHEN r = app THEN 'shop-' || c_nationkey || '.1.0' END AS chart, CASE WHEN r LIKE '%-hpa' THEN app END AS scale_target,
   CASE WHEN r = app THEN 'web' ELSE '' END AS containers, CASE WHEN r = app THEN 'shop/web:' || (c_custkey % 7) ELSE '' END AS images FROM (SELECT *, {VALUES['app']} AS app, unnest([{VALUES['app']}, {VALUES['app']} || '-config', {VALUES['app']} || '-hpa', 'shared-token']) AS r FROM customer) x""")
 def manifest_facts(spark, sf_dir):
-    f = manifests.facts(releases.diff_records(_panes(spark, sf_dir)), ["incident_id", "block_no", "resource"])
+    f = manifests.block_facts(manifests.block_records(releases.block_arrays(_panes(spark, sf_dir)), releases.BLOCK_KEYS), ["incident_id", "block_no", "resource"])
     return f.select("incident_id", "resource", "name", "chart", "scale_target", F.array_join("containers", ",").alias("containers"), F.array_join("images", ",").alias("images"))
 
 
 @query(sql=f"SELECT 'inc-' || c_custkey AS incident_id, unnest([{VALUES['app']}, {VALUES['app']} || '-config', {VALUES['app']} || '-hpa', 'shared-token']) AS resource, {VALUES['app']} AS owner FROM customer")
 def resource_owners(spark, sf_dir):
-    rows = releases.diff_records(_panes(spark, sf_dir))
+    rows = manifests.block_records(releases.block_arrays(_panes(spark, sf_dir)), releases.BLOCK_KEYS)
     by = ["incident_id", "block_no", "resource", "kind"]
-    f = manifests.facts(rows.withColumnRenamed("kind", "of_kind"), ["incident_id", "block_no", "resource", "of_kind"]).drop("kind").withColumnRenamed("of_kind", "kind")
+    f = manifests.block_facts(rows.withColumnRenamed("kind", "of_kind"), ["incident_id", "block_no", "resource", "of_kind"]).drop("kind").withColumnRenamed("of_kind", "kind")
     return manifests.owners(f.select(*by, "scale_target", "app_label")).select("incident_id", "resource", "owner")
 
 

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bound, computed
+from ..session import cut
+
 _LEVEL = "struct<d:int,seg:string,item:boolean,text:boolean,open:boolean>"
 _RECORD = "struct<line_no:int,sign:string,path:string,value:string>"
 #: A fold copies its state at each step, so lines are folded in runs of RUN, and runs into the whole.
@@ -16,18 +19,22 @@ RUN = 128
 _STATE = f"struct<stack:array<{_LEVEL}>,out:array<{_RECORD}>>"
 KEY = r"^([^\s:#][^:]*):(?:\s+(.*))?$"
 SCALAR = r"^[|>][-+]?\d*$"
+#: Blank lines and comments.
+BLANK = r"^[+ -]?\s*(#.*)?$"
 
 
 def line_parts(line: Column) -> Column:
     """Struct of a marked line: sign (-, + or blank), d (its indentation), item (whether it begins a list item), key, value and text."""
     sign = F.when(F.substring(line, 1, 1).isin("+", "-"), F.substring(line, 1, 1)).otherwise(" ")
     body = F.when(F.substring(line, 1, 1).isin("+", "-", " "), F.substring(line, F.lit(2), F.length(line))).otherwise(line)
-    text = F.rtrim(F.ltrim(body))
-    item = text.rlike(r"^-( |$)")
-    rest = F.regexp_replace(text, r"^(- |-$)+", "")
     plain = lambda c: F.regexp_replace(c, "^[\"']+|[\"']+$", "")
-    keyed = rest.rlike(KEY)
-    return F.struct(sign.alias("sign"), (F.length(body) - F.length(F.ltrim(body))).cast("int").alias("d"), item.alias("item"), F.when(keyed, F.trim(F.regexp_extract(rest, KEY, 1))).alias("key"), F.when(keyed, plain(F.trim(F.regexp_extract(rest, KEY, 2)))).alias("value"), plain(rest).alias("text"), text.alias("whole"))
+
+    def parts(body: Column, text: Column, rest: Column) -> Column:
+        keyed = rest.rlike(KEY)
+        of = lambda i: F.trim(F.regexp_extract(rest, KEY, i))
+        return F.struct(sign.alias("sign"), (F.length(body) - F.length(F.ltrim(body))).cast("int").alias("d"), text.rlike(r"^-( |$)").alias("item"), F.when(keyed, of(1)).alias("key"), F.when(keyed, plain(of(2))).alias("value"), plain(rest).alias("text"), text.alias("whole"))
+
+    return bound(body, lambda b: bound(F.rtrim(F.ltrim(b)), lambda t: bound(F.regexp_replace(t, r"^(- |-$)+", ""), lambda rest: parts(b, t, rest))))
 
 
 def path_of(stack: Column) -> Column:
@@ -36,10 +43,6 @@ def path_of(stack: Column) -> Column:
     return F.regexp_replace(F.array_join(parts, ""), r"^\.", "")
 
 
-def _bind(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
-
-
 def _step(state: Column, line: Column) -> Column:
     """The state after a line: what it is deeper than stays on the stack; a list item may stand at the indentation of its key; lines under a text are of the text."""
     top = F.try_element_at(state["stack"], F.lit(-1))
@@ -61,8 +64,8 @@ def _step(state: Column, line: Column) -> Column:
         record = F.struct(line["line_no"].alias("line_no"), line["sign"].alias("sign"), path_of(full).alias("path"), said.alias("value")).cast(_RECORD)
         return F.struct(stack.alias("stack"), F.when(said.isNotNull(), record).alias("record"))
 
-    new = _bind(F.concat(above, F.when(line["item"] & ~in_text, F.array(level(line["d"], name, yes, no, no))).otherwise(none)), with_item)
-    return _bind(new, lambda x: F.struct(x["stack"].alias("stack"), F.concat(state["out"], F.array_compact(F.array(x["record"]))).alias("out")))
+    new = bound(F.concat(above, F.when(line["item"] & ~in_text, F.array(level(line["d"], name, yes, no, no))).otherwise(none)), with_item)
+    return bound(new, lambda x: F.struct(x["stack"].alias("stack"), F.concat(state["out"], F.array_compact(F.array(x["record"]))).alias("out")))
 
 
 def records(lines: DataFrame, by: list[str]) -> DataFrame:
@@ -70,18 +73,30 @@ def records(lines: DataFrame, by: list[str]) -> DataFrame:
 
     Lines of a text ("key: |") have the path of their key. Blank lines and comments have none.
     """
-    rows = lines.filter(~F.col("line").rlike(r"^[+ -]?\s*(#.*)?$")).withColumn("p", line_parts(F.col("line")))
+    rows = lines.filter(~F.col("line").rlike(BLANK)).withColumn("p", line_parts(F.col("line")))
     whole = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col("line_no").cast("int").alias("line_no"), "p.*"))).alias("lines"))
+    return whole.select(*by, F.explode(_folded(F.col("lines"))).alias("r")).select(*by, "r.*")
+
+
+def block_records(blocks: DataFrame, by: list[str]) -> DataFrame:
+    """(by, records): the same of blocks that have their lines (line_no, line) in an array, in order; blocks without a record are left out. Nothing is moved or sorted."""
+    told = F.filter("lines", lambda x: ~x["line"].rlike(BLANK))
+    line = lambda x: bound(line_parts(x["line"]), lambda p: F.struct(x["line_no"].cast("int").alias("line_no"), *[p[c].alias(c) for c in ("sign", "d", "item", "key", "value", "text", "whole")]))
+    parsed = blocks.select(*by, computed(F.transform(told, line), lambda x: F.size(x) > 0).alias("lines"))
+    return parsed.select(*by, computed(_folded(F.col("lines")), lambda x: F.size(x) > 0).alias("records"))
+
+
+def _folded(lines: Column) -> Column:
+    """The records of an array of parsed lines."""
     nothing = F.array().cast(f"array<{_RECORD}>")
     start = F.struct(F.array().cast(f"array<{_LEVEL}>").alias("stack"), nothing.alias("out")).cast(_STATE)
-    runs = F.transform(F.sequence(F.lit(0), F.expr(f"(size(lines) - 1) div {RUN}").cast("int")), lambda i: F.slice("lines", i * RUN + 1, RUN))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / RUN).cast("int")), lambda i: F.slice(lines, i * RUN + 1, RUN))
 
     def fold_run(state: Column, run: Column) -> Column:
         new = F.aggregate(run, F.struct(state["stack"].alias("stack"), nothing.alias("out")).cast(_STATE), _step)
-        return _bind(new, lambda x: F.struct(x["stack"].alias("stack"), F.concat(state["out"], x["out"]).alias("out")))
+        return bound(new, lambda x: F.struct(x["stack"].alias("stack"), F.concat(state["out"], x["out"]).alias("out")))
 
-    found = F.aggregate(runs, start, fold_run, lambda s: s["out"])
-    return whole.select(*by, F.explode(found).alias("r")).select(*by, "r.*")
+    return F.aggregate(runs, start, fold_run, lambda s: s["out"])
 
 
 def facts(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -99,6 +114,21 @@ def facts(rows: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def block_facts(blocks: DataFrame, by: list[str]) -> DataFrame:
+    """facts of block_records: each block's facts are found in its own row."""
+    order = lambda x: F.struct((x["sign"] == "-").cast("int").alias("old"), x["line_no"].alias("n"), x["value"].alias("value"))
+    least = lambda test: F.array_min(F.transform(F.filter("records", test), order))["value"]
+    new = lambda x: x["sign"] != "-"
+    first = lambda pattern: least(lambda x: x["path"].rlike(pattern))
+    only = lambda pattern: least(lambda x: x["path"].rlike(pattern) & new(x))
+    each = lambda pattern, value: F.array_sort(F.array_distinct(F.transform(F.filter("records", lambda x: new(x) & x["path"].rlike(pattern)), value)))
+    return blocks.select(
+        *by, first(r"^kind$").alias("kind"), first(r"^metadata\.name$").alias("name"), first(r"^metadata\.annotations\.helm\.sh/hook$").alias("hook"), only(r"^metadata\.labels\.(app\.kubernetes\.io/instance|release)$").alias("instance"),
+        only(r"^metadata\.labels\.(helm\.sh/)?chart$").alias("chart"), only(r"podSelector\.matchLabels\.(app|app\.kubernetes\.io/name)$").alias("app_label"), only(r"^spec\.scaleTargetRef\.name$").alias("scale_target"),
+        each(r"containers\[[^\]]+\]\.name$", lambda x: F.regexp_extract(x["path"], r"containers\[([^\]]+)\]", 1)).alias("containers"), each(r"\.image$", lambda x: x["value"]).alias("images"),
+    )
+
+
 #: Kinds that run pods.
 WORKLOADS = "Deployment StatefulSet DaemonSet Job CronJob ReplicaSet Rollout Pod".split()
 
@@ -110,6 +140,7 @@ def owners(resources: DataFrame) -> DataFrame:
     the longest name that the resource's begins with, else the only one of the incident, else its own name. Names are
     held against prefixes that end before a hyphen, so this is an equi-join.
     """
+    resources = cut(resources)  # read three times
     work = resources.filter(F.col("kind").isin(WORKLOADS)).select("incident_id", F.col("resource").alias("workload")).distinct()
     one = work.groupBy("incident_id").agg(F.min("workload").alias("only"), F.max("workload").alias("_most")).filter("only = _most").drop("_most")
     rest = resources.filter(~F.coalesce(F.col("kind").isin(WORKLOADS), F.lit(False))).select("incident_id", "resource").distinct()

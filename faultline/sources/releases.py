@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import chart_release, fnv_id
-from ..functions.text import looks_secret
+from ..functions.text import computed, looks_secret
 from ..functions.times import leading_stamp
 from ..operators.changes import classify_change
-from .lines import split_lines
-from .manifests import records
+from .lines import pane_lines, split_lines
+from .manifests import block_records
 from .traces import json_segments, repaired_json
 
 HISTORY_ROW = r"^\s*(\d+)\s+(\d{4}-\S+(?: [\d:.]+(?: \S+)*?)?|\S.*?\d{4})\s+(superseded|deployed|failed|pending-\w+|uninstalled|uninstalling|unknown)\s+(\S+)\s+(\S+)\s+(.*)\z"
@@ -74,21 +74,32 @@ def suspects(rows: DataFrame) -> DataFrame:
     return out.select("incident_id", "release_id", "revision", F.coalesce("target", "older").alias("previous"), F.col("ts_ms").alias("deployed_ms"), "rolled_back_ms", "chart", "app_version")
 
 
+#: What a block is of.
+BLOCK_KEYS = ["incident_id", "block_no", "namespace", "resource", "kind"]
+
+
+def block_arrays(panes: DataFrame) -> DataFrame:
+    """(incident_id, block_no, namespace, resource, kind, lines): "ns, name, Kind (group) has changed:" blocks and unified diffs of values files with their lines (line_no, line). A pane is cut in its own row."""
+    header = r"^(?:diff --git |index [0-9a-f]+|--- |@@ )"
+    numbered = F.transform(pane_lines(F.col("text")), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line"), (x.rlike(BLOCK) | x.rlike(UNIFIED)).alias("head")))
+    p = panes.select("incident_id", computed(F.filter(numbered, lambda x: ~x["line"].rlike(header))).alias("all"))
+    heads = F.filter(F.transform("all", lambda x, i: F.when(x["head"], i + 1)), lambda i: i.isNotNull())
+    p = p.select("incident_id", "all", computed(heads, lambda x: F.size(x) > 0).alias("heads"))
+    end = lambda i: F.coalesce(F.get("heads", i + 1), F.size("all") + 1)
+    held = lambda at, i: F.transform(F.slice("all", at + 1, end(i) - at - 1), lambda x: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line")))
+    b = p.select("incident_id", F.explode(F.transform("heads", lambda at, i: F.struct((i + 1).alias("block_no"), F.get("all", at - 1)["line"].alias("head"), held(at, i).alias("lines")))).alias("b")).select("incident_id", "b.*")
+    file, part = F.col("head").rlike(UNIFIED), lambda i: F.regexp_extract("head", BLOCK, i)
+    return b.select("incident_id", "block_no", F.when(file, "").otherwise(part(1)).alias("namespace"), F.when(file, F.regexp_extract("head", UNIFIED, 1)).otherwise(part(2)).alias("resource"), F.when(file, "values").otherwise(part(3)).alias("kind"), "lines")
+
+
 def diff_blocks(panes: DataFrame) -> DataFrame:
-    """(incident_id, block_no, namespace, resource, kind, line_no, line): the lines of "ns, name, Kind (group) has changed:" blocks and of unified diffs of values files."""
-    rows = split_lines(panes, "incident_id", "text")
-    rows = rows.filter(~F.col("line").rlike(r"^(?:diff --git |index [0-9a-f]+|--- |@@ )"))
-    head = F.col("line").rlike(BLOCK) | F.col("line").rlike(UNIFIED)
-    rows = rows.withColumn("block_no", F.sum(head.cast("int")).over(Window.partitionBy("incident_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)).cast("int")).filter("block_no > 0")
-    file = F.col("line").rlike(UNIFIED)
-    part = lambda i: F.regexp_extract("line", BLOCK, i)
-    names = rows.filter(head).select("incident_id", "block_no", F.when(file, "").otherwise(part(1)).alias("namespace"), F.when(file, F.regexp_extract("line", UNIFIED, 1)).otherwise(part(2)).alias("resource"), F.when(file, "values").otherwise(part(3)).alias("kind"))
-    return rows.filter(~head).join(names, ["incident_id", "block_no"])
+    """(incident_id, block_no, namespace, resource, kind, line_no, line): the lines of block_arrays."""
+    return block_arrays(panes).select(*BLOCK_KEYS, F.explode("lines").alias("x")).select(*BLOCK_KEYS, "x.*")
 
 
 def diff_records(panes: DataFrame) -> DataFrame:
     """(incident_id, block_no, namespace, resource, kind, line_no, sign, path, value): every value of the blocks with its path."""
-    return records(diff_blocks(panes), ["incident_id", "block_no", "namespace", "resource", "kind"])
+    return block_records(block_arrays(panes), BLOCK_KEYS).select(*BLOCK_KEYS, F.explode("records").alias("r")).select(*BLOCK_KEYS, "r.*")
 
 
 def diff_marks(panes: DataFrame) -> DataFrame:

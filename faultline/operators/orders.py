@@ -129,9 +129,15 @@ def with_known_time(signals: DataFrame) -> DataFrame:
 
 def valid_evidence(evidence: DataFrame, signals: DataFrame, changes: DataFrame) -> DataFrame:
     """Evidence that a signal, a change or a source line backs: the ids are looked up."""
-    s, c = signals.select(F.col("id").alias("signal_id"), F.lit(True).alias("_s")).distinct(), changes.select(F.col("id").alias("change_id"), F.lit(True).alias("_c")).distinct()
-    out = evidence.join(s, "signal_id", "left").join(c, "change_id", "left")
-    return out.filter(F.col("_s").isNotNull() | F.col("_c").isNotNull() | F.col("line").isNotNull()).drop("_s", "_c")
+    row = F.pmod(F.xxhash64("signal_id", "change_id", "source", "text", "line"), F.lit(1 << 20))
+    rows = evidence
+    for ids, name in ((signals, "signal_id"), (changes, "change_id")):
+        known = ids.select(F.concat(F.lit("="), "id").alias(f"_of_{name}"), F.lit(True).alias(f"_has_{name}")).distinct()
+        # Rows without an id, or with a line, ask for none: their keys are spread and meet nothing.
+        asks = F.col(name).isNotNull() & F.col("line").isNull()
+        rows = rows.withColumn(f"_of_{name}", F.when(asks, F.concat(F.lit("="), name)).otherwise(F.concat(F.lit("-"), row.cast("string")))).join(known, f"_of_{name}", "left")
+    out = rows.filter(F.col("_has_signal_id").isNotNull() | F.col("_has_change_id").isNotNull() | F.col("line").isNotNull())
+    return out.select(*evidence.columns)
 
 
 def primary(evidence: DataFrame, least: float = 0.2) -> DataFrame:

@@ -50,7 +50,7 @@ def offset_minutes(zone: Column) -> Column:
     pattern = r"(?i)^(?:utc|gmt)?\s*([+\-\x{2212}])\s*(\d{1,2})(?::?(\d{2}))?\z"
     h, m = F.regexp_extract(z, pattern, 2).try_cast("int"), F.coalesce(F.regexp_extract(z, pattern, 3).try_cast("int"), F.lit(0))
     sign = F.when(F.regexp_extract(z, pattern, 1) == "+", 1).otherwise(-1)
-    named = first_of([(F.lower(z) == k, F.lit(v)) for k, v in V.ZONES.items()])
+    named = F.try_element_at(F.create_map(*[F.lit(x) for zone in V.ZONES.items() for x in zone]), F.lower(z))  # one look at the name, not one for each zone
     return F.when(z == "", 0).when(z.rlike(pattern), F.when((h <= 14) & (m <= 59), sign * (h * 60 + m))).otherwise(named)
 
 
@@ -73,8 +73,8 @@ def leading_stamp(line: Column, year: int = 1970, default_offset: int = 0) -> Co
     """Struct of ts_ms, inferred (a zone or year was supplied by us), format and rest; null fields without a stamp."""
     iso, syslog, epoch = (line.rlike(p) for p in (LEAD_ISO, LEAD_SYSLOG, LEAD_EPOCH))
     millis = lambda digits: F.coalesce(F.rpad(F.substring(digits, 1, 3), 3, "0").try_cast("long"), F.lit(0).cast("long"))
-    #: The groups of a shape, in one search.
-    groups = lambda p, n: F.split(F.regexp_replace(line, p + r"[\s\S]*", "\x00".join(f"${i + 1}" for i in range(n))), "\x00")
+    #: The groups of a shape, from the stamp alone: the line behind it is not gone through.
+    groups = lambda p, n: F.split(F.regexp_replace(F.regexp_extract(line, p, 0), p, "\x00".join(f"${i + 1}" for i in range(n))), "\x00")
     zone = F.trim(F.regexp_extract(line, LEAD_ISO, 3))
     east = lambda z: F.when(z == "", default_offset).otherwise(offset_minutes(z)) * 60000
     at_iso = bound(groups(LEAD_ISO, 3), lambda g: _utc_ms(F.translate(g[0], "/T", "- ")) + millis(g[1]) - bound(F.trim(g[2]), east))

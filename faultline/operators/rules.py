@@ -36,9 +36,9 @@ DEMAND = r"(?i)pool|max_?conn|maxconn|connections"
 
 
 def _clue(category: str, clue: str, weight, signal: Column | None = None, change: Column | None = None, line: Column | None = None) -> Column:
-    none = F.lit(None).cast("string")
+    cell = lambda c, kind, name: F.expr(f"cast(null as {kind}) as {name}") if c is None else c.cast(kind).alias(name)
     w = weight if isinstance(weight, Column) else F.lit(float(weight))
-    return F.struct(F.lit(category).alias("category"), F.lit(clue).alias("clue"), (none if signal is None else signal).alias("signal_id"), (none if change is None else change).alias("change_id"), (F.lit(None).cast("long") if line is None else line.cast("long")).alias("line"), w.cast("double").alias("weight"))
+    return F.struct(F.expr(f"'{category}' as category"), F.expr(f"'{clue}' as clue"), cell(signal, "string", "signal_id"), cell(change, "string", "change_id"), cell(line, "long", "line"), cell(w, "double", "weight"))
 
 
 CLUES = [I, "category", "component", "clue", "signal_id", "change_id", "line", "weight"]
@@ -107,12 +107,12 @@ class Wide:
 
     @staticmethod
     def k(name: str, field: str = "n") -> Column:
-        x = F.try_element_at(F.col("kinds"), F.lit(name))[field]
-        return F.coalesce(x, F.lit(0)) if field in ("n", "logs", "alerts") else x
+        x = f"try_element_at(kinds, '{name}').{field}"  # as text: rules name hundreds of these
+        return F.expr(f"coalesce({x}, 0)" if field in ("n", "logs", "alerts") else x)
 
     @staticmethod
     def c(name: str, field: str = "id") -> Column:
-        return F.try_element_at(F.col("changed"), F.lit(name))[field]
+        return F.expr(f"try_element_at(changed, '{name}').{field}")
 
 
 def local_rules(wide: DataFrame) -> DataFrame:

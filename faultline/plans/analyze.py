@@ -36,6 +36,11 @@ def unkeyed(df: DataFrame, *columns: str) -> DataFrame:
     return out.withColumns({c: F.split(c, "\x1f")[1] for c in columns})
 
 
+def _empty(like: DataFrame, columns) -> DataFrame:
+    """No rows, which the planner knows: what is joined with it is left out of plans."""
+    return like.sparkSession.createDataFrame([], columns).limit(0)
+
+
 def _null(kind: str = "string") -> Column:
     return F.lit(None).cast(kind)
 
@@ -95,9 +100,8 @@ def _with_targets(signals: DataFrame) -> DataFrame:
     return rows.withColumn("target_id", F.nullif(F.coalesce("near", "far", other), F.col("component"))).drop("near", "far")
 
 
-def _call_edges(named: DataFrame, signals: DataFrame, span_rows: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Calls between component ids: traced ones, and those that log lines name."""
-    by_name = spans.edge_health(spans.derived_edges(named))
+def _call_edges(by_name: DataFrame, signals: DataFrame, span_rows: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Calls between component ids: traced ones (edge_health by name), and those that log lines name."""
     own = _moved(span_rows.select(I, "name", "component").distinct(), aliases, "component")
     homes = own.unionByName(signals.filter("component is not null").select(I, "name", "component")).groupBy(I, "name").agg(F.min("component").alias("home"))
     out = unkeyed(by_name, "from", "to")
@@ -123,29 +127,35 @@ def _with_states(edges: DataFrame, failing: DataFrame) -> DataFrame:
     return edges.join(ill, [I, "to"], "left").withColumn("status", status).drop("ill")
 
 
-def analyze(panes: DataFrame, slo: float = 0.999, window_days: float = 30.0) -> dict[str, DataFrame]:
-    """The relations of each incident's analysis.
+def analyze(panes: DataFrame, slo: float = 0.999, window_days: float = 30.0, only_causes: bool = False) -> dict[str, DataFrame]:
+    """The relations of each incident's analysis; with only_causes, the hypotheses alone, without plans of what shows them.
 
     panes: incident_id, source (logs, traces, alerts, helm), text. Text that no
     reader knows gives no rows; an incident without evidence still has a budget
     and an "unknown" hypothesis.
     """
+    panes = cut(panes)  # every reader begins with it
     of = lambda name: panes.filter(F.col("source") == name).select(I, "text")
-    span_rows = cut(cut(traces.read_spans(of("traces"))).withColumns({"name": norm(F.col("service")), "component": _id("service", F.col("cluster"), F.col("namespace"))}))
-    alert_rows = cut(cut(alerts.read_alerts(of("alerts"))).withColumn("component_id", _id("component", F.col("cluster"), F.col("namespace"))))
-    log = cut(logs.read_logs(of("logs")))
-    histories = cut(releases.deploys(of("helm")))
+    given = {r.source for r in panes.filter(F.col("source").isin(timeline.SOURCES)).select("source").distinct().collect()}
+    read = lambda name, reader, columns: cut(reader(of(name))) if name in given else _empty(panes, columns)
+    kept = lambda name, df: cut(df) if name in given else _empty(df, df.schema)
+    span_rows = kept("traces", read("traces", traces.read_spans, traces.SPANS).withColumns({"name": norm(F.col("service")), "component": _id("service", F.col("cluster"), F.col("namespace"))}))
+    named = span_rows.withColumns({"trace_id": keyed("trace_id"), "service": keyed("service"), "peer": F.when(F.col("peer").isNotNull(), keyed("peer")), "start_ms": F.col("start_ms").cast("long")})
+    calls = kept("traces", spans.edge_health(spans.derived_edges(named)))
+    log = read("logs", logs.read_logs, logs.SIGNALS)
+    alert_rows = kept("alerts", read("alerts", alerts.read_alerts, alerts.ALERTS).withColumn("component_id", _id("component", F.col("cluster"), F.col("namespace"))))
+    histories = read("helm", releases.deploys, releases.DEPLOYS)
     # Who is there: names from all panes but releases, which stand in for the workload that they install.
     heard, traced = log.select(I, "name", "component"), span_rows.select(I, "name", "component")
     alerted = alert_rows.filter("component is not null").select(I, F.col("component").alias("name"), F.col("component_id").alias("component"))
-    raw_changes = cut(releases.changes(of("helm")))
+    raw_changes = read("helm", releases.changes, releases.CHANGES)
     where = F.nullif(F.col("namespace"), F.lit(""))
-    written = cut(raw_changes.filter("resource <> ''").select(I, norm(F.col("resource")).alias("name"), _id("resource", _null(), where).alias("component"), _null().alias("cluster"), where.alias("namespace")))
+    written = kept("helm", raw_changes.filter("resource <> ''").select(I, norm(F.col("resource")).alias("name"), _id("resource", _null(), where).alias("component"), _null().alias("cluster"), where.alias("namespace")))
     names = cut(heard.unionByName(traced).unionByName(alerted).unionByName(written.select(I, "name", "component")).filter("component is not null").distinct())
-    deploys = cut(_release_homes(histories, names))
+    deploys = kept("helm", _release_homes(histories, names))
     signals = cut(signals_of(log, span_rows, alert_rows, deploys))
     aliases = cut(_aliases(signals, span_rows, written))
-    deploys = cut(_moved(deploys, aliases, "component"))
+    deploys = kept("helm", _moved(deploys, aliases, "component"))
     signals = cut(_moved(signals, aliases, "component"))
     # Kernel kills belong to the workload whose process was killed.
     typed = signals.withColumns({"type": parse_id(F.col("component"))["type"], "cluster": keyed("cluster")})
@@ -153,8 +163,7 @@ def analyze(panes: DataFrame, slo: float = 0.999, window_days: float = 30.0) ->
     signals = cut(correlate.reattributed(typed, work).withColumn("cluster", F.split("cluster", "\x1f")[1]).drop("type"))
     signals = cut(_with_targets(signals).withColumns({"cause": _null(), "ts_unknown": F.lit(False)}))
 
-    named = span_rows.withColumns({"trace_id": keyed("trace_id"), "service": keyed("service"), "peer": F.when(F.col("peer").isNotNull(), keyed("peer")), "start_ms": F.col("start_ms").cast("long")})
-    edges = cut(_call_edges(named, signals, span_rows, aliases))
+    edges = cut(_call_edges(calls, signals, span_rows, aliases))
     anomalies = signals.filter(is_anomaly(F.col("kind"), F.col("severity")))
     errors = anomalies.filter(rank(F.col("severity")) >= 2)
     onset = cut(timeline.onset(errors.filter("ts_ms is not null"), [I]))
@@ -184,19 +193,19 @@ def analyze(panes: DataFrame, slo: float = 0.999, window_days: float = 30.0) ->
     components = cut(components.withColumns({"user_facing": facing, "deepest": F.coalesce("deepest", F.lit(False)), "errors": F.coalesce("errors", F.lit(0))}).drop("burns"))
 
     # When releases and changes took effect: by history, else by the hand-off of replica sets.
-    handed = cut(timeline.handoffs(scalings(signals).withColumn("component", keyed("component"))))
+    handed = kept("helm", timeline.handoffs(scalings(signals).withColumn("component", keyed("component"))))
     told = deploys.select(keyed("component").alias("component"), keyed("release_id").alias("release"), "revision", "previous", "deployed_ms", "rolled_back_ms", F.col("app_version").alias("app_to"), "chart", "assumed", I)
     marks = signals.filter("source = 'helm'").select(F.concat_ws("\x1f", I, F.regexp_extract("text", r"^release (.*) r\d+$", 1)).alias("release"), F.regexp_extract("text", r" r(\d+)$", 1).cast("long").alias("revision"), "seq", "id")
     timed = correlate.deploy_signals(correlate.deploy_times(told, handed), marks)
-    resource = cut(names.groupBy(I, "name").agg(F.min("component").alias("component")))
+    resource = kept("helm", names.groupBy(I, "name").agg(F.min("component").alias("component")))
     resource = _moved(resource, aliases, "component")
     rel = deploys.select(I, "component", F.col("release_id").alias("release")).groupBy(I, "component").agg(F.min("release").alias("release"))
     changes = raw_changes.withColumn("name", norm(F.col("resource"))).join(resource, [I, "name"], "left").join(rel, [I, "component"], "left")
-    timed = cut(timed)
+    timed = kept("helm", timed)
     changes = correlate.change_times(changes.withColumns({"component": keyed("component"), "release": F.when(F.col("release").isNotNull(), keyed("release"))}), timed.select("release", "component", "deployed_ms"))
     bare = lambda c: F.when(F.col(c).contains("\x1f"), F.split(c, "\x1f")[1])
-    changes = cut(changes.withColumns({"component": bare("component"), "release": bare("release"), "line": F.lit(None).cast("long"), "deployed_ms": F.col("changed_ms")}))
-    rolled = cut(timed.withColumns({"component": bare("component"), "release": bare("release"), "line": F.lit(None).cast("long")}))
+    changes = kept("helm", changes.withColumns({"component": bare("component"), "release": bare("release"), "line": F.lit(None).cast("long"), "deployed_ms": F.col("changed_ms")}))
+    rolled = kept("helm", timed.withColumns({"component": bare("component"), "release": bare("release"), "line": F.lit(None).cast("long")}))
 
     now = timeline.latest_clock(signals.filter("ts_ms is not null"), [I])
     certs = certificates.certificates(of("logs")).withColumns({"namespace": _null(), "keyed_name": keyed("name")})
@@ -207,6 +216,8 @@ def analyze(panes: DataFrame, slo: float = 0.999, window_days: float = 30.0) ->
     zero = F.lit(0).cast("long")
     causes = found["causes"].unionByName(none.select(I, F.lit("unknown").alias("category"), F.lit("").alias("component"), F.lit(rules.UNKNOWN).alias("confidence"), F.lit(rules.UNKNOWN).alias("raw"), zero.alias("pieces"), zero.alias("changes"), F.lit(1).alias("rank")))
     causes = cut(causes)
+    if only_causes:
+        return {"hypotheses": causes}
     roots = causes.filter("rank = 1 and category <> 'unknown'").select(I, "component", F.lit(True).alias("is_root"))
     shown = components.join(roots, [I, "component"], "left").withColumn("status", F.when(F.col("is_root") & (F.col("status") == "failing"), "root").otherwise(F.col("status"))).drop("is_root")
 

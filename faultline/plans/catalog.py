@@ -757,7 +757,7 @@ SELECT 'inc-' || i AS incident_id, category, c AS component, confidence, floor(r
 @query("log_lines", "spans", sql=_ANALYSIS)
 def analysis_hypotheses(spark, sf_dir):
     """Ranked causes of incidents built from the tables, through all readers and rules."""
-    return analyze(_panes(spark, sf_dir))["hypotheses"]
+    return analyze(_panes(spark, sf_dir), only_causes=True)["hypotheses"]
 
 
 @query()

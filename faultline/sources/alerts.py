@@ -11,9 +11,12 @@ from ..functions import vocabulary as V
 from ..functions.names import norm, pod_owner
 from ..functions.text import alert_kind, alert_severity, first_of, logfmt
 from ..functions.times import leading_stamp, window_minutes
-from .lines import split_lines
+from .lines import reader, split_lines
 from .traces import json_segments, line_of, repaired_json
 
+#: What read_alerts gives.
+ALERTS = "incident_id string, name string, status string, kind string, alert_kind string, severity string, component string, namespace string, cluster string, starts_ms bigint, ends_ms bigint, value double, long_window_min double, source_line int, summary string, labels map<string,string>"
+
 _ALERT = "struct<status:string,state:string,labels:map<string,string>,annotations:map<string,string>,startsAt:string,activeAt:string,endsAt:string,value:string,fingerprint:string>"
 _API = "array<struct<status:struct<state:string,silencedBy:array<string>>,labels:map<string,string>,annotations:map<string,string>,startsAt:string,endsAt:string,fingerprint:string>>"
 WEBHOOK = f"struct<alerts:array<{_ALERT}>,commonLabels:map<string,string>,groupLabels:map<string,string>,commonAnnotations:map<string,string>,data:struct<alerts:array<{_ALERT}>,groups:array<struct<rules:array<struct<name:string,alerts:array<{_ALERT}>>>>>>>"
@@ -36,8 +39,13 @@ def iso_ms(stamp: Column) -> Column:
     return leading_stamp(F.concat(stamp, F.lit(" ")))["ts_ms"]
 
 
-def _rows(df: DataFrame, status: Column, value: Column) -> DataFrame:
-    """(incident_id, labels, annotations, starts, ends) with a status to alert rows."""
+def _told(df: DataFrame, status: Column, value: Column) -> DataFrame:
+    return df.select("incident_id", "labels", "annotations", "starts", "ends", "source_line", status.alias("status"), value.alias("value"))
+
+
+def _rows(df: DataFrame) -> DataFrame:
+    """(incident_id, labels, annotations, starts, ends, source_line, status, value) to alert rows."""
+    status, value = F.col("status"), F.col("value")
     l = F.col("labels")  # noqa: E741
     name = F.coalesce(l["alertname"], F.lit("alert"))
     kind = alert_kind(name, F.coalesce(l["reason"], F.lit("")), F.coalesce(l["job_name"], l["job"], F.lit("")))
@@ -73,18 +81,20 @@ def _located(labels: Column, starts: Column, fingerprint: Column) -> Column:
     return F.when(has(name), line_of(doc, first, name)).when(has(starts), line_of(doc, first, starts)).when(has(fingerprint), line_of(doc, first, fingerprint)).otherwise(first)
 
 
+@reader(_rows)
 def json_alerts(docs: DataFrame) -> DataFrame:
     """Of (incident_id, doc): webhook and rule documents, and bare arrays of alerts. Inactive rules are left out."""
     o = docs.filter(F.col("doc").rlike(r"^\s*\{")).select("incident_id", "first_line", "doc", F.from_json("doc", WEBHOOK).alias("o"))
     listed = F.concat(*[F.coalesce(x, F.array().cast(f"array<{_ALERT}>")) for x in (F.col("o.alerts"), F.col("o.data.alerts"), F.flatten(F.flatten(F.transform(F.col("o.data.groups"), lambda g: F.transform(g["rules"], lambda r: r["alerts"])))))])
     a = o.select("incident_id", "first_line", "doc", _map("o.groupLabels").alias("gl"), _map("o.commonLabels").alias("cl"), _map("o.commonAnnotations").alias("ca"), F.explode(listed).alias("a"))
     a = a.select("incident_id", _located(F.col("a.labels"), F.coalesce("a.startsAt", "a.activeAt"), F.col("a.fingerprint")).alias("source_line"), overlaid(F.col("gl"), F.col("cl"), _map("a.labels")).alias("labels"), overlaid(F.col("ca"), _map("a.annotations")).alias("annotations"), F.coalesce("a.startsAt", "a.activeAt").alias("starts"), F.col("a.endsAt").alias("ends"), F.lower(F.coalesce("a.status", "a.state", F.lit("firing"))).alias("state"), F.col("a.value").try_cast("double").alias("value"))
-    first = _rows(a.filter("state <> 'inactive'"), F.when(F.col("state") == "active", "firing").otherwise(F.col("state")), F.col("value"))
+    first = _told(a.filter("state <> 'inactive'"), F.when(F.col("state") == "active", "firing").otherwise(F.col("state")), F.col("value"))
     api = docs.filter(F.col("doc").rlike(r"^\s*\[")).select("incident_id", "first_line", "doc", F.explode(F.from_json("doc", _API)).alias("a")).filter("a.labels is not null")
     api = api.select("incident_id", _located(F.col("a.labels"), F.col("a.startsAt"), F.col("a.fingerprint")).alias("source_line"), _map("a.labels").alias("labels"), _map("a.annotations").alias("annotations"), F.col("a.startsAt").alias("starts"), F.col("a.endsAt").alias("ends"), F.lower(F.coalesce("a.status.state", F.lit("firing"))).alias("state"))
-    return first.unionByName(_rows(api, F.when(F.col("state") == "suppressed", "silenced").when(F.col("state") == "active", "firing").otherwise(F.col("state")), F.lit(None).cast("double")))
+    return first.unionByName(_told(api, F.when(F.col("state") == "suppressed", "silenced").when(F.col("state") == "active", "firing").otherwise(F.col("state")), F.lit(None).cast("double")))
 
 
+@reader(_rows)
 def text_alerts(panes: DataFrame) -> DataFrame:
     """Of (incident_id, text): "[FIRING:n] Name ...", "stamp FIRING severity Name k=v ...", 'ALERT Name{k="v"}' and alertname= lines."""
     rows = split_lines(panes, "incident_id", "text")
@@ -98,7 +108,7 @@ def text_alerts(panes: DataFrame) -> DataFrame:
     m = m.withColumns({"name": name, "state": state}).filter("name is not null")
     m = m.select("incident_id", F.col("line_no").cast("int").alias("source_line"), overlaid(F.col("m"), extra).alias("labels"), _map(F.lit(None).cast("map<string,string>")).alias("annotations"), line.alias("starts"), F.lit(None).cast("string").alias("ends"), "state")
     m = with_bodies(m, body_labels(panes))
-    return _rows(m, F.col("state"), F.lit(None).cast("double"))
+    return _told(m, F.col("state"), F.lit(None).cast("double"))
 
 
 _DATE = r"\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:\s?(?:[A-Z]{2,5}|[+-]\d{2}:?\d{2}|Z))?"
@@ -109,6 +119,7 @@ ANNOTATIONS = "summary description message runbook_url runbook dashboard title".
 LABEL = r"([A-Za-z_][\w]*)=\"((?:[^\"\\]|\\.)*)\""
 
 
+@reader(_rows)
 def tool_alerts(panes: DataFrame) -> DataFrame:
     """Of (incident_id, text): the simple and the extended table of the alert manager's command line tool."""
     rows = split_lines(panes, "incident_id", "text")
@@ -125,7 +136,7 @@ def tool_alerts(panes: DataFrame) -> DataFrame:
     stamp = lambda c: F.regexp_replace(c, r"\s(?:UTC|GMT)$", "Z")
     state = F.lower(part(4, 5))
     a = rows.filter(wide | simple).select("incident_id", F.col("line_no").cast("int").alias("source_line"), labels.alias("labels"), notes.alias("annotations"), stamp(part(2, 2)).alias("starts"), F.when(wide & (state == "resolved"), stamp(F.regexp_extract(line, TOOL_WIDE, 3))).alias("ends"), state.alias("state"))
-    return _rows(a.filter(F.col("labels")["alertname"].isNotNull()), F.when(F.col("state").isin("resolved", "pending"), F.col("state")).when(F.col("state") == "suppressed", "silenced").otherwise("firing"), F.lit(None).cast("double"))
+    return _told(a.filter(F.col("labels")["alertname"].isNotNull()), F.when(F.col("state").isin("resolved", "pending"), F.col("state")).when(F.col("state") == "suppressed", "silenced").otherwise("firing"), F.lit(None).cast("double"))
 
 
 SECTION = r"(?i)^\s*\*?(Labels|Annotations|Details|Alert details)\*?\s*:\s*$"
@@ -160,4 +171,4 @@ def with_bodies(rows: DataFrame, bodies: DataFrame) -> DataFrame:
 def read_alerts(panes: DataFrame) -> DataFrame:
     """All alerts of panes."""
     docs = json_segments(panes).withColumn("doc", repaired_json("doc"))
-    return json_alerts(docs).unionByName(text_alerts(panes)).unionByName(tool_alerts(panes))
+    return _rows(json_alerts.told(docs).unionByName(text_alerts.told(panes)).unionByName(tool_alerts.told(panes)))

@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
 
 
+def reader(finish: Callable[[DataFrame], DataFrame]) -> Callable:
+    """A reader that finishes what it is told. What it is told stays at hand as .told, so that a union of readers is finished once."""
+
+    def of(told: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+        @wraps(told)
+        def finished(rows: DataFrame) -> DataFrame:
+            return finish(told(rows))
+
+        finished.told = told
+        return finished
+
+    return of
+
+
 def pane_lines(text: Column) -> Column:
     """The cleaned lines of a text; one empty line at the end is dropped, null text has none."""
     parts = F.split(clean_text(text), "\r\n|\r|\n")

@@ -7,6 +7,8 @@ earlier ones (cluster, namespace, table header, time) is carried by windows over
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,10 +16,13 @@ from ..functions import vocabulary as V
 from ..functions.names import component_id, component_type, norm, pod_owner, replica_set_owner, target_in
 from ..functions.text import bound, classify, computed, first_of, level_in, level_of, logfmt, redact, with_floor
 from ..functions.times import MONTHS, age_ms, duration_ms, leading_stamp
-from ..session import cut
-from .lines import split_lines
+from ..session import cut, spread
+from .lines import reader, split_lines
 from .traces import json_segments, line_of, repaired_json
 
+#: What read_logs gives.
+SIGNALS = "incident_id string, source string, source_line int, ts_ms bigint, age_ms bigint, kind string, severity string, component string, name string, namespace string, cluster string, text string, trace_id string, target string, pod string"
+
 MARKERS = [r"^\s*#\s*cluster:\s*(\S+)", r"^\s*-{3}\s*cluster=(\S+?)\s*-{3}", r"^\s*\[context:\s*([^\]\s]+)\s*\]"]
 ECHO = r"^\s*(?:[$#>]\s*)?(?:kubectl|k|oc|helm|stern|kubectx)\s+\S"
 #: Header columns that tell a table.
@@ -59,7 +64,7 @@ def structured(body: Column) -> Column:
 
 def contexts(panes: DataFrame) -> DataFrame:
     """Lines with cluster, namespace and table that hold for them, and whether the line is itself a marker, an echo or a header."""
-    rows = split_lines(panes, "incident_id", "text")
+    rows = spread(split_lines(panes, "incident_id", "text"), "incident_id")
     line = F.col("line")
     marker = first_of([(line.rlike(p), F.regexp_extract(line, p, 1)) for p in MARKERS])
     echo = line.rlike(ECHO)
@@ -75,19 +80,28 @@ def contexts(panes: DataFrame) -> DataFrame:
     return rows.select("incident_id", "line_no", "line", (F.col("is_echo") | F.col("marker").isNotNull() | header.isNotNull()).alias("control"), last("said_cluster", order).alias("cluster"), last("said_ns", inside).alias("namespace"), last("header", inside).alias("table_kind"))
 
 
+EXTRA = ["trace_id", "target", "pod"]
+
+
 def _of(rows: DataFrame, kind: Column, level: Column, name: Column, ns: Column, text: Column, ts: Column, age: Column, ctype: Column | None = None, **more: Column) -> DataFrame:
-    """Signals of rows. What is used more than once becomes a column first, which keeps the expressions small."""
+    """What rows tell, for _signals. What is used more than once becomes a column first, which keeps the expressions small."""
     none = F.lit(None).cast("string")
-    extra = {k: more.get(k, none) for k in ("trace_id", "target", "pod")}
-    r = rows.withColumns({"_kind": kind, "_level": level, "_name": name, "_ns": F.coalesce(ns, F.col("namespace")), "_type": none if ctype is None else ctype, "_ts": ts.cast("long"), "_age": age.cast("long"), "_text": text} | {f"_{k}": c for k, c in extra.items()})
+    extra = {k: more.get(k, none) for k in EXTRA}
+    told = {"_kind": kind, "_level": level, "_name": name, "_ns": F.coalesce(ns, F.col("namespace")), "_type": none if ctype is None else ctype, "_ts": ts.cast("long"), "_age": age.cast("long"), "_text": text} | {f"_{k}": c for k, c in extra.items()}
+    return rows.select("incident_id", F.col("line_no").cast("int").alias("line_no"), "cluster", *[c.alias(k) for k, c in told.items()])
+
+
+def _signals(r: DataFrame) -> DataFrame:
+    """Signals of what rows tell."""
     r = r.withColumn("_type", F.coalesce("_type", component_type(F.col("_name"))["type"]))
     return r.select(
         "incident_id", F.lit("logs").alias("source"), F.col("line_no").alias("source_line"), F.col("_ts").alias("ts_ms"), F.col("_age").alias("age_ms"), F.col("_kind").alias("kind"), with_floor(F.col("_kind"), F.col("_level")).alias("severity"),
         component_id(F.col("_type"), F.col("cluster"), F.col("_ns"), F.col("_name")).alias("component"), F.col("_name").alias("name"), F.col("_ns").alias("namespace"), F.coalesce("cluster", F.lit("cluster-1")).alias("cluster"), F.substring(redact(F.col("_text")), 1, 400).alias("text"),
-        *[F.col(f"_{k}").alias(k) for k in extra],
+        *[F.col(f"_{k}").alias(k) for k in EXTRA],
     )
 
 
+@reader(_signals)
 def event_rows(rows: DataFrame) -> DataFrame:
     """Rows of an events table: the "over" age is the onset, the object names the workload."""
     pattern = EVENT_ROW
@@ -104,6 +118,7 @@ def event_rows(rows: DataFrame) -> DataFrame:
     return out
 
 
+@reader(_signals)
 def pod_rows(rows: DataFrame) -> DataFrame:
     """Rows of a pods table: the status tells the kind; running but unready is a failed probe; restarts are restarts."""
     line = F.col("line")
@@ -118,12 +133,14 @@ def pod_rows(rows: DataFrame) -> DataFrame:
     return _of(p.withColumn("k", computed(kind)), F.col("k"), level, pod_owner(part(2))["workload"], F.when(part(1) != "", part(1)), line, F.lit(None).cast("long"), age, pod=part(2))
 
 
+@reader(_signals)
 def node_rows(rows: DataFrame) -> DataFrame:
     line = F.col("line")
     n = rows.filter((F.col("table_kind") == "nodes") & ~F.col("control") & line.rlike(NODE_ROW) & F.regexp_extract(line, NODE_ROW, 2).rlike("NotReady|Unknown"))
     return _of(n, F.lit("node_not_ready"), F.lit("error"), F.regexp_extract(line, NODE_ROW, 1), F.lit(None).cast("string"), line, F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit("node"))
 
 
+@reader(_signals)
 def hpa_rows(rows: DataFrame) -> DataFrame:
     """Autoscalers at their maximum, as a signal of the workload that they scale."""
     line = F.col("line")
@@ -137,6 +154,7 @@ CONTAINER = r"^  ([a-z0-9][a-z0-9-]*):\s*\z"
 RFC_1123 = r"^\w{3}, (\d{1,2}) (\w{3}) (\d{4}) (\d{2}:\d{2}:\d{2}) ([+-]\d{4})"
 
 
+@reader(_signals)
 def describe_rows(rows: DataFrame) -> DataFrame:
     """Pod descriptions: one row per container and state that tells of a failure.
 
@@ -172,6 +190,7 @@ def describe_rows(rows: DataFrame) -> DataFrame:
 DESCRIBED_EVENT = r"^\s+(Normal|Warning)\s+(\S+)\s+(\S+(?: \(x\d+ over \S+\))?)\s+(\S+)\s+(.*)\z"
 
 
+@reader(_signals)
 def described_events(rows: DataFrame) -> DataFrame:
     """The events under a pod description: type, reason, age, origin and message; the "over" age is the onset."""
     line = F.col("line")
@@ -194,9 +213,17 @@ _EVENT = f"struct<kind:string,involvedObject:{_OBJECT},regarding:{_OBJECT},reaso
 _EVENTS = f"struct<kind:string,items:array<{_EVENT}>>"
 
 
+def documents(panes: DataFrame) -> DataFrame:
+    return json_segments(panes).withColumn("doc", repaired_json("doc"))
+
+
 def event_documents(panes: DataFrame) -> DataFrame:
     """Events as JSON: a list, an array or one event, of either API version; the first time is the onset."""
-    docs = json_segments(panes).withColumn("doc", repaired_json("doc"))
+    return _events_in(documents(panes))
+
+
+@reader(_signals)
+def _events_in(docs: DataFrame) -> DataFrame:
     many, one = F.from_json("doc", _EVENTS)["items"], F.from_json("doc", _EVENT)
     array = F.from_json("doc", f"array<{_EVENT}>")
     listed = F.when(F.col("doc").rlike(r"^\s*\["), array).otherwise(F.coalesce(many, F.array(one)))
@@ -221,9 +248,10 @@ POD_PREFIX = r"^\[pod/([^/\]]+)/([^\]]+)\]\s*"
 STERN = r"^(?:([a-z0-9-]+)\s+)?([a-z0-9][a-z0-9-]*-[a-z0-9]{5}|[a-z0-9][a-z0-9-]*-\d{1,3})\s+([a-z0-9-]+)\s+(?=\[?\d{4}-|\{|[A-Z]{4,5}\b)"
 
 
+@reader(_signals)
 def application_rows(rows: DataFrame) -> DataFrame:
     """Application lines: prefixes name the pod, structured bodies the rest; unstamped lines take the time of the one before."""
-    lines = rows.filter(~F.col("control") & (F.coalesce("table_kind", F.lit("none")) == "none") & (F.trim("line") != "") & ~F.col("line").rlike(DESCRIBE_KEY))
+    lines = spread(rows.filter(~F.col("control") & (F.coalesce("table_kind", F.lit("none")) == "none") & (F.trim("line") != "") & ~F.col("line").rlike(DESCRIBE_KEY)), "incident_id")
     line = F.col("line")
     prefixed, stern = line.rlike(POD_PREFIX), line.rlike(STERN)
     some = lambda c: F.when(c != "", c)
@@ -261,12 +289,20 @@ def request_counts(rows: DataFrame) -> DataFrame:
 
 
 def read_logs(panes: DataFrame) -> DataFrame:
-    """All signals of log panes; ages are left as ages until the clock is known."""
-    rows = cut(contexts(panes))  # six readers share it
-    out = application_rows(rows)
-    for part in (event_rows(rows), pod_rows(rows), node_rows(rows), hpa_rows(rows), describe_rows(rows), described_events(rows), event_documents(panes)):
-        out = out.unionByName(part)
-    return out
+    """All signals of log panes; ages are left as ages until the clock is known.
+
+    The readers of tables, descriptions and documents take part where a line calls for them.
+    """
+    rows = cut(contexts(panes))  # seven readers share it
+    docs = cut(documents(panes))
+    there = rows.agg(F.collect_set("table_kind").alias("tables"), F.coalesce(F.bool_or(F.col("line").startswith("Name:")), F.lit(False)).alias("described")).first()
+    tables = {"events": event_rows, "pods": pod_rows, "nodes": node_rows, "hpa": hpa_rows}
+    parts = [application_rows.told(rows), *[f.told(rows) for k, f in tables.items() if k in there.tables]]
+    if there.described:
+        parts += [describe_rows.told(rows), described_events.told(rows)]
+    if docs.count():
+        parts.append(_events_in.told(docs))
+    return _signals(spread(reduce(lambda a, b: a.unionByName(b), parts), "incident_id", "line_no"))
 
 
 def latency_ms(body: Column) -> Column:

@@ -13,6 +13,10 @@ from .lines import pane_lines, split_lines
 from .manifests import block_records
 from .traces import json_segments, repaired_json
 
+#: What deploys and changes give.
+DEPLOYS = "incident_id string, release_id string, revision bigint, previous bigint, deployed_ms bigint, rolled_back_ms bigint, chart string, app_version string, assumed boolean"
+CHANGES = "id string, incident_id string, namespace string, resource string, kind string, field string, before string, after string, category string, risk string, direction string"
+
 HISTORY_ROW = r"^\s*(\d+)\s+(\d{4}-\S+(?: [\d:.]+(?: \S+)*?)?|\S.*?\d{4})\s+(superseded|deployed|failed|pending-\w+|uninstalled|uninstalling|unknown)\s+(\S+)\s+(\S+)\s+(.*)\z"
 HISTORY = "array<struct<revision:bigint,updated:string,status:string,chart:string,app_version:string,description:string>>"
 LISTED = "array<struct<name:string,namespace:string,revision:string,updated:string,status:string,chart:string,app_version:string>>"

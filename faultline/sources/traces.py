@@ -16,10 +16,14 @@ from pyspark.sql import types as T
 
 from ..functions.text import clean_text, computed, logfmt
 from ..functions.times import duration_ms, leading_stamp
+from ..session import cut
 from .lines import pane_lines, split_lines
 
 COLUMNS = ["incident_id", "trace_id", "span_id", "parent_id", "service", "op", "kind", "start_ms", "dur_ms", "error", "http_status", "db", "peer", "cluster", "namespace", "pod", "source_line", "format"]
 
+#: What read_spans gives.
+SPANS = "incident_id string, trace_id string, span_id string, parent_id string, service string, op string, kind string, start_ms double, dur_ms double, error boolean, http_status int, db string, peer string, cluster string, namespace string, pod string, source_line int, format string"
+
 _VALUE = "struct<stringValue:string,intValue:string,boolValue:boolean,doubleValue:double>"
 _ATTRIBUTES = f"array<struct<key:string,value:{_VALUE}>>"
 _OTLP_SPAN = f"struct<traceId:string,spanId:string,parentSpanId:string,name:string,kind:string,startTimeUnixNano:string,endTimeUnixNano:string,status:struct<code:string,message:string>,attributes:{_ATTRIBUTES}>"
@@ -226,6 +230,8 @@ def located(spans: DataFrame, docs: DataFrame) -> DataFrame:
 
 def read_spans(panes: DataFrame) -> DataFrame:
     """All spans of panes, whatever their formats; a document that fits none gives no rows."""
-    docs = json_segments(panes).withColumn("doc", repaired_json("doc"))
-    out = located(otlp_spans(docs).unionByName(jaeger_spans(docs)).unionByName(zipkin_spans(docs)), docs).unionByName(text_spans(panes).withColumn("source_line", F.col("source_line").cast("int")))
+    out = text_spans(panes).withColumn("source_line", F.col("source_line").cast("int"))
+    docs = cut(json_segments(panes).withColumn("doc", repaired_json("doc")))  # four readers share it
+    if docs.count():
+        out = located(otlp_spans(docs).unionByName(jaeger_spans(docs)).unionByName(zipkin_spans(docs)), docs).unionByName(out)
     return out.filter("trace_id is not null and span_id is not null")

@@ -6,7 +6,8 @@ from faultline.functions import text
 from faultline.functions import vocabulary as V
 from faultline.operators import correlate, lookup, orders
 from faultline.plans import catalog_readers
-from faultline.sources import lines, logs, manifests, releases, traces
+from faultline.plans.analyze import analyze
+from faultline.sources import alerts, lines, logs, manifests, releases, traces
 from faultline.sources.adapters import LOG_TEXTS
 
 
@@ -99,3 +100,24 @@ def test_panes_are_spread_over_the_cores(spark):
     rows = spark.range(5000).select(F.col("id").alias("seq"))
     panes = catalog_readers.pane(rows, F.col("seq").cast("string"))
     assert panes.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism and panes.count() == 25
+
+
+def test_an_analysis_makes_its_panes_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string", useArrow=False)
+    def text_of(t):
+        made.add(1)
+        return t
+
+    text_of = text_of.asNondeterministic()
+    rows = [("i", "logs", "2025-10-09T08:53:20Z service=cart level=error msg=\"OOMKilled\""), ("i", "traces", "2025-10-09T08:53:20Z trace=1 span=1 parent=- service=cart kind=server op=x dur=3ms status=ok")]
+    panes = spark.createDataFrame(rows, "incident_id string, source string, text string").withColumn("text", text_of("text"))
+    got = analyze(panes)["hypotheses"].collect()
+    assert made.value == 2 and [(r.category, r.rank) for r in got] == [("resource-limits", 1)]
+
+
+def test_columns_of_absent_sources_are_those_of_their_readers(spark):
+    panes = spark.createDataFrame([("i", "x")], "incident_id string, text string")
+    for reader, columns in ((traces.read_spans, traces.SPANS), (alerts.read_alerts, alerts.ALERTS), (logs.read_logs, logs.SIGNALS), (releases.deploys, releases.DEPLOYS), (releases.changes, releases.CHANGES)):
+        assert ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in reader(panes).schema) == columns

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..functions.names import norm, pod_owner
-from ..functions.text import alert_kind, alert_severity, first_of, logfmt
+from ..functions.text import alert_kind, alert_severity, bound, computed, first_of, logfmt
 from ..functions.times import leading_stamp, window_minutes
-from .lines import reader, split_lines
+from .lines import pane_lines, reader, split_lines
 from .traces import json_segments, line_of, repaired_json
 
 #: What read_alerts gives.
@@ -97,7 +97,7 @@ def json_alerts(docs: DataFrame) -> DataFrame:
 @reader(_rows)
 def text_alerts(panes: DataFrame) -> DataFrame:
     """Of (incident_id, text): "[FIRING:n] Name ...", "stamp FIRING severity Name k=v ...", 'ALERT Name{k="v"}' and alertname= lines."""
-    rows = split_lines(panes, "incident_id", "text")
+    rows = bodied_lines(panes)
     line = F.col("line")
     subject, stamped, rule = r"^\s*\[(FIRING|RESOLVED)(?::\d+)?\]\s+(\S+)", r"\b(FIRING|RESOLVED|PENDING)\s+(\w+)\s+([A-Z]\w+)", r"^\s*ALERT\s+(\w+)\s*\{([^}]*)\}"
     m = rows.withColumn("m", logfmt(F.regexp_replace(line, "[{},]", " ")))
@@ -106,8 +106,8 @@ def text_alerts(panes: DataFrame) -> DataFrame:
     severity = F.when(line.rlike(stamped), F.lower(F.regexp_extract(line, stamped, 2)))
     extra = F.map_filter(F.create_map(F.lit("alertname"), F.col("name"), F.lit("severity"), F.coalesce(severity, F.col("m")["severity"])), lambda k, v: v.isNotNull())
     m = m.withColumns({"name": name, "state": state}).filter("name is not null")
-    m = m.select("incident_id", F.col("line_no").cast("int").alias("source_line"), overlaid(F.col("m"), extra).alias("labels"), _map(F.lit(None).cast("map<string,string>")).alias("annotations"), line.alias("starts"), F.lit(None).cast("string").alias("ends"), "state")
-    m = with_bodies(m, body_labels(panes))
+    m = m.select("incident_id", F.col("line_no").cast("int").alias("source_line"), overlaid(F.col("m"), extra).alias("labels"), _map(F.lit(None).cast("map<string,string>")).alias("annotations"), line.alias("starts"), F.lit(None).cast("string").alias("ends"), "state", "body")
+    m = with_bodies(m)
     return _told(m, F.col("state"), F.lit(None).cast("double"))
 
 
@@ -143,29 +143,44 @@ SECTION = r"(?i)^\s*\*?(Labels|Annotations|Details|Alert details)\*?\s*:\s*$"
 BULLET = r"^\s*(?:[-•*·]\s*)?\*?([A-Za-z_][\w.]*)\*?\s*(?:=|:)\s*(.+?)\s*$"
 
 
-def body_labels(panes: DataFrame) -> DataFrame:
-    """Of (incident_id, text): (incident_id, alert_line, labels, annotations), the bullets under "Labels:", "Annotations:" and "Details:" of the alert above them."""
-    rows = split_lines(panes, "incident_id", "text")
-    line = F.col("line")
-    w = Window.partitionBy("incident_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    head = line.rlike(r"^\s*\[(?:FIRING|RESOLVED)(?::\d+)?\]\s+\S") | line.rlike(r"\b(?:FIRING|RESOLVED|PENDING)\s+\w+\s+[A-Z]\w+")
-    rows = rows.withColumn("alert_line", F.last(F.when(head, F.col("line_no")), ignorenulls=True).over(w)).filter("alert_line is not null")
-    inside = Window.partitionBy("incident_id", "alert_line").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    section = F.last(F.when(line.rlike(SECTION), F.lower(F.regexp_extract(line, SECTION, 1))), ignorenulls=True).over(inside)
-    b = rows.withColumn("section", section).filter(F.col("section").isNotNull() & line.rlike(BULLET) & ~line.rlike(SECTION))
-    key, value = F.regexp_extract(line, BULLET, 1), F.regexp_replace(F.regexp_extract(line, BULLET, 2), "^[\"']|[\"']$", "")
-    note = (F.col("section") == "annotations") | ((F.col("section") != "labels") & F.lower(key).isin(*ANNOTATIONS, "alert"))
-    b = b.select("incident_id", "alert_line", F.when(note, F.lower(key)).otherwise(key).alias("key"), value.alias("value"), note.alias("note"), "line_no")
-    once = b.groupBy("incident_id", "alert_line", "note", "key").agg(F.max_by("value", "line_no").alias("value"))
-    of = lambda c: F.map_from_entries(F.collect_list(F.when(c, F.struct("key", "value"))))
-    return once.groupBy("incident_id", "alert_line").agg(of(~F.col("note")).alias("labels"), of(F.col("note")).alias("annotations"))
-
-
-def with_bodies(rows: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Text alerts (incident_id, source_line, labels, annotations and others) with what their bodies state in place of what the subject could only guess."""
-    b = bodies.select("incident_id", F.col("alert_line").cast("int").alias("source_line"), F.col("labels").alias("stated"), F.col("annotations").alias("noted"))
-    out = rows.join(b, ["incident_id", "source_line"], "left")
-    return out.withColumns({"labels": overlaid(_map("labels"), _map("stated")), "annotations": overlaid(_map("annotations"), _map("noted"))}).drop("stated", "noted")
+HEADS = [r"^\s*\[(?:FIRING|RESOLVED)(?::\d+)?\]\s+\S", r"\b(?:FIRING|RESOLVED|PENDING)\s+\w+\s+[A-Z]\w+"]
+
+
+def bodied_lines(panes: DataFrame) -> DataFrame:
+    """(incident_id, line_no, line, body): the lines of panes; one that begins an alert has the lines up to the next one as its body. A pane is cut in its own row."""
+    numbered = F.transform(pane_lines(F.col("text")), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line"), (x.rlike(HEADS[0]) | x.rlike(HEADS[1])).alias("head")))
+    p = panes.select("incident_id", computed(numbered).alias("all"))
+    p = p.select("incident_id", "all", computed(F.transform(F.filter("all", lambda x: x["head"]), lambda x: x["line_no"])).alias("heads"))
+    end = lambda i: F.coalesce(F.get("heads", i + 1), F.size("all") + 1)
+    body = lambda at, i: F.transform(F.slice("all", at + 1, end(i) - at - 1), lambda x: x["line"])
+    begun = F.transform("heads", lambda at, i: F.struct(at.alias("line_no"), F.get("all", at - 1)["line"].alias("line"), body(at, i).alias("body")))
+    others = F.transform(F.filter("all", lambda x: ~x["head"]), lambda x: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line"), F.array().cast("array<string>").alias("body")))
+    return p.select("incident_id", F.explode(F.concat(begun, others)).alias("x")).select("incident_id", "x.*")
+
+
+def _lasts(entries: Column) -> Column:
+    """Map of (key, value) entries; of a repeated key the last."""
+    firsts = lambda back, keys: F.filter(back, lambda x, i: F.array_position(keys, x["key"]) == i + 1)
+    return bound(F.reverse(entries), lambda back: bound(F.transform(back, lambda x: x["key"]), lambda keys: F.map_from_entries(F.transform(firsts(back, keys), lambda x: F.struct(x["key"], x["value"])))))
+
+
+def with_bodies(rows: DataFrame) -> DataFrame:
+    """Text alerts (labels, annotations, body and others) with what the bullets under "Labels:", "Annotations:" and "Details:" of their bodies state in place of what the subject could only guess."""
+    r = rows.withColumn("sections", computed(F.filter(F.transform("body", lambda x, i: F.when(x.rlike(SECTION), i + 1)), lambda i: i.isNotNull())))
+
+    def bullets(at: Column, i: Column) -> Column:
+        section = F.lower(F.regexp_extract(F.get("body", at - 1), SECTION, 1))
+        under = F.slice("body", at + 1, F.coalesce(F.get("sections", i + 1), F.size("body") + 1) - at - 1)
+        return bound(section, lambda section: F.transform(F.filter(under, lambda x: x.rlike(BULLET)), lambda x: stated(section, x)))
+
+    def stated(section: Column, x: Column) -> Column:
+        key, value = F.regexp_extract(x, BULLET, 1), F.regexp_replace(F.regexp_extract(x, BULLET, 2), "^[\"']|[\"']$", "")
+        note = (section == "annotations") | ((section != "labels") & F.lower(key).isin(*ANNOTATIONS, "alert"))
+        return F.struct(F.when(note, F.lower(key)).otherwise(key).alias("key"), value.alias("value"), note.alias("note"))
+
+    r = r.withColumn("stated", computed(F.flatten(F.transform("sections", bullets))))
+    of = lambda note: _lasts(F.filter("stated", lambda x: x["note"] == note))
+    return r.withColumns({"labels": overlaid(_map("labels"), of(False)), "annotations": overlaid(_map("annotations"), of(True))}).drop("body", "sections", "stated")
 
 
 def read_alerts(panes: DataFrame) -> DataFrame:

@@ -121,3 +121,13 @@ def test_columns_of_absent_sources_are_those_of_their_readers(spark):
     panes = spark.createDataFrame([("i", "x")], "incident_id string, text string")
     for reader, columns in ((traces.read_spans, traces.SPANS), (alerts.read_alerts, alerts.ALERTS), (logs.read_logs, logs.SIGNALS), (releases.deploys, releases.DEPLOYS), (releases.changes, releases.CHANGES)):
         assert ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in reader(panes).schema) == columns
+
+
+def test_bodies_of_alerts_are_read_without_a_shuffle(spark):
+    pane = "Labels:\n - lost = x\n[FIRING:1] Hot guessed\n - early = x\nLabels:\n - service = a\n - service = \"b\"\nDetails:\n - Summary = s1\n - zone = z\n[RESOLVED] Cold guessed\nAnnotations:\n * summary: t\nALERT Bare{k=\"v\"}"
+    got = alerts.text_alerts(spark.createDataFrame([("i", pane), ("j", "nothing"), ("k", None)], "incident_id string, text string"))
+    assert "Exchange" not in plan(got) and "Window" not in plan(got)
+    hot, cold, bare = sorted(got.collect(), key=lambda r: r.source_line)
+    assert (hot.source_line, hot.name, hot.summary) == (3, "Hot", "s1") and hot.labels == {"alertname": "Hot", "service": "b", "zone": "z"}
+    assert (cold.source_line, cold.status, cold.summary) == (11, "resolved", "t") and cold.labels == {"alertname": "Cold"}
+    assert (bare.name, bare.summary, bare.labels) == ("Bare", None, {"alertname": "Bare", "k": "v"})

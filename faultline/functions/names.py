@@ -42,11 +42,14 @@ def replica_set_owner(name: Column) -> Column:
 
 def component_type(name: Column) -> Column:
     """Struct of type and role by name: infra, ingress service, datastore, else service."""
-    n = norm(name)
-    infra = n.rlike(V.CORE_DNS) | n.rlike(V.INFRA)
-    ingress = ~infra & n.rlike(V.INGRESS)
-    store = ~infra & ~ingress & n.rlike(V.DATASTORE) & ~n.rlike(V.NOT_DATASTORE)
-    return F.struct(F.when(infra, "infra").when(store, "datastore").otherwise("service").alias("type"), F.when(ingress, "ingress").alias("role"))
+    return type_of(norm(name))
+
+
+def type_of(n: Column) -> Column:
+    """component_type of a name that norm has been over."""
+    infra, ingress, store = n.rlike(V.CORE_DNS) | n.rlike(V.INFRA), n.rlike(V.INGRESS), n.rlike(V.DATASTORE) & ~n.rlike(V.NOT_DATASTORE)
+    type_ = F.when(infra, "infra").when(ingress, "service").when(store, "datastore").otherwise("service")
+    return F.struct(type_.alias("type"), F.when(~infra & ingress, "ingress").alias("role"))
 
 
 def component_id(kind: Column, cluster: Column, namespace: Column, name: Column) -> Column:

@@ -122,10 +122,30 @@ def logfmt(text: Column) -> Column:
     return bound(F.regexp_extract_all(text, F.lit(PAIR), F.lit(0)), lambda found: bound(F.transform(found, key), lambda keys: F.map_from_entries(F.transform(firsts(found, keys), entry))))
 
 
+def pairs_in(line: Column) -> Column:
+    """The k=v pairs of a line, each behind a line break, for value_in: a line holds no breaks of its own."""
+    return F.concat(F.lit("\n"), F.array_join(F.regexp_extract_all(line, F.lit(PAIR), F.lit(0)), "\n"))
+
+
+def has_key(pairs: Column, key: str) -> Column:
+    return pairs.contains(f"\n{key}=")
+
+
+def value_in(pairs: Column, key: str) -> Column:
+    """What logfmt's map has under the key, from pairs_in: of a repeated key the first, quotes taken off and escapes undone; null without it."""
+    mark = f"\n{key}="
+    begin = F.length(F.substring_index(pairs, mark, 1)) + len(mark) + 1
+    found = F.when(has_key(pairs, key), F.substring_index(pairs.substr(begin, F.length(pairs)), "\n", 1))
+    bare = F.regexp_replace(F.substring(found, F.lit(2), F.length(found) - 2), r"\\(.)", "$1")
+    return F.when(found.startswith('"'), bare).otherwise(found)
+
+
 def clean_text(text: Column) -> Column:
-    """Without byte-order mark and terminal colours, no-break spaces as spaces."""
-    bare = F.regexp_replace(text, "^\\x{FEFF}", "")
-    return F.translate(F.regexp_replace(bare, "\\x1b\\[[0-9;?]*[ -/]*[@-~]", ""), " ", " ")
+    """Without byte-order mark and terminal colours, no-break spaces as spaces. Patterns are tried where their first character is found."""
+    mark, escape = "\ufeff", "\x1b"
+    bare = F.when(text.startswith(mark), F.regexp_replace(text, "^\\x{FEFF}", "")).otherwise(text)
+    plain = lambda t: F.when(t.contains(escape), F.regexp_replace(t, "\\x1b\\[[0-9;?]*[ -/]*[@-~]", "")).otherwise(t)
+    return F.replace(bound(bare, plain), F.lit("\xa0"), F.lit(" "))
 
 
 # Parts of keys whose values are secrets, and values that are not secrets.

@@ -76,8 +76,8 @@ def leading_stamp(line: Column, year: int = 1970, default_offset: int = 0) -> Co
     #: The groups of a shape, from the stamp alone: the line behind it is not gone through.
     groups = lambda p, n: F.split(F.regexp_replace(F.regexp_extract(line, p, 0), p, "\x00".join(f"${i + 1}" for i in range(n))), "\x00")
     zone = F.trim(F.regexp_extract(line, LEAD_ISO, 3))
-    east = lambda z: F.when(z == "", default_offset).otherwise(offset_minutes(z)) * 60000
-    at_iso = bound(groups(LEAD_ISO, 3), lambda g: _utc_ms(F.translate(g[0], "/T", "- ")) + millis(g[1]) - bound(F.trim(g[2]), east))
+    east = lambda z: F.when(z == "", default_offset).when(z == "Z", 0).otherwise(offset_minutes(z)) * 60000
+    at_iso = bound(groups(LEAD_ISO, 3), lambda g: _utc_ms(F.replace(g[0], F.lit("/"), F.lit("-"))) + millis(g[1]) - bound(F.trim(g[2]), east))
 
     def of_syslog(g: Column) -> Column:
         month = reduce(lambda c, m: c.when(g[0] == m[1], f"{m[0]:02}"), enumerate(MONTHS, 1), F)

@@ -104,16 +104,11 @@ def read_release_lists(spark, sf_dir):
 
 @query("spans", sql="""s AS (SELECT trace_id, span_id, service, error, trace_id // 200 AS p, row_number() OVER (PARTITION BY trace_id // 200 ORDER BY trace_id, span_id) AS n FROM spans) SELECT 'inc-' || p AS incident_id, 't' || trace_id AS trace_id, 's' || trace_id || '-' || span_id AS span_id, service, error, (n + 1)::INT AS source_line FROM s""")
 def read_span_lines(spark, sf_dir):
-    from pyspark.sql import Window
-
-    s = spread(view(spark, sf_dir, "spans").withColumn("incident_id", F.concat(F.lit("inc-"), F.expr("cast(trace_id div 200 as string)"))), "incident_id")
-    s = s.withColumns({"n": F.row_number().over(Window.partitionBy("incident_id").orderBy("trace_id", "span_id")), "of": F.count("*").over(Window.partitionBy("incident_id"))})
+    s = view(spark, sf_dir, "spans").select(F.concat(F.lit("inc-"), F.expr("cast(trace_id div 200 as string)")).alias("incident_id"), "trace_id", "span_id", "service", "error")
     span = F.to_json(F.struct(F.concat(F.lit("t"), F.col("trace_id").cast("string")).alias("traceId"), F.concat(F.lit("s"), F.col("trace_id").cast("string"), F.lit("-"), F.col("span_id").cast("string")).alias("id"), F.struct(F.col("service").alias("serviceName")).alias("localEndpoint"), F.lit("op").alias("name"), F.lit(1000.0).alias("timestamp"), F.lit(5.0).alias("duration"), F.create_map(F.lit("error"), F.col("error").cast("string")).alias("tags")))
-    line = F.concat(span, F.when(F.col("n") < F.col("of"), ",").otherwise(""))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", line.alias("l")))), lambda x: x["l"]), "\n")
-    panes = s.groupBy("incident_id").agg(F.concat(F.lit("[\n"), text, F.lit("\n]")).alias("text"))
-    docs = traces.json_segments(panes)
-    return traces.located(traces.zipkin_spans(docs), docs).select("incident_id", "trace_id", "span_id", "service", "error", "source_line")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("trace_id", "span_id", span.alias("l")))), lambda x: x["l"]), ",\n")
+    panes = spread(s, "incident_id").groupBy("incident_id").agg(F.concat(F.lit("[\n"), text, F.lit("\n]")).alias("text"))
+    return traces.zipkin_spans(traces.span_documents(panes)).select("incident_id", "trace_id", "span_id", "service", "error", "source_line")
 
 
 @query("signals", sql=f"SELECT {INC} AS incident_id, 'A' || seq AS name, ({SECONDS})::BIGINT AS starts_ms, (2 * (seq % {PANE_ROWS}) + 2)::INT AS source_line FROM signals")

@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_text
+from ..functions.text import bound, clean_text
 
 
 def reader(finish: Callable[[DataFrame], DataFrame]) -> Callable:
@@ -27,9 +27,10 @@ def reader(finish: Callable[[DataFrame], DataFrame]) -> Callable:
 
 def pane_lines(text: Column) -> Column:
     """The cleaned lines of a text; one empty line at the end is dropped, null text has none."""
-    parts = F.split(clean_text(text), "\r\n|\r|\n")
-    last = F.size(parts)
-    return F.when((last > 1) & (F.element_at(parts, -1) == ""), F.slice(parts, 1, last - 1)).otherwise(parts)
+    parts = lambda t: F.when(t.contains("\r"), F.split(t, "\r\n|\r|\n")).otherwise(F.split(t, "\n"))
+    some = lambda p: F.when((F.size(p) > 1) & (F.element_at(p, -1) == ""), F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0)))).otherwise(p)
+    # Bound: a pane is cleaned and cut once, not by each of the names.
+    return bound(clean_text(text), lambda t: bound(parts(t), some))
 
 
 def split_lines(panes: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -1,20 +1,21 @@
 """Span documents to one relation: OTLP, Jaeger and Zipkin JSON, and one-span-per-line text.
 
 Readers take panes (incident_id, text). A pane may mix documents and lines:
-json_segments cuts the documents out, span_lines reads what is left.
+json_segments cuts the documents out, text_spans reads what is left.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from functools import lru_cache, reduce
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import clean_text, computed, logfmt
+from ..functions.text import clean_text, computed, has_key, pairs_in, value_in
 from ..functions.times import duration_ms, leading_stamp
 from ..session import cut
 from .lines import pane_lines, split_lines
@@ -26,12 +27,12 @@ SPANS = "incident_id string, trace_id string, span_id string, parent_id string,
 
 _VALUE = "struct<stringValue:string,intValue:string,boolValue:boolean,doubleValue:double>"
 _ATTRIBUTES = f"array<struct<key:string,value:{_VALUE}>>"
-_OTLP_SPAN = f"struct<traceId:string,spanId:string,parentSpanId:string,name:string,kind:string,startTimeUnixNano:string,endTimeUnixNano:string,status:struct<code:string,message:string>,attributes:{_ATTRIBUTES}>"
+_OTLP_SPAN = f"struct<traceId:string,spanId:string,`spanId@line`:int,parentSpanId:string,name:string,kind:string,startTimeUnixNano:string,endTimeUnixNano:string,status:struct<code:string,message:string>,attributes:{_ATTRIBUTES}>"
 _OTLP_RESOURCE = f"array<struct<resource:struct<attributes:{_ATTRIBUTES}>,scopeSpans:array<struct<spans:array<{_OTLP_SPAN}>>>,instrumentationLibrarySpans:array<struct<spans:array<{_OTLP_SPAN}>>>>>"
 OTLP = f"struct<resourceSpans:{_OTLP_RESOURCE},resource_spans:{_OTLP_RESOURCE},batches:{_OTLP_RESOURCE}>"
 _TAGS = "array<struct<key:string,value:string>>"
-JAEGER = f"struct<data:array<struct<traceID:string,spans:array<struct<traceID:string,spanID:string,operationName:string,references:array<struct<refType:string,spanID:string>>,startTime:double,duration:double,tags:{_TAGS},processID:string>>,processes:map<string,struct<serviceName:string,tags:{_TAGS}>>>>>"
-ZIPKIN = "array<struct<traceId:string,id:string,parentId:string,name:string,kind:string,timestamp:double,duration:double,localEndpoint:struct<serviceName:string>,remoteEndpoint:struct<serviceName:string,ipv4:string>,tags:map<string,string>>>"
+JAEGER = f"struct<data:array<struct<traceID:string,spans:array<struct<traceID:string,spanID:string,`spanID@line`:int,operationName:string,references:array<struct<refType:string,spanID:string>>,startTime:double,duration:double,tags:{_TAGS},processID:string>>,processes:map<string,struct<serviceName:string,tags:{_TAGS}>>>>>"
+ZIPKIN = "array<struct<traceId:string,id:string,`id@line`:int,parentId:string,name:string,kind:string,timestamp:double,duration:double,localEndpoint:struct<serviceName:string>,remoteEndpoint:struct<serviceName:string,ipv4:string>,tags:map<string,string>>>"
 
 
 # Fixed value: a line that can begin a document; "[FIRING:2]" and "[pod/x" can't.
@@ -41,10 +42,18 @@ _NO_BRACKET = re.compile(r'"(?:[^"\\]|\\.)*"?|[^"{}\[\]]+')
 _SEGMENTS = T.ArrayType(T.StructType([T.StructField("first_line", T.IntegerType()), T.StructField("doc", T.StringType())]))
 
 
+def _heights(brackets: str) -> tuple[int, float]:
+    heights = list(accumulate(1 if c in "{[" else -1 for c in brackets))
+    return (heights[-1], min(heights)) if heights else (0, math.inf)
+
+
+_short_heights = lru_cache(4096)(_heights)  # lines of a document are much alike
+
+
 def _levels(line: str) -> tuple[int, float]:
     """How far a line's brackets go up or down, and the lowest that they come."""
-    heights = list(accumulate(1 if c in "{[" else -1 for c in _NO_BRACKET.sub("", line)))
-    return (heights[-1], min(heights)) if heights else (0, math.inf)
+    brackets = _NO_BRACKET.sub("", line)
+    return _short_heights(brackets) if len(brackets) <= 64 else _heights(brackets)
 
 
 #: OPENS for any line of a text, in Java's words; it may hold for a text without such a line, but not the other way round.
@@ -52,8 +61,7 @@ _BLANK = r"[^\p{L}\p{N}\p{P}\p{S}]*"
 MAY_OPEN = rf"(?m)^{_BLANK}(?:\{{{_BLANK}(?:[\"}}]|$)|\[{_BLANK}(?:[\[{{\"\p{{Nd}}\]-]|true|false|null|$))"
 
 
-@F.udf(_SEGMENTS, useArrow=False)  # a batch is 100 panes, whereas an Arrow batch is 10,000 of any size
-def _segments(lines):
+def segments(lines):
     """The documents in the lines of a pane. A document ends with the line on which its brackets come back to the ground, or with the pane."""
     out, taken = [], 0
     for first in (i for i, line in enumerate(lines or []) if OPENS.match(line)):
@@ -70,12 +78,37 @@ def _segments(lines):
     return out
 
 
+_segments = F.udf(segments, _SEGMENTS, useArrow=False)  # a batch is 100 panes, whereas an Arrow batch is 10,000 of any size
+
+
 def json_segments(panes: DataFrame) -> DataFrame:
     """(incident_id, first_line, doc): the JSON documents in panes; text outside a document doesn't count for it."""
     found = panes.filter(clean_text(F.col("text")).rlike(MAY_OPEN)).select("incident_id", F.explode(_segments(pane_lines(F.col("text")))).alias("d"))
     return found.select("incident_id", "d.first_line", "d.doc")
 
 
+_DECLARES = re.compile(r'"(spanId|spanID|id)"\s*:\s*"([^"]+)"')
+
+
+@F.udf(_SEGMENTS, useArrow=False)
+def _span_documents(lines):
+    """The readable documents of a pane. Behind each id stands the first line of the pane that declares it, under the id's key and "@line"."""
+    found = [(first, doc) for first, text in segments(lines) if (doc := repaired(text)) is not None]
+    at: dict[str, int] = {}
+    for first, doc in found:
+        for i, line in enumerate(doc.split("\n")):
+            for _, span_id in _DECLARES.findall(line):
+                at.setdefault(span_id, first + i)
+    marked = lambda m: m[0] if "\\" in m[2] or m[2] not in at else f'{m[0]},"{m[1]}@line":{at[m[2]]}'
+    return [(first, _DECLARES.sub(marked, doc)) for first, doc in found]
+
+
+def span_documents(panes: DataFrame) -> DataFrame:
+    """json_segments for the readers of spans: cut-off documents are closed, unreadable ones left out, and ids bear their lines, so that spans need no join with the lines of their pane."""
+    found = panes.filter(clean_text(F.col("text")).rlike(MAY_OPEN)).select("incident_id", F.explode(_span_documents(pane_lines(F.col("text")))).alias("d"))
+    return found.select("incident_id", "d.first_line", "d.doc")
+
+
 def line_of(doc: Column, first_line: Column, value: Column) -> Column:
     """The pane's line on which a document first holds a quoted value; the document's first line if it doesn't."""
     before = F.call_function("substring_index", doc, F.concat(F.lit('"'), value, F.lit('"')), F.lit(1))
@@ -83,8 +116,7 @@ def line_of(doc: Column, first_line: Column, value: Column) -> Column:
     return F.when(doc.contains(F.concat(F.lit('"'), value, F.lit('"'))), first_line + lines).otherwise(first_line).cast("int")
 
 
-@F.udf(T.StringType(), useArrow=False)
-def repaired_json(text):
+def repaired(text):
     """A document that is cut off, closed after its last complete value; null for what is whole and malformed, or can't be read."""
     import json
 
@@ -117,6 +149,9 @@ def repaired_json(text):
     return None
 
 
+repaired_json = F.udf(repaired, T.StringType(), useArrow=False)
+
+
 def _attributes(pairs: Column) -> Column:
     """Map of keys to text values; of a repeated key the last."""
     text = F.transform(pairs, lambda a: F.struct(a["key"].alias("k"), F.coalesce(a["value"]["stringValue"], a["value"]["intValue"], a["value"]["boolValue"].cast("string"), a["value"]["doubleValue"].cast("string")).alias("v")))
@@ -178,7 +213,7 @@ def otlp_spans(docs: DataFrame) -> DataFrame:
     start, end = F.col("s.startTimeUnixNano").try_cast("decimal(20,0)"), F.col("s.endTimeUnixNano").try_cast("decimal(20,0)")
     none = F.lit(None).cast("string")
     rows = s.select("incident_id", F.col("s.traceId").alias("trace_id"), F.col("s.spanId").alias("span_id"), F.col("s.parentSpanId").alias("parent_id"), none.alias("service"), F.col("s.name").alias("op"), F.col("s.kind").alias("kind"),
-                    (start / 1000000).cast("double").alias("start_ms"), ((end - start) / 1000000).cast("double").alias("dur_ms"), F.col("s.status.code").alias("status_code"), none.alias("peer"), _attributes(F.col("s.attributes")).alias("a"), "r", F.col("first_line").alias("source_line"))
+                    (start / 1000000).cast("double").alias("start_ms"), ((end - start) / 1000000).cast("double").alias("dur_ms"), F.col("s.status.code").alias("status_code"), none.alias("peer"), _attributes(F.col("s.attributes")).alias("a"), "r", F.coalesce("s.`spanId@line`", "first_line").alias("source_line"))
     return _normalised(rows, "otlp")
 
 
@@ -191,7 +226,7 @@ def jaeger_spans(docs: DataFrame) -> DataFrame:
     parent = F.coalesce(F.get(F.filter(refs, lambda x: x["refType"] == "CHILD_OF"), F.lit(0))["spanID"], F.get(refs, F.lit(0))["spanID"])
     a = _tags(F.col("s.tags"))
     rows = s.select("incident_id", F.coalesce("s.traceID", "traceID").alias("trace_id"), F.col("s.spanID").alias("span_id"), parent.alias("parent_id"), process["serviceName"].alias("service"), F.col("s.operationName").alias("op"), F.lit(None).cast("string").alias("kind"),
-                    (F.col("s.startTime") / 1000).alias("start_ms"), (F.col("s.duration") / 1000).alias("dur_ms"), a["otel.status_code"].alias("status_code"), F.lit(None).cast("string").alias("peer"), a.alias("a"), _tags(process["tags"]).alias("r"), F.col("first_line").alias("source_line"))
+                    (F.col("s.startTime") / 1000).alias("start_ms"), (F.col("s.duration") / 1000).alias("dur_ms"), a["otel.status_code"].alias("status_code"), F.lit(None).cast("string").alias("peer"), a.alias("a"), _tags(process["tags"]).alias("r"), F.coalesce("s.`spanID@line`", "first_line").alias("source_line"))
     return _normalised(rows, "jaeger")
 
 
@@ -202,36 +237,27 @@ def zipkin_spans(docs: DataFrame) -> DataFrame:
     a = F.coalesce(F.col("s.tags"), empty)
     failed = F.when(F.coalesce(a["error"], F.lit("false")) != "false", "error")
     rows = s.select("incident_id", F.col("s.traceId").alias("trace_id"), F.col("s.id").alias("span_id"), F.col("s.parentId").alias("parent_id"), F.col("s.localEndpoint.serviceName").alias("service"), F.col("s.name").alias("op"), F.col("s.kind").alias("kind"),
-                    (F.col("s.timestamp") / 1000).alias("start_ms"), (F.col("s.duration") / 1000).alias("dur_ms"), failed.alias("status_code"), F.coalesce("s.remoteEndpoint.serviceName", "s.remoteEndpoint.ipv4").alias("peer"), a.alias("a"), empty.alias("r"), F.col("first_line").alias("source_line"))
+                    (F.col("s.timestamp") / 1000).alias("start_ms"), (F.col("s.duration") / 1000).alias("dur_ms"), failed.alias("status_code"), F.coalesce("s.remoteEndpoint.serviceName", "s.remoteEndpoint.ipv4").alias("peer"), a.alias("a"), empty.alias("r"), F.coalesce("s.`id@line`", "first_line").alias("source_line"))
     return _normalised(rows, "zipkin")
 
 
 def text_spans(panes: DataFrame) -> DataFrame:
     """Of (incident_id, text): lines with trace, span and service pairs."""
-    whole = lambda m: m["trace"].isNotNull() & m["span"].isNotNull() & m["service"].isNotNull()
-    m = split_lines(panes, "incident_id", "text").select("incident_id", F.col("line_no").alias("source_line"), "line", computed(logfmt(F.col("line")), whole).alias("m")).withColumn("t", leading_stamp(F.col("line")))
-    v = F.col("m")
+    whole = lambda p: reduce(lambda a, k: a & has_key(p, k), ["span", "service"], has_key(p, "trace"))
+    m = split_lines(panes, "incident_id", "text").select("incident_id", F.col("line_no").alias("source_line"), "line", computed(pairs_in(F.col("line")), whole).alias("m")).withColumn("t", leading_stamp(F.col("line")))
+    v = {k: value_in(F.col("m"), k) for k in ("trace", "span", "parent", "service", "op", "kind", "dur", "status", "code", "db", "error", "cluster", "ns", "namespace", "pod", "peer")}
     status = F.when(F.lower(F.coalesce(v["status"], F.lit(""))).isin("error", "err", "failed", "2"), "error")
-    a = F.map_filter(F.create_map(F.lit("http.status_code"), v["code"], F.lit("db.system"), v["db"], F.lit("error"), v["error"]), lambda k, x: x.isNotNull())
-    r = F.map_filter(F.create_map(F.lit("cluster"), v["cluster"], F.lit("k8s.namespace.name"), F.coalesce(v["ns"], v["namespace"]), F.lit("k8s.pod.name"), v["pod"]), lambda k, x: x.isNotNull())
+    a = F.create_map(F.lit("http.status_code"), v["code"], F.lit("db.system"), v["db"], F.lit("error"), v["error"])
+    r = F.create_map(F.lit("cluster"), v["cluster"], F.lit("k8s.namespace.name"), F.coalesce(v["ns"], v["namespace"]), F.lit("k8s.pod.name"), v["pod"])
     rows = m.select("incident_id", v["trace"].alias("trace_id"), v["span"].alias("span_id"), v["parent"].alias("parent_id"), v["service"].alias("service"), v["op"].alias("op"), v["kind"].alias("kind"),
                     F.col("t.ts_ms").cast("double").alias("start_ms"), duration_ms(v["dur"]).alias("dur_ms"), status.alias("status_code"), v["peer"].alias("peer"), a.alias("a"), r.alias("r"), "source_line")
     return _normalised(rows, "text")
 
 
-def located(spans: DataFrame, docs: DataFrame) -> DataFrame:
-    """spans with source_line the line that declares their id, where the documents have one; else their document's first line."""
-    lines = docs.select("incident_id", "first_line", F.posexplode(F.split("doc", "\n")).alias("pos", "line"))
-    ids = lines.select("incident_id", (F.col("first_line") + F.col("pos")).cast("int").alias("at"), F.explode(F.regexp_extract_all("line", F.lit(r'"(?:spanId|spanID|id)"\s*:\s*"([^"]+)"'), F.lit(1))).alias("span_id"))
-    first = ids.groupBy("incident_id", "span_id").agg(F.min("at").alias("declared"))
-    out = spans.join(first, ["incident_id", "span_id"], "left").withColumn("source_line", F.coalesce("declared", "source_line").cast("int"))
-    return out.select(*COLUMNS)
-
-
 def read_spans(panes: DataFrame) -> DataFrame:
     """All spans of panes, whatever their formats; a document that fits none gives no rows."""
     out = text_spans(panes).withColumn("source_line", F.col("source_line").cast("int"))
-    docs = cut(json_segments(panes).withColumn("doc", repaired_json("doc")))  # four readers share it
+    docs = cut(span_documents(panes))  # three readers share it
     if docs.count():
-        out = located(otlp_spans(docs).unionByName(jaeger_spans(docs)).unionByName(zipkin_spans(docs)), docs).unionByName(out)
+        out = otlp_spans(docs).unionByName(jaeger_spans(docs)).unionByName(zipkin_spans(docs)).unionByName(out)
     return out.filter("trace_id is not null and span_id is not null")

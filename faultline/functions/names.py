@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocabulary as V
-from .text import first_of
+from .text import required
 from .times import bound
 
 # Shapes of generated names: deployment, daemon set, stateful set, replica set; letters of generated suffixes, where a digit anywhere also tells.
@@ -95,10 +97,15 @@ CODE_FILES = r"(?i)\.(go|py|js|ts|java|kt|rb|rs|c|cc|cpp|h|php|scala|cs|swift)\z
 
 
 def target_in(text: Column) -> Column:
-    """host_parts of the first name in text that can be a dependency."""
-    found = [F.regexp_extract(text, p, 1) for p in TARGETS]
-    parts = [(x, host_parts(x)) for x in found]
-    return first_of([((x != "") & ~x.rlike(CODE_FILES) & h.isNotNull() & (F.length(h["name"]) > 1) & ~h["name"].isin(NO_TARGETS), h) for x, h in parts])
+    """host_parts of the first name in text that can be a dependency. A shape is looked for where one of its required texts is found; a name's parts are computed once."""
+
+    def named(t: Column) -> Column:
+        possible = [reduce(lambda a, x: a | x, [t["low"].contains(x) for x in required(p)], F.lit(not required(p))) for p in TARGETS]
+        found = F.array(*[F.when(c, F.regexp_extract(t["text"], p, 1)) for c, p in zip(possible, TARGETS, strict=True)])
+        hosts = F.transform(F.filter(found, lambda x: (x != "") & ~x.rlike(CODE_FILES)), host_parts)
+        return F.get(F.filter(hosts, lambda h: h.isNotNull() & (F.length(h["name"]) > 1) & ~h["name"].isin(NO_TARGETS)), F.lit(0))
+
+    return bound(F.struct(text.alias("text"), F.lower(text).alias("low")), named)
 
 
 def fnv_id(text: Column) -> Column:

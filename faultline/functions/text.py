@@ -123,7 +123,7 @@ def logfmt(text: Column) -> Column:
 
 
 def pairs_in(line: Column) -> Column:
-    """The k=v pairs of a line, each behind a line break, for value_in: a line holds no breaks of its own."""
+    """The k=v pairs of a line, each behind a line break, for written_in: a line holds no breaks of its own."""
     return F.concat(F.lit("\n"), F.array_join(F.regexp_extract_all(line, F.lit(PAIR), F.lit(0)), "\n"))
 
 
@@ -131,13 +131,17 @@ def has_key(pairs: Column, key: str) -> Column:
     return pairs.contains(f"\n{key}=")
 
 
-def value_in(pairs: Column, key: str) -> Column:
-    """What logfmt's map has under the key, from pairs_in: of a repeated key the first, quotes taken off and escapes undone; null without it."""
+def written_in(pairs: Column, key: str) -> Column:
+    """What stands behind the first pair of the key, from pairs_in; null without it."""
     mark = f"\n{key}="
     begin = F.length(F.substring_index(pairs, mark, 1)) + len(mark) + 1
-    found = F.when(has_key(pairs, key), F.substring_index(pairs.substr(begin, F.length(pairs)), "\n", 1))
-    bare = F.regexp_replace(F.substring(found, F.lit(2), F.length(found) - 2), r"\\(.)", "$1")
-    return F.when(found.startswith('"'), bare).otherwise(found)
+    return F.when(has_key(pairs, key), F.substring_index(pairs.substr(begin, F.length(pairs)), "\n", 1))
+
+
+def unquoted(value: Column) -> Column:
+    """A written value as logfmt's map has it: quotes taken off and escapes undone."""
+    bare = F.regexp_replace(F.substring(value, F.lit(2), F.length(value) - 2), r"\\(.)", "$1")
+    return F.when(value.startswith('"'), bare).otherwise(value)
 
 
 def clean_text(text: Column) -> Column:

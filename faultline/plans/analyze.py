@@ -73,10 +73,10 @@ def _release_homes(deploys: DataFrame, names: DataFrame) -> DataFrame:
     return out.withColumn("component", F.coalesce("home", _id("name", _null(), _null()))).drop("home")
 
 
-def _aliases(signals: DataFrame, span_rows: DataFrame, written: DataFrame) -> DataFrame:
+def _aliases(signals: DataFrame, places: DataFrame, written: DataFrame) -> DataFrame:
     """(incident_id, component, target): half-known components folded into known ones, in tiers."""
     said = signals.select(I, "component", "name", F.nullif(F.col("cluster"), F.lit(UNSTATED)).alias("cluster"), "namespace")
-    traced = span_rows.select(I, "component", "name", "cluster", "namespace")
+    traced = places.select(I, "component", "name", "cluster", "namespace")
     one = said.unionByName(traced).unionByName(written).filter("component is not null").groupBy(I, "component", "name").agg(F.max("cluster").alias("cluster"), F.max("namespace").alias("namespace"))
     e = one.select(keyed("component").alias("id"), keyed("name").alias("name"), parse_id(F.col("component"))["type"].alias("type"), "cluster", "namespace")
     moved = unkeyed(entities.reconciled_in_tiers(e), "id", "target")
@@ -90,6 +90,13 @@ def _moved(df: DataFrame, aliases: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
+def _with_patients(signals: DataFrame) -> DataFrame:
+    """signals with kernel kills on nodes given to the workload whose process was killed there, and moved_from."""
+    typed = signals.withColumns({"type": parse_id(F.col("component"))["type"], "cluster": keyed("cluster")})
+    work = signals.filter("component is not null").select(F.col("component").alias("id"), "name", keyed("cluster").alias("cluster"), parse_id(F.col("component"))["type"].alias("type")).distinct()
+    return correlate.reattributed(typed, work).withColumn("cluster", F.split("cluster", "\x1f")[1]).drop("type")
+
+
 def _with_targets(signals: DataFrame) -> DataFrame:
     """signals with target_id: the one component of the target's name in the cluster, else in the incident, else one of that name that nothing else shows."""
     known = signals.filter("component is not null").select(I, "name", "cluster", "component").distinct()
@@ -100,9 +107,9 @@ def _with_targets(signals: DataFrame) -> DataFrame:
     return rows.withColumn("target_id", F.nullif(F.coalesce("near", "far", other), F.col("component"))).drop("near", "far")
 
 
-def _call_edges(by_name: DataFrame, signals: DataFrame, span_rows: DataFrame, aliases: DataFrame) -> DataFrame:
+def _call_edges(by_name: DataFrame, signals: DataFrame, places: DataFrame, aliases: DataFrame) -> DataFrame:
     """Calls between component ids: traced ones (edge_health by name), and those that log lines name."""
-    own = _moved(span_rows.select(I, "name", "component").distinct(), aliases, "component")
+    own = _moved(places.select(I, "name", "component").distinct(), aliases, "component")
     homes = own.unionByName(signals.filter("component is not null").select(I, "name", "component")).groupBy(I, "name").agg(F.min("component").alias("home"))
     out = unkeyed(by_name, "from", "to")
     for end in ("from", "to"):
@@ -137,39 +144,43 @@ def analyze(panes: DataFrame, slo: float = 0.999, window_days: float = 30.0, onl
     panes = cut(panes)  # every reader begins with it
     of = lambda name: panes.filter(F.col("source") == name).select(I, "text")
     given = {r.source for r in panes.filter(F.col("source").isin(timeline.SOURCES)).select("source").distinct().collect()}
-    read = lambda name, reader, columns: cut(reader(of(name))) if name in given else _empty(panes, columns)
+    read = lambda name, reader, columns: reader(of(name)) if name in given else _empty(panes, columns)
     kept = lambda name, df: cut(df) if name in given else _empty(df, df.schema)
     span_rows = kept("traces", read("traces", traces.read_spans, traces.SPANS).withColumns({"name": norm(F.col("service")), "component": _id("service", F.col("cluster"), F.col("namespace"))}))
     named = span_rows.withColumns({"trace_id": keyed("trace_id"), "service": keyed("service"), "peer": F.when(F.col("peer").isNotNull(), keyed("peer")), "start_ms": F.col("start_ms").cast("long")})
     calls = kept("traces", spans.edge_health(spans.derived_edges(named)))
-    log = read("logs", logs.read_logs, logs.SIGNALS)
+    log = kept("logs", read("logs", logs.read_logs, logs.SIGNALS))
     alert_rows = kept("alerts", read("alerts", alerts.read_alerts, alerts.ALERTS).withColumn("component_id", _id("component", F.col("cluster"), F.col("namespace"))))
-    histories = read("helm", releases.deploys, releases.DEPLOYS)
+    histories = kept("helm", read("helm", releases.deploys, releases.DEPLOYS))
     # Who is there: names from all panes but releases, which stand in for the workload that they install.
-    heard, traced = log.select(I, "name", "component"), span_rows.select(I, "name", "component")
+    places = kept("traces", span_rows.select(I, "name", "component", "cluster", "namespace").distinct())  # spans are gone through once for all that asks who is there
+    heard, traced = log.select(I, "name", "component"), places.select(I, "name", "component")
     alerted = alert_rows.filter("component is not null").select(I, F.col("component").alias("name"), F.col("component_id").alias("component"))
-    raw_changes = read("helm", releases.changes, releases.CHANGES)
+    raw_changes = kept("helm", read("helm", releases.changes, releases.CHANGES))
     where = F.nullif(F.col("namespace"), F.lit(""))
     written = kept("helm", raw_changes.filter("resource <> ''").select(I, norm(F.col("resource")).alias("name"), _id("resource", _null(), where).alias("component"), _null().alias("cluster"), where.alias("namespace")))
     names = cut(heard.unionByName(traced).unionByName(alerted).unionByName(written.select(I, "name", "component")).filter("component is not null").distinct())
     deploys = kept("helm", _release_homes(histories, names))
     signals = cut(signals_of(log, span_rows, alert_rows, deploys))
-    aliases = cut(_aliases(signals, span_rows, written))
+    aliases = cut(_aliases(signals, places, written))
+    if aliases.isEmpty():
+        aliases = _empty(aliases, aliases.schema)
     deploys = kept("helm", _moved(deploys, aliases, "component"))
-    signals = cut(_moved(signals, aliases, "component"))
+    signals = _moved(signals, aliases, "component")
     # Kernel kills belong to the workload whose process was killed.
-    typed = signals.withColumns({"type": parse_id(F.col("component"))["type"], "cluster": keyed("cluster")})
-    work = signals.filter("component is not null").select(F.col("component").alias("id"), "name", keyed("cluster").alias("cluster"), parse_id(F.col("component"))["type"].alias("type")).distinct()
-    signals = cut(correlate.reattributed(typed, work).withColumn("cluster", F.split("cluster", "\x1f")[1]).drop("type"))
+    if signals.filter((F.col("kind") == "oom_killed") & (parse_id(F.col("component"))["type"] == "node")).isEmpty():
+        signals = signals.withColumn("moved_from", _null())
+    else:
+        signals = cut(_with_patients(cut(signals)))
     signals = cut(_with_targets(signals).withColumns({"cause": _null(), "ts_unknown": F.lit(False)}))
 
-    edges = cut(_call_edges(calls, signals, span_rows, aliases))
+    edges = cut(_call_edges(calls, signals, places, aliases))
     anomalies = signals.filter(is_anomaly(F.col("kind"), F.col("severity")))
     errors = anomalies.filter(rank(F.col("severity")) >= 2)
     onset = cut(timeline.onset(errors.filter("ts_ms is not null"), [I]))
     within = timeline.in_window(anomalies, onset, [I])
     types = within.withColumn("type", parse_id(F.col("component"))["type"])
-    gates = unkeyed(correlate.node_counts(types.filter("component is not null").withColumn("component", keyed("component"))), "component")
+    gates = cut(unkeyed(correlate.node_counts(types.filter("component is not null").withColumn("component", keyed("component"))), "component"))
     own = gates.filter("hard > 0").select(keyed("component").alias("component"))
     key_edges = edges.withColumns({"from": keyed("from"), "to": keyed("to")})
     failing = cut(unkeyed(graph.failing_set(key_edges, own), "component"))

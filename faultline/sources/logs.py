@@ -276,9 +276,9 @@ def application_rows(rows: DataFrame) -> DataFrame:
     r = r.filter(~F.coalesce(F.col("line").rlike(r"^\s+(?:at |\.\.\.|File )") & (F.col("k_above") == F.col("k")), F.lit(False)))
     podname = F.coalesce("f.pod", "pod0")
     named = F.when(F.col("f.service").isNotNull(), norm(F.col("f.service"))).when(podname.isNotNull(), pod_owner(podname)["workload"]).otherwise(F.lit("unknown"))
-    target = F.coalesce(target_in(F.col("said"))["name"], norm(F.col("f.upstream")))
+    target = bound(F.coalesce(target_in(F.col("said"))["name"], norm(F.col("f.upstream"))), lambda x: F.when(x != "", x))
     r = r.withColumn("cluster", F.coalesce("f.cluster", "cluster"))
-    return _of(r, F.col("k"), F.col("level"), named, F.coalesce("f.namespace", "ns0"), F.col("said"), F.col("ts"), F.lit(None).cast("long"), trace_id=F.col("f.trace"), target=F.when(target != "", target), pod=podname)
+    return _of(r, F.col("k"), F.col("level"), named, F.coalesce("f.namespace", "ns0"), F.col("said"), F.col("ts"), F.lit(None).cast("long"), trace_id=F.col("f.trace"), target=target, pod=podname)
 
 
 def request_counts(rows: DataFrame) -> DataFrame:

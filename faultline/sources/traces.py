@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import clean_text, computed, has_key, pairs_in, value_in
+from ..functions.text import clean_text, computed, has_key, pairs_in, unquoted, written_in
 from ..functions.times import duration_ms, leading_stamp
 from ..session import cut
 from .lines import pane_lines, split_lines
@@ -241,16 +241,21 @@ def zipkin_spans(docs: DataFrame) -> DataFrame:
     return _normalised(rows, "zipkin")
 
 
+#: Keys that a line of a span may state.
+PAIRS = "trace span parent service op kind dur status code db error cluster ns namespace pod peer".split()
+
+
 def text_spans(panes: DataFrame) -> DataFrame:
     """Of (incident_id, text): lines with trace, span and service pairs."""
     whole = lambda p: reduce(lambda a, k: a & has_key(p, k), ["span", "service"], has_key(p, "trace"))
-    m = split_lines(panes, "incident_id", "text").select("incident_id", F.col("line_no").alias("source_line"), "line", computed(pairs_in(F.col("line")), whole).alias("m")).withColumn("t", leading_stamp(F.col("line")))
-    v = {k: value_in(F.col("m"), k) for k in ("trace", "span", "parent", "service", "op", "kind", "dur", "status", "code", "db", "error", "cluster", "ns", "namespace", "pod", "peer")}
+    m = split_lines(panes, "incident_id", "text").select("incident_id", F.col("line_no").alias("source_line"), "line", computed(pairs_in(F.col("line")), whole).alias("m"))
+    m = m.select("incident_id", "source_line", leading_stamp(F.col("line"))["ts_ms"].alias("ts_ms"), *[written_in(F.col("m"), k).alias(f"_{k}") for k in PAIRS])
+    v = {k: unquoted(F.col(f"_{k}")) for k in PAIRS}
     status = F.when(F.lower(F.coalesce(v["status"], F.lit(""))).isin("error", "err", "failed", "2"), "error")
     a = F.create_map(F.lit("http.status_code"), v["code"], F.lit("db.system"), v["db"], F.lit("error"), v["error"])
     r = F.create_map(F.lit("cluster"), v["cluster"], F.lit("k8s.namespace.name"), F.coalesce(v["ns"], v["namespace"]), F.lit("k8s.pod.name"), v["pod"])
     rows = m.select("incident_id", v["trace"].alias("trace_id"), v["span"].alias("span_id"), v["parent"].alias("parent_id"), v["service"].alias("service"), v["op"].alias("op"), v["kind"].alias("kind"),
-                    F.col("t.ts_ms").cast("double").alias("start_ms"), duration_ms(v["dur"]).alias("dur_ms"), status.alias("status_code"), v["peer"].alias("peer"), a.alias("a"), r.alias("r"), "source_line")
+                    F.col("ts_ms").cast("double").alias("start_ms"), duration_ms(v["dur"]).alias("dur_ms"), status.alias("status_code"), v["peer"].alias("peer"), a.alias("a"), r.alias("r"), "source_line")
     return _normalised(rows, "text")
 
 

@@ -28,7 +28,7 @@ def test_pairs_equal_the_map(spark):
     rows = ['trace=1 span=2 trace=3 x="a \\"b\\" c" empty= dur=5ms quoted=""', "no pairs", "", 'k="open', "a.b/c-d=1 @t=2 µ=3 ünï=4 d=ä=ö", 'x="1 y=2" y=3', None]
     df = spark.createDataFrame([(r,) for r in rows], "line string").withColumns({"m": text.logfmt(F.col("line")), "p": text.pairs_in(F.col("line"))})
     keys = ["trace", "span", "x", "empty", "dur", "quoted", "k", "a.b/c-d", "@t", "d", "y", "race", "none"]
-    for r in df.select("line", *[F.struct(F.col("m")[k].alias("a"), text.value_in(F.col("p"), k).alias("b")) for k in keys]).collect():
+    for r in df.select("line", *[F.struct(F.col("m")[k].alias("a"), text.unquoted(text.written_in(F.col("p"), k)).alias("b")) for k in keys]).collect():
         assert all(x.a == x.b for x in r[1:]), r
 
 
@@ -47,3 +47,11 @@ def test_types_of_names(spark):
     rows = ["CoreDNS", "kube-proxy", "redis-ingress", "orders-db", "db-exporter", '"web"', "", None, "api-gw"]
     got = [tuple(r.t) for r in spark.createDataFrame([(r,) for r in rows], "n string").select(names.component_type(F.col("n")).alias("t")).collect()]
     assert got == [("infra", None), ("infra", None), ("service", "ingress"), ("datastore", None), ("service", None), ("service", None), ("service", None), ("service", None), ("service", "ingress")]
+
+
+def test_targets_of_a_text_are_worked_out_once(spark):
+    rows = ["dial tcp payments-api:8443 refused", "lookup orders-db.shop.svc.cluster.local: no such host", "10.1.2.3:5432 (redis.data.svc)", "panic in main.go:20, host=cart-api", "http://user@db.example.com/x", "DIAL TCP Cart-Api:80", "nothing", "", None]
+    df = spark.createDataFrame([(r,) for r in rows], "t string").select(names.target_in(F.col("t")).alias("h"))
+    got = [r.h and (r.h.name, r.h.namespace) for r in df.collect()]
+    assert got == [("payments-api", None), ("orders-db", "shop"), ("redis", "data"), ("cart-api", None), ("db.example.com", None), ("cart-api", None), None, None, None]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") < 50  # not once for each shape and use
